@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import jaccard, quality
 from .common import read
 
 
@@ -10,7 +10,12 @@ def op9_quality_rules(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
