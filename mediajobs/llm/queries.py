@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, quality
+from . import jaccard, quality, toxicity
 from .common import read
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"))
 
@@ -15,6 +19,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
