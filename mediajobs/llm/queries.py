@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, quality, toxicity
+from . import jaccard, mixing, quality, toxicity
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"))
 
@@ -20,6 +24,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
