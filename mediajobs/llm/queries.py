@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, quality, toxicity
+from . import jaccard, mixing, packing, quality, toxicity
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
