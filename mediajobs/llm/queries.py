@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, toxicity
+from pyspark.sql import functions as F
+
+from . import jaccard, mixing, packing, quality, toxicity, vectors
 from .common import read
 
 
@@ -14,6 +16,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    return vectors.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
@@ -29,12 +35,24 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op3_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op9_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
