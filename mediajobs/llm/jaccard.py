@@ -14,9 +14,14 @@ copies are one point of the space from the start. The join narrows in levels:
    symmetric-difference metric); pairs are dropped whose first common shingle
    stands too late. What remains gets the member with the smallest key as
    pivot, and regions with one pivot are joined into one.
-3. Large regions are cut into blocks, and each pair of blocks is a cell. In a
-   cell, members are compared by their whole sets, exactly. A cell returns a
-   spanning forest of its links, so its output is linear in its members.
+3. Large regions are cut into blocks, and each pair of blocks is a cell. A cell
+   first sees the heads of its members' sets (the shingles of step 1): the
+   symmetric difference of two sets is at least that of their heads up to where
+   the shorter head ends, and beyond a ninth of the sum of the sizes no link is
+   possible. Members fall into clusters of pairs that remain; the same cluster
+   of several regions is one.
+4. In a cluster, whole sets are compared, exactly. It returns a spanning forest
+   of its links, so its output is linear in its members.
 
 Components of the links come from alternating star contraction.
 
@@ -143,10 +148,7 @@ def _prefixes(frequent: np.ndarray):
                 if key in seen:
                     continue
                 seen.add(key)
-                if len(frequent):
-                    hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    if hot.any():
-                        s = np.concatenate([s[~hot], s[hot]])
+                s = in_order(s, frequent)
                 m = len(s)
                 take = m - -(-NUM * m // DEN) + 1
                 parts.append(
@@ -164,6 +166,95 @@ def _prefixes(frequent: np.ndarray):
     return run
 
 
+def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places of shingles in the global order as sorted numbers: by hash, frequent shingles behind the others."""
+    place = s >> np.uint64(1)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        place[hot] |= np.uint64(1 << 63)
+        place.sort()
+    return place
+
+
+def head(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, by the upper halves of their places. Places that fall together can only hide a difference."""
+    m = len(s)
+    return np.unique((in_order(s, frequent)[: m - -(-NUM * m // DEN) + 1] >> np.uint64(32)).astype(np.uint32))
+
+
+def _heads(frequent: np.ndarray):
+    """Set key, set size and head of each set."""
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            rows = []
+            for _, s in shingle_sets(b.column(0)):
+                if len(s) and (key := _key(s)) not in seen:
+                    seen.add(key)
+                    rows.append((key, len(s), head(s, frequent).tobytes()))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            k, n, h = zip(*rows, strict=True) if rows else ((), (), ())
+            yield _table(member=pa.array(k, pa.int64()), n=pa.array(n, pa.int32()), head=pa.array(h, pa.binary()))
+
+    return run
+
+
+def possible(sizes: np.ndarray, heads: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets may link, as far as their heads tell."""
+    last = np.array([h[-1] for h in heads])
+    below = np.array([np.searchsorted(h, last) for h in heads])  # shingles before the end of another's head
+    below = np.minimum(below, np.diag(below)[:, None])
+    differ = below + below.T - 2 * overlaps(heads)
+    a, b = sizes[:, None], sizes[None, :]
+    return ((NUM + DEN) * differ <= (DEN - NUM) * (a + b)) & (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b))
+
+
+def trees(linked: np.ndarray) -> np.ndarray:
+    """For each member the first member of its component."""
+    label = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if label[i] < 0:
+            todo = [i]
+            label[i] = i
+            while todo:
+                near = np.flatnonzero(linked[todo.pop()] & (label < 0))
+                label[near] = i
+                todo.extend(near.tolist())
+    return label
+
+
+def _clusters(batches):
+    """Rows sorted by cell, each with a member's head, to rows (cluster, member)."""
+    cell, members, out = None, {}, ([], [])
+
+    def solve():
+        if len(members) < 2:
+            return
+        keys = sorted(members)
+        label = trees(possible(np.array([members[k][0] for k in keys], np.int64), [members[k][1] for k in keys]))
+        for first in np.flatnonzero(np.bincount(label, minlength=len(keys)) > 1).tolist():
+            own = [keys[i] for i in np.flatnonzero(label == first).tolist()]
+            name = int.from_bytes(hashlib.blake2b(repr(own).encode(), digest_size=8).digest(), "little", signed=True)
+            out[0].extend([name] * len(own))
+            out[1].extend(own)
+
+    for b in batches:
+        names = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+        for i, (name, key, n) in enumerate(zip(names, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            if name != cell:
+                solve()
+                cell, members = name, {}
+            members[key] = n, np.frombuffer(b.column(5)[i].as_py(), np.uint32)
+        if out[0]:
+            yield _table(cluster=pa.array(out[0], pa.int64()), member=pa.array(out[1], pa.int64()))
+            out[0].clear()
+            out[1].clear()
+    solve()
+    yield _table(cluster=pa.array(out[0], pa.int64()), member=pa.array(out[1], pa.int64()))
+
+
 def _runs(batches):
     """Rows sorted by (shingle, n, key) to rows (pivot, member) of document-pivot regions."""
     rest = None
@@ -251,21 +342,12 @@ def spanning(sets: list[np.ndarray]) -> list[int]:
     o = overlaps(sets)
     n = np.diag(o)
     linked = DEN * o >= NUM * (n[:, None] + n[None, :] - o)
-    label = np.full(len(sets), -1)
-    for i in range(len(sets)):
-        if label[i] < 0:
-            todo = [i]
-            label[i] = i
-            while todo:
-                near = np.flatnonzero(linked[todo.pop()] & (label < 0))
-                label[near] = i
-                todo.extend(near.tolist())
-    return label.tolist()
+    return trees(linked).tolist()
 
 
-def _cells(batches):
-    """Rows sorted by cell, each with a member's whole set, to links (member, first member of its forest's tree)."""
-    cell, members = None, {}
+def _forests(batches):
+    """Rows sorted by cluster, each with a member's whole set, to links (member, first member of its forest's tree)."""
+    cluster, members, u, v = None, {}, [], []
 
     def solve():
         keys = list(members)
@@ -276,17 +358,16 @@ def _cells(batches):
                 u.append(k)
                 v.append(keys[j])
 
-    u, v = [], []
     for b in batches:
-        names = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-        for i, (name, key) in enumerate(zip(names, b.column(3).to_pylist(), strict=True)):
-            if name != cell:
+        for i, (name, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if name != cluster:
                 solve()
-                cell, members = name, {}
-            members[key] = b.column(4)[i].as_py()
+                cluster, members = name, {}
+            members[key] = b.column(2)[i].as_py()
         if u:
             yield _table(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
-            u, v = [], []
+            u.clear()
+            v.clear()
     solve()
     yield _table(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
 
@@ -354,19 +435,28 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
     )
+    heads = docs.select("text").mapInArrow(_heads(hot), "member long, n int, head binary")
+    clusters = cut(
+        cells.join(heads, "member")
+        .select("pivot", "i", "j", "member", "n", "head")
+        .repartition("pivot", "i", "j")
+        .sortWithinPartitions("pivot", "i", "j")
+        .mapInArrow(_clusters, "cluster long, member long")
+        .distinct()
+    )
     # only texts of members are hashed again: one for each set, and those without an id
     first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    named = first.join(regions.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
+    named = first.join(clusters.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
     wanted = named.select("doc_id").where("doc_id is not null").distinct()
     chosen = docs.join(wanted, "doc_id", "left_semi").select("text")
     chosen = chosen.union(docs.where("doc_id is null").select("text"))
     sets = chosen.mapInArrow(_arrays, "member long, shingles binary")
     edges = (
-        cells.join(sets, "member")
-        .select("pivot", "i", "j", "member", "shingles")
-        .repartition("pivot", "i", "j")
-        .sortWithinPartitions("pivot", "i", "j")
-        .mapInArrow(_cells, "u long, v long")
+        clusters.join(sets, "member")
+        .select("cluster", "member", "shingles")
+        .repartition("cluster")
+        .sortWithinPartitions("cluster")
+        .mapInArrow(_forests, "u long, v long")
     )
     return points, edges
 

@@ -80,3 +80,20 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in jaccard.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_heads_never_hide_a_link():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        base = np.unique(r.integers(0, 1 << 62, 200).astype(np.uint64))
+        sets = []
+        for k in r.integers(0, 60, 6):
+            s = base[r.permutation(len(base))[: len(base) - int(k) // 2]]
+            sets.append(np.unique(np.append(s, r.integers(0, 1 << 62, int(k) // 2).astype(np.uint64))))
+        frequent = np.sort(base[:17])
+        may = jaccard.possible(np.array([len(s) for s in sets]), [jaccard.head(s, frequent) for s in sets])
+        for i in range(6):
+            for j in range(6):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    assert may[i, j]
