@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, toxicity, vectors
+from . import jaccard, licenses, mixing, packing, quality, toxicity, vectors
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op3_exact_top_k(spark, sf_dir):
     return vectors.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_license_scan": op4_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
