@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, packing, quality, toxicity, vectors
+from . import chat, jaccard, licenses, mixing, packing, quality, sharding, toxicity, vectors
 from .common import read
 
 
@@ -24,10 +24,18 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_perspective_rotation(spark, sf_dir):
+    return chat.rotate(read(spark, sf_dir, "conversations"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op8_extendible_sharding(spark, sf_dir):
+    return sharding.shards(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.digest(read(spark, sf_dir, "documents"))
 
@@ -41,8 +49,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_license_scan": op4_license_scan,
+    "op5_perspective_rotation": op5_perspective_rotation,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op8_extendible_sharding": op8_extendible_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
 
@@ -57,6 +67,34 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op5_perspective_rotation": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t
+      WHERE role <> 'system' OR conv_id NOT IN (SELECT conv_id FROM t WHERE role <> 'system')),
+x AS (SELECT t.*, perspective,
+             '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+                          ELSE 'user name=' || role END || '|>' || chr(10) AS head
+      FROM t JOIN p USING (conv_id)),
+y AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM x),
+z AS (SELECT *, row_number() OVER w - 1 AS turn_index,
+             CAST(coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM y WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, role, text))
+SELECT conv_id, perspective, turn_index, role, segment, start,
+       start + CASE WHEN role = perspective THEN length(head) ELSE 0 END AS mask_start,
+       start + CASE WHEN role = perspective THEN length(segment) ELSE 0 END AS mask_end
+FROM z
+""",
+    "op8_extendible_sharding": """
+WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+                  lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)), 32, '0') AS bits
+           FROM documents),
+p AS (SELECT doc_id, bytes, d, substr(bits, 1, d) AS prefix FROM r, (SELECT unnest(range(0, 33)) AS d)),
+s AS (SELECT prefix, d, sum(bytes) AS b, count(*) AS n FROM p GROUP BY prefix, d),
+l AS (SELECT doc_id, bytes, min(d) AS depth FROM p JOIN s USING (prefix, d)
+      WHERE b <= 1048576 OR n = 1 OR d = 32 GROUP BY doc_id, bytes)
+SELECT l.doc_id, l.bytes, p.prefix AS shard, CAST(l.depth AS INT) AS depth, CAST(0 AS BIGINT) AS page
+FROM l JOIN p ON p.doc_id = l.doc_id AND p.d = l.depth
 """,
     "op9_quality_rules": r"""
 WITH d AS (
