@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, licenses, mixing, packing, quality, sharding, toxicity, vectors
+from . import chat, jaccard, licenses, mixing, packing, pages, quality, sharding, toxicity, vectors
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op5_perspective_rotation(spark, sf_dir):
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_license_scan": op4_license_scan,
     "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op8_extendible_sharding": op8_extendible_sharding,
