@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import parsing
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (parsing,)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL = {k: sql for part in _PARTS for k, sql in part.ORACLE_SQL.items()}
