@@ -50,7 +50,7 @@ def directory(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
         fine = todo.groupBy("at", F.substring("bits", 1, hi).alias("fine")).agg(
             F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")
         )
-        sums = (
+        sums = cut(
             fine.withColumn("depth", F.explode(depths)).withColumn("prefix", F.expr("substring(fine, 1, depth)"))
             .groupBy("prefix", "depth").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
         )
