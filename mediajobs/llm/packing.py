@@ -19,14 +19,17 @@ order. Extra columns aren't looked at. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import textbuf
 from .common import cut
 
 CAPACITY = 2048
@@ -36,31 +39,96 @@ VOCABULARY = "word_bpe_49k.json"
 _BYTES = 4
 
 
-class TokenIds(dict):
-    """White-space separated part of a text to its ids, as little-endian uint32 bytes.
+#: Bytes of parts of a text: all but space and newline.
+PARTS = np.ones(256, bool)
+PARTS[[0x20, 0x0A]] = False
 
-    The tokenizer splits at white space before anything else, so a text's ids
-    are those of its parts. Parts are remembered, up to a bounded number.
+
+class TokenIds:
+    """Ids of many texts at once, each the same as the tokenizer gives for the whole text.
+
+    The tokenizer splits at white space before anything else and lower-cases, so
+    a text's ids are those of its parts between spaces and newlines. Parts are
+    known by a 64-bit hash, found for a whole buffer of texts at once; only parts
+    not met before are tokenised, and up to ``most`` are remembered.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        super().__init__()
+    def __init__(self, tokenizer, most: int = 900_000):
         self.tokenizer, self.most = tokenizer, most
+        self._reset()
+
+    def _reset(self):
+        self.known: dict[int, int] = {}
+        self.words: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
+        self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, np.uint32), 0
+
+    @staticmethod
+    def stem(part: str) -> tuple[str, str]:
+        """What of a part to tokenise, and a sign behind it that is a token of its own (exact for this vocabulary's rules)."""
+        if part[-1:] in (".", ",") and part.isascii() and part[:-1].isalpha():
+            return part[:-1], part[-1:]
+        return part, ""
+
+    def learn(self, hashes: list[int], parts: list[str]) -> None:
+        stems = [self.stem(p) for p in parts]
+        fresh = list({w for s in stems for w in s if w not in self.words})
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, np.uint32)
+        new = [self.words[x] for s in stems for x in s if x]
+        count, total = len(self.known), sum(map(len, new))
+        while len(self.length) < count + len(parts):
+            self.length, self.start = np.resize(self.length, 2 * len(self.length)), np.resize(self.start, 2 * len(self.start))
+        while len(self.flat) < self.used + total:
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        if new:
+            self.flat[self.used : self.used + total] = np.concatenate(new)
+        sizes = np.array([len(self.words[a]) + len(self.words[b]) for a, b in stems], np.int64)
+        self.length[count : count + len(parts)] = sizes
+        self.start[count : count + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.known.update(zip(hashes, range(count, count + len(parts)), strict=True))
+        if len(self.words) > self.most // 4:
+            self.words = {"": self.words[""]}
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none)."""
+        for w in textbuf.slices(texts, PARTS):
+            if b"<|" in w.buf.tobytes():  # special tokens are told by case: such texts are tokenised as they are
+                for t in texts.slice(w.lo, len(w.counts)).to_pylist():
+                    yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32)
+                continue
+            hashes, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+            if len(self.known) + len(hashes) > self.most:
+                self._reset()
+            listed = hashes.tolist()
+            new = [i for i, h in enumerate(listed) if h not in self.known]
+            if new:
+                at = first[new]
+                buf = w.buf.tobytes()
+                parts = [buf[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+                self.learn([listed[i] for i in new], parts)
+            part = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+            sizes = self.length[part]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.flat[np.repeat(self.start[part] - (ends - sizes), sizes) + np.arange(total)]
+            edges = np.append(0, ends)[w.first].tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield ids[a:b]
+
+
+_shared: dict[str, TokenIds] = {}
+
+
+def token_ids(vocabulary: str) -> TokenIds:
+    """One for all tasks of a Python worker, so that what one task met serves the next."""
+    if vocabulary not in _shared:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        from tokenizers import Tokenizer
 
-    def __missing__(self, part):
-        if part.isascii() and part.isalpha() and not part.islower():
-            ids = self[part.lower()]
-        elif part[-1:] in (".", ",") and part.isascii() and part[:-1].isalpha():
-            ids = self[part[:-1]] + self[part[-1]]
-        else:
-            ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes() if part else b""
-        if len(self) >= self.most:
-            self.clear()
-        self[part] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        _shared[vocabulary] = TokenIds(Tokenizer.from_file(vocabulary_path(vocabulary)))
+    return _shared[vocabulary]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -74,14 +142,12 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        ids_of = TokenIds(Tokenizer.from_file(vocabulary_path(vocabulary))).of
-        end, step = array("I", [end_id]).tobytes(), capacity * _BYTES
+        ids_of = token_ids(vocabulary).of
+        end, step = np.array([end_id], "<u4").tobytes(), capacity * _BYTES
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1)):
-                whole = ids_of(t.as_py() or "") + end
+            for i, found in enumerate(ids_of(b.column(1))):
+                whole = found.astype("<u4").tobytes() + end
                 for at in range(0, len(whole), step):
                     part = whole[at : at + step]
                     ids.append(i)
