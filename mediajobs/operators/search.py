@@ -30,7 +30,8 @@ def validate_dimensions(rows: DataFrame, column: str, size: int, mode: str = "fa
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    gap = lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))
+    return F.aggregate(F.zip_with(a, b, gap), F.lit(0.0), lambda s, x: s + x)
 
 
 def _ranked(pairs: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:

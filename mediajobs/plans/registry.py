@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import parsing
+from . import media, parsing
 
-_PARTS = (parsing,)
+_PARTS = (parsing, media)
 
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: sql for part in _PARTS for k, sql in part.ORACLE_SQL.items()}
