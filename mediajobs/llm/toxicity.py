@@ -37,6 +37,8 @@ from .common import cut
 
 #: Labelled rows that the fit looks at, at most.
 LABELLED_ROWS = 20_000
+#: Share of toxic documents that have a term, at least: words of one group of copies stay below.
+COMMON = 0.015
 #: Terms of a lexicon, at most.
 MOST_TERMS = 1_000
 #: Words on either side of a hit that make its context.
@@ -256,14 +258,13 @@ def fit_terms(labelled: DataFrame) -> Model:
     )
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     found = (
-        counts.where(F.col("toxic") >= max(3.0, 0.004 * n_toxic)).withColumn("odds", odds).where("odds > 2.5")
+        counts.where(F.col("toxic") >= max(3.0, COMMON * n_toxic)).withColumn("odds", odds).where("odds > 2.5")
         .orderBy(F.desc("odds"), "word").limit(MOST_TERMS).collect()
     )
-    strong = max(3.0, 0.015 * n_toxic)
-    terms = {r.word: reach(r.word) if r.toxic >= strong else 0 for r in found}
+    terms = {r.word: reach(r.word) for r in found}
     weights = {(r.word, 0): r.odds for r in found}
     # what forms at each distance of a term count, as far as the labelled texts have them
-    guess = {(t, d): 1.0 for t, k in terms.items() for d in range(1, k + 1)}
+    forms = [(t, d) for t, k in terms.items() for d in range(1, k + 1)]
 
     def near(batches):
         matcher = Automaton(terms)
@@ -282,8 +283,8 @@ def fit_terms(labelled: DataFrame) -> Model:
         .groupBy("term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     )
     evidence = {(r.term, r.distance): log_odds(r.toxic, r.clean, n_toxic, n_clean) for r in seen}
-    for (t, d), share in guess.items():
-        full = weights[t, 0] * (0.7 if d == 1 else 0.5) * share
+    for t, d in forms:
+        full = weights[t, 0] * (0.7 if d == 1 else 0.5)
         if d == 2 and evidence.get((t, 1), full) < 1:
             full = 0.0
         weights[t, d] = min(full, evidence.get((t, d), full)) if evidence.get((t, d), full) >= 1 else 0.0
