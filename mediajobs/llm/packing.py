@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ class TokenIds:
 
     def __init__(self, tokenizer, most: int = 900_000):
         self.tokenizer, self.most = tokenizer, most
+        self.ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self):
@@ -70,10 +73,20 @@ class TokenIds:
             return part[:-1], part[-1:]
         return part, ""
 
+    def together(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of ASCII letters, many in one text: each ends with the only one of its tokens that ends a word."""
+        texts = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(found)), np.uint32)
+        return np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1) if len(ids) else []
+
     def learn(self, hashes: list[int], parts: list[str]) -> None:
         stems = [self.stem(p) for p in parts]
         fresh = list({w for s in stems for w in s if w not in self.words})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        plain = [w for w in fresh if w.isascii() and w.isalpha()]
+        self.words.update(zip(plain, self.together(plain), strict=True))
+        other = [w for w in fresh if w not in self.words]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, np.uint32)
         new = [self.words[x] for s in stems for x in s if x]
         count, total = len(self.known), sum(map(len, new))
