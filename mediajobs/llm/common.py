@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the cluster's shared folder, and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def words_of(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+")

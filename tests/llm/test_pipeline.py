@@ -12,7 +12,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        out.append(corpus_pipeline.cut(stage(spark, out[-1], SF)))
+        out.append(corpus_pipeline.written(stage(spark, out[-1], SF), "test"))
     return out
 
 
