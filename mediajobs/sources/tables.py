@@ -13,10 +13,19 @@ PROVIDER_SCHEMA = (
     "name string, ordinal int, driver string, location string, enabled boolean, priority int, timeout double, "
     "capabilities array<string>, model string, api_mode string, executable_present boolean"
 )
-MODEL_SCHEMA = "id string, type string, ovms_model string, embedding_backend string, tokenizer_path string, max_length int, batch_size int, query_prefix string"
+MODEL_SCHEMA = (
+    "id string, type string, ovms_model string, embedding_backend string, tokenizer_path string, max_length int, batch_size int, "
+    "query_prefix string, preferred_device string, fallback_device string, policy string"
+)
 #: Drivers that a provider may name (fixed values).
 DRIVERS = ("http", "command", "cli")
-DEFAULT_MODELS = ({"id": "bge-m3", "type": "embedding"}, {"id": "qwen-reranker", "type": "rerank"})
+#: Models where no file names any: id, type, served name (fixed values).
+DEFAULT_MODELS = (
+    ("qwen-reranker", "rerank", "qwen-reranker"), ("bge-m3-i8", "embedding", "bge-m3-i8"), ("bge-m3", "embedding", "bge-m3-i8"),
+    ("jina-clip-v2", "multimodal_embedding", "jina-clip-v2"), ("dinov3", "dino_embedding", "dinov3"),
+)
+#: What a model has unless its entry says otherwise (fixed values).
+MODEL_DEFAULTS = {"preferred_device": "GPU", "fallback_device": "CPU", "policy": "GPU_PREFERRED"}
 
 
 def load_provider_dim(spark: SparkSession, path: str, explicit: bool = True, executables: frozenset[str] | None = None) -> DataFrame:
@@ -50,21 +59,26 @@ def load_provider_dim(spark: SparkSession, path: str, explicit: bool = True, exe
     return spark.createDataFrame(rows, PROVIDER_SCHEMA)
 
 
+def _models(path: str | None, parse) -> dict:
+    """Entries of a registry file by id; empty if there is no such file or it isn't one."""
+    if not path or not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        data = parse(f)
+    listed = data.get("models", data if parse is json.load else None) if isinstance(data, dict) else None
+    return {k: m for k, m in listed.items() if isinstance(m, dict)} if isinstance(listed, dict) else {}
+
+
 def load_model_dim(spark: SparkSession, yaml_path: str | None = None, json_path: str | None = None) -> DataFrame:
-    """Models of the YAML file, else of the JSON file, else defaults; the served name defaults to the id."""
-    models = None
-    if yaml_path and os.path.exists(yaml_path):
-        with open(yaml_path, encoding="utf-8") as f:
-            models = (yaml.safe_load(f) or {}).get("models")
-    if not models and json_path and os.path.exists(json_path):
-        with open(json_path, encoding="utf-8") as f:
-            models = json.load(f)
-            models = models.get("models") if isinstance(models, dict) else models
-    if isinstance(models, dict):
-        models = [{"id": k, **v} for k, v in models.items()]
+    """Models of the YAML file, else of the JSON file, else DEFAULT_MODELS; the served name defaults to model_id, then to the id."""
+    models = _models(yaml_path, yaml.safe_load) or _models(json_path, json.load)
+    models = models or {i: {"type": kind, "ovms_model": served} for i, kind, served in DEFAULT_MODELS}
     names = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
-    rows = [tuple(m.get(c) for c in names) for m in (models or DEFAULT_MODELS)]
-    return spark.createDataFrame(rows, MODEL_SCHEMA).withColumn("ovms_model", F.coalesce("ovms_model", "id"))
+    rows = []
+    for name, given in models.items():
+        m = {**MODEL_DEFAULTS, "ovms_model": given.get("model_id", name), **given, "id": name}
+        rows.append(tuple(m.get(c) for c in names))
+    return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
 def media_path(root: str, mm_size: int, dino_size: int) -> str:

@@ -111,6 +111,10 @@ def test_dimension_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_provider_dim(spark, str(tmp_path / "none"))
     assert tables.load_provider_dim(spark, str(tmp_path / "none"), explicit=False).count() == 0
-    assert {r.ovms_model for r in tables.load_model_dim(spark).collect()} == {"bge-m3", "qwen-reranker"}
-    f.write_text("models:\n- {id: m, type: embedding, ovms_model: served}\n")
-    assert [(r.id, r.ovms_model) for r in tables.load_model_dim(spark, str(f)).collect()] == [("m", "served")]
+    assert {r.id: r.ovms_model for r in tables.load_model_dim(spark).collect()}["bge-m3"] == "bge-m3-i8"
+    f.write_text("models:\n  m: {type: embedding, model_id: served}\n  n: {type: rerank, policy: CPU_ONLY}\n  bad: 3\n")
+    got = tables.load_model_dim(spark, str(f)).collect()
+    assert [(r.id, r.ovms_model, r.policy) for r in got] == [("m", "served", "GPU_PREFERRED"), ("n", "n", "CPU_ONLY")]
+    j = tmp_path / "m.json"
+    j.write_text('{"k": {"type": "embedding", "max_length": 512}}')
+    assert [(r.id, r.max_length) for r in tables.load_model_dim(spark, str(tmp_path / "none"), str(j)).collect()] == [("k", 512)]
