@@ -12,7 +12,7 @@ BIN_ROWS rows; sums of whole bins give each bin's start, and rows are sorted
 within their bin only. So no task holds a whole source, however large.
 
 Defined cases: null texts have size 0, and rows of size 0 are never taken. A null
-source is a source, the last. Draws come from a hash of id, source, size and the
+source is a source, the last. Draws come from the md5 of id, source, size and the
 seed, so reruns agree; equal rows draw equal keys and are told apart only by
 their place, one row at most more than the other. The document at the budget's
 edge is taken if that comes nearer the target. Extra columns pass through ``mix``;
@@ -83,7 +83,8 @@ def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
     """``sized`` (doc_id, source, _m_size, _m_quality, ...) with _m_source_size, _m_target and _m_copies."""
     rows = sized.count()
     bins = max(64, rows // BIN_ROWS)
-    draw = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", "_m_size", F.lit(seed)), 11) + 1) / float(2**53 + 1)
+    known = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("source", F.lit("null")), "_m_size", F.lit(seed))
+    draw = (F.conv(F.substring(F.md5(known), 1, 13), 16, 10).cast("long") + 1) / float(2**52 + 1)
     keyed = (
         sized.withColumn("_m_key", -F.log(draw) / F.col("_m_quality"))
         .withColumn("_m_bin", F.floor(bins * (1 - F.exp(-F.col("_m_key")))).cast("long"))

@@ -62,6 +62,41 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  greatest(0.1, 1 - 4 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))) / greatest(length(text), 1)) AS q
+           FROM documents),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5(concat_ws('|', doc_id, coalesce(source, 'null'), size, 20240229)), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE)
+             / coalesce(q, 0.1) AS key FROM d),
+s AS (SELECT source, sum(size) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+f AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0))
+               / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM s WINDOW b AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size,
+             CAST(CASE WHEN level * weight >= 2 * source_size THEN 2 * source_size
+                  ELSE least(2 * source_size, weight * max(CASE WHEN level * weight < 2 * source_size THEN level END) OVER ()) END AS DOUBLE) AS target FROM f),
+r AS (SELECT k.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
+             coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, target - epochs * source_size - before AS remains FROM r)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN remains > 0 AND 2 * remains >= size THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM x
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""",
     "op3_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
            FROM embeddings
