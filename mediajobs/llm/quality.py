@@ -185,7 +185,9 @@ def apply_rules(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_R
 def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
     order = ordered(rules(features()), docs, text, sample_rows)
-    return _visible(working(docs, text).where(verdict(order).isNull()))
+    # a filter would be pushed below the arrays and compute them anew for every rule; a generator isn't
+    kept = F.explode(F.when(verdict(order).isNull(), F.array(F.lit(True))))
+    return _visible(working(docs, text).withColumn("_q_kept", kept).drop("_q_kept"))
 
 
 def digest(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
