@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted
+from .common import cut, salted
 
 #: Pages of a host from which a template is deduced, at least.
 MIN_PAGES = 5
@@ -240,7 +240,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
     # two sums of 31 bits stand for a token's occurrence vector
     seen = F.xxhash64("page", "times")
     part = lambda k: F.sum(F.pmod(F.shiftrightunsigned(seen, 31 * k), F.lit(1 << 31)))
-    counts = (
+    counts = cut(
         tokens.groupBy("host", "token", "kind").agg(
             F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"),
             F.max("rank").alias("rank"), F.min("depth").alias("depth"), part(0).alias("v0"), part(1).alias("v1"),
