@@ -61,7 +61,7 @@ class TokenIds:
         self._reset()
 
     def _reset(self):
-        self.known: dict[int, int] = {}
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known parts, by hash
         self.words: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
@@ -80,7 +80,8 @@ class TokenIds:
         ids = np.array(list(chain.from_iterable(found)), np.uint32)
         return np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1) if len(ids) else []
 
-    def learn(self, hashes: list[int], parts: list[str]) -> None:
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Places of new parts."""
         stems = [self.stem(p) for p in parts]
         fresh = list({w for s in stems for w in s if w not in self.words})
         plain = [w for w in fresh if w.isascii() and w.isalpha()]
@@ -89,7 +90,7 @@ class TokenIds:
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, np.uint32)
         new = [self.words[x] for s in stems for x in s if x]
-        count, total = len(self.known), sum(map(len, new))
+        count, total = len(self.place), sum(map(len, new))
         while len(self.length) < count + len(parts):
             self.length, self.start = np.resize(self.length, 2 * len(self.length)), np.resize(self.start, 2 * len(self.start))
         while len(self.flat) < self.used + total:
@@ -100,9 +101,9 @@ class TokenIds:
         self.length[count : count + len(parts)] = sizes
         self.start[count : count + len(parts)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.known.update(zip(hashes, range(count, count + len(parts)), strict=True))
-        if len(self.words) > self.most // 4:
+        if len(self.words) > self.most // 10:
             self.words = {"": self.words[""]}
+        return np.arange(count, count + len(parts))
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
@@ -112,16 +113,21 @@ class TokenIds:
                     yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32)
                 continue
             hashes, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-            if len(self.known) + len(hashes) > self.most:
+            if len(self.place) + len(hashes) > self.most:
                 self._reset()
-            listed = hashes.tolist()
-            new = [i for i, h in enumerate(listed) if h not in self.known]
-            if new:
-                at = first[new]
+            at = np.searchsorted(self.hashes, hashes)
+            met = at < len(self.hashes)
+            met[met] = self.hashes[at[met]] == hashes[met]
+            place = np.empty(len(hashes), np.int64)
+            place[met] = self.place[at[met]]
+            if not met.all():
+                new = first[~met]
                 buf = w.buf.tobytes()
-                parts = [buf[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-                self.learn([listed[i] for i in new], parts)
-            part = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
+                parts = [buf[a:b].decode("utf-8", "replace") for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
+                place[~met] = self.learn(parts)
+                self.hashes = np.insert(self.hashes, at[~met], hashes[~met])
+                self.place = np.insert(self.place, at[~met], place[~met])
+            part = place[inverse]
             sizes = self.length[part]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
