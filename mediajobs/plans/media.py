@@ -265,8 +265,17 @@ def search_by_image(spark, sf):
 def _candidates(spark, sf):
     """Documents as candidates of benchmark items, dealt by id; every third as JSON."""
     d = table(spark, sf, "documents").where("doc_id % 4 = 0 or doc_id % 80 < 12")
-    doc = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("source").alias("title"), F.col("text"), F.col("n_chars").alias("year")))).otherwise(F.col("text"))
-    return d.select((F.floor(F.col("doc_id") / 16) % 40).alias("query_id"), F.col("doc_id").alias("pos"), doc.alias("document"))
+    return d.select((F.floor(F.col("doc_id") / 16) % 40).alias("query_id"), F.col("doc_id").alias("pos"), _document().alias("document"))
+
+
+def _document():
+    return F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("source").alias("title"), F.col("text"), F.col("n_chars").alias("year")))).otherwise(F.col("text"))
+
+
+def _all_candidates(spark, sf):
+    """All documents as candidates, 16 a query: the number of queries grows with the table."""
+    d = table(spark, sf, "documents")
+    return d.select(F.floor(F.col("doc_id") / 16).alias("query_id"), F.col("doc_id").alias("pos"), _document().alias("document"))
 
 
 def extract_document_text(spark, sf):
@@ -275,7 +284,11 @@ def extract_document_text(spark, sf):
 
 
 def _capped(spark, sf):
-    c = rerank.cap_candidates(_candidates(spark, sf))
+    return _truncated(_candidates(spark, sf))
+
+
+def _truncated(candidates):
+    c = rerank.cap_candidates(candidates)
     return rerank.truncate_candidates(c.withColumn("text", rerank.extract_document_text(F.col("document"))))
 
 
@@ -311,11 +324,47 @@ def rerank_meta(spark, sf):
     return rerank.rerank_meta(_rerank_queries(spark, sf), _capped(spark, sf))
 
 
+def _all_rerank_queries(spark, sf):
+    """A query for each id of candidates and each benchmark item; texts of items by place, in turn."""
+    b = table(spark, sf, "benchmark")
+    ids = _all_candidates(spark, sf).select("query_id").union(b.select("item_id")).distinct()
+    n = b.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    q = ids.crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("query_id", "n"))  # one row
+    return q.join(b.select("item_id", F.col("text").alias("query")), "item_id").select("query_id", "query", (F.col("query_id") % 4).cast("int").alias("top_n"))
+
+
+def extract_document_text_all(spark, sf):
+    return _all_candidates(spark, sf).select("pos", rerank.extract_document_text(F.col("document")).alias("text"))
+
+
+def cap_candidates_all(spark, sf):
+    return rerank.cap_candidates(_all_candidates(spark, sf)).select("query_id", "pos", "total")
+
+
+def truncate_candidates_all(spark, sf):
+    return _truncated(_all_candidates(spark, sf)).select("query_id", "pos", F.length("text").alias("n"), "truncated")
+
+
+def rerank_score_all(spark, sf):
+    pairs = _truncated(_all_candidates(spark, sf)).join(_all_rerank_queries(spark, sf), "query_id")
+    return models.rerank_score(pairs).select("query_id", "pos", "score")
+
+
+def rerank_topn_all(spark, sf):
+    scored = _all_candidates(spark, sf).select("query_id", "pos", (F.col("pos") % 7).cast("double").alias("score"))
+    return rerank.rerank_topn(scored, _all_rerank_queries(spark, sf)).select("query_id", "pos", "rank")
+
+
+def rerank_meta_all(spark, sf):
+    return rerank.rerank_meta(_all_rerank_queries(spark, sf), _truncated(_all_candidates(spark, sf)))
+
+
 _NAMES = """knn_multimodal knn_visual filtered_search knn_builtin validate_dimensions chunk_tokens build_chunk_instances tokenize
 length_bucket_batches pad_batch embedding_usage batch_stats normalize_embed_input route_embedding apply_query_prefix mean_pool decode_predictions
 l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing dedup_within_batch
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
-truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta""".split()
+truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta extract_document_text_all cap_candidates_all
+truncate_candidates_all rerank_score_all rerank_topn_all rerank_meta_all""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _KNN = """
@@ -341,6 +390,10 @@ _CAND = """c AS (SELECT (doc_id // 16) % 40 AS query_id, doc_id AS pos, regexp_r
 k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8)
 """.replace("\\\\", "\\")
 
+_CAND_ALL = _CAND.replace("(doc_id // 16) % 40", "doc_id // 16").replace("\n      FROM documents WHERE doc_id % 4 = 0 OR doc_id % 80 < 12", "\n      FROM documents") + """,
+q AS (SELECT i.query_id, b.text FROM (SELECT query_id FROM c UNION SELECT item_id FROM benchmark) i JOIN benchmark b ON b.item_id = i.query_id % (SELECT count(*) FROM benchmark))
+"""
+
 ORACLE_SQL = {
     "knn_multimodal": _KNN.format(v="embedding", f="true"),
     "knn_visual": _KNN.format(v="embedding[1:32]", f="true"),
@@ -405,4 +458,18 @@ WHERE query_id IN (SELECT item_id FROM benchmark WHERE item_id < 40) AND (query_
 SELECT item_id AS query_id, false AS strict_recall, coalesce(max(total), 0) AS total_documents, count(pos) AS scored_documents, coalesce(max(total), 0) - count(pos) AS discarded_documents,
        count(*) FILTER (length(k.text) > 1000) AS text_truncated_documents, CAST(nullif(item_id % 4, 0) AS INT) AS applied_top_n
 FROM benchmark b LEFT JOIN k ON k.query_id = b.item_id WHERE item_id < 40 GROUP BY item_id""",
+    "extract_document_text_all": "WITH " + _CAND_ALL + "SELECT pos, text FROM c",
+    "cap_candidates_all": "WITH " + _CAND_ALL + "SELECT query_id, pos, total FROM k",
+    "truncate_candidates_all": "WITH " + _CAND_ALL + "SELECT query_id, pos, CAST(least(length(text), 1000) AS INT) AS n, length(text) > 1000 AS truncated FROM k",
+    "rerank_score_all": "WITH " + _CAND_ALL + r""",
+w AS (SELECT query_id, pos, len(list_filter(list_distinct(regexp_split_to_array(lower(q.text), '\s+')), lambda x: x <> '' AND list_contains(regexp_split_to_array(lower(left(k.text, 1000)), '\s+'), x))) AS s
+      FROM k JOIN q USING (query_id))
+SELECT query_id, pos, CAST(s AS DOUBLE) AS score FROM w""",
+    "rerank_topn_all": "WITH " + _CAND_ALL + """
+SELECT query_id, pos, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos % 7 DESC, pos) AS rank FROM c JOIN q USING (query_id))
+WHERE query_id % 4 = 0 OR rank <= query_id % 4""",
+    "rerank_meta_all": "WITH " + _CAND_ALL + """
+SELECT query_id, false AS strict_recall, coalesce(max(total), 0) AS total_documents, count(pos) AS scored_documents, coalesce(max(total), 0) - count(pos) AS discarded_documents,
+       count(*) FILTER (length(k.text) > 1000) AS text_truncated_documents, CAST(nullif(query_id % 4, 0) AS INT) AS applied_top_n
+FROM q LEFT JOIN k USING (query_id) GROUP BY query_id""",
 }
