@@ -80,7 +80,16 @@ def length_bucket_batches(spark, sf):
 
 
 def pad_batch(spark, sf):
-    t = _tokens(spark, sf).withColumn("ids", F.slice("ids", 1, 20)).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
+    return _padded(_tokens(spark, sf).withColumn("ids", F.slice("ids", 1, 20)))
+
+
+def pad_batch_all(spark, sf):
+    """Whole texts, none of their tokens left out."""
+    return _padded(_tokens(spark, sf))
+
+
+def _padded(tokens):
+    t = tokens.withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     p = embedding.pad_batch(t.withColumn("batch_id", F.floor(F.col("text_id") / 8)))
     return p.select("text_id", "batch_id", F.size("ids").alias("n"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
@@ -364,7 +373,7 @@ length_bucket_batches pad_batch embedding_usage batch_stats normalize_embed_inpu
 l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing dedup_within_batch
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
 truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta extract_document_text_all cap_candidates_all
-truncate_candidates_all rerank_score_all rerank_topn_all rerank_meta_all""".split()
+truncate_candidates_all rerank_score_all rerank_topn_all rerank_meta_all pad_batch_all""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _KNN = """
@@ -405,6 +414,7 @@ ORACLE_SQL = {
     "tokenize": "WITH " + _N + "SELECT text_id AS doc_id, CAST(n AS INT) AS n, CAST(least(n, 256) AS INT) AS n_cut FROM n",
     "length_bucket_batches": "WITH " + _N + "," + _BATCHES + "SELECT text_id, model, bucket, batch FROM b",
     "pad_batch": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(least(n, 20)) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(least(n, 20) AS INT) AS mask_sum FROM n",
+    "pad_batch_all": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(n) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(n AS INT) AS mask_sum FROM n",
     "embedding_usage": "WITH " + _N + "SELECT request_id, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS total_tokens FROM n GROUP BY request_id",
     "batch_stats": "WITH " + _N + "," + _BATCHES + """,
 r AS (SELECT request_id, count(*) AS k FROM n GROUP BY 1), g AS (SELECT count(*) AS k FROM b GROUP BY model, bucket, batch)

@@ -1,5 +1,7 @@
 """Queries that take all rows of the test tables."""
 
+import re
+
 import duckdb
 import pytest
 from mediajobs.plans import media
@@ -32,3 +34,13 @@ def test_rerank_queries_take_all_documents_and_items(spark, part):
         assert {r[0] for r in got} == queries | items and sum(r[2] for r in got) == len(documents)
     else:
         assert {r[0] for r in got} == queries
+
+
+def test_pad_batch_takes_all_tokens(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    n = {i: len([w for w in re.split("[ \t\n\x0b\f\r]+", t) if w]) for i, t in texts.items()}
+    longest = {}
+    for i, k in n.items():
+        longest[i // 8] = max(longest.get(i // 8, 0), k)
+    assert max(n.values()) > 20
+    assert sorted(same_as_sql(spark, "pad_batch_all")) == sorted((i, i // 8, longest[i // 8], k) for i, k in n.items())
