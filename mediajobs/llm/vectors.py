@@ -2,7 +2,7 @@
 
 Components become integers floor(SCALE * x); the score is their inner product.
 Each vector is approximated by the cells of its components: 2^BITS cells of equal
-width between a dimension's least and greatest value. A cell gives a least and a
+width between a dimension's least and greatest value in a block. A cell gives a least and a
 greatest product with a query's component, so a scan of cells bounds all scores.
 
 Queries and candidates are cut into blocks; every pair of blocks is a cell of a
@@ -11,8 +11,12 @@ vectors are read in the order of their upper bounds until the k-th score found
 is certain: no bound left is above it (equal ones are still read, for ties). The
 blocks' results are merged by rank. Nothing is dropped but by these bounds.
 
+Pairs with a component beyond largest() are bounded by a float product and its
+rounding error instead, and scored in integers of any width. Scores are longs:
+one beyond -(2**63 - 1) .. 2**63 - 1 among the k best is an error, as in SQL.
+
 Ties go to the smaller id. Vectors that are null, empty, or hold null or
-non-finite components or ones beyond LARGEST take no part. Vectors are compared
+non-finite components take no part. Vectors are compared
 with those of the same length only. Repeated ids are rows of their own (a query
 skips candidates with its own id). Rows with null ids take no part. Fewer than k
 candidates give fewer rows; an empty table none. Other columns aren't looked at.
@@ -20,6 +24,8 @@ candidates give fewer rows; an empty table none. Other columns aren't looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,21 +37,22 @@ from .common import cut
 SCALE = 256
 BITS = 6
 K = 5
-#: Sums of products of components up to this, over up to 2**15 dimensions, fit a long.
-LARGEST = 2**23
+LONGEST = 2**63 - 1
 #: Rows of a block of queries and of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
 #: Exact vectors read at once.
 STEP = 64
 
 
-def integers(vector: Column) -> Column:
-    """floor(SCALE * x) of each component as int; null for vectors that take no part."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * SCALE))
-    good = F.forall(
-        vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * SCALE) <= F.lit(float(LARGEST)))
-    )
-    return F.when(F.coalesce(good, F.lit(False)) & (F.size(vector) > 0), F.transform(x, lambda v: v.cast("int")))
+def largest(dim: int) -> int:
+    """Components up to this have products (of cells, too) with sums below 2**53, exact in float64."""
+    return math.isqrt(2**51 // dim)
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector takes part."""
+    good = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(math.inf)))
+    return F.coalesce(good, F.lit(False)) & (F.size(vector) > 0)
 
 
 def cells(x: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -97,22 +104,58 @@ def top_of_block(ids, x, low, width, query_ids, queries, k: int = K):
     return out
 
 
+def wide_integers(vector: np.ndarray) -> list[int]:
+    """floor(SCALE * x) of each component; beyond 2**53, x is an integer."""
+    return [int(v) * SCALE if abs(v) >= 2.0**53 else math.floor(v * SCALE) for v in vector.tolist()]
+
+
+def top_of_wide(ids, v, query_ids, queries, k: int = K):
+    """As top_of_block, for vectors ``v`` and ``queries`` of any finite components (not yet integers)."""
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, q = np.floor(v * SCALE), np.floor(queries * SCALE)
+        for at in range(0, len(q), 128):
+            part = q[at : at + 128]
+            # n products and sums are off by less than n + 1 roundings of their absolute values' sum; twice that, for the rounding of bounds
+            error = np.abs(part) @ np.abs(x).T * (2.0 * (x.shape[1] + 4) * 2.0**-53)
+            up = np.nan_to_num(part @ x.T + error, nan=np.inf, posinf=np.inf, neginf=np.inf)
+            for row, bound in enumerate(up):
+                name, vector = int(query_ids[at + row]), wide_integers(queries[at + row])
+                best, order = [], np.argsort(-bound, kind="stable")
+                for read in range(0, len(order), STEP):
+                    if len(best) == k and bound[order[read]] < _at_most(best[-1][0]):
+                        break
+                    for i in order[read : read + STEP].tolist():
+                        if ids[i] != name:
+                            best.append((sum(map(int.__mul__, vector, wide_integers(v[i]))), int(ids[i])))
+                    best = sorted(best, key=lambda b: (-b[0], b[1]))[:k]
+                out.extend((name, i, score) for score, i in best)
+    return out
+
+
+def _at_most(score: int) -> float:
+    """A float that is no greater."""
+    try:
+        return math.nextafter(float(score), -math.inf)
+    except OverflowError:
+        return math.nextafter(math.inf, 0) if score > 0 else -math.inf
+
+
+def _beyond(score: int) -> bytes | None:
+    """Null for scores that fit; else bytes in the order of scores (components are below 2**1032)."""
+    return None if abs(score) <= LONGEST else (score + (1 << 2111)).to_bytes(264, "big")
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = K, bits: int = BITS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK
 ) -> DataFrame:
     """``vectors``: vec_id, embedding. query_id, rank, vec_id, score for the rows that are queries, against all rows."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    x = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     good = cut(
-        vectors.select("vec_id", is_query.alias("is_query"), integers(F.col("embedding")).alias("x"))
-        .where("vec_id is not null and x is not null").withColumn("dim", F.size("x"))
+        vectors.select("vec_id", is_query.alias("is_query"), x.alias("x"))
+        .where(F.col("vec_id").isNotNull() & finite(F.col("x"))).withColumn("dim", F.size("x"))
     )
-    # each dimension's range, and the numbers of rows: a few values for each length of vectors
-    spans = {}
-    for r in (
-        good.select("dim", F.posexplode("x").alias("pos", "v")).groupBy("dim", "pos")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    ):
-        spans.setdefault(r.dim, {})[r.pos] = (r.lo, r.hi)
-    spans = {d: np.array([s[i] for i in range(d)], np.int64) for d, s in spans.items()}
     rows = good.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     n_c, n_q = max(1, -(-rows.n // candidate_block)), max(1, -(-rows.q // query_block))
     own = F.xxhash64("vec_id")
@@ -127,14 +170,31 @@ def top_k(
         unit, held = None, []
 
         def results():
-            ids, x, q = (np.concatenate(p) for p in zip(*held, strict=True))
+            ids, v, q = (np.concatenate(p) for p in zip(*held, strict=True))
             if not q.any() or q.all():
                 return
-            span = spans[unit[0]]
-            width = np.maximum(1, -(-(span[:, 1] - span[:, 0] + 1) // (1 << bits)))
-            found = top_of_block(ids[~q], x[~q], span[:, 0], width, ids[q], x[q], k)
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in columns], ["query_id", "vec_id", "score"])
+            v = v.astype(np.float64)
+            wide = (np.abs(v) * SCALE > largest(unit[0]) - 1).any(1)
+            found = []
+            for c, s in ((~q & ~wide, q & ~wide), (~q & wide, q & ~wide), (~q, q & wide)):
+                if not c.any() or not s.any():
+                    continue
+                if wide[c].any() or wide[s].any():
+                    found += top_of_wide(ids[c], v[c], ids[s], v[s], k)
+                    continue
+                x, y = (np.floor(v[m] * SCALE).astype(np.int64) for m in (c, s))
+                low, high = x.min(0), x.max(0)
+                width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
+                found += top_of_block(ids[c], x, low, width, ids[s], y, k)
+            a, b, scores = list(zip(*found, strict=True)) or [(), (), ()]
+            near = [max(-LONGEST, min(LONGEST, n)) for n in scores]
+            tails = [_beyond(n) for n in scores]
+            # of scores cut to the same long, those that fit come between those above and those below
+            sides = [0 if t is None else 1 if n > 0 else -1 for n, t in zip(scores, tails, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(p, pa.int64()) for p in (a, b, near, sides)), pa.array(tails, pa.binary())],
+                ["query_id", "vec_id", "score", "side", "beyond"],
+            )
 
         for b in batches:
             names = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
@@ -150,7 +210,7 @@ def top_k(
                         yield from results()
                         held = []
                     unit = name
-                    x = flat[ends[lo] - name[0] : ends[hi - 1]].reshape(-1, name[0]).astype(np.int64)
+                    x = flat[ends[lo] - name[0] : ends[hi - 1]].reshape(-1, name[0])
                     held.append((ids[lo:hi], x, query[lo:hi]))
                 lo = hi
         if held:
@@ -158,10 +218,11 @@ def top_k(
 
     parts = (
         candidates.union(queries).repartition("dim", "c", "q").sortWithinPartitions("dim", "c", "q")
-        .mapInArrow(solve, "query_id long, vec_id long, score long")
+        .mapInArrow(solve, "query_id long, vec_id long, score long, side long, beyond binary")
     )
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("side"), F.desc("beyond"), "vec_id")
+    score = F.when(F.col("beyond").isNull(), F.col("score")).otherwise(F.raise_error(F.lit("score beyond a long")).cast("long"))
     return (
         parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", score.alias("score"))
     )

@@ -1,0 +1,37 @@
+import random
+
+import pytest
+from mediajobs.llm import vectors
+from pyspark.sql import functions as F
+from test_vectors import SCHEMA, brute
+
+
+def test_large_components_take_part(spark):
+    r = random.Random(5)
+    # beyond 2**15 up to scores near 2**63
+    rows = [(i, [r.gauss(0, 1) * r.choice([1, 1, 1, 5e4, 1e5, 2e6]) for _ in range(6)], "x") for i in range(160)]
+    rows += [(500 + i, list(rows[i][1]), "x") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 5)
+    assert any(abs(x) > 32768 for _, v, _ in rows for x in v)
+    for blocks in ((1024, 16384), (13, 20)):
+        got = vectors.top_k(df, F.col("vec_id") % 3 == 0, 5, 6, *blocks).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_many_dimensions_of_the_largest_components(spark):
+    r = random.Random(6)
+    base = [r.choice([-1, 1]) * 32767.0 for _ in range(512)]
+    rows = [(i, [x - r.choice([0, 1, 2]) / 256 for x in base], "x") for i in range(40)]
+    got = vectors.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 3 == 0).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5)
+
+
+def test_scores_beyond_a_long(spark):
+    # far below the k best they only rank last; among them they are an error
+    rows = [(0, [1e30, 1.0], "x"), (1, [-3e38, 1.0], "x"), (2, [-2e38, 1.0], "x"), (4, [0.0, 1.0], "x"), (5, [0.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = vectors.top_k(df, F.col("vec_id") == 0, 2, 6, 2, 2).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 5, 256 * 512), (0, 2, 4, 256 * 256)]
+    with pytest.raises(Exception, match="beyond a long"):
+        vectors.top_k(df, F.col("vec_id") == 0, 3).collect()
