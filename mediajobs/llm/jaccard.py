@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textbuf
 from .common import cut
@@ -461,12 +462,17 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     return points, edges
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id."""
+def _groups(docs: DataFrame, block: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Points of all rows, and per set key the smallest id and the root of its component."""
     points, edges = links(docs, block, frequent)
     firsts = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     named = components(edges).withColumnRenamed("node", "key")
-    roots = firsts.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return points, firsts.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id."""
+    points, roots = _groups(docs, block, frequent)
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = roots.join(least, "root").select("key", "component_id")
     empty = points.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -476,9 +482,34 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUEN
     )
 
 
+def _keyed(batches):
+    """Rows that have shingles, with their set key; of a task's rows of one id and key, the first."""
+    seen = set()  # those of other tasks meet behind the shuffle
+    for b in batches:
+        ids, keys, take = b.column("doc_id").to_pylist(), [None] * b.num_rows, []
+        for i, s in shingle_sets(b.column("text")):
+            if len(s):
+                keys[i] = _key(s)
+                if (ids[i], keys[i]) not in seen:
+                    seen.add((ids[i], keys[i]))
+                    take.append(i)
+        rows = pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "_key"])
+        yield rows.take(pa.array(take, pa.int64()))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component (or have no shingles), with the columns of ``docs``."""
-    ids = near_duplicates(docs).select("doc_id", "component_id")
-    chosen = ids.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each component, that with the smallest (doc_id, nulls last; set key), and all rows without shingles.
+
+    The columns are those of ``docs``. Of rows with the same id and set key, any one is kept.
+    """
+    _, roots = _groups(docs, BLOCK, FREQUENT)
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "key")
+    chosen = roots.groupBy("root").agg(F.min(order).alias("c")).select(
+        F.col("c.key").alias("_key"), F.coalesce("c.first", F.lit(0)).alias("_id"), F.col("c.none").alias("_none")
+    )
+    rows = docs.mapInArrow(_keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    rows = rows.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+    names = ["_key", "_id", "_none"]
+    kept = rows.join(chosen, names, "left_semi").dropDuplicates(names)
+    empty = docs.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    return kept.select(docs.columns).union(empty)
