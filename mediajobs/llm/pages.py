@@ -59,6 +59,10 @@ BOILERPLATE = frozenset(
     "recommendations comment comments reply replies respond disqus pagination pager toolbar contentinfo complementary "
     "search disclaimer copyright masthead".split()
 )
+#: Words beside them that leave a name what it is (fixed values).
+NEUTRAL = frozenset("site page main top bottom left right box block list area container wrapper wrap inner outer content section bar link links button buttons item items form text title post posts articles".split())
+#: What the id of a section of the article must be to drop it: other ids may come from its heading (fixed values).
+FURNITURE = frozenset("comment comments reply replies respond disqus share sharing subscribe newsletter signup login recommended recommendations sidebar cookies pagination".split())
 #: An opening tag of the key closes an open element of these.
 CLOSES = {
     "p": ("p",), "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"),
@@ -85,6 +89,8 @@ class Element:
     depth: int
     dropped: int  # 1: with all in it; 2: but for its headings
     rank: int  # how much it looks like the article
+    named: bool = False  # dropped by a class or id, not by tag or role
+    part: bool = False  # ... by a part of a name only
     chars: int = 0  # of kept text in it
 
 
@@ -128,17 +134,27 @@ def parse(source: str) -> Page:
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             article = found.get("itemprop", "").lower() == "articlebody"
         words = {w.lower() for w in _WORDS.findall(names)}
+        each = [{w.lower() for w in _WORDS.findall(x)} for x in names.split()]
         parent = stack[-1] if stack else -1
         inside = any(elements[i].tag in ("article", "main") for i in stack)
-        dropped = int(tag in DROPPED or hidden or bool((words | {role}) & BOILERPLATE) or role in ("dialog", "form"))
+        dropped = int(tag in DROPPED or hidden or role in BOILERPLATE or role in ("dialog", "form"))
+        named = part = False
+        if not dropped and words & BOILERPLATE and tag not in HEADINGS:
+            # the whole of a name says what an element is; of a section or within the article, a part of one doesn't
+            whole = any(x & BOILERPLATE and x <= BOILERPLATE | NEUTRAL for x in each)
+            if tag == "section":
+                by_class = [{w.lower() for w in _WORDS.findall(x)} for x in found.get("class", "").split()]
+                whole = found.get("id", "").lower() in FURNITURE or any(x & BOILERPLATE and x <= BOILERPLATE | NEUTRAL for x in by_class)
+            named, part = whole or not (inside or tag == "section"), not any(len(x) == 1 and x <= BOILERPLATE for x in each)
+            dropped = int(named)
         if tag in ("html", "body", "article", "main") and not hidden:
-            dropped = 0
+            dropped, named = 0, False
         if not dropped and (tag == "header" or "header" in words or role == "header"):
             dropped = 2 if inside else 1
         rank = 4 if article else 3 if tag == "article" else 2 if tag == "main" or role == "main" else 0
         name = re.sub(r"\d+", "#", ".".join([tag, *sorted(names.split())]))
         path = (elements[parent].path + "/" if parent >= 0 else "") + name
-        elements.append(Element(tag, parent, path, len(stack), dropped, rank))
+        elements.append(Element(tag, parent, path, len(stack), dropped, rank, named, part))
         stack.append(len(elements) - 1)
 
     at = 0
@@ -179,6 +195,7 @@ def parse(source: str) -> Page:
             opened(tag, m[3])
     flush()
     page = Page(elements, blocks)
+    _take_back(page)
     for owner, text in blocks:
         if page.kept(owner):
             for i in page.within(owner):
@@ -186,6 +203,31 @@ def parse(source: str) -> Page:
     return page
 
 
+def _take_back(page: Page) -> None:
+    """Names don't drop what holds the page's only article, or, without one, more than half of its text by a part of a name."""
+    elements = page.elements
+    if not any(e.named and e.dropped for e in elements):
+        return
+    chars, total = [0] * len(elements), 0
+    for owner, text in page.blocks:
+        above = list(page.within(owner))
+        if all(elements[i].named or elements[i].dropped != 1 for i in above):
+            total += len(text)
+            for i in above:
+                chars[i] += len(text)
+    articles = []
+    for i, e in enumerate(elements):
+        if e.rank and chars[i]:
+            articles.append((sum(elements[j].named for j in page.within(i)), -chars[i], i))
+    if articles:
+        wrong = page.within(min(articles)[2])
+    else:
+        wrong = [i for i, e in enumerate(elements) if e.part and 2 * chars[i] > total]
+    for i in wrong:
+        if elements[i].named:
+            elements[i].dropped, elements[i].named = 0, False
+
+
 _known: dict[str, int] = {}
 
 
