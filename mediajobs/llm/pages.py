@@ -7,7 +7,8 @@ class; vectors are compared by sums of hashes, so no class is gathered. Classes
 that nearly all pages of a host share and that hold elements are valid; nested by
 path they are the host's template. Text of the template is boilerplate; its
 elements that occur once a page delimit slots, and the slot that holds the
-article (an article element, else the deepest one with most of the text) is kept.
+article (an article element, else the deepest one with all sentences and other
+prose) is kept. Copies of a page count once for the template.
 
 Within the slot, menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go, by tag, role, class or id. What remains
@@ -38,8 +39,11 @@ from .common import cut, salted
 MIN_PAGES = 5
 #: Share of a host's pages that have a template's tokens.
 SUPPORT = 0.9
-#: Share of the text that the deepest enclosing element must hold if none says that it is the article.
-MOST_TEXT = 0.7
+#: Words of a block that the slot must hold if no element of PROSE does.
+SENTENCE = 8
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
+#: Bytes of all templates up to which they are broadcast instead of joined.
+SMALL = 16_000_000
 #: Copies of a host's template among which its pages are dealt.
 SALTS = 16
 
@@ -91,6 +95,7 @@ class Element:
     rank: int  # how much it looks like the article
     named: bool = False  # dropped by a class or id, not by tag or role
     part: bool = False  # ... by a part of a name only
+    prose: int = 0  # chars of kept text that the slot must hold
     chars: int = 0  # of kept text in it
 
 
@@ -114,6 +119,13 @@ class Page:
                 return False
         return True
 
+    def must_hold(self, owner: int, text: str) -> int:
+        """Chars of a kept block that no slot may leave out: prose by its element or its length."""
+        return len(text) if text.count(" ") >= SENTENCE - 1 or any(self.elements[i].tag in PROSE for i in self.within(owner)) else 0
+
+    def all_prose(self) -> int:
+        return sum(self.must_hold(owner, text) for owner, text in self.blocks if self.kept(owner))
+
 
 def parse(source: str) -> Page:
     """Elements and text blocks of a page; text of scripts, styles and other raw elements is no block."""
@@ -198,8 +210,10 @@ def parse(source: str) -> Page:
     _take_back(page)
     for owner, text in blocks:
         if page.kept(owner):
+            must = page.must_hold(owner, text)
             for i in page.within(owner):
                 elements[i].chars += len(text)
+                elements[i].prose += must
     return page
 
 
@@ -240,31 +254,32 @@ def _hash(s: str) -> int:
 
 
 ELEMENT, BLOCK, PAGE = 0, 1, 2
-TOKENS = "host string, token long, kind int, times long, chars long, rank int, depth int, page long"
+TOKENS = "host string, token long, kind int, times long, chars long, rank int, depth int, page long, prose long, whole long"
 
 
 def _tokens(batches):
     """Tokens of each page with how often they occur on it, and one row for the page itself."""
     for b in batches:
         rows = []
-        for i, (host, source) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             page = parse(source)
-            key = _hash(f"{i}\0{source}")
+            key, whole = _hash(source), page.all_prose()
             seen: dict[int, list] = {}
             for e in page.elements:
-                row = seen.setdefault(_hash(e.path), [host, _hash(e.path), ELEMENT, 0, 0, 0 if e.dropped else e.rank, e.depth, key])
+                row = seen.setdefault(_hash(e.path), [host, _hash(e.path), ELEMENT, 0, 0, 0 if e.dropped else e.rank, e.depth, key, 0, whole])
                 row[3] += 1
                 row[4] += e.chars
+                row[8] += e.prose
             for owner, text in page.blocks:
                 token = _hash((page.elements[owner].path if owner >= 0 else "") + "\0" + text)
-                seen.setdefault(token, [host, token, BLOCK, 0, 0, 0, 0, key])[3] += 1
+                seen.setdefault(token, [host, token, BLOCK, 0, 0, 0, 0, key, 0, 0])[3] += 1
             rows.extend(seen.values())
-            rows.append([host, 0, PAGE, 1, 0, 0, 0, key])
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            rows.append([host, 0, PAGE, 1, 0, 0, 0, key, 0, 0])
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-            ["host", "token", "kind", "times", "chars", "rank", "depth", "page"],
+            ["host", "token", "kind", "times", "chars", "rank", "depth", "page", "prose", "whole"],
         )
 
 
@@ -278,29 +293,28 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
 
     ``pages`` has host and html.
     """
-    tokens = pages.where("host <> ''").select("host", "html").mapInArrow(_tokens, TOKENS)
+    tokens = pages.where("host <> ''").select("host", "html").distinct().mapInArrow(_tokens, TOKENS)
     # two sums of 31 bits stand for a token's occurrence vector
     seen = F.xxhash64("page", "times")
     part = lambda k: F.sum(F.pmod(F.shiftrightunsigned(seen, 31 * k), F.lit(1 << 31)))
     counts = cut(
         tokens.groupBy("host", "token", "kind").agg(
-            F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"),
+            F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("prose").alias("prose"), F.sum("whole").alias("whole"),
             F.max("rank").alias("rank"), F.min("depth").alias("depth"), part(0).alias("v0"), part(1).alias("v1"),
         ).where(F.col("pages") >= min_pages)
     )
     hosts = counts.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("all_pages"))
     common = counts.where(F.col("kind") != PAGE).join(hosts, "host").where(F.col("pages") >= support * F.col("all_pages"))
-    member = F.struct("kind", "token", "times", "chars", "rank", "depth")
+    member = F.struct("kind", "token", "times", "chars", "prose", "whole", "rank", "depth")
     classes = common.groupBy("host", "pages", "v0", "v1").agg(F.collect_list(member).alias("members"))
     valid = classes.where((F.size("members") > 1) & F.exists("members", lambda x: x["kind"] == ELEMENT))
     per = valid.select("host", "pages", F.explode("members").alias("m")).groupBy("host").agg(
-        F.max(F.when(F.col("m.kind") == ELEMENT, F.col("m.chars"))).alias("most"),
         F.collect_set(F.when(F.col("m.kind") == BLOCK, F.col("m.token"))).alias("texts"),
         F.collect_list(F.when((F.col("m.kind") == ELEMENT) & (F.col("m.times") == F.col("pages")), F.col("m"))).alias("once"),
     )
-    # the article's element; without one, the deepest with most of the text
+    # the article's element; without one, the deepest with all prose of the pages that have it
     place = F.transform(
-        F.filter("once", lambda x: (x["rank"] > 0) | (x["chars"] >= MOST_TEXT * F.col("most"))),
+        F.filter("once", lambda x: (x["rank"] > 0) | ((x["prose"] > 0) & (x["prose"] == x["whole"]))),
         lambda x: F.struct(
             F.when(x["chars"] > 0, x["rank"]).otherwise(-1).alias("a"), x["depth"].alias("d"), x["token"].alias("token")
         ),
@@ -313,10 +327,9 @@ def main_text(source: str, slot: int | None, texts: frozenset[int]) -> str:
     page = parse(source)
     inside = {i for i, e in enumerate(page.elements) if slot is not None and _hash(e.path) == slot}
     if not inside and page.elements:
-        top = max(1, sum(len(text) for owner, text in page.blocks if page.kept(owner)))
-        fits = [i for i, e in enumerate(page.elements) if (e.rank and e.chars and not e.dropped) or e.chars >= MOST_TEXT * top]
+        fits = [i for i, e in enumerate(page.elements) if e.rank and e.chars and not e.dropped]
     if not inside and page.elements and fits:
-        inside = {max(fits, key=lambda i: (page.elements[i].rank, page.elements[i].chars if page.elements[i].rank else page.elements[i].depth, -i))}
+        inside = {max(fits, key=lambda i: (page.elements[i].rank, page.elements[i].chars, -i))}
     if any(page.elements[i].rank >= 3 for i in inside):
         texts = frozenset()  # an article may be the same on all pages of a host
     out = []
@@ -329,14 +342,18 @@ def main_text(source: str, slot: int | None, texts: frozenset[int]) -> str:
     return "\n\n".join(out)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, salts: int = SALTS) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, salts: int = SALTS, small: int = SMALL) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    found = salted(templates(rows, min_pages), salts)
-    # a host may have any share of all pages: they are dealt among copies of its template
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).join(
-        found, ["host", "salt"], "left"
-    )
+    found = cut(templates(rows, min_pages))
+    n_bytes = found.agg(F.sum(F.size("texts") * 8 + F.octet_length("host") + 40)).first()[0] or 0
+    if n_bytes <= small:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        # a host may have any share of all pages: they are dealt among copies of its template
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).join(
+            salted(found, salts), ["host", "salt"], "left"
+        )
 
     def run(batches):
         known: dict[str, frozenset[int]] = {}
