@@ -95,7 +95,7 @@ SCAN = "dim int, kind int, point long, points binary, data binary, grid binary"
 
 
 def _cells(batches):
-    """Points (point, dim, y) to blocks of their cells."""
+    """Points (point, dim, y, least) to blocks of their cells; ``points`` holds their numbers and then their smallest ids."""
     for b in batches:
         dims = b.column(1).to_numpy()
         for dim in np.unique(dims).tolist():
@@ -106,7 +106,7 @@ def _cells(batches):
                 y = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in part.column(2)])
                 code, grid = encoded(y)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([part.column(0).to_numpy().tobytes()]), pa.array([code.tobytes()]), pa.array([grid.tobytes()])],
+                    [pa.array([dim], pa.int32()), pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([part.column(0).to_numpy().tobytes() + part.column(3).to_numpy().tobytes()]), pa.array([code.tobytes()]), pa.array([grid.tobytes()])],
                     ["dim", "kind", "point", "points", "data", "grid"],
                 )
 
@@ -139,7 +139,7 @@ class Unit:
         self.found: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def see(self, points: np.ndarray, code: np.ndarray, grid: np.ndarray) -> None:
+    def see(self, points: np.ndarray, ids: np.ndarray, code: np.ndarray, grid: np.ndarray) -> None:
         for at in range(0, len(self.q), 1024):
             rows = slice(at, at + 1024)
             middle, around = bounds(self.q[rows], code, grid)
@@ -147,15 +147,22 @@ class Unit:
             self.lower[rows] = np.sort(np.hstack([self.lower[rows], best]), axis=1)[:, -self.k :]
             row, column = np.nonzero(middle >= (self.lower[rows, 0] - around)[:, None])
             m, a = middle[row, column], around[row]
-            self.found.append((row + at, points[column], m + a, m - a))
+            self.found.append((row + at, points[column], m + a, m - a, ids[column]))
             self.held += len(row)
         if self.held > 1 << 20:
             self.narrow()
 
     def narrow(self) -> None:
-        row, point, upper, lower = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        keep = upper >= self.lower[row, 0]
-        self.found = [(row[keep], point[keep], upper[keep], lower[keep])]
+        found = [np.concatenate(x) for x in zip(*self.found, strict=True)]
+        row, _, upper, lower, ids = found
+        limit = self.lower[row, 0]
+        keep = upper >= limit
+        # scores known to be the limit itself: the smallest ids stand for all
+        tied = np.flatnonzero((upper == lower) & (upper == limit))
+        tied = tied[np.lexsort((ids[tied], row[tied]))]
+        place = np.arange(len(tied)) - np.searchsorted(row[tied], row[tied])
+        keep[tied[place >= self.k]] = False
+        self.found = [tuple(x[keep] for x in found)]
         # what stays is needed; wait for as much again
         self.held = min(int(keep.sum()), 1 << 19)
 
@@ -163,7 +170,7 @@ class Unit:
         if not self.found:
             return None
         self.narrow()
-        row, point, upper, lower = self.found[0]
+        row, point, upper, lower, _ = self.found[0]
         return pa.RecordBatch.from_arrays(
             [pa.array(self.points[row]), pa.array(point), pa.array(upper), pa.array(lower)], ["q", "point", "upper", "lower"]
         )
@@ -189,7 +196,8 @@ def _scan(k: int):
                     unit = unit or Unit(*asked, k)
                     code = np.frombuffer(b.column(6)[i].as_buffer(), np.uint8).reshape(-1, own[0])
                     grid = np.frombuffer(b.column(7)[i].as_buffer(), np.float64).reshape(3, own[0])
-                    unit.see(np.frombuffer(b.column(5)[i].as_buffer(), np.int64), code, grid)
+                    points, ids = np.frombuffer(b.column(5)[i].as_buffer(), np.int64).reshape(2, -1)
+                    unit.see(points, ids, code, grid)
         if unit and (out := unit.pairs()):
             yield out
 
@@ -258,7 +266,7 @@ def points_of(vectors: DataFrame, is_query: Column, k: int) -> tuple[DataFrame,
 
 def candidates(points: DataFrame, asked: DataFrame, k: int, query_block: int, least_unit: int) -> DataFrame:
     """(q, point, upper, lower): pairs that bounds leave for the k best points of each of ``asked`` (point, dim, y)."""
-    cells = cut(points.select("point", "dim", "y").mapInArrow(_cells, SCAN))
+    cells = cut(points.select("point", "dim", "y", "least").mapInArrow(_cells, SCAN))
     n, n_q = points.count(), asked.count()
     blocks = max(1, -(-n_q // query_block))
     # as many units as keep the cores busy, but no small ones, and none without end

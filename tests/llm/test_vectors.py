@@ -73,6 +73,16 @@ def test_scores_beyond_a_long(spark):
         vectors.top_k(df, F.col("vec_id") == 0, 3).collect()
 
 
+def test_queries_that_tie_with_all(spark):
+    r = random.Random(9)
+    rows = [(i, [0.0] * 4 if i in (3, 6, 30) else [r.gauss(0, 1) for _ in range(4)], "x") for i in reversed(range(200))]
+    check(spark, rows)
+    _, _, points = vectors.points_of(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 3, 5)
+    asked = points.where("least = 3").select("point", "dim", "y")
+    units = 4
+    assert vectors.candidates(points, asked, 6, 8192, 50).count() <= 6 * units
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     for scale in (1.0, 1e6, 1e150):
