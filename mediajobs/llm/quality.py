@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade (operator 9, DataFrame functions only).
 
-Every rule is a condition for rejection over features of one text. A rule's
-cost and the share that it rejects are estimated on a sample; rules are then
-evaluated in the order of rejection per cost, and a document that one rule
-rejects is not looked at by the rules behind it (``CASE WHEN`` is lazy). The
-order changes the work only, never the verdict: a document is kept exactly if
-no rule rejects it.
+Every rule is a condition for rejection over features of one text. On a random
+sample of the whole table, executors evaluate every rule on every text and read
+a clock between rules: a rule's cost is the median time of a document, and its
+selectivity is counted jointly with the other rules'. The order is greedy: next
+comes the rule with most rejections per cost among the documents that the rules
+before it leave. A document that one rule rejects is not looked at by the rules
+behind it (``CASE WHEN`` is lazy). The order changes the work only, never the
+verdict: a document is kept exactly if no rule rejects it.
 
 Null and empty texts have no words and fail ``few_words``. Texts of any length
 are read whole; all features are linear in the text but for one sort of the
@@ -21,14 +23,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import cut, words_of
 
 #: Words of a window for repetition.
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample from which cost and selectivity are estimated. It bounds
+#: Rows of the sample from which cost and selectivity are estimated, about. It bounds
 #: the estimate's cost; the verdicts don't depend on it.
-SAMPLE_ROWS = 300
+SAMPLE_ROWS = 1000
+SEED = 20240229
 
 
 def _n_chars(text: Column) -> Column:
@@ -115,53 +118,73 @@ def features() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` is true for documents to drop; ``work`` estimates its cost for one document."""
+    """``reject`` is true for documents to drop."""
 
     name: str
     reject: Column
-    work: Column
 
 
 def rules(of: dict[str, Column]) -> list[Rule]:
-    """Rules over the columns of ``working`` and the base counts ``of`` (expressions, or columns that hold them).
-
-    The unit of work is one character read by a codegenerated expression;
-    regular expressions, and expressions over array elements, cost several.
-    """
+    """Rules over the columns of ``working`` and the base counts ``of`` (expressions, or columns that hold them)."""
     t, words, n = F.col("_q_text"), F.col("_q_words"), of["n_words"]
-    chars = _n_chars(t)
-    bangs = chars - _n_chars(_without(t, "!"))
+    bangs = _n_chars(t) - _n_chars(_without(t, "!"))
     distinct = F.size(F.array_distinct(words))
     same = F.filter(
         F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda x: x
     )
     return [
-        Rule("few_words", n < 10, F.lit(1.0)),
-        Rule("repeated_windows", 100 * of["n_repeat_words"] > 20 * n, 60.0 * n),
-        Rule("symbols", 10 * of["n_symbols"] > n, 2.0 * chars),
-        Rule("bangs", 10 * bangs > 3 * n, 2.0 * chars),
-        Rule("stutter", 100 * F.size(same) > 20 * n, 10.0 * n),
-        Rule("few_distinct", 100 * distinct < 15 * n, 12.0 * n),
-        Rule("duplicate_lines", 2 * of["n_dup_lines"] > F.size("_q_lines"), 4.0 * chars),
-        Rule("long_words", of["word_chars"] > 20 * n, 2.0 * chars),
+        Rule("few_words", n < 10),
+        Rule("repeated_windows", 100 * of["n_repeat_words"] > 20 * n),
+        Rule("symbols", 10 * of["n_symbols"] > n),
+        Rule("bangs", 10 * bangs > 3 * n),
+        Rule("stutter", 100 * F.size(same) > 20 * n),
+        Rule("few_distinct", 100 * distinct < 15 * n),
+        Rule("duplicate_lines", 2 * of["n_dup_lines"] > F.size("_q_lines")),
+        Rule("long_words", of["word_chars"] > 20 * n),
     ]
 
 
-def ordered(found: list[Rule], docs: DataFrame, text: str, sample_rows: int) -> list[Rule]:
-    """``found`` by rejection per cost.
+def measured(docs: DataFrame, text: str, sample_rows: int) -> tuple[dict[int, int], list[float]]:
+    """How many sampled documents have each set of rejecting rules (as bits), and each rule's median nanoseconds.
 
-    The estimate reads ``sample_rows`` texts from the first partitions, so its
-    cost doesn't grow with the table.
+    Texts stay with the executors; one row for each set of rules comes back.
     """
-    rows = docs.select(text).take(sample_rows)
-    sample = working(docs.sparkSession.createDataFrame([(r[0],) for r in rows], f"`{text}` string"), text)
-    of = rules(features())
-    stats = sample.agg(
-        *[F.avg(F.coalesce(r.reject, F.lit(False)).cast("double")).alias(f"share_{i}") for i, r in enumerate(of)],
-        *[F.avg(r.work).alias(f"work_{i}") for i, r in enumerate(of)],
-    ).first()
-    rate = lambda i: (stats[f"share_{i}"] or 0.0) / max(stats[f"work_{i}"] or 0.0, 1.0)
-    return [found[i] for i in sorted(range(len(found)), key=lambda i: (-rate(i), i))]
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(text).sample(share, SEED)
+    clock = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+    # an array's elements are evaluated in their order, so the clock is read between rules
+    steps = [clock]
+    for r in rules(features()):
+        steps += [F.coalesce(r.reject, F.lit(False)).cast("long"), clock]
+    n = len(steps) // 2
+    at = lambda i: F.element_at("_q_steps", i + 1)
+    seen = cut(
+        working(sample, text).select(F.array(*steps).alias("_q_steps"))
+        .select(
+            sum((at(2 * i + 1) * (1 << i) for i in range(n)), F.lit(0).cast("long")).alias("sets"),
+            *[(at(2 * i + 2) - at(2 * i)).alias(f"t{i}") for i in range(n)],
+        )
+    )
+    sets = {r.sets: r["count"] for r in seen.groupBy("sets").count().collect()}
+    times = seen.agg(*[F.median(f"t{i}") for i in range(n)]).first()
+    return sets, [float(t or 1.0) for t in times]
+
+
+def greedy(sets: dict[int, int], costs: list[float]) -> list[int]:
+    """Rules by most rejections per cost among what the rules before them leave; ties to the cheaper, then the first."""
+    order, left, sets = [], list(range(len(costs))), dict(sets)
+    while left:
+        rejected = {i: sum(n for s, n in sets.items() if s >> i & 1) for i in left}
+        best = min(left, key=lambda i: (-rejected[i] / max(costs[i], 1.0), costs[i], i))
+        order.append(best)
+        left.remove(best)
+        sets = {s: n for s, n in sets.items() if not s >> best & 1}
+    return order
+
+
+def ordered(found: list[Rule], docs: DataFrame, text: str, sample_rows: int) -> list[Rule]:
+    """``found`` in the order of the cascade."""
+    return [found[i] for i in greedy(*measured(docs, text, sample_rows))]
 
 
 def verdict(order: list[Rule]) -> Column:

@@ -67,5 +67,22 @@ def test_order_changes_no_verdict_and_rejects_junk(spark):
         assert out == {1: None, 2: "symbols", 3: "bangs", 4: "stutter"}
 
 
+def test_greedy_order_looks_at_what_is_left():
+    # rule 1 rejects most, but only what the cheap rule 0 rejects already
+    sets = {0b000: 50, 0b011: 30, 0b001: 5, 0b100: 10, 0b010: 1}
+    assert quality.greedy(sets, [10.0, 11.0, 10.0]) == [0, 2, 1]
+    assert quality.greedy(sets, [10.0, 1.0, 1000.0]) == [1, 0, 2]
+    assert quality.greedy({}, [3.0, 2.0]) == [1, 0]
+
+
+def test_measures_every_rule_on_a_sample(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (3 + i)}" for j in range(200)), "x") for i in range(120)], SCHEMA)
+    sets, costs = quality.measured(docs, "text", 60)
+    assert 20 < sum(sets.values()) < 110
+    assert len(costs) == len(quality.rules(quality.features()))
+    assert all(0 < t < 1e9 for t in costs)
+    assert costs[0] < max(costs)  # counting words that are there already is cheap
+
+
 def test_empty_table(spark):
     assert quality.digest(spark.createDataFrame([], SCHEMA)).count() == 0
