@@ -14,16 +14,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
+    Where neither is set, a local session (tests) makes a temporary one; a cluster must name one.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (single-machine runs) is a temporary one made.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

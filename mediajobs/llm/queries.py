@@ -63,11 +63,15 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  greatest(0.1, 1 - 4 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))) / greatest(length(text), 1)) AS q
-           FROM documents),
+WITH w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                  list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
+d AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS size,
+             greatest(0.05, coalesce(greatest(0.0, 1.0 - 4.0 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))) / greatest(length(text), 1))
+               * (len(list_distinct(ls)) / greatest(len(ls), 1)::DOUBLE)
+               * (least(1.0, len(list_distinct(ws)) / (2.0 * sqrt(greatest(len(ws), 1)))) * (len(ws) / (len(ws) + 10.0))), 0.0))::DOUBLE AS q
+      FROM w),
 k AS (SELECT *, -ln((CAST('0x' || substr(md5(concat_ws('|', doc_id, coalesce(source, 'null'), size, 20240229)), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE)
-             / coalesce(q, 0.1) AS key FROM d),
+             / q AS key FROM d),
 s AS (SELECT source, sum(size) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
 f AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0))
                / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level

@@ -59,15 +59,35 @@ def test_targets_and_taken(spark):
 
 
 def test_mixed_rows_match_taken(spark):
-    docs = spark.createDataFrame(documents(), SCHEMA).where("doc_id <> 7")
+    rows = [r for r in documents() if r[0] != 7] + [(8000, " ".join(["w"] * 30000), "s3", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
     copies = {r.doc_id: r["count"] for r in mixing.mixed(docs).groupBy("doc_id").count().collect()}
     for r in mixing.digest(docs).collect():
         assert copies.get(r.doc_id, 0) * r["size"] == r.taken
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_equal_rows_at_the_edge(spark):
+    # one source of equal rows, and another to take words from: some of them are sampled, no more than the digest says
+    rows = [(5, "a b c d", "b", "x")] * 101 + [(i, "a b c", "a", "x") for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = sum(r.taken for r in mixing.digest(docs).collect() if r.doc_id == 5 and r["size"] == 4)
+    got = mixing.mixed(docs).where("doc_id = 5 and source = 'b'").count()
+    assert 4 * got == want
+    assert got % 101
+
+
+def test_quality_weight(spark):
+    texts = ["one two three four five six seven eight nine ten", "a a a a a a a a a a", "same line\nsame line\nsame line", "$$$ %%% ### a b c d e f g", "word", None, ""]
+    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], SCHEMA)
+    q = {r.doc_id: r.q for r in docs.select("doc_id", mixing.quality_column(docs.text).alias("q")).collect()}
+    assert q[0] == pytest.approx(0.5)
+    assert q[5] == q[6] == q[3] == 0.05
+    assert max(q[1], q[2], q[4]) < 0.2
+
+
 def test_better_documents_are_taken_more_often(spark):
-    rows = [(i, ("%%%% " if i % 2 else "aaaa ") * 20, "a" if i < 3000 else "b", "x") for i in range(4000)]
+    rows = [(i, ("%%%% aaaa bb cc dd " if i % 2 else "aaaa bb cc dd ee ") * 4, "a" if i < 3000 else "b", "x") for i in range(4000)]
     out = mixing.digest(spark.createDataFrame(rows, SCHEMA)).where("source_size = 60000").collect()
     good = sum(r.taken for r in out if r.doc_id % 2 == 0)
     assert good > 1.1 * sum(r.taken for r in out if r.doc_id % 2)
