@@ -9,18 +9,28 @@ copies are one point of the space from the start. The join narrows in levels:
    its first shingle. Whatever lies within the radius of a set of n shingles
    shares at least ceil(0.8 n) of them, so also one of its first
    n - ceil(0.8 n) + 1: the set is replicated to these boundary regions.
-2. Regions of document pivots. Each region's members are cut at gaps of set
-   size that the triangle inequality forbids (the empty set as pivot, in the
-   symmetric-difference metric); pairs are dropped whose first common shingle
-   stands too late. What remains gets the member with the smallest key as
-   pivot, and regions with one pivot are joined into one.
-3. Large regions are cut into blocks, and each pair of blocks is a cell. A cell
-   first sees the heads of its members' sets (the shingles of step 1): the
-   symmetric difference of two sets is at least that of their heads up to where
-   the shorter head ends, and beyond a ninth of the sum of the sizes no link is
-   possible. Members fall into clusters of pairs that remain; the same cluster
-   of several regions is one.
-4. In a cluster, whole sets are compared, exactly. It returns a spanning forest
+2. Runs. Each region's members are cut at gaps of set size that the triangle
+   inequality forbids (the empty set as pivot, in the symmetric-difference
+   metric); pairs are dropped whose first common shingle stands too late.
+   Regions with the same members are one.
+3. Regions of document pivots, for runs of more than ``block`` members. About
+   PIVOTS members become pivots, all members' exact distances to them are
+   computed, and links to pivots are kept as links. Members are dealt to the
+   Voronoi regions of their nearest pivots and replicated to those whose pivot
+   is within twice the radius beyond the nearest. What is connected by links to
+   pivots needs no more comparisons with its like: a region whose members are
+   all connected is done, and of the largest connected part only those stay
+   whose distance to the pivot is within the radius of that of some other
+   member. Regions are joined recursively; so a group of any number of near
+   copies costs PIVOTS comparisons a member. Where pivots don't narrow a region
+   (members that share shingles, but are no copies), it is cut into blocks, and
+   pairs of blocks that may hold unconnected pairs are cells.
+4. A cell first sees the heads of its members' sets (the shingles of step 1):
+   the symmetric difference of two sets is at least that of their heads up to
+   where the shorter head ends, and beyond a ninth of the sum of the sizes no
+   link is possible. Members fall into clusters of pairs that remain; the same
+   cluster of several regions is one.
+5. In a cluster, whole sets are compared, exactly. It returns a spanning forest
    of its links, so its output is linear in its members.
 
 Components of the links come from alternating star contraction.
@@ -59,6 +69,13 @@ FREQUENT = 128
 MOST_FREQUENT = 200_000
 #: Members of a block of a region.
 BLOCK = 256
+#: Document pivots of a large region, about.
+PIVOTS = 16
+RADIUS = 1 - NUM / DEN
+#: Neighbours from which on a node is hot: its neighbours aren't gathered in one place. At most 1 of HOT edges or rows has one.
+HOT = 1024
+#: Rows of 50 bytes up to which small tables of a large region are broadcast.
+SMALL = 200_000
 
 _PLACE = textbuf.mix(np.arange(1, 2 * N + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -257,55 +274,73 @@ def _clusters(batches):
 
 
 def _runs(batches):
-    """Rows sorted by (shingle, n, key) to rows (pivot, member) of document-pivot regions."""
-    rest = None
+    """Rows (shingle, place, n, key) sorted by (shingle, n, key) to rows (pivot, member) of runs.
 
-    def regions(shingle, place, n, key):
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
+    A run ends where the shingle changes or sizes differ too much; its pivot is its first member. Runs of two are
+    dropped if their first common shingle stands too late. A run may go on over any number of batches.
+    """
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64))
+    rest, open_run, last = empty, None, None  # rows held back; pivot of a run that goes on; its last row
+
+    def emit(shingle, place, n, key, whole):
+        nonlocal rest, open_run, last
+        if last is not None and len(key):  # rows of one set, with the same place
+            fresh = np.append((shingle[0] != last[0]) | (key[0] != last[3]), (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+        else:
+            fresh = np.append(np.ones(min(1, len(key)), bool), (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
         shingle, place, n, key = shingle[fresh], place[fresh], n[fresh], key[fresh]
         if not len(key):
             return None
-        # a new region begins with another shingle, or where sizes differ too much
-        head = np.ones(len(key), bool)
-        head[1:] = (shingle[1:] != shingle[:-1]) | (DEN * n[:-1] < NUM * n[1:])
+        head = np.append(True, (shingle[1:] != shingle[:-1]) | (DEN * n[:-1].astype(np.int64) < NUM * n[1:].astype(np.int64)))
+        goes_on = open_run is not None and shingle[0] == last[0] and DEN * int(last[2]) >= NUM * int(n[0])
         at = np.flatnonzero(head)
         size = np.diff(np.append(at, len(key)))
+        pivot = np.repeat(key[at], size)
         keep = size > 1
-        two = size == 2
+        two = np.flatnonzero(size == 2)
         a = at[two]
-        most = 1 + np.minimum(n[a] - place[a], n[a + 1] - place[a + 1]) - 1
+        most = np.minimum(n[a] - place[a], n[a + 1] - place[a + 1]).astype(np.int64)
         # intersection >= NUM / (NUM + DEN) * (sum of sizes) is the same as similarity >= NUM / DEN
-        keep[np.flatnonzero(two)[(NUM + DEN) * most < NUM * (n[a] + n[a + 1])]] = False
+        keep[two[(NUM + DEN) * most < NUM * (n[a].astype(np.int64) + n[a + 1])]] = False
+        if goes_on:
+            pivot[: size[0]], keep[0] = open_run, True
+        rest = empty
+        if not whole:  # the last run may go on
+            lo = int(at[-1])
+            long = size[-1] > 2 or (goes_on and len(at) == 1)
+            if long:
+                keep[-1], open_run = True, int(pivot[-1])
+                last = tuple(x[-1] for x in (shingle, place, n, key))
+            else:
+                keep[-1], open_run, last = False, None, None
+                rest = tuple(x[lo:] for x in (shingle, place, n, key))
         rows = np.repeat(keep, size)
         if not rows.any():
             return None
-        at = np.cumsum(np.append(0, size[keep]))[:-1]
-        member = key[rows]
-        pivot = np.repeat(np.minimum.reduceat(member, at), size[keep])
-        pairs = np.unique(np.stack([pivot, member], 1), axis=0) if len(member) < 1 << 20 else np.stack([pivot, member], 1)
+        pairs = np.unique(np.stack([pivot[rows], key[rows]], 1), axis=0)
         return _table(pivot=pa.array(pairs[:, 0]), member=pa.array(pairs[:, 1]))
 
     for b in batches:
-        now = [b.column(i).to_numpy() for i in range(4)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        # the last shingle's rows may go on in the next batch
-        last = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
-        rest = [x[last:] for x in now]
-        if last and (out := regions(*[x[:last] for x in now])) is not None:
+        now = tuple(np.concatenate(x) for x in zip(rest, (b.column(i).to_numpy() for i in range(4)), strict=True))
+        if (out := emit(*now, False)) is not None:
+            yield out
+    if len(rest[0]):
+        last = open_run = None
+        if (out := emit(*rest, True)) is not None:
             yield out
-    if rest is not None and len(rest[0]) and (out := regions(*rest)) is not None:
-        yield out
 
 
 def _arrays(batches):
-    """Set key and the sorted shingle hashes, as bytes."""
+    """Set key and the sorted shingle hashes, as bytes; of a task's copies, the first."""
+    seen = set()
     for b in batches:
         keys, sets, held = [], [], 0
+        if len(seen) > 1_000_000:
+            seen.clear()
         for _, s in shingle_sets(b.column(0)):
-            if len(s):
-                keys.append(_key(s))
+            if len(s) and (key := _key(s)) not in seen:
+                seen.add(key)
+                keys.append(key)
                 sets.append(s.tobytes())
                 held += len(sets[-1])
             if held > 1 << 23:
@@ -314,6 +349,87 @@ def _arrays(batches):
         yield _table(member=pa.array(keys, pa.int64()), shingles=pa.array(sets, pa.binary()))
 
 
+class Pivots:
+    """Sets to which the distances of others are wanted."""
+
+    def __init__(self, keys: list[int], sets: list[np.ndarray]):
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.keys, sets = [keys[i] for i in order], [sets[i] for i in order]
+        self.sizes = np.array([len(s) for s in sets])
+        self.values = np.unique(np.concatenate(sets))
+        self.has = np.stack([np.isin(self.values, s, assume_unique=True) for s in sets], 1).astype(np.int32)
+
+    def near(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivots that link with a set, and all distances."""
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        both = self.has[at[self.values[at] == s]].sum(0)
+        union = self.sizes + len(s) - both
+        return DEN * both >= NUM * union, 1 - both / union
+
+
+NEAR = "region long, member long, label long, parent long, links array<long>, near array<struct<pivot:long,d:double>>"
+
+
+def _distances(batches):
+    """Rows sorted by (region, cell, kind): a cell's pivots (kind 0) and its members, to NEAR rows of members.
+
+    ``links`` are pivots that a member links with, the smallest first; ``near`` those in whose regions it belongs.
+    """
+    kind = pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())]))
+    name, pivots, asked = None, None, {}
+    for b in batches:
+        out: list[list] = [[] for _ in range(6)]
+        columns = [b.column(i).to_pylist() for i in range(6)]
+        for i, (region, cell, what, member, label, parent) in enumerate(zip(*columns, strict=True)):
+            if (region, cell) != name:
+                name, pivots, asked = (region, cell), None, {}
+            s = np.frombuffer(b.column(6)[i].as_buffer(), np.uint64)
+            if what == 0:
+                asked[member] = s
+                continue
+            if pivots is None:
+                pivots = Pivots(list(asked), list(asked.values()))
+            linked, d = pivots.near(s)
+            wanted = np.flatnonzero(d <= d.min() + 2 * RADIUS + 1e-9).tolist()
+            row = (region, member, label, parent, [pivots.keys[j] for j in np.flatnonzero(linked).tolist()], [{"pivot": pivots.keys[j], "d": float(d[j])} for j in wanted])
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), kind]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["region", "member", "label", "parent", "links", "near"])
+
+
+def _roots(batches):
+    """Rows (region, a, b) of joined pivots, sorted by region, to (region, pivot, root)."""
+    region, parent, out = None, {}, ([], [], [])
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def solve():
+        for x in list(parent):
+            for column, v in zip(out, (region, x, find(x)), strict=True):
+                column.append(v)
+
+    def table():
+        t = _table(region=pa.array(out[0], pa.int64()), pivot=pa.array(out[1], pa.int64()), root=pa.array(out[2], pa.int64()))
+        for column in out:
+            column.clear()
+        return t
+
+    for rows in batches:
+        for name, a, b in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+            if name != region:
+                solve()
+                region, parent = name, {}
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        yield table()
+    solve()
+    yield table()
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of a few sets."""
     m = len(sets)
@@ -373,12 +489,22 @@ def _forests(batches):
     yield _table(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, per: DataFrame, key: str, value: str, hot: int) -> DataFrame:
+    """``rows`` with ``value`` of their key from ``per`` (key, value, n); keys with ``hot`` rows or more are broadcast."""
+    few = per.where(F.col("n") >= hot).select(key, F.col(value).alias("_hot"))
+    tagged = rows.join(F.broadcast(few), key, "left")
+    cold = tagged.where("_hot is null").drop("_hot").join(per.select(key, value), key)
+    warm = tagged.where("_hot is not null").withColumnRenamed("_hot", value)
+    return warm.select(*rows.columns, value).union(cold.select(*rows.columns, value))
+
+
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root): every node of the edges (u, v), with the smallest node of its component.
 
     Alternating large-star and small-star steps, each cut by a checkpoint, until
-    the edges no longer change. Every step is a join of the edges with one
-    row per node, so no node's neighbours are gathered in one place.
+    the edges no longer change. Every step is a join of the edges with one row
+    per node; the few nodes with HOT neighbours or more are broadcast instead,
+    so no node's neighbours are gathered in one place.
     """
 
     def neighbours(e):
@@ -386,8 +512,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e, large: bool):
         near = neighbours(e)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        both = near.join(least, "u")
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        both = _spread(near, least, "u", "m", hot).select("u", "v", "m")
         if large:
             out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -410,6 +536,88 @@ def components(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _sets(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
+    """(member, shingles) of ``members``; only their texts are hashed again: one for each set, and those without an id."""
+    first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    named = first.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
+    wanted = named.select("doc_id").where("doc_id is not null").distinct()
+    chosen = docs.join(wanted, "doc_id", "left_semi").select("text")
+    chosen = chosen.union(docs.where("doc_id is null").select("text"))
+    return chosen.mapInArrow(_arrays, "member long, shingles binary")
+
+
+def _with(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join with a table of few rows for each large region: broadcast if they are few in all."""
+    few = cut(few)
+    return rows.join(F.broadcast(few) if few.count() <= SMALL else few, on, how)
+
+
+def _hash(*columns) -> F.Column:
+    return F.xxhash64(*columns)
+
+
+def by_pivots(large: DataFrame, sets: DataFrame, block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links and cells of large regions (region, member, parent: its size), by document pivots, recursively.
+
+    Cells (pivot, i, j, member) hold all pairs that may link and aren't connected by the links.
+    """
+    links, cells, turn = [], [], 0
+    state = large.withColumn("label", F.col("member"))
+    while not state.isEmpty():
+        turn += 1
+        cell = F.pmod(_hash("member"), F.ceil(F.col("parent") / F.lit(block))).cast("int")
+        # a member is a pivot with a chance of PIVOTS of the region's size; the first one is in any case
+        drawn = F.pmod(_hash("region", "member", F.lit(turn)), F.col("parent")) < PIVOTS
+        pivots = state.where(drawn).select("region", "member", "parent").union(
+            state.groupBy("region").agg(F.min("member").alias("member"), F.first("parent").alias("parent"))
+        ).distinct()
+        every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("parent") / F.lit(block)).cast("int") - 1))
+        rows = pivots.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent")
+        rows = rows.join(sets, "member").union(
+            state.select("member", "region", cell.alias("cell"), F.lit(1).alias("kind"), "label", "parent").join(sets, "member")
+        )
+        found = cut(
+            rows.select("region", "cell", "kind", "member", "label", "parent", "shingles")
+            .repartition("region", "cell").sortWithinPartitions("region", "cell", "kind").mapInArrow(_distances, NEAR)
+        )
+        first = F.try_element_at("links", F.lit(1))
+        links.append(found.select(F.col("member").alias("u"), F.explode("links").alias("v")).where("u <> v"))
+        joined = found.where(F.size("links") > 1).select("region", first.alias("a"), F.explode(F.slice("links", 2, F.size("links"))).alias("b")).distinct()
+        roots = joined.repartition("region").sortWithinPartitions("region").mapInArrow(_roots, "region long, pivot long, root long")
+        labelled = _with(found.withColumn("pivot", first), roots, ["region", "pivot"], "left").withColumn("label", F.coalesce("root", "pivot", "label"))
+        dealt = labelled.select("region", "member", "label", "parent", F.explode("near").alias("x")).select(
+            _hash("region", "x.pivot").alias("region"), "member", "label", "parent", "x.d"
+        )
+        # the largest connected part of each region, and where the others lie
+        parts = cut(dealt.groupBy("region", "label").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")))
+        most = parts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        others = _with(parts, most, ["region"]).where("label <> largest").groupBy("region", "largest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        within = F.col("d").between(F.col("lo") - RADIUS - 1e-9, F.col("hi") + RADIUS + 1e-9)
+        left = cut(_with(dealt, others, ["region"]).where((F.col("label") != F.col("largest")) | within).drop("lo", "hi", "d"))
+        sizes = left.groupBy("region").agg(F.count("*").alias("n"))
+        left = cut(_with(left, sizes, ["region"]))
+        narrow = F.col("n") <= block
+        small = left.where(narrow & (F.col("n") > 1))
+        cells.append(small.select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member"))
+        stuck = ~narrow & (2 * F.col("n") > F.col("parent"))
+        cells.append(_blocks(left.where(stuck), block))
+        state = left.where(~narrow & ~stuck).select("region", "member", F.col("n").alias("parent"), "label")
+    return links, cells
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Cells of regions (region, member, label, largest, n): all pairs of blocks but those within the largest connected part."""
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    part = F.col("label") == F.col("largest")
+    own = F.pmod(_hash("member"), blocks)
+    # blocks 0 .. blocks - 1 of the part, blocks .. 2 * blocks - 1 of the others
+    mine = F.when(part, own).otherwise(blocks + own)
+    other = F.explode(F.sequence(F.when(part, blocks).otherwise(F.lit(0)), 2 * blocks - 1))
+    return rows.select("region", "member", mine.alias("mine"), other.alias("other")).select(
+        F.col("region").alias("pivot"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member"
+    )
+
+
 def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """Points (doc_id, n, key) of all rows, and links (u, v) between set keys whose components are exact."""
     docs = docs.select("doc_id", "text")
@@ -427,15 +635,15 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
         .mapInArrow(_runs, "pivot long, member long")
         .distinct()
     )
-    big = regions.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("member"), F.col("blocks"))
-    cells = (
-        regions.join(big, "pivot", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "member")
-    )
+    big = cut(regions.groupBy("pivot").agg(F.count("*").alias("parent")).where(F.col("parent") > block))
+    zero = F.lit(0).cast("long")
+    cells = regions.join(big, "pivot", "left_anti").select("pivot", zero.alias("i"), zero.alias("j"), "member")
+    near = []
+    if not big.isEmpty():
+        large = cut(regions.join(big, "pivot").select(F.col("pivot").alias("region"), "member", "parent"))
+        near, more = by_pivots(large, cut(_sets(docs, points, large).dropDuplicates(["member"])), block)
+        for m in more:
+            cells = cells.union(m)
     heads = docs.select("text").mapInArrow(_heads(hot), "member long, n int, head binary")
     clusters = cut(
         cells.join(heads, "member")
@@ -445,27 +653,22 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
         .mapInArrow(_clusters, "cluster long, member long")
         .distinct()
     )
-    # only texts of members are hashed again: one for each set, and those without an id
-    first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    named = first.join(clusters.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
-    wanted = named.select("doc_id").where("doc_id is not null").distinct()
-    chosen = docs.join(wanted, "doc_id", "left_semi").select("text")
-    chosen = chosen.union(docs.where("doc_id is null").select("text"))
-    sets = chosen.mapInArrow(_arrays, "member long, shingles binary")
     edges = (
-        clusters.join(sets, "member")
+        clusters.join(_sets(docs, points, clusters), "member")
         .select("cluster", "member", "shingles")
         .repartition("cluster")
         .sortWithinPartitions("cluster")
         .mapInArrow(_forests, "u long, v long")
     )
+    for e in near:
+        edges = edges.union(e)
     return points, edges
 
 
 def _groups(docs: DataFrame, block: int, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """Points of all rows, and per set key the smallest id and the root of its component."""
+    """Points of all rows, and per set key the smallest id, the number of rows and the root of its component."""
     points, edges = links(docs, block, frequent)
-    firsts = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    firsts = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     named = components(edges).withColumnRenamed("node", "key")
     return points, firsts.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
@@ -473,13 +676,13 @@ def _groups(docs: DataFrame, block: int, frequent: int) -> tuple[DataFrame, Data
 def near_duplicates(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id."""
     points, roots = _groups(docs, block, frequent)
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = roots.join(least, "root").select("key", "component_id")
+    roots = cut(roots)
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    ids = cut(_spread(roots.select("root", "key", F.col("n").alias("rows")), least, "root", "component_id", HOT))
     empty = points.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (
-        points.where("key is not null").join(ids, "key")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
-    )
+    full = points.where("key is not null").select("key", "doc_id", F.col("n").alias("n_shingles"))
+    out = _spread(full, ids.select("key", "component_id", F.col("rows").alias("n")), "key", "component_id", HOT)
+    return out.select("doc_id", "n_shingles", "component_id").union(empty)
 
 
 def _keyed(batches):

@@ -67,6 +67,57 @@ def test_keep_one_and_empty(spark):
     assert jaccard.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("spread", [3, 40])
+def test_large_groups_of_near_copies(spark, spread):
+    # distinct texts of one group, all or few of them near each other, and some that only share its beginning
+    r = random.Random(spread)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(r.randrange(1, spread)):
+            words[r.randrange(60, 120)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:30] + [f"y{i}z{j}" for j in range(90)])) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
+    got = jaccard.near_duplicates(docs.repartition(3), 16).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_a_group_of_near_copies_needs_no_cells(spark):
+    r = random.Random(1)
+    sets, rows = [], []
+    base = np.sort(np.array([r.randrange(1 << 62) for _ in range(400)], np.uint64))
+    for i in range(2000):
+        s = base.copy()
+        s[r.randrange(400)] = r.randrange(1 << 62)
+        sets.append((i, np.sort(s).tobytes()))
+        rows.append((7, i, 2000))
+    large = spark.createDataFrame(rows, "region long, member long, parent long")
+    links, cells = jaccard.by_pivots(large, spark.createDataFrame(sets, "member long, shingles binary"), 64)
+    assert sum(c.count() for c in cells) == 0
+    assert sum(e.count() for e in links) < 2000 * 40
+    found = jaccard.components(links[0], hot=50).collect()
+    assert {x.root for x in found} == {0} and len(found) == 2000
+
+
+def test_runs_over_any_batches():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = sorted({(r.randrange(6), r.randrange(3), r.choice([5, 6, 10, 11, 40, 200]), r.randrange(30)) for _ in range(120)}, key=lambda x: (x[0], x[2], x[3]))
+
+    def run(step):
+        cut = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], list("spnk")) for p in cut]
+        return sorted({x for b in jaccard._runs(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
+
+    whole = run(10**6)
+    assert whole
+    for step in (1, 2, 3, 7, 50):
+        assert run(step) == whole
+
+
 def test_overlap_matrix():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 50, 30).astype(np.uint64)) for _ in range(9)]
