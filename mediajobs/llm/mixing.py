@@ -108,8 +108,9 @@ def keyed(sized: DataFrame, seed: int = SEED) -> DataFrame:
 def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
     """``sized`` (doc_id, source, _m_size, _m_quality, ...) with _m_key, _m_source_size, _m_target, _m_epochs and _m_copies."""
     rows = sized.count()
+    # in logarithms, keys of rates between 0.05 and 1 are spread about alike
     bins = max(64, rows // BIN_ROWS)
-    drawn = keyed(sized, seed).withColumn("_m_bin", F.floor(bins * (1 - F.exp(-F.col("_m_key")))).cast("long"))
+    drawn = keyed(sized, seed).withColumn("_m_bin", F.floor(bins * F.log1p("_m_key")).cast("long"))
     goals = targets(sized).withColumnRenamed("_m_source", "_m_goal")
     before = W.partitionBy("source").orderBy("_m_bin").rowsBetween(W.unboundedPreceding, -1)
     starts = (
