@@ -3,23 +3,28 @@
 Tokens of a page are its elements, by the path of tags and classes from the
 root, and its text blocks, by path and text. Over the pages of a host, tokens
 with the same occurrence vector (how often on each page) make an equivalence
-class; vectors are compared by sums of hashes, so no class is gathered. Classes
-that nearly all pages of a host share and that hold elements are valid; nested by
-path they are the host's template. Text of the template is boilerplate; its
-elements that occur once a page delimit slots, and the slot that holds the
-article (an article element, else the deepest one with all sentences and other
-prose) is kept. Copies of a page count once for the template.
-
-Within the slot, menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go, by tag, role, class or id. What remains
-is the text: blocks in page order, white space turned into single spaces, joined
-by an empty line. Nothing else is dropped or cut.
-
-Hosts with fewer than MIN_PAGES pages, and pages without a host, are taken by
-their own elements alone. Null and empty pages, and pages without text, give an
-empty text. Unclosed, stray and mixed-up tags are tolerated; pages are read
-whole. Repeated rows and null ids are rows of their own. Extra columns aren't
-looked at; an empty table gives an empty table.
+class; vectors are compared by sums of hashes, so no class is gathered before it
+is known to be shared by nearly all pages. Such classes that hold elements are
+valid; each is nested in the class of the nearest element above it, and the
+nested classes are the host's template. Its elements that occur once a page
+delimit slots, and the slot that holds the article (an article element, else the
+deepest one with all prose) is extracted. Texts of the template (one text at one
+path on nearly all pages) are boilerplate, in the slot as well; there headings
+stay, and all texts do if they are more than BOILER of the slot and FRAME chars
+(then pages are near copies rather than framed alike). Copies of a page count once for the
+template. A template is no larger than a page, whatever its host.
+
+What the template can't know is told by tag, role, class or id: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+within the slot go. What remains is the text: blocks in page order, white space
+turned into single spaces, joined by an empty line. Nothing else is dropped or cut.
+
+Hosts with fewer than MIN_PAGES different pages (from so few, what pages share
+can't be told from what their articles share), and pages without a host, are
+taken by their own elements alone. Null and empty pages, and pages without text,
+give an empty text. Unclosed, stray and mixed-up tags are tolerated; pages are
+read whole. Repeated rows and null ids are rows of their own. Extra columns
+aren't looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted
+from .common import cut
 
 #: Pages of a host from which a template is deduced, at least.
 MIN_PAGES = 5
@@ -44,8 +49,12 @@ SENTENCE = 8
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 #: Bytes of all templates up to which they are broadcast instead of joined.
 SMALL = 16_000_000
-#: Copies of a host's template among which its pages are dealt.
-SALTS = 16
+#: Pages of a host for each copy of its template, where templates are joined.
+ROWS = 2048
+#: Share of a slot's text that may be the template's, and its chars a page that may be in any case.
+BOILER, FRAME = 0.25, 150
+#: Share of prose in elements of PROSE from which on other sentences don't place the slot.
+TAGGED = 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg title object canvas select".split())
@@ -95,7 +104,8 @@ class Element:
     rank: int  # how much it looks like the article
     named: bool = False  # dropped by a class or id, not by tag or role
     part: bool = False  # ... by a part of a name only
-    prose: int = 0  # chars of kept text that the slot must hold
+    prose: int = 0  # chars of kept text in elements of PROSE, without links
+    loose: int = 0  # of other sentences
     chars: int = 0  # of kept text in it
 
 
@@ -103,6 +113,7 @@ class Element:
 class Page:
     elements: list[Element]
     blocks: list[tuple[int, str]]  # owner, text
+    linked: set[int]  # blocks that are links
 
     def within(self, owner: int):
         while owner >= 0:
@@ -119,23 +130,33 @@ class Page:
                 return False
         return True
 
-    def must_hold(self, owner: int, text: str) -> int:
-        """Chars of a kept block that no slot may leave out: prose by its element or its length."""
-        return len(text) if text.count(" ") >= SENTENCE - 1 or any(self.elements[i].tag in PROSE for i in self.within(owner)) else 0
+    def heading(self, owner: int) -> bool:
+        return any(self.elements[i].tag in HEADINGS for i in self.within(owner))
 
-    def all_prose(self) -> int:
-        return sum(self.must_hold(owner, text) for owner, text in self.blocks if self.kept(owner))
+    def prose(self, i: int) -> tuple[int, int]:
+        """Chars of a block that are prose by its element, or by its length only; links are neither."""
+        owner, text = self.blocks[i]
+        if i in self.linked or not self.kept(owner):
+            return 0, 0
+        if any(self.elements[k].tag in PROSE for k in self.within(owner)):
+            return len(text), 0
+        return 0, len(text) if text.count(" ") >= SENTENCE - 1 else 0
 
 
 def parse(source: str) -> Page:
     """Elements and text blocks of a page; text of scripts, styles and other raw elements is no block."""
     elements, blocks, stack, run = [], [], [], []
+    linked, in_link, link_chars = set(), False, 0
 
     def flush():
+        nonlocal link_chars
         text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
-        run.clear()
         if text:
+            if 10 * link_chars >= 9 * sum(len(x.strip()) for x in run):
+                linked.add(len(blocks))
             blocks.append((stack[-1] if stack else -1, text))
+        run.clear()
+        link_chars = 0
 
     def opened(tag, attributes):
         names, role, hidden, article = "", "", False, False
@@ -173,6 +194,8 @@ def parse(source: str) -> Page:
     while True:
         m = _MARKUP.search(source, at)
         run.append(source[at : m.start() if m else None])
+        if in_link:
+            link_chars += len(run[-1].strip())
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
@@ -188,6 +211,8 @@ def parse(source: str) -> Page:
         if tag in INLINE:
             if tag in ("br", "img"):
                 run.append(" ")
+            elif tag == "a":
+                in_link = not m[1]
             continue
         flush()
         if m[1]:
@@ -206,14 +231,15 @@ def parse(source: str) -> Page:
         if not m[3].endswith("/"):
             opened(tag, m[3])
     flush()
-    page = Page(elements, blocks)
+    page = Page(elements, blocks, linked)
     _take_back(page)
-    for owner, text in blocks:
+    for k, (owner, text) in enumerate(blocks):
         if page.kept(owner):
-            must = page.must_hold(owner, text)
+            prose, loose = page.prose(k)
             for i in page.within(owner):
                 elements[i].chars += len(text)
-                elements[i].prose += must
+                elements[i].prose += prose
+                elements[i].loose += loose
     return page
 
 
@@ -254,33 +280,154 @@ def _hash(s: str) -> int:
 
 
 ELEMENT, BLOCK, PAGE = 0, 1, 2
-TOKENS = "host string, token long, kind int, times long, chars long, rank int, depth int, page long, prose long, whole long"
+TOKENS = (
+    "host string, page long, kind int, token long, parent long, times long, chars long, prose long, loose long, "
+    "whole_prose long, whole_loose long, rank int, depth int"
+)
+
+
+def _token(page: Page, owner: int, text: str | None = None) -> int:
+    """Hash of an element, or of a block within it; 0 above the root."""
+    path = page.elements[owner].path if owner >= 0 else ""
+    return _hash(path) if text is None and owner >= 0 else 0 if text is None else _hash(f"{path}\0{text}")
 
 
 def _tokens(batches):
-    """Tokens of each page with how often they occur on it, and one row for the page itself."""
+    """Tokens of each page with how often they occur on it, and one row for the page itself; of a task's copies, the first.
+
+    The rank of an element is its own, that of a block 1 in a heading.
+    """
+    known = set()
     for b in batches:
         rows = []
+        if len(known) > 1_000_000:
+            known.clear()
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            key = _hash(source)
+            if (host, key) in known:
+                continue
+            known.add((host, key))
             page = parse(source)
-            key, whole = _hash(source), page.all_prose()
+            whole = [sum(x) for x in zip((0, 0), *map(page.prose, range(len(page.blocks))))]
             seen: dict[int, list] = {}
             for e in page.elements:
-                row = seen.setdefault(_hash(e.path), [host, _hash(e.path), ELEMENT, 0, 0, 0 if e.dropped else e.rank, e.depth, key, 0, whole])
-                row[3] += 1
-                row[4] += e.chars
-                row[8] += e.prose
+                token = _hash(e.path)
+                row = seen.setdefault(token, [host, key, ELEMENT, token, _token(page, e.parent), 0, 0, 0, 0, *whole, 0 if e.dropped else e.rank, e.depth])
+                for i, v in enumerate((1, e.chars, e.prose, e.loose), 5):
+                    row[i] += v
             for owner, text in page.blocks:
-                token = _hash((page.elements[owner].path if owner >= 0 else "") + "\0" + text)
-                seen.setdefault(token, [host, token, BLOCK, 0, 0, 0, 0, key, 0, 0])[3] += 1
+                token = _token(page, owner, text)
+                depth = page.elements[owner].depth + 1 if owner >= 0 else 0
+                row = seen.setdefault(token, [host, key, BLOCK, token, _token(page, owner), 0, 0, 0, 0, 0, 0, int(page.heading(owner)), depth])
+                row[5] += 1
+                row[6] += len(text) if page.kept(owner) else 0
             rows.extend(seen.values())
-            rows.append([host, 0, PAGE, 1, 0, 0, 0, key, 0, 0])
-        columns = list(zip(*rows, strict=True)) or [()] * 10
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-            ["host", "token", "kind", "times", "chars", "rank", "depth", "page", "prose", "whole"],
-        )
+            rows.append([host, key, PAGE, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0])
+        names = [c.split()[0] for c in TOKENS.split(", ")]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 8, pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+@dataclass
+class Token:
+    """A token that nearly all pages of a host have, with sums over its pages; ``vector`` stands for its occurrence vector."""
+
+    kind: int
+    token: int
+    parent: int
+    pages: int
+    times: int
+    chars: int
+    prose: int
+    loose: int
+    whole_prose: int
+    whole_loose: int
+    rank: int
+    depth: int
+    vector: tuple[int, int]
+
+
+@dataclass
+class Template:
+    """``classes``: tokens of each valid class and the class it is nested in (-1: none), outermost first."""
+
+    classes: list[tuple[list[int], int]]
+    slot: int | None
+    texts: list[int]
+
+
+def nested(tokens: list[Token]) -> Template:
+    """The template of one host."""
+    by_vector: dict[tuple, list[Token]] = {}
+    for t in sorted(tokens, key=lambda t: (t.depth, t.kind, t.token)):
+        by_vector.setdefault((t.pages, t.vector), []).append(t)
+    valid = [c for c in by_vector.values() if len(c) > 1 and any(t.kind == ELEMENT for t in c)]
+    above = {t.token: t.parent for t in tokens if t.kind == ELEMENT}
+    of_class = {t.token: k for k, c in enumerate(valid) for t in c if t.kind == ELEMENT}
+
+    def over(t: Token):
+        token = t.parent
+        while token:
+            yield token
+            token = above.get(token, 0)
+
+    classes = []
+    for k, c in enumerate(valid):
+        outer = (of_class[x] for x in over(c[0]) if of_class.get(x, k) != k)
+        classes.append(([t.token for t in c], next(outer, -1)))
+    elements = [t for c in valid for t in c if t.kind == ELEMENT and t.times == t.pages]
+    place = max(((t.rank if t.chars else -1, t.depth, t.token) for t in elements if t.rank or _all_prose(t)), default=None)
+    slot = place and next(t for t in elements if t.token == place[2])
+    texts = [t for c in valid for t in c if t.kind == BLOCK]
+    inner = [t for t in texts if slot and slot.token in over(t)]
+    chars = sum(t.chars for t in inner)
+    if inner and chars > BOILER * slot.chars and chars > FRAME * slot.pages:
+        drop = set()
+    else:
+        drop = {t.token for t in inner if not t.rank}
+    keep = {t.token for t in inner} - drop
+    return Template(classes, slot and slot.token, sorted(t.token for t in texts if t.token not in keep))
+
+
+def _all_prose(t: Token) -> bool:
+    """Whether an element holds all prose of the pages that have it."""
+    both = t.whole_prose + t.whole_loose
+    if t.whole_prose and t.whole_prose >= TAGGED * both:
+        return t.prose == t.whole_prose
+    return bool(both) and t.prose + t.loose == both
+
+
+TEMPLATES = "host string, pages long, slot long, texts array<long>, classes array<struct<tokens:array<long>,within:int>>"
+
+
+def _templates(batches):
+    """Rows of common tokens, sorted by host, to TEMPLATES rows."""
+    host, tokens, all_pages, out = None, [], 0, [[] for _ in range(5)]
+
+    def solve():
+        if tokens:
+            t = nested(tokens)
+            for c, v in zip(out, (host, all_pages, t.slot, t.texts, [{"tokens": a, "within": b} for a, b in t.classes]), strict=True):
+                c.append(v)
+
+    def table():
+        kind = pa.list_(pa.struct([("tokens", pa.list_(pa.int64())), ("within", pa.int32())]))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), kind]
+        t = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], ["host", "pages", "slot", "texts", "classes"])
+        for c in out:
+            c.clear()
+        return t
+
+    for b in batches:
+        for name, n, *row, v0, v1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if name != host:
+                solve()
+                host, all_pages, tokens = name, n, []
+            tokens.append(Token(*row, (v0, v1)))
+        yield table()
+    solve()
+    yield table()
 
 
 def host_of(url):
@@ -289,37 +436,25 @@ def host_of(url):
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """Per host: host, slot (path hash of the article's element, or null), texts (hashes of template text).
+    """Per host: host, pages (different ones), slot (token of the article's element, or null), texts (tokens to drop), classes.
 
-    ``pages`` has host and html.
+    ``pages`` has host and html; pages stay where they are, their tokens are shuffled.
     """
-    tokens = pages.where("host <> ''").select("host", "html").distinct().mapInArrow(_tokens, TOKENS)
+    tokens = pages.where("host <> ''").select("host", "html").mapInArrow(_tokens, TOKENS).dropDuplicates(["host", "page", "kind", "token"])
     # two sums of 31 bits stand for a token's occurrence vector
     seen = F.xxhash64("page", "times")
     part = lambda k: F.sum(F.pmod(F.shiftrightunsigned(seen, 31 * k), F.lit(1 << 31)))
+    sums = ("times", "chars", "prose", "loose", "whole_prose", "whole_loose")
     counts = cut(
         tokens.groupBy("host", "token", "kind").agg(
-            F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("prose").alias("prose"), F.sum("whole").alias("whole"),
+            F.any_value("parent").alias("parent"), F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in sums],
             F.max("rank").alias("rank"), F.min("depth").alias("depth"), part(0).alias("v0"), part(1).alias("v1"),
         ).where(F.col("pages") >= min_pages)
     )
     hosts = counts.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("all_pages"))
     common = counts.where(F.col("kind") != PAGE).join(hosts, "host").where(F.col("pages") >= support * F.col("all_pages"))
-    member = F.struct("kind", "token", "times", "chars", "prose", "whole", "rank", "depth")
-    classes = common.groupBy("host", "pages", "v0", "v1").agg(F.collect_list(member).alias("members"))
-    valid = classes.where((F.size("members") > 1) & F.exists("members", lambda x: x["kind"] == ELEMENT))
-    per = valid.select("host", "pages", F.explode("members").alias("m")).groupBy("host").agg(
-        F.collect_set(F.when(F.col("m.kind") == BLOCK, F.col("m.token"))).alias("texts"),
-        F.collect_list(F.when((F.col("m.kind") == ELEMENT) & (F.col("m.times") == F.col("pages")), F.col("m"))).alias("once"),
-    )
-    # the article's element; without one, the deepest with all prose of the pages that have it
-    place = F.transform(
-        F.filter("once", lambda x: (x["rank"] > 0) | ((x["prose"] > 0) & (x["prose"] == x["whole"]))),
-        lambda x: F.struct(
-            F.when(x["chars"] > 0, x["rank"]).otherwise(-1).alias("a"), x["depth"].alias("d"), x["token"].alias("token")
-        ),
-    )
-    return per.select("host", F.array_max(place)["token"].alias("slot"), "texts")
+    rows = common.select("host", "all_pages", "kind", "token", "parent", "pages", *sums, "rank", "depth", "v0", "v1")
+    return rows.repartition("host").sortWithinPartitions("host").mapInArrow(_templates, TEMPLATES)
 
 
 def main_text(source: str, slot: int | None, texts: frozenset[int]) -> str:
@@ -330,30 +465,31 @@ def main_text(source: str, slot: int | None, texts: frozenset[int]) -> str:
         fits = [i for i, e in enumerate(page.elements) if e.rank and e.chars and not e.dropped]
     if not inside and page.elements and fits:
         inside = {max(fits, key=lambda i: (page.elements[i].rank, page.elements[i].chars, -i))}
-    if any(page.elements[i].rank >= 3 for i in inside):
-        texts = frozenset()  # an article may be the same on all pages of a host
     out = []
     for owner, text in page.blocks:
         if not page.kept(owner) or (inside and not any(i in inside for i in page.within(owner))):
             continue
-        if texts and _hash((page.elements[owner].path if owner >= 0 else "") + "\0" + text) in texts:
+        if texts and _token(page, owner, text) in texts:
             continue
         out.append(text)
     return "\n\n".join(out)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, salts: int = SALTS, small: int = SMALL) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, rows_per_copy: int = ROWS, small: int = SMALL) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    found = cut(templates(rows, min_pages))
+    found = cut(templates(rows, min_pages).drop("classes"))
     n_bytes = found.agg(F.sum(F.size("texts") * 8 + F.octet_length("host") + 40)).first()[0] or 0
     if n_bytes <= small:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
-        # a host may have any share of all pages: they are dealt among copies of its template
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(salts)).cast("int")).join(
-            salted(found, salts), ["host", "salt"], "left"
-        )
+        # pages of a host with many of them are dealt among copies of its template; at most 1 of rows_per_copy pages has such a host
+        counts = rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(rows_per_copy)).cast("int").alias("copies")).where("copies > 1")
+        hot = F.broadcast(cut(counts))
+        copies = F.coalesce("copies", F.lit(1))
+        joined = rows.join(hot, "host", "left").withColumn("copy", F.pmod(F.xxhash64("url", "page_id"), copies).cast("int")).join(
+            found.join(hot, "host", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies"), ["host", "copy"], "left"
+        )
 
     def run(batches):
         known: dict[str, frozenset[int]] = {}
