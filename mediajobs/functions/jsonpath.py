@@ -23,15 +23,15 @@ def is_null(value: Column) -> Column:
 
 def as_array(value: Column) -> Column:
     """The elements of a JSON array as array<variant>; null for anything else."""
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+    return as_array(value).isNotNull()
 
 
 def as_string(value: Column) -> Column:
@@ -40,7 +40,14 @@ def as_string(value: Column) -> Column:
 
 
 def falsy(value: Column) -> Column:
-    return is_null(value) | F.to_json(value).isin("false", '""', "[]", "{}")
+    """Null, false, or an empty string, list or object. A list is known by its first element, without reading it."""
+    some = F.try_variant_get(value, "$[0]", "variant").isNotNull()
+    return F.when(some, False).otherwise(is_null(value) | F.to_json(value).isin("false", '""', "[]", "{}"))
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _steps(path: str) -> list[str | int | None]:
@@ -85,8 +92,12 @@ def path_eval(path: str | None, value: Column) -> Column:
     """Column: the variant that ``path`` finds in ``value``; SQL null if it finds nothing."""
     if not path:
         return F.lit(None).cast("variant")
-    operands = [_operand(p.strip(), value) for p in path.split("||")]
-    out = operands[-1]
-    for operand in reversed(operands[:-1]):
-        out = F.when(~falsy(operand), operand).otherwise(out)
-    return F.when(~is_null(out), out)
+    *first, last = [_operand(p.strip(), value) for p in path.split("||")]
+    out = bound(last, lambda x: F.when(~is_null(x), x))
+    for operand in reversed(first):
+        out = _or(operand, out)
+    return out
+
+
+def _or(value: Column, other: Column) -> Column:
+    return bound(value, lambda x: F.when(~falsy(x), x).otherwise(other))

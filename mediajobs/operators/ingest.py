@@ -38,10 +38,13 @@ def dedup_within_batch(figures: DataFrame) -> DataFrame:
 
 
 def attach_embeddings(figures: DataFrame, vectors: DataFrame, embedding_model: str, dino_model: str) -> DataFrame:
-    """``figures`` with multimodal_vector and dino_vector from ``vectors`` (hash, model, vector); null where there is none."""
+    """``figures`` with multimodal_vector and dino_vector from ``vectors`` (hash, model, vector); null where there is none.
+
+    Of several vectors of one hash and model, the smallest is taken, so figures stay as many as they are.
+    """
     out = figures
     for model, name in ((embedding_model, "multimodal_vector"), (dino_model, "dino_vector")):
-        found = vectors.where(F.col("model") == model).select("hash", F.col("vector").alias(name))
+        found = vectors.where(F.col("model") == model).groupBy("hash").agg(F.min("vector").alias(name))
         out = out.join(found, "hash", "left").withColumn(name, F.when(F.size(name) > 0, F.col(name)))
     return out.withColumn("embedding_model", F.lit(embedding_model))
 

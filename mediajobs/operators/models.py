@@ -7,7 +7,7 @@ retries agree; real models are passed in, and loaded once per worker.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,19 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _number(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hash_tokenizer(texts: list[str]) -> list[list[int]]:
-    """White-space words as crc32 modulo 30,000 plus 1,000."""
-    return [[1000 + zlib.crc32(w.encode()) % 30000 for w in (t or "").split()] for t in texts]
+    """White-space words as the first 32 bits of their md5, modulo 30,000, plus 1,000."""
+    return [[1000 + _number(w) % 30000 for w in (t or "").split()] for t in texts]
 
 
 def hash_encoder(texts: list[str], size: int = 16) -> np.ndarray:
     """A vector of word-hash counts, normalised."""
-    out = np.zeros((len(texts), size), np.float32)
+    out = np.zeros((len(texts), size))
     for i, t in enumerate(texts):
         for w in (t or "").split():
-            out[i, zlib.crc32(w.encode()) % size] += 1
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=out, where=norm > 0)
+            out[i, _number(w) % size] += 1
+    norm = np.sqrt((out**2).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
 
 def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:

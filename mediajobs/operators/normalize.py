@@ -2,7 +2,8 @@
 
 ``raw`` is a DataFrame (document_id string, payload string of JSON). The payload
 is parsed to a VARIANT once (``parsed``); all child tables are narrow
-projections of it, without a shuffle.
+projections of it, without a shuffle. Items of a list are built by one function
+each (``page``, ``block``, ...), for child tables and for nested documents alike.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import as_array, as_string, falsy, is_array, is_object, path_eval
+from ..functions.jsonpath import as_array, as_string, bound, falsy, is_array, is_object, path_eval
 from ..functions.text import clean_caption, coerce_page, join_stripped
 
 #: Keys that never leave a sanitised payload (fixed values; compared case-insensitively).
@@ -57,27 +58,36 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("v", F.try_parse_json("payload"))
 
 
-def _items(parsed_raw: DataFrame, path: str | None) -> DataFrame:
-    """One row per object in the list at ``path``: document_id, pos (place in the raw list), item."""
+def _rows(parsed_raw: DataFrame, path: str | None, build) -> DataFrame:
+    """One row per object in the list at ``path``: document_id, pos (place in the raw list), and the fields that ``build`` makes."""
     listed = parsed_raw.select("document_id", F.posexplode(as_array(path_eval(path, F.col("v")))).alias("pos", "item"))
-    return listed.where(is_object(F.col("item")))
+    return listed.where(is_object(F.col("item"))).select("document_id", "pos", *build(F.col("document_id"), F.col("pos"), F.col("item")))
+
+
+def _nested(path: str | None, build) -> Column:
+    """The same as an array of structs (pos, fields), in order; empty where there is no list."""
+    found = as_array(path_eval(path, F.col("v")))
+    row = lambda item, pos: F.when(is_object(item), F.struct(pos.alias("pos"), *build(F.col("document_id"), pos, item)))
+    out = F.filter(F.transform(found, row), lambda x: x.isNotNull())
+    return F.coalesce(out, F.slice(F.transform(F.array(F.parse_json(F.lit("{}"))), row), 2, 1))
 
 
 def _bbox(value: Column) -> Column:
     return F.when(is_array(value), F.try_variant_get(value, "$", "array<double>"))
 
 
-def normalize_pages(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    item = F.col("item")
+def page(document: Column, pos: Column, item: Column) -> list[Column]:
     number = F.try_variant_get(item, "$.page_number", "int")
-    return _items(parsed_raw, m.pages).select(
-        "document_id",
-        "pos",
-        F.coalesce(number, F.col("pos") + 1).alias("page_number"),
+    return [
+        F.coalesce(number, pos + 1).alias("page_number"),
         F.try_variant_get(item, "$.width", "double").alias("width"),
         F.try_variant_get(item, "$.height", "double").alias("height"),
         as_string(F.try_variant_get(item, "$.text", "variant")).alias("text"),
-    )
+    ]
+
+
+def normalize_pages(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
+    return _rows(parsed_raw, m.pages, page)
 
 
 def block_type(raw_type: Column) -> Column:
@@ -95,82 +105,83 @@ def block_content(value: Column) -> Column:
     line = lambda x: F.when(
         is_object(x), F.coalesce(as_string(F.try_variant_get(x, "$.text", "variant")), F.lit(""))
     ).otherwise(F.coalesce(as_string(x), F.lit("null")))
-    return F.coalesce(F.array_join(F.transform(as_array(value), line), "\n"), as_string(value), F.lit(""))
+    return bound(value, lambda v: F.coalesce(F.array_join(F.transform(as_array(v), line), "\n"), as_string(v), F.lit("")))
 
 
-def normalize_blocks(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    item = F.col("item")
-    return _items(parsed_raw, m.blocks).select(
-        "document_id",
-        "pos",
-        F.concat("document_id", F.lit("-b"), F.col("pos").cast("string")).alias("block_id"),
+def block(m: Mapping):
+    return lambda document, pos, item: [
+        F.concat(document, F.lit("-b"), pos.cast("string")).alias("block_id"),
         block_type(F.coalesce(as_string(path_eval(m.block_type, item)), F.lit("text"))).alias("type"),
         block_content(path_eval(m.block_content, item)).alias("content"),
-        coerce_page(path_eval(m.block_page, item)).alias("page"),
-        _bbox(path_eval(m.block_bbox, item)).alias("bbox"),
-    )
+        bound(path_eval(m.block_page, item), coerce_page).alias("page"),
+        bound(path_eval(m.block_bbox, item), _bbox).alias("bbox"),
+    ]
 
 
-def normalize_figures(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    item = F.col("item")
-    default = F.concat("document_id", F.lit("-fig"), F.col("pos").cast("string"))
-    return _items(parsed_raw, m.figures).select(
-        "document_id",
-        "pos",
-        F.coalesce(as_string(path_eval(m.figure_id, item)), default).alias("figure_id"),
-        coerce_page(path_eval(m.figure_page, item)).alias("page"),
-        _bbox(path_eval(m.figure_bbox, item)).alias("bbox"),
+def normalize_blocks(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
+    return _rows(parsed_raw, m.blocks, block(m))
+
+
+def figure(m: Mapping):
+    return lambda document, pos, item: [
+        F.coalesce(as_string(path_eval(m.figure_id, item)), F.concat(document, F.lit("-fig"), pos.cast("string"))).alias("figure_id"),
+        bound(path_eval(m.figure_page, item), coerce_page).alias("page"),
+        bound(path_eval(m.figure_bbox, item), _bbox).alias("bbox"),
         as_string(path_eval(m.figure_image, item)).alias("image"),
         as_string(path_eval(m.figure_caption, item)).alias("caption"),
         as_string(path_eval(m.figure_ocr, item)).alias("ocr_text"),
-    )
+    ]
 
 
-def normalize_tables(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    item = F.col("item")
-    default = F.concat("document_id", F.lit("-tbl"), F.col("pos").cast("string"))
-    return _items(parsed_raw, m.tables).select(
-        "document_id",
-        "pos",
-        F.coalesce(as_string(path_eval(m.table_id, item)), default).alias("table_id"),
-        coerce_page(path_eval(m.table_page, item)).alias("page"),
+def normalize_figures(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
+    return _rows(parsed_raw, m.figures, figure(m))
+
+
+def table(m: Mapping):
+    return lambda document, pos, item: [
+        F.coalesce(as_string(path_eval(m.table_id, item)), F.concat(document, F.lit("-tbl"), pos.cast("string"))).alias("table_id"),
+        bound(path_eval(m.table_page, item), coerce_page).alias("page"),
         as_string(path_eval(m.table_caption, item)).alias("caption"),
         as_string(path_eval(m.table_html, item)).alias("html"),
         as_string(path_eval(m.table_markdown, item)).alias("markdown"),
-    )
+    ]
 
 
-def normalize_markdown(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    """document_id, markdown: the markdown path, else the text path, else the blocks' contents."""
+def normalize_tables(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
+    return _rows(parsed_raw, m.tables, table(m))
+
+
+def markdown_column(m: Mapping) -> Column:
+    """The markdown path, else the text path, else the blocks' contents."""
     v = F.col("v")
     found = path_eval(m.markdown, v)
     if m.text:
-        found = F.when(~falsy(found), found).otherwise(path_eval(m.text, v))
-    parts = join_stripped(F.transform(as_array(found), as_string), "\n\n")
-    plain = F.when(~falsy(found), as_string(found))
+        found = bound(found, lambda x: F.when(~falsy(x), x).otherwise(path_eval(m.text, v)))
+    text = bound(found, lambda x: F.coalesce(
+        join_stripped(F.transform(as_array(x), as_string), "\n\n"), F.when(~falsy(x), as_string(x)), F.lit("")
+    ))
     contents = F.transform(
         F.filter(as_array(path_eval(m.blocks, v)), is_object), lambda x: block_content(path_eval(m.block_content, x))
     )
     composed = F.array_join(F.filter(contents, lambda x: x != ""), "\n\n")
-    text = F.coalesce(parts, plain, F.lit(""))
-    return parsed_raw.select(
-        "document_id", F.when(text != "", text).otherwise(F.coalesce(composed, F.lit(""))).alias("markdown")
-    )
+    return bound(text, lambda x: F.when(x != "", x).otherwise(F.coalesce(composed, F.lit(""))))
+
+
+def normalize_markdown(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
+    """document_id, markdown."""
+    return parsed_raw.select("document_id", markdown_column(m).alias("markdown"))
 
 
 def assemble_document(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFrame:
-    """One nested row per document: markdown, metadata, and the child tables as arrays in their order."""
-    out = normalize_markdown(parsed_raw, m).join(
-        parsed_raw.select("document_id", F.length("payload").alias("raw_length")), "document_id"
-    )
-    for name, child in (
-        ("pages", normalize_pages), ("blocks", normalize_blocks), ("figures", normalize_figures), ("tables", normalize_tables),
-    ):
-        rows = child(parsed_raw, m)
-        row = F.struct("pos", *[c for c in rows.columns if c not in ("document_id", "pos")])
-        nested = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(row)).alias(name))
-        out = out.join(nested, "document_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
-    return out.withColumn("metadata", F.create_map(F.lit("raw_length"), F.col("raw_length").cast("string"))).drop("raw_length")
+    """One nested row per row of ``parsed_raw``: markdown, metadata, and the child tables as arrays in their order.
+
+    Everything is built within the row, without joins, so repeated ids stay rows of their own.
+    """
+    return parsed_raw.select(
+        "document_id", markdown_column(m).alias("markdown"), _nested(m.pages, page).alias("pages"), _nested(m.blocks, block(m)).alias("blocks"),
+        _nested(m.figures, figure(m)).alias("figures"), _nested(m.tables, table(m)).alias("tables"),
+        F.create_map(F.lit("raw_length"), F.length("payload").cast("string")).alias("metadata"),
+    )
 
 
 # ---------------------------------------------------------------- content lists of archives

@@ -1,6 +1,8 @@
 """Exact vector search over media tables, and its filters.
 
-Distance is squared L2 in double; ties go to the smaller id; null vectors are left out.
+Distance is squared L2 in double; ties go to the smaller id. Vectors that are
+null, empty, or hold null or non-finite values are left out on both sides.
+Ids keep their type. All other vectors of a search must have one size.
 """
 
 from __future__ import annotations
@@ -8,15 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .models import embed_table, hash_encoder
 
-#: Queries held by a task at a time in the blocked form, and those that the built-in form broadcasts at most.
-QUERY_BLOCK = 1024
+#: Queries held by a task at a time, and items that a task compares with them at least (where cores lack work) and at most.
+QUERY_BLOCK, LEAST_PART, MOST_PART = 4096, 16384, 1 << 21
+#: Bytes of query vectors that the built-in form broadcasts at most.
+BROADCAST_BYTES = 1 << 20
 TOP_K = 10
 
 
@@ -34,64 +39,148 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, gap), F.lit(0.0), lambda s, x: s + x)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part in a search."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(good & (F.size(vector) > 0), F.lit(False))
+
+
 def _ranked(pairs: DataFrame, query_id: str, item_id: str, k: int) -> DataFrame:
     order = W.partitionBy(query_id).orderBy("distance", item_id)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class _Nearest:
+    """The ``k`` nearest items so far of each query of a block."""
+
+    def __init__(self, ids: list, vectors: list[np.ndarray], k: int):
+        if len({len(v) for v in vectors}) > 1:
+            raise ValueError(f"query vectors of sizes {sorted({len(v) for v in vectors})}")
+        self.ids, self.q, self.k = ids, np.stack(vectors), k
+        self.norms = (self.q**2).sum(1)
+        self.best: list[list[tuple]] = [[] for _ in ids]  # (distance, id is null, id)
+        self.limit = np.full(len(ids), np.inf)
+
+    def see(self, ids: list, x: np.ndarray) -> None:
+        if x.shape[1] != self.q.shape[1]:
+            raise ValueError(f"vectors of {x.shape[1]} values for queries of {self.q.shape[1]}")
+        norms = (x**2).sum(1)
+        for at in range(0, len(self.q), 512):
+            rows = slice(at, at + 512)
+            both = self.norms[rows, None] + norms[None, :]
+            # a product finds what may be near enough (its rounding error is allowed for), differences decide
+            near = both - 2 * (self.q[rows] @ x.T) - 1e-9 * both
+            limit = self.limit[rows]
+            if near.shape[1] > self.k:
+                limit = np.minimum(limit, np.partition(near + 2e-9 * both, self.k - 1, axis=1)[:, self.k - 1])
+            row, column = np.nonzero(near <= limit[:, None])
+            gaps = (x[column] - self.q[row + at]) ** 2
+            d = np.zeros(len(row))
+            for j in range(gaps.shape[1]):  # summed in order, as SQL does
+                d += gaps[:, j]
+            edges = np.searchsorted(row, np.arange(near.shape[0] + 1))
+            for i in range(near.shape[0]):
+                lo, hi = edges[i], edges[i + 1]
+                if lo < hi:
+                    found = [(v, ids[c] is None, ids[c]) for v, c in zip(d[lo:hi].tolist(), column[lo:hi].tolist(), strict=True)]
+                    best = sorted(self.best[at + i] + found, key=lambda f: f[:2] if f[1] else f)[: self.k]
+                    self.best[at + i] = best
+                    if len(best) == self.k:
+                        self.limit[at + i] = best[-1][0]
+
+    def rows(self):
+        for name, best in zip(self.ids, self.best, strict=True):
+            for d, _, i in best:
+                yield name, i, d
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    ends = np.cumsum(np.append(0, column.value_lengths().to_numpy(zero_copy_only=False)))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def knn(
     queries: DataFrame, items: DataFrame, vector: str, k: int = TOP_K, query_id: str = "query_id", item_id: str = "media_id",
-    filter_expr: str | None = None, prefilter: bool = True,
+    filter_expr: str | None = None, prefilter: bool = True, size: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``items`` of each query: query_id, rank, item_id, distance.
 
-    ``queries`` (query_id, query_vector), cut into blocks of QUERY_BLOCK. A task
-    compares its items with the blocks by matrix products and keeps its own k
-    best of each query, so k rows per task and query are shuffled.
+    ``queries``: query_id, query_vector. Blocks of queries meet parts of the items
+    in a grid; a task holds one block and streams one part, and returns its own k
+    best of each query. ``size`` is checked on both sides; without it, vectors of
+    different sizes are an error when they meet. ``filter_expr`` holds before
+    ranking, or of what was ranked (``prefilter`` false: fewer than k may remain).
     """
-    items = items.where(F.col(vector).isNotNull())
-    if filter_expr and prefilter:
-        items = items.where(F.expr(filter_expr))
-    left = queries.where(F.col("query_vector").isNotNull()).select(F.col(query_id), F.col("query_vector"))
-    blocks = max(1, -(-left.count() // QUERY_BLOCK))
-    parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = items.select(F.pmod(F.xxhash64(item_id), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("string").alias("q"), F.col(item_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = left.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("block"), F.col(query_id).cast("string").alias("q"), F.lit(None).cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v"))
-
-    def nearest(p: pd.DataFrame) -> pd.DataFrame:
-        own = p[p.q.notna()]
-        x = p[p.q.isna()]
-        out = []
-        if len(own) and len(x):
-            ids, vectors = x.id.to_numpy(np.int64), np.stack(x.v.to_numpy())
-            for name, q in zip(own.q, own.v, strict=True):
-                d = ((vectors - q) ** 2).sum(1)
-                near = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else _smallest(d, ids, k)
-                out += [(name, i, v) for i, v in zip(ids[near].tolist(), d[near].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["q", "id", "distance"])
-
-    best = rows.union(asked).groupBy("part", "block").applyInPandas(nearest, "q string, id long, distance double")
-    out = _ranked(best.withColumnRenamed("id", item_id).withColumnRenamed("q", query_id), query_id, item_id, k)
-    out = out.withColumn(query_id, F.col(query_id).cast(queries.schema[query_id].dataType))
+    if size is not None:
+        queries, items = validate_dimensions(queries, "query_vector", size), validate_dimensions(items, vector, size)
+    found = items.where(F.expr(filter_expr)) if filter_expr and prefilter else items
+    types = queries.schema[query_id].dataType, items.schema[item_id].dataType
+    null = [F.lit(None).cast(t) for t in types]
+    right = found.where(usable(F.col(vector))).select(null[0].alias("q"), F.col(item_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    left = queries.where(usable(F.col("query_vector"))).select(F.col(query_id).alias("q"), null[1].alias("i"), F.col("query_vector").cast("array<double>").alias("v"))
+    n, blocks = right.count(), max(1, -(-left.count() // QUERY_BLOCK))
+    busy = -(-2 * items.sparkSession.sparkContext.defaultParallelism // blocks)
+    parts = max(1, -(-n // MOST_PART), min(-(-n // LEAST_PART), busy))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    side = lambda rows, kind, part, block: rows.select(part.alias("part"), block.alias("block"), F.lit(kind).alias("kind"), "q", "i", "v")
+    rows = side(left, 0, every(parts), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).union(
+        side(right, 1, F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"), every(blocks))
+    )
+    schema = StructType([StructField("q", types[0]), StructField("i", types[1]), StructField("distance", DoubleType())])
+
+    def run(batches):
+        name, asked, nearest = None, ([], []), None
+
+        def results(arrow):
+            columns = list(zip(*nearest.rows(), strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*arrow, pa.float64()), strict=True)], ["q", "i", "distance"])
+
+        arrow = None
+        for b in batches:
+            arrow = b.schema.field("q").type, b.schema.field("i").type
+            unit = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            edges = np.append(0, np.append(np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, len(unit)))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                part, block, kind = unit[lo].tolist()
+                if (part, block) != name:
+                    if nearest:
+                        yield results(arrow)
+                    name, asked, nearest = (part, block), ([], []), None
+                run_of = b.slice(lo, hi - lo)
+                vectors = _vectors(run_of.column(5))
+                if kind == 0:
+                    asked[0].extend(run_of.column(3).to_pylist())
+                    asked[1].extend(vectors)
+                elif asked[0]:
+                    nearest = nearest or _Nearest(*asked, k)
+                    sizes = {len(v) for v in vectors}
+                    if len(sizes) > 1:
+                        raise ValueError(f"vectors of sizes {sorted(sizes)}")
+                    ids = run_of.column(4).to_pylist()
+                    for at in range(0, len(ids), 4096):
+                        nearest.see(ids[at : at + 4096], np.stack(vectors[at : at + 4096]))
+        if nearest:
+            yield results(arrow)
+
+    best = rows.repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(run, schema)
+    out = _ranked(best.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "distance"), query_id, item_id, k)
     if filter_expr and not prefilter:
-        out = out.join(items.where(F.expr(filter_expr)).select(item_id), item_id, "left_semi")
+        out = out.join(items.where(F.expr(filter_expr)).select(item_id).distinct(), item_id, "left_semi")
     return out.select(query_id, "rank", item_id, "distance")
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    kth = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= kth)  # all ties of the k-th
-    return near[np.lexsort((ids[near], d[near]))][:k]
-
-
 def knn_builtin(queries: DataFrame, items: DataFrame, vector: str, k: int = TOP_K, query_id: str = "query_id", item_id: str = "media_id") -> DataFrame:
-    """The same for a checked, small number of queries, by built-in expressions; more go to ``knn``."""
-    few = queries.limit(QUERY_BLOCK + 1)
-    if few.count() > QUERY_BLOCK:
+    """The same by built-in expressions, for query vectors of few bytes, which are broadcast; more go to ``knn``."""
+    asked = queries.where(usable(F.col("query_vector")))
+    if (asked.agg(F.sum(F.size("query_vector") * 8)).first()[0] or 0) > BROADCAST_BYTES:
         return knn(queries, items, vector, k, query_id, item_id)
-    pairs = items.where(F.col(vector).isNotNull()).join(F.broadcast(queries.where(F.col("query_vector").isNotNull())))
-    near = pairs.select(query_id, item_id, squared_l2(F.col(vector), F.col("query_vector")).alias("distance"))
-    return _ranked(near, query_id, item_id, k).select(query_id, "rank", item_id, "distance")
+    pairs = items.where(usable(F.col(vector))).join(F.broadcast(asked))
+    same = F.size(vector) == F.size("query_vector")
+    distance = F.when(same, squared_l2(F.col(vector), F.col("query_vector"))).otherwise(F.raise_error(F.lit("vectors of different sizes")).cast("double"))
+    return _ranked(pairs.select(query_id, item_id, distance.alias("distance")), query_id, item_id, k).select(query_id, "rank", item_id, "distance")
 
 
 def validate_search(queries: DataFrame) -> DataFrame:
@@ -101,18 +190,18 @@ def validate_search(queries: DataFrame) -> DataFrame:
     return queries.withColumn("error_code", F.when(~F.coalesce(ok, F.lit(False)), F.lit(400)))
 
 
-def _search(queries, media, source, vector, k, encoder):
+def _search(queries, media, source, vector, k, encoder, options):
     asked = queries.where(F.col(source).isNotNull() & (F.col(source) != "")).select("query_id", F.col(source).alias("input"))
     vectors = embed_table(asked, encoder).select("query_id", F.col("vector").alias("query_vector"))
-    found = knn(vectors, media, vector, k)
+    found = knn(vectors, media, vector, k, **options)
     return found.join(media.drop("multimodal_vector", "dino_vector"), "media_id")
 
 
-def search_by_text(queries: DataFrame, media: DataFrame, k: int = TOP_K, encoder: Callable = hash_encoder) -> DataFrame:
-    """Nearest media of text queries by the multimodal vector; no vectors in the output."""
-    return _search(queries, media, "query_text", "multimodal_vector", k, encoder)
+def search_by_text(queries: DataFrame, media: DataFrame, k: int = TOP_K, encoder: Callable = hash_encoder, **options) -> DataFrame:
+    """Nearest media of text queries by the multimodal vector; no vectors in the output. ``options``: those of ``knn`` (filter, size)."""
+    return _search(queries, media, "query_text", "multimodal_vector", k, encoder, options)
 
 
-def search_by_image(queries: DataFrame, media: DataFrame, k: int = TOP_K, encoder: Callable = hash_encoder) -> DataFrame:
+def search_by_image(queries: DataFrame, media: DataFrame, k: int = TOP_K, encoder: Callable = hash_encoder, **options) -> DataFrame:
     """Nearest media of image queries by the visual vector."""
-    return _search(queries, media, "query_image", "dino_vector", k, encoder)
+    return _search(queries, media, "query_image", "dino_vector", k, encoder, options)
