@@ -73,7 +73,9 @@ BLOCK = 256
 PIVOTS = 16
 RADIUS = 1 - NUM / DEN
 #: Neighbours from which on a node is hot: its neighbours aren't gathered in one place. At most 1 of HOT edges or rows has one.
-HOT = 1024
+HOT = 256
+#: Rows of a run that a task holds before it hands them on.
+HELD = 1 << 16
 #: Rows of 50 bytes up to which small tables of a large region are broadcast.
 SMALL = 200_000
 
@@ -273,11 +275,12 @@ def _clusters(batches):
     yield _table(cluster=pa.array(out[0], pa.int64()), member=pa.array(out[1], pa.int64()))
 
 
-def _runs(batches):
+def _runs(batches, held: int = HELD):
     """Rows (shingle, place, n, key) sorted by (shingle, n, key) to rows (pivot, member) of runs.
 
-    A run ends where the shingle changes or sizes differ too much; its pivot is its first member. Runs of two are
-    dropped if their first common shingle stands too late. A run may go on over any number of batches.
+    A run ends where the shingle changes or sizes differ too much; its pivot is its smallest member, of the first HELD
+    ones: so runs of one group mostly have the same. Runs of two are dropped if their first common shingle stands too
+    late. A run may go on over any number of batches.
     """
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64))
     rest, open_run, last = empty, None, None  # rows held back; pivot of a run that goes on; its last row
@@ -295,7 +298,7 @@ def _runs(batches):
         goes_on = open_run is not None and shingle[0] == last[0] and DEN * int(last[2]) >= NUM * int(n[0])
         at = np.flatnonzero(head)
         size = np.diff(np.append(at, len(key)))
-        pivot = np.repeat(key[at], size)
+        pivot = np.repeat(np.minimum.reduceat(key, at), size)
         keep = size > 1
         two = np.flatnonzero(size == 2)
         a = at[two]
@@ -307,7 +310,7 @@ def _runs(batches):
         rest = empty
         if not whole:  # the last run may go on
             lo = int(at[-1])
-            long = size[-1] > 2 or (goes_on and len(at) == 1)
+            long = size[-1] > held or (goes_on and len(at) == 1)
             if long:
                 keep[-1], open_run = True, int(pivot[-1])
                 last = tuple(x[-1] for x in (shingle, place, n, key))
@@ -641,7 +644,10 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     near = []
     if not big.isEmpty():
         large = cut(regions.join(big, "pivot").select(F.col("pivot").alias("region"), "member", "parent"))
-        near, more = by_pivots(large, cut(_sets(docs, points, large).dropDuplicates(["member"])), block)
+        sets = cut(_sets(docs, points, large))
+        if sets.count() > large.select("member").distinct().count():  # rows with one id and one text, or none
+            sets = cut(sets.dropDuplicates(["member"]))
+        near, more = by_pivots(large, sets, block)
         for m in more:
             cells = cells.union(m)
     heads = docs.select("text").mapInArrow(_heads(hot), "member long, n int, head binary")

@@ -1,7 +1,11 @@
 """Toxicity scores of whole texts (operator 1).
 
-A lexicon is learned from labelled documents: terms far more frequent in toxic
-ones. Texts are matched against it by Levenshtein automata of all terms at
+A lexicon is learned from labelled documents: words, and stems (a beginning of
+words with any ending, written with a star), that toxic ones have significantly
+more often. Near copies count once (they share the least hash of their word
+triples), a term must recur in both halves of the labelled texts, and the chances
+of all terms that could be this certain add up to ORDINARY at most. The lexicon
+has no other limit, nor have the words matched. Texts are matched against it by Levenshtein automata of all terms at
 once: the automata are intersected with the trie of the lexicon, and the
 product is made deterministic as words need it, so a word costs one lookup for
 each of its letters and dies at the first letter that no term can explain.
@@ -14,8 +18,9 @@ beside words that report speech it counts as quotation, beside words of address
 as abuse. A logistic model over the sums of direct, misspelled and quoted hits
 gives the score.
 
-The fit looks at LABELLED_ROWS labelled rows at most (by a hash of the id);
-scoring covers all rows and whole texts. Null and empty texts have no hits and
+The fit looks at LABELLED_ROWS labelled ids at most (by a hash of the id), and
+at one text of each (of repeated ids, the first in order); scoring covers all
+rows and whole texts, however long. Null and empty texts have no hits and
 get the score of such texts. Repeated rows are scored alike; labels that repeat
 count once, toxic if any of them is. Rows with null ids are scored, but can't be
 labelled. Without any toxic label the lexicon is empty and all scores are 0.
@@ -35,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Labelled rows that the fit looks at, at most.
+#: Labelled documents that the fit looks at, at most.
 LABELLED_ROWS = 20_000
-#: Share of toxic documents that have a term, at least: words of one group of copies stay below.
-COMMON = 0.015
-#: Terms of a lexicon, at most.
-MOST_TERMS = 1_000
+#: Ordinary words that may get into the lexicon by chance.
+ORDINARY = 1.0
+#: Letters of stems that are tried; a longer common beginning is found by its first ones.
+STEM = (3, 16)
+#: Longer words are matched, but not remembered.
+REMEMBERED = 64
 #: Words on either side of a hit that make its context.
 CONTEXT = 4
 THRESHOLD = 0.3
@@ -58,24 +65,26 @@ ADDRESS = frozenset("you your you're youre u ur are vous tu du ihr tú usted".sp
 class Automaton:
     """All words within a term's own distance of it, for all terms at once.
 
-    ``terms``: term to the largest edit distance at which it is still matched.
+    ``terms``: term to the largest edit distance at which it is still matched. Of
+    a stem ("abc*"), some beginning of the word must be within its distance.
     """
 
     def __init__(self, terms: dict[str, int]):
         self.children: list[dict[str, int]] = [{}]
         self.final: dict[int, str] = {}
+        self.stems: dict[int, str] = {}
         self.most = [0]  # largest distance of any term at or below a node
         for term, k in sorted(terms.items()):
             node = 0
             self.most[0] = max(self.most[0], k)
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], k)
-            self.final[node] = term
+            (self.stems if term.endswith("*") else self.final)[node] = term
         self.limits = dict(terms)
         self._reset()
 
@@ -83,7 +92,8 @@ class Automaton:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[tuple[str, int] | None] = []
+        self.accepts: list[tuple[int, str] | None] = []
+        self.begins: list[tuple[int, str] | None] = []
         self.start = self._state({0: 0})
 
     def _state(self, least: dict[int, int]) -> int:
@@ -103,8 +113,8 @@ class Automaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            found = [(e, self.final[n]) for n, e in key if n in self.final and e <= self.limits[self.final[n]]]
-            self.accepts.append(min(found)[::-1] if found else None)
+            for names, out in ((self.final, self.accepts), (self.stems, self.begins)):
+                out.append(min(((e, names[n]) for n, e in key if n in names and e <= self.limits[names[n]]), default=None))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -123,19 +133,25 @@ class Automaton:
         if len(self.sets) > 50_000:
             self._reset()
         state = self.start
+        best = self.begins[state] if state >= 0 else None
         for c in word:
-            steps = self.steps[state]
-            if c not in steps:
+            steps = self.steps[state] if state >= 0 else {}
+            if state >= 0 and c not in steps:
                 steps[c] = self._step(state, c)
-            state = steps[c]
+            state = steps.get(c, -1)
             if state < 0:
-                return None
-        return self.accepts[state]
+                break
+            if self.begins[state] and (best is None or self.begins[state] < best):
+                best = self.begins[state]
+        whole = self.accepts[state] if state >= 0 else None
+        found = min((x for x in (best, whole) if x), default=None)
+        return found and found[::-1]
 
 
 def reach(term: str) -> int:
     """Edit distance at which a term of this length may still be recognised."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    n = len(term.removesuffix("*"))
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 def core(token: str) -> str:
@@ -168,7 +184,7 @@ class Matcher(dict):
     def __missing__(self, token):
         word = core(token)
         found = None
-        if 2 < len(word) < 64:
+        if word:
             best = self.automaton.match(word)
             if not word.isalpha():
                 folded = self.automaton.match(word.translate(FOLD))
@@ -178,7 +194,8 @@ class Matcher(dict):
                 found = self.weights[best], best[1]
         if len(self) > 300_000:
             self.clear()
-        self[token] = found
+        if len(token) <= REMEMBERED:
+            self[token] = found
         return found
 
 
@@ -244,23 +261,74 @@ def log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float) -> floa
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
+def _group(tokens):
+    """Column: the least hash of a text's word triples (of its words, if it has fewer); near copies mostly share it."""
+    n = F.size(tokens)
+    triples = F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))
+    )
+    return F.array_min(triples)
+
+
+def surprise(toxic, clean, share):
+    """Column: a bound (Chernoff's) of how unlikely so many toxic ones among a word's texts are, as -log of the chance."""
+    n = toxic + clean
+    rate = toxic / n
+    rest = F.when(clean > 0, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    return F.when(rate > share, n * (rate * F.log(rate / share) + rest)).otherwise(0.0)
+
+
+def lexicon(rows):
+    """Of ``rows`` (word, bound, odds) those that say most: no term beside a stem of it, no stem beside a term that says as much."""
+    out, stems, begun = [], set(), set()
+    for r in sorted(rows, key=lambda r: (-r.bound, r.word.endswith("*"), -len(r.word), r.word)):
+        word = r.word.removesuffix("*")
+        starts = {word[:i] for i in range(1, len(word) + 1)}
+        if starts & stems or (r.word.endswith("*") and word in begun):
+            continue
+        out.append(r)
+        begun |= starts
+        if r.word.endswith("*"):
+            stems.add(word)
+    return out
+
+
 def fit_terms(labelled: DataFrame) -> Model:
     """A model without coefficients from labelled texts (text, toxic)."""
-    totals = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    n_toxic, n_clean = (float(x or 0) for x in totals)
-    if not n_toxic:
-        return Model({}, {})
+    tokens = F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "")
+    rows = labelled.select("toxic", tokens.alias("tokens")).select("toxic", "tokens", _group(F.col("tokens")).alias("group"))
     token = F.regexp_replace(F.col("token"), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
+    seen = rows.select("toxic", "group", F.explode(F.array_distinct("tokens")).alias("token")).select("toxic", "group", token.alias("word"))
+    stems = F.transform(
+        F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))),
+        lambda i: F.concat(F.substring("word", F.lit(1), i), F.lit("*")),
+    )
+    forms = F.when(F.length("word") > STEM[0], F.concat(F.array("word"), stems)).otherwise(F.array("word"))
+    terms = seen.where("word <> ''").distinct().select("toxic", "group", F.explode(forms).alias("word")).distinct()
+    half = (F.col("toxic") == 1) & (F.pmod("group", F.lit(2)) == 0)
     counts = cut(
-        labelled.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("token"))
-        .select("toxic", token.alias("word")).where("length(word) between 3 and 63")
-        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+        terms.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"), F.count_if(half).alias("even"))
     )
+    totals = rows.select("toxic", "group").distinct().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    n_toxic, n_clean = (float(x or 0) for x in totals)
+    if not n_toxic or not n_clean:
+        return Model({}, {})
+    share = n_toxic / (n_toxic + n_clean)
+    # a word of few texts can't be certain, so it isn't tried
+    sizes = counts.where("toxic > 0").groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("words")).collect()
+    tried, least = 0, None
+    for r in sorted(sizes, reverse=True):
+        if (tried + r.words) * share**r.n > ORDINARY:
+            break
+        tried, least = tried + r.words, r.n
+    if least is None:
+        return Model({}, {})
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    found = (
-        counts.where(F.col("toxic") >= max(3.0, COMMON * n_toxic)).withColumn("odds", odds).where("odds > 2.5")
-        .orderBy(F.desc("odds"), "word").limit(MOST_TERMS).collect()
-    )
+    bound = surprise(F.col("toxic"), F.col("clean"), share)
+    # the labelled texts bound how many words are this certain
+    certain = counts.where("even > 0 and even < toxic").withColumn("bound", bound).where(F.col("bound") > math.log(max(1, tried) / ORDINARY))
+    found = lexicon(certain.withColumn("odds", odds).where("odds > 2").select("word", "bound", "odds").collect())
+    words = counts.where("not endswith(word, '*')").select("word", "toxic", "clean")
     terms = {r.word: reach(r.word) for r in found}
     weights = {(r.word, 0): r.odds for r in found}
     # what forms at each distance of a term count, as far as the labelled texts have them
@@ -279,7 +347,7 @@ def fit_terms(labelled: DataFrame) -> Model:
             )
 
     seen = (
-        counts.mapInArrow(near, "term string, distance int, toxic long, clean long")
+        words.mapInArrow(near, "term string, distance int, toxic long, clean long")
         .groupBy("term", "distance").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
     )
     evidence = {(r.term, r.distance): log_odds(r.toxic, r.clean, n_toxic, n_clean) for r in seen}
@@ -314,12 +382,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return beta
 
 
-def fit_coefficients(model: Model, feats: DataFrame, chosen: DataFrame) -> Model:
-    """``model`` with coefficients from the features of the labelled documents (LABELLED_ROWS rows at most)."""
-    rows = feats.join(F.broadcast(chosen), "doc_id").select(*FEATURES, "toxic").toPandas()
-    y = rows.toxic.to_numpy(float)
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of labelled documents, one text for each id."""
+    # chosen has at most LABELLED_ROWS rows of 12 bytes
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
+    """A model from the labelled documents."""
+    labelled = cut(labelled_texts(docs, cut(training_labels(labels, rows))))
+    model = fit_terms(labelled.select("text", "toxic"))
+    found = features(labelled, model).join(labelled.select("doc_id", "toxic"), "doc_id").select(*FEATURES, "toxic").toPandas()  # LABELLED_ROWS rows
+    y = found.toxic.to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.coefficients = logistic(design(rows[list(FEATURES)].to_numpy(float)), y).tolist()
+        model.coefficients = logistic(design(found[list(FEATURES)].to_numpy(float)), y).tolist()
     return model
 
 
@@ -336,13 +413,8 @@ def score_column(model: Model):
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted."""
-    chosen = cut(training_labels(labels, rows))
-    # chosen has at most LABELLED_ROWS rows of 12 bytes
-    labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    model = fit_terms(labelled.select("text", "toxic"))
-    feats = cut(features(docs, model))
-    model = fit_coefficients(model, feats, chosen)
-    return feats.select("doc_id", held_out("doc_id").alias("held_out"), score_column(model).alias("score")).withColumn(
+    model = fit(docs, labels, rows)
+    return features(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), score_column(model).alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
 
@@ -352,11 +424,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows are scored where they are, without joins, so repeated and null ids are judged by their own text.
     """
-    chosen = cut(training_labels(labels))
-    labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    model = fit_terms(labelled.select("text", "toxic"))
-    # the fit looks at the features of labelled rows only
-    model = fit_coefficients(model, features(labelled, model), chosen)
+    model = fit(docs, labels)
     if not model.coefficients:
         return docs
     b, schema = np.array(model.coefficients), docs.schema

@@ -107,15 +107,21 @@ def test_runs_over_any_batches():
     r = random.Random(4)
     rows = sorted({(r.randrange(6), r.randrange(3), r.choice([5, 6, 10, 11, 40, 200]), r.randrange(30)) for _ in range(120)}, key=lambda x: (x[0], x[2], x[3]))
 
-    def run(step):
+    def run(step, held=10**6):
         cut = [rows[i : i + step] for i in range(0, len(rows), step)]
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], list("spnk")) for p in cut]
-        return sorted({x for b in jaccard._runs(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
+        return sorted({x for b in jaccard._runs(batches, held) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
 
     whole = run(10**6)
     assert whole
     for step in (1, 2, 3, 7, 50):
         assert run(step) == whole
+        # runs that are handed on early have another pivot, but the same members
+        early, groups = {}, {}
+        for rows_of, found in ((early, run(step, 2)), (groups, whole)):
+            for pivot, member in found:
+                rows_of.setdefault(member, set()).add(pivot)
+        assert early.keys() == groups.keys()
 
 
 def test_overlap_matrix():

@@ -25,6 +25,86 @@ def test_automaton_equals_edit_distance():
         assert auto.match(word) == (min(near)[::-1] if near else None), word
 
 
+def nearest(word, terms):
+    """The nearest term within its distance, by brute force; of stems, any beginning of the word counts."""
+    found = []
+    for t, k in terms.items():
+        starts = [word[:i] for i in range(len(word) + 1)] if t.endswith("*") else [word]
+        e = min(distance(x, t.removesuffix("*")) for x in starts)
+        found += [(e, t)] * (e <= k)
+    return min(found)[::-1] if found else None
+
+
+def test_stems_match_beginnings():
+    r = random.Random(4)
+    terms = {"".join(r.choice("abc") for _ in range(r.randrange(2, 7))) + r.choice(["", "*"]): r.randrange(2) for _ in range(12)}
+    auto = toxicity.Automaton(terms)
+    for _ in range(3000):
+        word = "".join(r.choice("abcd") for _ in range(r.randrange(10)))
+        assert auto.match(word) == nearest(word, terms), word
+
+
+def test_lexicon_prefers_what_says_most():
+    from types import SimpleNamespace as R
+
+    rows = [R(word=w, bound=b, odds=3.0) for w, b in (("abc*", 9.0), ("abcd", 5.0), ("abcx", 4.0), ("idiot", 8.0), ("idio*", 8.0), ("id*", 2.0), ("ab*", 7.0))]
+    assert [r.word for r in toxicity.lexicon(rows)] == ["abc*", "idiot"]
+
+
+def test_scores_equal_brute_force(spark):
+    """Lexicon, evidence, contexts and scores from their definitions, on texts without near copies."""
+    import math
+
+    import numpy as np
+
+    rows, labels = corpus(300)
+    toxic = dict(labels)
+    learn = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {}
+    for i, t in learn:
+        words = set(t.split())
+        for w in words | {w[:k] + "*" for w in words for k in range(3, min(16, len(w) - 1) + 1)}:
+            counts.setdefault(w, [0, 0])[1 - toxic[i]] += 1
+    n1 = sum(toxic[i] for i, _ in learn)
+    n0 = len(learn) - n1
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    share = n1 / (n1 + n0)
+    assert model.terms
+    for term in model.terms:
+        a, c = counts[term]
+        # texts that share their least triple count once, so a few counts are lower
+        assert abs(model.weights[term, 0] - math.log((a + 0.5) / (n1 + 1)) + math.log((c + 0.5) / (n0 + 1))) < 0.3
+        # the exact tail of the binomial distribution is below the bound
+        tail = sum(math.comb(a + c, k) * share**k * (1 - share) ** (a + c - k) for k in range(a, a + c + 1))
+        assert tail < 0.01
+    out = {r.doc_id: r.score for r in toxicity.score(docs, marks).collect()}
+    for i, t, _ in rows:
+        sums, hits = [0.0, 0.0], 0
+        words = t.split()
+        for k, w in enumerate(words):
+            found = nearest(w, model.terms)
+            weight = model.weights.get(found, 0) if found else 0
+            if weight > 0:
+                around = set(words[max(0, k - 4) : k] + words[k + 1 : k + 5])
+                assert not around & (toxicity.ADDRESS | toxicity.REPORTING)
+                sums[found[1] > 0] += weight
+                hits += 1
+        x = np.array([[sums[0], sums[1], 0.0, hits / (len(words) + 10.0)]])
+        z = (toxicity.design(x) @ np.array(model.coefficients))[0]
+        assert abs(out[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_very_long_texts_and_repeated_ids(spark):
+    rows, labels = corpus(200)
+    rows += [(3, "stoneingo " * 300_000 + "grubface snotling", "x"), (3, "x" * 2_000_000, "x"), (5, rows[0][1], "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.score(docs, marks).collect()
+    assert len(out) == len(rows)
+    assert len([r for r in out if r.doc_id == 3]) == 3
+
+
 def corpus(n=400):
     r = random.Random(5)
     common = [f"{a}{b}{c}" for a in ("stone", "river", "cloud") for b in ("ing", "est", "al") for c in ("o", "u", "er")]
