@@ -280,9 +280,11 @@ def _hash(s: str) -> int:
 
 
 ELEMENT, BLOCK, PAGE = 0, 1, 2
-TOKENS = (
-    "host string, page long, kind int, token long, parent long, times long, chars long, prose long, loose long, "
-    "whole_prose long, whole_loose long, rank int, depth int"
+_FIELDS = ("kind", "token", "parent", "times", "chars", "prose", "loose", "rank", "depth")
+_ARROW = [pa.int8(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int8(), pa.int16()]
+PAGES = (
+    "host string, page long, whole_prose int, whole_loose int, "
+    "tokens array<struct<kind:byte,token:long,parent:long,times:int,chars:int,prose:int,loose:int,rank:byte,depth:short>>"
 )
 
 
@@ -293,40 +295,44 @@ def _token(page: Page, owner: int, text: str | None = None) -> int:
 
 
 def _tokens(batches):
-    """Tokens of each page with how often they occur on it, and one row for the page itself; of a task's copies, the first.
+    """Each page's tokens with how often they occur on it; of a task's copies, the first.
 
-    The rank of an element is its own, that of a block 1 in a heading.
+    The rank of an element is its own, that of a block 1 in a heading. Depths beyond 30,000 count as that.
     """
     known = set()
     for b in batches:
-        rows = []
         if len(known) > 1_000_000:
             known.clear()
+        pages, ends, columns = [], [0], [[] for _ in _FIELDS]
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             key = _hash(source)
             if (host, key) in known:
                 continue
             known.add((host, key))
             page = parse(source)
-            whole = [sum(x) for x in zip((0, 0), *map(page.prose, range(len(page.blocks))))]
+            pages.append((host, key, *[sum(x) for x in zip((0, 0), *map(page.prose, range(len(page.blocks))))]))
             seen: dict[int, list] = {}
             for e in page.elements:
                 token = _hash(e.path)
-                row = seen.setdefault(token, [host, key, ELEMENT, token, _token(page, e.parent), 0, 0, 0, 0, *whole, 0 if e.dropped else e.rank, e.depth])
-                for i, v in enumerate((1, e.chars, e.prose, e.loose), 5):
+                row = seen.setdefault(token, [ELEMENT, token, _token(page, e.parent), 0, 0, 0, 0, 0 if e.dropped else e.rank, min(e.depth, 30_000)])
+                for i, v in enumerate((1, e.chars, e.prose, e.loose), 3):
                     row[i] += v
             for owner, text in page.blocks:
                 token = _token(page, owner, text)
                 depth = page.elements[owner].depth + 1 if owner >= 0 else 0
-                row = seen.setdefault(token, [host, key, BLOCK, token, _token(page, owner), 0, 0, 0, 0, 0, 0, int(page.heading(owner)), depth])
-                row[5] += 1
-                row[6] += len(text) if page.kept(owner) else 0
-            rows.extend(seen.values())
-            rows.append([host, key, PAGE, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0])
-        names = [c.split()[0] for c in TOKENS.split(", ")]
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 8, pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                row = seen.setdefault(token, [BLOCK, token, _token(page, owner), 0, 0, 0, 0, int(page.heading(owner)), min(depth, 30_000)])
+                row[3] += 1
+                row[4] += len(text) if page.kept(owner) else 0
+            for row in seen.values():
+                for c, v in zip(columns, row, strict=True):
+                    c.append(v)
+            ends.append(len(columns[0]))
+        tokens = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW, strict=True)], _FIELDS)
+        host, key, prose, loose = list(zip(*pages, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(prose, pa.int32()), pa.array(loose, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)],
+            ["host", "page", "whole_prose", "whole_loose", "tokens"],
+        )
 
 
 @dataclass
@@ -440,7 +446,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
 
     ``pages`` has host and html; pages stay where they are, their tokens are shuffled.
     """
-    tokens = pages.where("host <> ''").select("host", "html").mapInArrow(_tokens, TOKENS).dropDuplicates(["host", "page", "kind", "token"])
+    single = pages.where("host <> ''").select("host", "html").mapInArrow(_tokens, PAGES).dropDuplicates(["host", "page"])
+    itself = F.struct(*[F.lit(PAGE if f == "kind" else 1 if f == "times" else 0).cast(t).alias(f) for f, t in zip(_FIELDS, ("byte", "long", "long", *["int"] * 4, "byte", "short"), strict=True)])
+    tokens = single.select("host", "page", "whole_prose", "whole_loose", F.inline(F.concat("tokens", F.array(itself))))
     # two sums of 31 bits stand for a token's occurrence vector
     seen = F.xxhash64("page", "times")
     part = lambda k: F.sum(F.pmod(F.shiftrightunsigned(seen, 31 * k), F.lit(1 << 31)))
