@@ -3,9 +3,12 @@
 The automaton accepts every run of words of the license templates. Texts are
 streamed through it once: at each word it gives the longest run that ends there
 and is in some template (matching statistics). Runs of MIN_MATCH words or more
-that go no further are matches; for each template they are chained in the order
-of both text and template, and a chain that covers enough of its template is a
-span with the template's label.
+that go no further are matches, at every place of a template where they stand. Of
+each template's matches, the best chain (most words covered, in the order of both
+text and template, without wide gaps) is found by dynamic programming; if it
+covers enough of its template it is a span with the template's label, and the
+rest of the text is chained again. Matches beyond a gap of GAP words are chained
+on their own, so long texts cost no more a word.
 
 Only stretches of words that templates know are streamed: a word outside their
 vocabulary sends the automaton to its start anyway. Words are compared by 64-bit
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbuf
+from .license_texts import TEMPLATES
 
 #: Phrase to label (fixed values).
 PHRASES = {
@@ -40,59 +44,18 @@ COVER = 0.6
 #: Words between matches of a chain, in text and in template, at most.
 GAP = 60
 
-#: Template name, label and text (fixed values: public license texts and notices).
-TEMPLATES = [
-    ("mit-grant", "mit", """
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-this permission notice shall be included in all copies or substantial portions of the Software."""),
-    ("mit-notice", "mit", "released under the MIT license"),
-    ("mit-notice-2", "mit", "licensed under the MIT license"),
-    ("apache-header", "apache-2", """
-Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
-License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
-applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
-WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
-governing permissions and limitations under the License."""),
-    ("apache-notice", "apache-2", "licensed under the Apache License, Version 2.0"),
-    ("bsd-conditions", "bsd", """
-Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
-conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
-list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution."""),
-    ("gpl-header", "gpl", """
-This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
-details."""),
-    ("gpl-notice", "gpl", "licensed under the GNU General Public License"),
-    ("mpl-notice", "mpl-2", """
-This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
-distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
-    ("cc-by-nc-notice", "cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by-nc-title", "cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"),
-    ("cc-by-sa-title", "cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"),
-    ("cc-by-title", "cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("all-rights", "all-rights-reserved", "all rights reserved"),
-]
-
-
 def tokens(text: str) -> list[int]:
     """Word hashes of one text."""
     return [h for w in textbuf.slices(pa.array([text]), textbuf.ALNUM) for h in w.hashes.tolist()]
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences; ``ends``: state to {sequence: position behind a first occurrence}."""
+    """Generalised suffix automaton of word sequences; ``ends``: state to {sequence: positions behind all occurrences}."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for words in sequences:
             last = 0
             for w in words:
@@ -102,7 +65,7 @@ class SuffixAutomaton:
             for i, w in enumerate(words):
                 state = up = self.next[state][w]
                 while up > 0:
-                    self.ends[up].setdefault(k, i + 1)
+                    self.ends[up].setdefault(k, []).append(i + 1)
                     up = self.link[up]
 
     def _new(self, length, following, link):
@@ -152,6 +115,47 @@ class SuffixAutomaton:
         return out
 
 
+def apart(matches: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Sorted matches (text position, template position, length) cut where the text has a gap of more than GAP words."""
+    out, end = [], None
+    for m in matches:
+        if end is None or m[0] - end > GAP:
+            out.append([])
+            end = m[0]
+        out[-1].append(m)
+        end = max(end, m[0] + m[2])
+    return out
+
+
+def best_chain(matches: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Words that the best chain of sorted matches covers, and its matches.
+
+    A match may follow one that begins before it in text and template and ends before it does, at most GAP words
+    behind its end in both; where they overlap, words count once.
+    """
+    covered, before, first = [], [], 0
+    longest = max((n for _, _, n in matches), default=0)
+    for i, (at, place, n) in enumerate(matches):
+        best, last = n, -1
+        while matches[first][0] + longest + GAP < at:
+            first += 1
+        for j in range(first, i):
+            a, p, m = matches[j]
+            over = max(0, a + m - at, p + m - place)
+            if a < at and p < place and over < n and at - a - m <= GAP and place - p - m <= GAP and covered[j] + n - over > best:
+                best, last = covered[j] + n - over, j
+        covered.append(best)
+        before.append(last)
+    if not matches:
+        return 0, []
+    i = max(range(len(matches)), key=lambda k: (covered[k], -k))
+    most, chain = covered[i], []
+    while i >= 0:
+        chain.append(matches[i])
+        i = before[i]
+    return most, chain[::-1]
+
+
 @dataclass
 class Scanner:
     """Templates ready for scanning."""
@@ -171,38 +175,30 @@ class Scanner:
         """(template, text position, template position, length) of the matches in a stretch of known words."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in self.automaton.matches(words):
-            for k, behind in self.automaton.ends[state].items():
+            for k, places in self.automaton.ends[state].items():
                 if n >= min(MIN_MATCH, len(self.sequences[k])):
-                    found.setdefault(k, []).append((first + end - n, behind - n, n))
+                    found.setdefault(k, []).extend((first + end - n, behind - n, n) for behind in places)
         return [(k, *m) for k, ms in found.items() for m in ms]
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, int, float]]:
         """Matches chained to (label, first word, behind the last word, words covered, share of the template covered)."""
         out = []
-        for k in sorted({m[0] for m in matches}):
+        of_template: dict[int, list[tuple[int, int, int]]] = {}
+        for k, *m in matches:
+            of_template.setdefault(k, []).append(tuple(m))
+        for k, found in sorted(of_template.items()):
             size = len(self.sequences[k])
-            chain: list[tuple[int, int, int]] = []
-
-            def close(chain=chain, k=k, size=size):
-                covered = sum(n for _, _, n in chain)
-                if covered >= COVER * size and (size >= 2 * MIN_MATCH or covered == size):
-                    out.append((self.templates[k][1], chain[0][0], chain[-1][0] + chain[-1][2], covered, covered / size))
-                chain.clear()
-
-            for _, at, place, n in sorted(m for m in matches if m[0] == k):
-                if chain:
-                    end, behind = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
-                    cut = max(0, end - at, behind - place)  # matches may overlap in either
-                    if cut >= n and at < end:
+            for part in apart(sorted(found)):
+                todo = [part]
+                while todo:
+                    left = todo.pop()
+                    covered, chain = best_chain(left)
+                    if not chain or covered < COVER * size or (size < 2 * MIN_MATCH and covered < size):
                         continue
-                    at, place, n = at + cut, place + cut, n - cut
-                    if n <= 0 or at - end > GAP or place - behind > GAP:
-                        close()
-                        at, place, n = at - cut, place - cut, n + cut
-                chain.append((at, place, n))
-            if chain:
-                close()
-        return out
+                    start, stop = chain[0][0], chain[-1][0] + chain[-1][2]
+                    out.append((self.templates[k][1], start, stop, covered, covered / size))
+                    todo += [[m for m in left if m[0] + m[2] <= start], [m for m in left if m[0] >= stop]]
+        return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
     def scan(self, w: textbuf.Words):
         """Of each text of a slice: words, places of phrases, labels of phrases, spans."""
