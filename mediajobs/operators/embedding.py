@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 #: Limits (fixed values).
 CLIP, CHUNK, OVERLAP = 8192, 1024, 128
 #: Token counts up to which a bucket reaches, and its batch size; the last holds the rest.
@@ -91,11 +93,14 @@ def bucket_of(n: Column) -> Column:
 
 
 def length_bucket_batches(items: DataFrame) -> DataFrame:
-    """``items`` (model, arrival, n_tokens) with bucket and batch: first in, first out within model and bucket."""
+    """``items`` (model, arrival, n_tokens) with bucket and batch: first in, first out within model and bucket.
+
+    Models and buckets are few and hold any share of the items, so places are sums over slices of arrival.
+    """
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     size = F.element_at(F.array(*[F.lit(s) for _, s in BUCKETS]), bucket_of(n) + 1)
-    place = F.row_number().over(W.partitionBy("model", "bucket").orderBy("arrival"))
-    return items.withColumn("bucket", bucket_of(n)).withColumn("batch", F.floor((place - 1) / size))
+    placed = numbered(items.withColumn("bucket", bucket_of(n)), ["model", "bucket"], "arrival", "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def mean_pool(hidden: Column, mask: Column) -> Column:

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.jsonpath import as_array, as_string, bound, falsy, is_array, is_object, path_eval
+from ..functions.numbering import numbered
 from ..functions.text import clean_caption, coerce_page, join_stripped
 
 #: Keys that never leave a sanitised payload (fixed values; compared case-insensitively).
@@ -188,8 +188,16 @@ def assemble_document(parsed_raw: DataFrame, m: Mapping = Mapping()) -> DataFram
 
 
 def content_list(archives: DataFrame) -> DataFrame:
-    """Items of content lists: ``archives`` (document_id, content_list JSON string) to document_id, pos, item, page_idx."""
-    items = archives.select("document_id", F.posexplode(as_array(F.parse_json("content_list"))).alias("pos", "item"))
+    """Items of content lists: ``archives`` (document_id, content_list JSON string) to document_id, pos, item, page_idx, type."""
+    return _typed(archives.select("document_id", F.posexplode(as_array(F.parse_json("content_list"))).alias("pos", "item")))
+
+
+def content_items(rows: DataFrame) -> DataFrame:
+    """The same of items that are rows already: document_id, pos (a number in their order), item (JSON string)."""
+    return _typed(rows.select("document_id", "pos", F.parse_json("item").alias("item")))
+
+
+def _typed(items: DataFrame) -> DataFrame:
     return items.withColumn("page_idx", F.coalesce(F.try_variant_get("item", "$.page_idx", "int"), F.lit(1))).withColumn(
         "type", F.coalesce(F.try_variant_get("item", "$.type", "string"), F.lit(""))
     )
@@ -205,8 +213,7 @@ def content_list_pages(items: DataFrame) -> DataFrame:
         F.min("pos").alias("first"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("text"),
     )
-    place = F.row_number().over(W.partitionBy("document_id").orderBy("first"))
-    return rows.select("document_id", place.alias("ordinal"), F.col("page_idx").alias("page_number"), "text")
+    return numbered(rows, ["document_id"], "first", "ordinal").select("document_id", "ordinal", F.col("page_idx").alias("page_number"), "text")
 
 
 def _first_truthy(item: Column, *keys: str) -> Column:
@@ -216,10 +223,9 @@ def _first_truthy(item: Column, *keys: str) -> Column:
 def content_list_figures(items: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Image items, numbered; ``files`` (document_id, path, content binary) gives their bytes as base64."""
     item = F.col("item")
-    number = F.row_number().over(W.partitionBy("document_id").orderBy("pos"))
-    out = items.where("type = 'image'").select(
+    out = numbered(items.where("type = 'image'"), ["document_id"], "pos").select(
         "document_id",
-        number.cast("string").alias("figure_number"),
+        F.col("place").cast("string").alias("figure_number"),
         clean_caption(_first_truthy(item, "image_caption", "img_caption", "caption")).alias("caption"),
         F.col("page_idx").alias("page"),
         F.coalesce(F.try_variant_get(item, "$.img_path", "string"), F.lit("")).alias("img_path"),
@@ -232,11 +238,10 @@ def content_list_figures(items: DataFrame, files: DataFrame | None = None) -> Da
 
 def content_list_tables(items: DataFrame) -> DataFrame:
     item = F.col("item")
-    number = F.row_number().over(W.partitionBy("document_id").orderBy("pos"))
     body = as_string(_first_truthy(item, "table_body", "text", "markdown"))
-    return items.where("type = 'table'").select(
+    return numbered(items.where("type = 'table'"), ["document_id"], "pos").select(
         "document_id",
-        number.cast("string").alias("table_number"),
+        F.col("place").cast("string").alias("table_number"),
         clean_caption(_first_truthy(item, "table_caption", "caption")).alias("caption"),
         F.col("page_idx").alias("page"),
         F.coalesce(body, F.lit("")).alias("markdown"),

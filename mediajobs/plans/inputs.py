@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
+import zipfile
+
+import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def seconds(ts):
     """Epoch seconds of a timestamp without time zone, as double."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / 1e6
@@ -23,10 +35,11 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = lambda i: F.element_at(F.array(*[F.lit(x) for x in LABELS]), i % len(LABELS) + 1)
     pairs = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     pick = lambda k, f: F.transform(F.filter(pairs, lambda p: p["i"] % 6 == k), f)
-    blocks = F.transform(pairs, lambda p: F.struct(label(p["i"]).alias("type"), p["x"].alias("content"), (p["i"] % 4).cast("string").alias("page")))
-    figures = pick(3, lambda p: F.struct(F.when(p["i"] % 2 == 0, F.concat(F.lit("f"), p["i"].cast("string"))).alias("id"), F.lit("").alias("image"), p["x"].alias("img"), p["i"].alias("page")))
-    tables = pick(2, lambda p: F.struct(p["x"].alias("content"), (-p["i"]).alias("page")))
-    pages = pick(0, lambda p: F.struct(F.when(p["i"] % 12 == 0, p["i"] + 100).alias("page_number"), p["x"].alias("text")))
+    box = lambda p: F.when(p["i"] % 3 == 0, F.array(F.lit(0), p["i"], p["i"] + 1, p["i"] * 2))
+    blocks = F.transform(pairs, lambda p: F.struct(label(p["i"]).alias("type"), p["x"].alias("content"), (p["i"] % 4).cast("string").alias("page"), box(p).alias("bbox")))
+    figures = pick(3, lambda p: F.struct(F.when(p["i"] % 2 == 0, F.concat(F.lit("f"), p["i"].cast("string"))).alias("id"), F.lit("").alias("image"), p["x"].alias("img"), p["i"].alias("page"), box(p).alias("bbox"), F.concat(F.lit("c"), p["i"].cast("string")).alias("caption"), F.lit("").alias("ocr_text"), p["x"].alias("ocr")))
+    tables = pick(2, lambda p: F.struct(p["x"].alias("content"), (-p["i"]).alias("page"), F.concat(F.lit("t"), p["i"].cast("string")).alias("caption"), F.concat(F.lit("<td>"), p["x"]).alias("html")))
+    pages = pick(0, lambda p: F.struct(F.when(p["i"] % 12 == 0, p["i"] + 100).alias("page_number"), p["x"].alias("text"), (p["i"] / 2).alias("width"), F.when(p["i"] % 4 == 0, p["i"] + 1).alias("height")))
     text = F.coalesce("text", F.lit(""))
     body = F.struct(text.alias("markdown"), blocks.alias("blocks"), figures.alias("figures"), tables.alias("tables"), pages.alias("pages"))
     nested = F.struct(F.lit("").alias("markdown"), F.array().cast("array<string>").alias("blocks"), body.alias("data"))
@@ -41,22 +54,59 @@ l AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(string_split(coalesc
 
 
 def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, content_list: turns of a conversation as text, image and table items."""
+    """document_id, pos, item: turns of a conversation as text, image and table items, one row each."""
     rows = table(spark, sf_dir, "conversations")
     kind = F.when(F.col("turn") % 4 == 1, "image").when(F.col("turn") % 4 == 2, "table").when(F.col("role") == "system", "title").otherwise("text")
-    item = F.struct(
-        "turn",
-        F.to_json(
-            F.struct(
-                kind.alias("type"), (F.floor(F.col("turn") / 3) + 1).alias("page_idx"), F.col("text"),
-                F.when(kind == "image", F.array(F.concat(F.lit(" "), "role"), F.lit(" "), "text")).alias("image_caption"),
-                F.when(kind == "table", F.concat(F.col("role"), F.lit("  "))).alias("caption"),
-            )
-        ).alias("j"),
+    item = F.to_json(
+        F.struct(
+            kind.alias("type"), (F.floor(F.col("turn") / 3) + 1).alias("page_idx"), F.col("text"),
+            F.when(kind == "image", F.array(F.concat(F.lit(" "), "role"), F.lit(" "), "text")).alias("image_caption"),
+            F.when(kind == "table", F.concat(F.col("role"), F.lit("  "))).alias("caption"),
+        )
     )
-    return rows.groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(
-        F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["j"]), ","), F.lit("]")).alias("content_list")
-    )
+    return rows.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("pos"), item.alias("item"))
+
+
+#: Turns of one payload: no payload holds a whole conversation, however long.
+TURNS = 64
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, content: a ZIP archive of each document, with its lines as content list and one other file."""
+
+    def run(batches):
+        for b in batches:
+            for name, text in zip(b.document_id, b.text, strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("auto/a.md" if len(name) % 2 else "full.md", text)
+                    z.writestr("b.md", "not this one")
+                    z.writestr("auto/x_content_list.json", json.dumps([{"type": "text", "text": line} for line in text.split("\n")]))
+                    z.writestr("images/1.png", text[:10].encode())
+                yield pd.DataFrame([{"document_id": name, "content": out.getvalue()}])
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.mapInPandas(run, "document_id string, content binary")
+
+
+def provider_yaml(spark: SparkSession, sf_dir: str) -> str:
+    """A provider file with an entry for each nation (a dimension table of 25 rows)."""
+    entries = {}
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        p = {"driver": ("http", "command", "cli")[r.n_nationkey % 3], "enabled": r.n_nationkey % 5 != 0, "capabilities": ["pdf", "ocr"][: r.n_regionkey % 3]}
+        if r.n_nationkey % 2:
+            p |= {"location": "local", "priority": r.n_regionkey * 10, "timeout_seconds": 30, "command": r.n_name.lower()}
+        entries[r.n_name] = p
+    return yaml.safe_dump({"providers": entries}, sort_keys=False)
+
+
+def model_yaml(spark: SparkSession, sf_dir: str) -> str:
+    """A model file with an entry for each region (a dimension table of 5 rows)."""
+    entries = {}
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        m = {"type": "embedding" if r.r_regionkey % 2 else "rerank", "max_length": 100 * r.r_regionkey}
+        entries[r.r_name] = m | ({"model_id": f"served-{r.r_regionkey}", "preferred_device": "CPU"} if r.r_regionkey > 2 else {})
+    return yaml.safe_dump({"models": entries}, sort_keys=False)
 
 
 def providers(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedding, images, ingest, models, rerank, search
-from .inputs import table
+from ..sources import tables
+from .inputs import TURNS, shared_path, table
 
 MODELS = """
 SELECT * FROM VALUES ('bge', 'embedding', CAST(NULL AS STRING), CAST(NULL AS STRING)), ('ir', 'embedding', 'pooled_ir', 'query: '),
@@ -80,16 +81,8 @@ def length_bucket_batches(spark, sf):
 
 
 def pad_batch(spark, sf):
-    return _padded(_tokens(spark, sf).withColumn("ids", F.slice("ids", 1, 20)))
-
-
-def pad_batch_all(spark, sf):
     """Whole texts, none of their tokens left out."""
-    return _padded(_tokens(spark, sf))
-
-
-def _padded(tokens):
-    t = tokens.withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
+    t = _tokens(spark, sf).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     p = embedding.pad_batch(t.withColumn("batch_id", F.floor(F.col("text_id") / 8)))
     return p.select("text_id", "batch_id", F.size("ids").alias("n"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
@@ -106,8 +99,10 @@ def batch_stats(spark, sf):
 
 
 def normalize_embed_input(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("inputs"))
-    return embedding.normalize_embed_input(c.withColumnRenamed("conv_id", "request_id"))
+    """A request for each TURNS turns of a conversation."""
+    part = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / TURNS)).alias("request_id")
+    c = table(spark, sf, "conversations").groupBy(part).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("inputs"))
+    return embedding.normalize_embed_input(c)
 
 
 def _requests(spark, sf):
@@ -182,6 +177,16 @@ def image_to_tensor(spark, sf):
     return t.select("vec_id", F.size("t").alias("n"), F.round(F.array_min("t"), 3).alias("least"), F.round(F.array_max("t"), 3).alias("most"))
 
 
+def image_to_tensor_same_size(spark, sf):
+    """The same images at their own size: scaled and normalised only."""
+    px = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int")), 2, "0")), ""))
+    v = table(spark, sf, "embeddings").select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), px.alias("data")).alias("image"))
+    t = v.select("vec_id", images.image_to_tensor(F.col("image"), 8).alias("t")).select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("channel"), "t")
+    t = t.select("vec_id", "channel", F.slice("t", F.col("channel") * 64 - 63, 64).alias("t"))
+    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return t.select("vec_id", "channel", *[F.round(f("t").cast("double"), 3).alias(n) for f, n in ((F.array_min, "least"), (F.array_max, "most"))], F.round(total, 2).alias("total"))
+
+
 def _figures(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
@@ -264,24 +269,61 @@ def validate_search(spark, sf):
 
 
 def search_by_text(spark, sf):
-    return search.search_by_text(_queries(spark, sf), _media(spark, sf), 5).select("query_id", "rank", "media_id", "lang")
+    found = search.search_by_text(_queries(spark, sf), _media(spark, sf), 5, size=16)
+    return found.select("query_id", "rank", "media_id", "lang", F.round("distance", 6).alias("distance"))
 
 
 def search_by_image(spark, sf):
-    return search.search_by_image(_queries(spark, sf), _media(spark, sf), 5).select("query_id", "rank", "media_id", "lang")
+    found = search.search_by_image(_queries(spark, sf), _media(spark, sf), 5, size=16)
+    return found.select("query_id", "rank", "media_id", "lang", F.round("distance", 6).alias("distance"))
+
+
+def search_ingested(spark, sf):
+    """Figures ingested, written, read again, and searched by text among the odd ones: the ids are those of the records."""
+    figures = _figures(spark, sf)
+    h = _hashed(spark, sf).groupBy("hash").agg(F.min("image").alias("input"))
+    vectors = models.embed_table(h).select("hash", F.lit("clip").alias("model"), "vector")
+    records, _ = ingest.ingest(figures, _stored(spark, sf), vectors, "clip", "dinov3", (16, 16), 0.0)
+    root = shared_path(spark, "media")
+    tables.write_media(records, root, (16, 16))
+    media = tables.read_media(spark, root, (16, 16)).withColumn("odd", F.expr("cast(substring(source_native_id, 2) as long) % 2"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = search.search_by_text(asked, media, 5, size=16, filter_expr="odd = 1")
+    return found.select("query_id", "rank", "media_id", F.round("distance", 6).alias("distance"))
+
+
+def _written(spark, sf):
+    """The media table after two appends."""
+    records, _ = _ingest(spark, sf)
+    root = shared_path(spark, "media")
+    for half in ("hash < '8'", "hash >= '8'"):
+        tables.write_media(records.where(half), root, (2, 2))
+    return tables.read_media(spark, root, (2, 2))
 
 
-def _candidates(spark, sf):
-    """Documents as candidates of benchmark items, dealt by id; every third as JSON."""
-    d = table(spark, sf, "documents").where("doc_id % 4 = 0 or doc_id % 80 < 12")
-    return d.select((F.floor(F.col("doc_id") / 16) % 40).alias("query_id"), F.col("doc_id").alias("pos"), _document().alias("document"))
+def write_media(spark, sf):
+    media = _written(spark, sf)
+    whole = F.array_join(F.transform("multimodal_vector", lambda x: x.cast("int").cast("string")), ",")
+    return media.select("media_id", "source_native_id", "hash", whole.alias("multimodal"), "created_at", "embedding_model", F.lit(tables.media_count(media)).alias("stored"))
+
+
+def media_get(spark, sf):
+    """Records of even figures looked up by id, many at once; the first of them also on its own, by id and by hash."""
+    media = _written(spark, sf)
+    ids = media.where("cast(substring(source_native_id, 2) as long) % 2 = 0").select("media_id")
+    found = tables.media_get_many(media, ids).select("media_id", "hash")
+    one = found.orderBy("media_id").first()
+    if one:
+        alone = [tables.media_get_by_id(media, one.media_id), tables.media_get_by_hash(media, one.hash)]
+        found = found.where(F.col("media_id") != one.media_id).union(alone[0].select("media_id", "hash").intersect(alone[1].select("media_id", "hash")))
+    return found.select("media_id", "hash", F.lit(found.count()).alias("found"))
 
 
 def _document():
     return F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("source").alias("title"), F.col("text"), F.col("n_chars").alias("year")))).otherwise(F.col("text"))
 
 
-def _all_candidates(spark, sf):
+def _candidates(spark, sf):
     """All documents as candidates, 16 a query: the number of queries grows with the table."""
     d = table(spark, sf, "documents")
     return d.select(F.floor(F.col("doc_id") / 16).alias("query_id"), F.col("doc_id").alias("pos"), _document().alias("document"))
@@ -309,10 +351,6 @@ def truncate_candidates(spark, sf):
     return _capped(spark, sf).select("query_id", "pos", F.length("text").alias("n"), "truncated")
 
 
-def _rerank_queries(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 4).cast("int").alias("top_n"))
-
-
 def rerank_score(spark, sf):
     pairs = _capped(spark, sf).join(_rerank_queries(spark, sf), "query_id")
     return models.rerank_score(pairs).select("query_id", "pos", "score")
@@ -333,48 +371,24 @@ def rerank_meta(spark, sf):
     return rerank.rerank_meta(_rerank_queries(spark, sf), _capped(spark, sf))
 
 
-def _all_rerank_queries(spark, sf):
+def _rerank_queries(spark, sf):
     """A query for each id of candidates and each benchmark item; texts of items by place, in turn."""
     b = table(spark, sf, "benchmark")
-    ids = _all_candidates(spark, sf).select("query_id").union(b.select("item_id")).distinct()
+    ids = _candidates(spark, sf).select("query_id").union(b.select("item_id")).distinct()
     n = b.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     q = ids.crossJoin(F.broadcast(n)).withColumn("item_id", F.pmod("query_id", "n"))  # one row
     return q.join(b.select("item_id", F.col("text").alias("query")), "item_id").select("query_id", "query", (F.col("query_id") % 4).cast("int").alias("top_n"))
 
 
-def extract_document_text_all(spark, sf):
-    return _all_candidates(spark, sf).select("pos", rerank.extract_document_text(F.col("document")).alias("text"))
-
-
-def cap_candidates_all(spark, sf):
-    return rerank.cap_candidates(_all_candidates(spark, sf)).select("query_id", "pos", "total")
-
-
-def truncate_candidates_all(spark, sf):
-    return _truncated(_all_candidates(spark, sf)).select("query_id", "pos", F.length("text").alias("n"), "truncated")
-
-
-def rerank_score_all(spark, sf):
-    pairs = _truncated(_all_candidates(spark, sf)).join(_all_rerank_queries(spark, sf), "query_id")
-    return models.rerank_score(pairs).select("query_id", "pos", "score")
-
-
-def rerank_topn_all(spark, sf):
-    scored = _all_candidates(spark, sf).select("query_id", "pos", (F.col("pos") % 7).cast("double").alias("score"))
-    return rerank.rerank_topn(scored, _all_rerank_queries(spark, sf)).select("query_id", "pos", "rank")
-
-
-def rerank_meta_all(spark, sf):
-    return rerank.rerank_meta(_all_rerank_queries(spark, sf), _truncated(_all_candidates(spark, sf)))
-
-
 _NAMES = """knn_multimodal knn_visual filtered_search knn_builtin validate_dimensions chunk_tokens build_chunk_instances tokenize
 length_bucket_batches pad_batch embedding_usage batch_stats normalize_embed_input route_embedding apply_query_prefix mean_pool decode_predictions
 l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing dedup_within_batch
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
-truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta extract_document_text_all cap_candidates_all
-truncate_candidates_all rerank_score_all rerank_topn_all rerank_meta_all pad_batch_all""".split()
+truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta image_to_tensor_same_size write_media media_get search_ingested""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
+#: Names that these queries had beside narrower ones; both are the whole tables' now.
+_ALL = "extract_document_text cap_candidates truncate_candidates rerank_score rerank_topn rerank_meta pad_batch".split()
+QUERIES |= {f"{name}_all": QUERIES[name] for name in _ALL}
 
 _KNN = """
 WITH v AS (SELECT vec_id AS media_id, label, {v} AS x FROM embeddings),
@@ -394,14 +408,25 @@ st AS (SELECT hash FROM h WHERE doc_id % 10 = 0),
 first AS (SELECT * FROM h WHERE hash NOT IN (SELECT hash FROM st) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o) = 1)
 """
 _BATCHES = "b AS (SELECT *, (row_number() OVER (PARTITION BY model, bucket ORDER BY text_id) - 1) // (CASE bucket WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END) AS batch FROM n)"
-_CAND = """c AS (SELECT (doc_id // 16) % 40 AS query_id, doc_id AS pos, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN source || ' ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || ' ' || n_chars ELSE text END, '^\\s+|\\s+$', '', 'g') AS text
-      FROM documents WHERE doc_id % 4 = 0 OR doc_id % 80 < 12),
-k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8)
-""".replace("\\\\", "\\")
-
-_CAND_ALL = _CAND.replace("(doc_id // 16) % 40", "doc_id // 16").replace("\n      FROM documents WHERE doc_id % 4 = 0 OR doc_id % 80 < 12", "\n      FROM documents") + """,
+_CAND = r"""c AS (SELECT doc_id // 16 AS query_id, doc_id AS pos, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN source || ' ' || regexp_replace(text, '^\s+|\s+$', '', 'g') || ' ' || n_chars ELSE text END, '^\s+|\s+$', '', 'g') AS text
+      FROM documents),
+k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8),
 q AS (SELECT i.query_id, b.text FROM (SELECT query_id FROM c UNION SELECT item_id FROM benchmark) i JOIN benchmark b ON b.item_id = i.query_id % (SELECT count(*) FROM benchmark))
 """
+#: The hash encoder's vectors of texts ``t`` (id, text, ...), as x.
+_ENCODED = r"""
+h AS (SELECT *, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16) AS hs FROM t),
+n AS (SELECT *, list_transform(range(0, 16), lambda k: len(list_filter(hs, lambda y: y = k))::DOUBLE) AS c FROM h),
+e AS (SELECT * EXCLUDE (hs, c), list_transform(c, lambda v: CAST(CASE WHEN list_sum(c) > 0 THEN v / sqrt(list_sum(list_transform(c, lambda u: u * u))) ELSE 0 END AS FLOAT)) AS x FROM n)
+"""
+_SEARCH = """
+WITH t AS (SELECT 'q' AS side, item_id AS id, '' AS lang, text FROM benchmark WHERE {asked} UNION ALL SELECT 'm', doc_id, lang, text FROM documents WHERE text IS NOT NULL),""" + _ENCODED + """,
+s AS (SELECT q.id AS query_id, m.id AS media_id, m.lang, list_sum(list_transform(range(1, 17), lambda k: (CAST(m.x[k] AS DOUBLE) - q.x[k]) ** 2)) AS d FROM e q JOIN e m ON q.side = 'q' AND m.side = 'm')
+SELECT query_id, CAST(rank AS INT) AS rank, media_id, lang, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, media_id) AS rank FROM s) WHERE rank <= 5"""
+_RECORDS = """
+r AS (SELECT substr(sha256(hash || chr(31) || document_id || chr(31) || 'f' || doc_id || chr(31) || (doc_id % 4)), 1, 32) AS media_id, doc_id, hash, image FROM first)
+"""
 
 ORACLE_SQL = {
     "knn_multimodal": _KNN.format(v="embedding", f="true"),
@@ -413,8 +438,7 @@ ORACLE_SQL = {
     "build_chunk_instances": _CHUNKS + "SELECT text_id, chunk_index, least(m, 1022) + 2 AS weight, 0 AS first, 2 AS last, least(m, 1022) + 2 AS mask_sum FROM z",
     "tokenize": "WITH " + _N + "SELECT text_id AS doc_id, CAST(n AS INT) AS n, CAST(least(n, 256) AS INT) AS n_cut FROM n",
     "length_bucket_batches": "WITH " + _N + "," + _BATCHES + "SELECT text_id, model, bucket, batch FROM b",
-    "pad_batch": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(least(n, 20)) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(least(n, 20) AS INT) AS mask_sum FROM n",
-    "pad_batch_all": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(n) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(n AS INT) AS mask_sum FROM n",
+    "pad_batch": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(n) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(n AS INT) AS mask_sum FROM n",
     "embedding_usage": "WITH " + _N + "SELECT request_id, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS total_tokens FROM n GROUP BY request_id",
     "batch_stats": "WITH " + _N + "," + _BATCHES + """,
 r AS (SELECT request_id, count(*) AS k FROM n GROUP BY 1), g AS (SELECT count(*) AS k FROM b GROUP BY model, bucket, batch)
@@ -424,7 +448,7 @@ SELECT count(*) AS submitted_items, count(*) FILTER (bucket = 0) AS bucket_0, co
   (SELECT count(*) FROM g) AS backend_batches, (SELECT CAST(sum(k) AS BIGINT) FROM g) AS backend_items, (SELECT CAST(sum(k) AS BIGINT) FROM g WHERE k > 1) AS batched_items,
   (SELECT count(*) FROM g WHERE k = 1) AS batches_of_1, (SELECT count(*) FROM g WHERE k = 2) AS batches_of_2, (SELECT count(*) FROM g WHERE k = 3) AS batches_of_3, (SELECT count(*) FROM g WHERE k >= 4) AS batches_of_4
 FROM n""",
-    "normalize_embed_input": "SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS item_index, text AS input FROM conversations",
+    "normalize_embed_input": "SELECT conv_id || '-' || (turn // 64) AS request_id, CAST(row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS INT) AS item_index, text AS input FROM conversations",
     "route_embedding": """
 SELECT conv_id, turn, ['bge', 'ir', 'st', 'clip', 'dinov3', 'none'][conv_id % 6 + 1] AS model,
   CASE WHEN conv_id % 6 = 5 THEN NULL WHEN conv_id % 6 = 4 THEN CASE WHEN turn % 3 = 0 THEN 'visual' END WHEN turn % 3 = 0 THEN 'multimodal_image'
@@ -457,29 +481,31 @@ FROM (SELECT DISTINCT document_id FROM f) d LEFT JOIN a USING (document_id) LEFT
     "cap_candidates": "WITH " + _CAND + "SELECT query_id, pos, total FROM k",
     "truncate_candidates": "WITH " + _CAND + "SELECT query_id, pos, CAST(least(length(text), 1000) AS INT) AS n, length(text) > 1000 AS truncated FROM k",
     "rerank_score": "WITH " + _CAND + r""",
-w AS (SELECT query_id, pos, len(list_filter(list_distinct(regexp_split_to_array(lower(b.text), '\s+')), lambda x: x <> '' AND list_contains(regexp_split_to_array(lower(left(k.text, 1000)), '\s+'), x))) AS s
-      FROM k JOIN benchmark b ON b.item_id = k.query_id AND item_id < 40)
-SELECT query_id, pos, CAST(s AS DOUBLE) AS score FROM w""",
-    "rerank_logits": "SELECT vec_id AS media_id, round(list_max(embedding[1:32]), 6) AS score FROM embeddings",
-    "rerank_topn": "WITH " + _CAND + """
-SELECT query_id, pos, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos % 7 DESC, pos) AS rank FROM c)
-WHERE query_id IN (SELECT item_id FROM benchmark WHERE item_id < 40) AND (query_id % 4 = 0 OR rank <= query_id % 4)""",
-    "rerank_meta": "WITH " + _CAND + """
-SELECT item_id AS query_id, false AS strict_recall, coalesce(max(total), 0) AS total_documents, count(pos) AS scored_documents, coalesce(max(total), 0) - count(pos) AS discarded_documents,
-       count(*) FILTER (length(k.text) > 1000) AS text_truncated_documents, CAST(nullif(item_id % 4, 0) AS INT) AS applied_top_n
-FROM benchmark b LEFT JOIN k ON k.query_id = b.item_id WHERE item_id < 40 GROUP BY item_id""",
-    "extract_document_text_all": "WITH " + _CAND_ALL + "SELECT pos, text FROM c",
-    "cap_candidates_all": "WITH " + _CAND_ALL + "SELECT query_id, pos, total FROM k",
-    "truncate_candidates_all": "WITH " + _CAND_ALL + "SELECT query_id, pos, CAST(least(length(text), 1000) AS INT) AS n, length(text) > 1000 AS truncated FROM k",
-    "rerank_score_all": "WITH " + _CAND_ALL + r""",
 w AS (SELECT query_id, pos, len(list_filter(list_distinct(regexp_split_to_array(lower(q.text), '\s+')), lambda x: x <> '' AND list_contains(regexp_split_to_array(lower(left(k.text, 1000)), '\s+'), x))) AS s
       FROM k JOIN q USING (query_id))
 SELECT query_id, pos, CAST(s AS DOUBLE) AS score FROM w""",
-    "rerank_topn_all": "WITH " + _CAND_ALL + """
+    "rerank_logits": "SELECT vec_id AS media_id, round(list_max(embedding[1:32]), 6) AS score FROM embeddings",
+    "rerank_topn": "WITH " + _CAND + """
 SELECT query_id, pos, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos % 7 DESC, pos) AS rank FROM c JOIN q USING (query_id))
 WHERE query_id % 4 = 0 OR rank <= query_id % 4""",
-    "rerank_meta_all": "WITH " + _CAND_ALL + """
+    "rerank_meta": "WITH " + _CAND + """
 SELECT query_id, false AS strict_recall, coalesce(max(total), 0) AS total_documents, count(pos) AS scored_documents, coalesce(max(total), 0) - count(pos) AS discarded_documents,
        count(*) FILTER (length(k.text) > 1000) AS text_truncated_documents, CAST(nullif(query_id % 4, 0) AS INT) AS applied_top_n
 FROM q LEFT JOIN k USING (query_id) GROUP BY query_id""",
+    "search_by_text": _SEARCH.format(asked="item_id % 2 = 0"),
+    "search_by_image": _SEARCH.format(asked="item_id % 2 = 1 AND item_id % 3 <> 0"),
+    "image_to_tensor_same_size": """
+WITH p AS (SELECT vec_id, c, (CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 255) AS INT) / 255.0 - [0.485, 0.456, 0.406][c]) / [0.229, 0.224, 0.225][c] AS t FROM embeddings, range(1, 65) AS r(i), range(1, 4) AS s(c))
+SELECT vec_id, CAST(c AS INT) AS channel, round(min(t), 3) AS least, round(max(t), 3) AS most, round(sum(t), 2) AS total FROM p GROUP BY vec_id, c""",
+    "write_media": "WITH " + _FIG + "," + _RECORDS + """
+SELECT media_id, 'f' || doc_id AS source_native_id, hash, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN '64,1' END AS multimodal, 0.0::DOUBLE AS created_at,
+       'clip' AS embedding_model, (SELECT count(*) FROM first) AS stored FROM r""",
+    "media_get": "WITH " + _FIG + "," + _RECORDS + """
+SELECT media_id, hash, CAST(count(*) OVER () AS BIGINT) AS found FROM r WHERE doc_id % 2 = 0""",
+    "search_ingested": "WITH " + _FIG + "," + _RECORDS + """,
+t AS (SELECT 'q' AS side, CAST(item_id AS VARCHAR) AS id, 0 AS odd, text FROM benchmark UNION ALL SELECT 'm', media_id, doc_id % 2, image FROM r),""" + _ENCODED.replace("h AS (", "hh AS (").replace("FROM h)", "FROM hh)") + """,
+s AS (SELECT q.id AS query_id, m.id AS media_id, list_sum(list_transform(range(1, 17), lambda k: (CAST(m.x[k] AS DOUBLE) - q.x[k]) ** 2)) AS d FROM e q JOIN e m ON q.side = 'q' AND m.side = 'm' AND m.odd = 1)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, media_id, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, media_id) AS rank FROM s) WHERE rank <= 5""",
 }
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name] for name in _ALL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonpath import as_string, path_eval
 from ..functions.text import clean_caption, coerce_page
 from ..operators import health, normalize, routing
-from ..sources import results
+from ..sources import results, tables
 from . import inputs
 from .inputs import HEALTH_SQL, LINES_SQL, PROVIDERS_SQL, RANKED_SQL, table
 
@@ -20,6 +20,11 @@ def _parsed(spark, sf):
     return normalize.parsed(inputs.raw_documents(spark, sf))
 
 
+def _joined(column):
+    """Whole numbers of an array as text, for comparison."""
+    return F.array_join(F.transform(column, lambda x: x.cast("int").cast("string")), ",")
+
+
 def path_eval_query(spark, sf):
     v = F.col("v")
     return _parsed(spark, sf).select(
@@ -35,19 +40,19 @@ def normalize_markdown(spark, sf):
 
 
 def normalize_pages(spark, sf):
-    return normalize.normalize_pages(_parsed(spark, sf), M).select("document_id", "pos", "page_number", "text")
+    return normalize.normalize_pages(_parsed(spark, sf), M)
 
 
 def normalize_blocks(spark, sf):
-    return normalize.normalize_blocks(_parsed(spark, sf), M).drop("bbox")
+    return normalize.normalize_blocks(_parsed(spark, sf), M).withColumn("bbox", _joined("bbox"))
 
 
 def normalize_figures(spark, sf):
-    return normalize.normalize_figures(_parsed(spark, sf), M).select("document_id", "pos", "figure_id", "page", "image")
+    return normalize.normalize_figures(_parsed(spark, sf), M).withColumn("bbox", _joined("bbox"))
 
 
 def normalize_tables(spark, sf):
-    return normalize.normalize_tables(_parsed(spark, sf), M).select("document_id", "pos", "table_id", "page", "markdown")
+    return normalize.normalize_tables(_parsed(spark, sf), M)
 
 
 def coerce_page_query(spark, sf):
@@ -61,10 +66,11 @@ def assemble_document(spark, sf):
 
 
 def read_jsonl_results(spark, sf):
-    """One payload of JSON lines per conversation, read back as page texts joined by blank lines."""
+    """One payload of JSON lines for each TURNS turns of a conversation, read back as page texts joined by blank lines."""
     line = F.struct("turn", F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.col("text")).alias("markdown"))).alias("pages")).alias("result"))).alias("j"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["j"]), "\n \n")
-    files = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(text.alias("value"))
+    part = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / inputs.TURNS))
+    files = table(spark, sf, "conversations").groupBy(part.alias("document_id")).agg(text.alias("value"))
     raw = files.select("document_id", results.jsonl_payload(F.col("value")).alias("payload"))
     return normalize.normalize_markdown(normalize.parsed(raw), normalize.Mapping(markdown="jsonl[].result.pages[].markdown.text"))
 
@@ -85,7 +91,7 @@ def read_text_results(spark, sf):
 
 
 def _items(spark, sf):
-    return normalize.content_list(inputs.conversation_items(spark, sf))
+    return normalize.content_items(inputs.conversation_items(spark, sf))
 
 
 def content_list_pages(spark, sf):
@@ -100,6 +106,30 @@ def content_list_tables(spark, sf):
     return normalize.content_list_tables(_items(spark, sf))
 
 
+def read_zip_results(spark, sf):
+    """Archives of documents, unpacked: markdown, items of the content list, other files."""
+    a = results.unpack_archives(inputs.archives(spark, sf))
+    n = F.size(F.try_variant_get(F.parse_json("content_list"), "$", "array<variant>"))
+    return a.select("document_id", "markdown", n.alias("n_items"), F.size("files").alias("n_files"), F.length(F.element_at("files", "images/1.png")).alias("file_bytes"))
+
+
+def archive_items(spark, sf):
+    """Items of the archives' content lists."""
+    items = normalize.content_list(results.unpack_archives(inputs.archives(spark, sf)))
+    return items.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length(F.try_variant_get("item", "$.text", "string"))).alias("chars"), F.max("page_idx").alias("page"))
+
+
+def load_provider_dim(spark, sf):
+    found = frozenset(["france", "china", "peru"])
+    p = tables.provider_dim(spark, inputs.provider_yaml(spark, sf), executables=found)
+    return p.select("name", "ordinal", "driver", "location", "enabled", "priority", "timeout", F.array_join("capabilities", ",").alias("capabilities"), "executable_present")
+
+
+def load_model_dim(spark, sf):
+    m = tables.model_dim(spark, inputs.model_yaml(spark, sf))
+    return m.select("id", "type", "ovms_model", "max_length", "preferred_device", "fallback_device", "policy")
+
+
 def clean_caption_query(spark, sf):
     c = table(spark, sf, "conversations").withColumn("v", F.parse_json(F.to_json(F.struct(F.array(F.concat(F.lit(" "), "role"), F.lit("\t"), F.col("text")).alias("c")))))
     return c.select("conv_id", "turn", clean_caption(path_eval("c", F.col("v"))).alias("caption"), clean_caption(path_eval("x", F.col("v"))).alias("none"))
@@ -175,12 +205,14 @@ QUERIES = {
     "normalize_figures": normalize_figures, "normalize_tables": normalize_tables, "coerce_page": coerce_page_query, "assemble_document": assemble_document,
     "read_jsonl_results": read_jsonl_results, "read_json_results": read_json_results, "read_text_results": read_text_results,
     "content_list_pages": content_list_pages, "content_list_figures": content_list_figures, "content_list_tables": content_list_tables,
+    "read_zip_results": read_zip_results, "archive_items": archive_items, "load_provider_dim": load_provider_dim, "load_model_dim": load_model_dim,
     "clean_caption": clean_caption_query, "resolve_input_source": resolve_input_source, "sanitize_payload": sanitize_payload,
     "route_candidates": route_candidates, "satisfies_capabilities": satisfies_capabilities, "rank_candidates": rank_candidates,
     "resolve_fallback": resolve_fallback, "routing_failures": routing_failures, "classify_attempt": classify_attempt,
     "provider_health": provider_health, "provider_available_at": provider_available_at, "provider_status_report": provider_status_report,
 }
 
+_BOX = "CASE WHEN i % 3 = 0 THEN '0,' || i || ',' || (i + 1) || ',' || (i * 2) END"
 _TYPE = "CASE i % 6 WHEN 0 THEN 'heading' WHEN 2 THEN 'table' WHEN 3 THEN 'figure' WHEN 4 THEN 'formula' WHEN 5 THEN 'heading' ELSE 'text' END"
 _ITEMS = """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, role, text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, CAST(turn // 3 + 1 AS INT) AS page FROM conversations)
@@ -191,16 +223,27 @@ ORACLE_SQL = {
 SELECT document_id, (SELECT coalesce(text, '') FROM documents d WHERE CAST(d.doc_id AS VARCHAR) = document_id) AS markdown,
        'paragraph_title' AS first_type, CAST(count(*) FILTER (i % 6 = 3) AS INT) AS n_images FROM l GROUP BY document_id""",
     "normalize_markdown": "SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS markdown FROM documents",
-    "normalize_pages": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, CAST(CASE WHEN i % 12 = 0 THEN i + 100 ELSE i // 6 + 1 END AS INT) AS page_number, x AS text FROM l WHERE i % 6 = 0",
-    "normalize_blocks": "WITH " + LINES_SQL + f"SELECT document_id, CAST(i AS INT) AS pos, document_id || '-b' || i AS block_id, {_TYPE} AS type, x AS content, CAST(i % 4 AS INT) AS page FROM l",
-    "normalize_figures": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, CASE WHEN i % 2 = 0 THEN 'f' || i ELSE document_id || '-fig' || (i // 6) END AS figure_id, CAST(i AS INT) AS page, x AS image FROM l WHERE i % 6 = 3",
-    "normalize_tables": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, document_id || '-tbl' || (i // 6) AS table_id, 1 AS page, x AS markdown FROM l WHERE i % 6 = 2",
+    "normalize_pages": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, CAST(CASE WHEN i % 12 = 0 THEN i + 100 ELSE i // 6 + 1 END AS INT) AS page_number, CAST(i / 2 AS DOUBLE) AS width, CAST(CASE WHEN i % 4 = 0 THEN i + 1 END AS DOUBLE) AS height, x AS text FROM l WHERE i % 6 = 0",
+    "normalize_blocks": "WITH " + LINES_SQL + f"SELECT document_id, CAST(i AS INT) AS pos, document_id || '-b' || i AS block_id, {_TYPE} AS type, x AS content, CAST(i % 4 AS INT) AS page, {_BOX} AS bbox FROM l",
+    "normalize_figures": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, CASE WHEN i % 2 = 0 THEN 'f' || i ELSE document_id || '-fig' || (i // 6) END AS figure_id, CAST(i AS INT) AS page, " + _BOX + " AS bbox, x AS image, 'c' || i AS caption, x AS ocr_text FROM l WHERE i % 6 = 3",
+    "normalize_tables": "WITH " + LINES_SQL + "SELECT document_id, CAST(i // 6 AS INT) AS pos, document_id || '-tbl' || (i // 6) AS table_id, 1 AS page, 't' || i AS caption, '<td>' || x AS html, x AS markdown FROM l WHERE i % 6 = 2",
     "coerce_page": "SELECT event_id, CAST(CASE WHEN regexp_full_match(props->>'k', '[0-9]+') THEN CAST(props->>'k' AS INT) ELSE 1 END AS INT) AS page, 1 AS missing FROM events",
     "assemble_document": "WITH " + LINES_SQL + """
 SELECT document_id, CAST(sum(length(x)) + count(*) - 1 AS INT) AS markdown_chars, CAST(count(*) FILTER (i % 6 = 0) AS INT) AS n_pages,
        CAST(count(*) AS INT) AS n_blocks, CAST(count(*) FILTER (i % 6 = 3) AS INT) AS n_figures, CAST(count(*) FILTER (i % 6 = 2) AS INT) AS n_tables,
        document_id || '-b' || max(i) AS last_block FROM l GROUP BY document_id""",
-    "read_jsonl_results": r"SELECT CAST(conv_id AS VARCHAR) AS document_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS markdown FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id",
+    "read_jsonl_results": r"SELECT conv_id || '-' || (turn // 64) AS document_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS markdown FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id, turn // 64",
+    "read_zip_results": """
+SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS markdown, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS n_items, 1 AS n_files,
+       CAST(strlen(left(coalesce(text, ''), 10)) AS INT) AS file_bytes FROM documents""",
+    "archive_items": "WITH " + LINES_SQL + "SELECT document_id, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS chars, 1 AS page FROM l GROUP BY document_id",
+    "load_provider_dim": """
+SELECT n_name AS name, CAST(n_nationkey AS INT) AS ordinal, ['http', 'command', 'cli'][n_nationkey % 3 + 1] AS driver, CASE WHEN n_nationkey % 2 = 1 THEN 'local' ELSE 'remote' END AS location,
+       n_nationkey % 5 <> 0 AS enabled, CAST(CASE WHEN n_nationkey % 2 = 1 THEN n_regionkey * 10 ELSE 100 END AS INT) AS priority, CASE WHEN n_nationkey % 2 = 1 THEN 30.0 ELSE 300.0 END::DOUBLE AS timeout,
+       ['', 'pdf', 'pdf,ocr'][n_regionkey % 3 + 1] AS capabilities, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey % 2 = 1 AND lower(n_name) IN ('france', 'china', 'peru') END AS executable_present FROM nation""",
+    "load_model_dim": """
+SELECT r_name AS id, CASE WHEN r_regionkey % 2 = 1 THEN 'embedding' ELSE 'rerank' END AS type, CASE WHEN r_regionkey > 2 THEN 'served-' || r_regionkey ELSE r_name END AS ovms_model,
+       CAST(100 * r_regionkey AS INT) AS max_length, CASE WHEN r_regionkey > 2 THEN 'CPU' ELSE 'GPU' END AS preferred_device, 'CPU' AS fallback_device, 'GPU_PREFERRED' AS policy FROM region""",
     "read_json_results": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(length(text) AS INT) WHEN 2 THEN CAST(length('not json ' || doc_id) AS INT) END AS text_chars, CASE WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR) END AS item FROM documents",
     "read_text_results": r"SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n_lines, CAST(sum(length(x)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS x FROM documents) WHERE x <> '' GROUP BY doc_id",
     "content_list_pages": _ITEMS + """

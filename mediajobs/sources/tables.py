@@ -30,16 +30,21 @@ MODEL_DEFAULTS = {"preferred_device": "GPU", "fallback_device": "CPU", "policy":
 
 def load_provider_dim(spark: SparkSession, path: str, explicit: bool = True, executables: frozenset[str] | None = None) -> DataFrame:
     """Providers of a YAML file in file order. A missing or empty file is an error only if it was named explicitly."""
-    rows = []
     if not os.path.exists(path):
         if explicit:
             raise FileNotFoundError(f"provider configuration {path!r} does not exist")
-        return spark.createDataFrame(rows, PROVIDER_SCHEMA)
+        return spark.createDataFrame([], PROVIDER_SCHEMA)
     with open(path, encoding="utf-8") as f:
-        try:
-            data = yaml.safe_load(f)
-        except yaml.YAMLError as e:
-            raise RuntimeError(f"provider configuration {path!r} is not YAML: {e}") from e
+        return provider_dim(spark, f.read(), path, explicit, executables)
+
+
+def provider_dim(spark: SparkSession, text: str, path: str = "", explicit: bool = True, executables: frozenset[str] | None = None) -> DataFrame:
+    """Providers of YAML text; ``path`` names it in errors."""
+    rows = []
+    try:
+        data = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise RuntimeError(f"provider configuration {path!r} is not YAML: {e}") from e
     if not isinstance(data, dict):
         raise ValueError(f"provider configuration {path!r} must be a dictionary")
     listed = data.get("providers", {})
@@ -64,14 +69,25 @@ def _models(path: str | None, parse) -> dict:
     if not path or not os.path.exists(path):
         return {}
     with open(path, encoding="utf-8") as f:
-        data = parse(f)
-    listed = data.get("models", data if parse is json.load else None) if isinstance(data, dict) else None
+        return _entries(parse(f), parse is json.load)
+
+
+def _entries(data, bare: bool) -> dict:
+    listed = data.get("models", data if bare else None) if isinstance(data, dict) else None
     return {k: m for k, m in listed.items() if isinstance(m, dict)} if isinstance(listed, dict) else {}
 
 
 def load_model_dim(spark: SparkSession, yaml_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """Models of the YAML file, else of the JSON file, else DEFAULT_MODELS; the served name defaults to model_id, then to the id."""
-    models = _models(yaml_path, yaml.safe_load) or _models(json_path, json.load)
+    return _model_rows(spark, _models(yaml_path, yaml.safe_load) or _models(json_path, json.load))
+
+
+def model_dim(spark: SparkSession, text: str) -> DataFrame:
+    """Models of YAML text."""
+    return _model_rows(spark, _entries(yaml.safe_load(text), False))
+
+
+def _model_rows(spark: SparkSession, models: dict) -> DataFrame:
     models = models or {i: {"type": kind, "ovms_model": served} for i, kind, served in DEFAULT_MODELS}
     names = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
     rows = []
@@ -102,5 +118,10 @@ def media_get_by_hash(media: DataFrame, content_hash: str) -> DataFrame:
     return media.where(F.col("hash") == content_hash).limit(1)
 
 
+def media_get_many(media: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of ``ids`` (media_id); a join for many of them at once."""
+    return media.join(ids.select("media_id").distinct(), "media_id", "left_semi")
+
+
 def media_count(media: DataFrame) -> int:
     return media.count()
