@@ -219,7 +219,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``found`` (doc_id, piece, length, ...; read several times) with sequence_id and offset."""
+    """``found`` (doc_id, piece, length, ...; a checkpoint, read several times) with sequence_id and offset."""
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     rows = plan(histogram, capacity)
     spark = found.sparkSession
@@ -230,8 +230,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows, "at_length long, rank_from long, rank_to long, first_sequence long, per long, first_offset long"
     )
     # at most CAPACITY rows, and a few plan rows for each of CAPACITY lengths
-    blocked = found.join(F.broadcast(blocks), "length").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("n_blocks"))
+    # numbers of rows, as one id may have any share of them; a checkpoint gives the same ones each time
+    blocked = found.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(blocks), "length").withColumn(
+        "block", F.pmod(F.xxhash64("_row"), F.col("n_blocks"))
     )
     counts = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
