@@ -15,16 +15,18 @@ copies are one point of the space from the start. The join narrows in levels:
    Regions with the same members are one.
 3. Regions of document pivots, for runs of more than ``block`` members. About
    PIVOTS members become pivots, all members' exact distances to them are
-   computed, and links to pivots are kept as links. Members are dealt to the
-   Voronoi regions of their nearest pivots and replicated to those whose pivot
-   is within twice the radius beyond the nearest. What is connected by links to
-   pivots needs no more comparisons with its like: a region whose members are
-   all connected is done, and of the largest connected part only those stay
-   whose distance to the pivot is within the radius of that of some other
-   member. Regions are joined recursively; so a group of any number of near
-   copies costs PIVOTS comparisons a member. Where pivots don't narrow a region
-   (members that share shingles, but are no copies), it is cut into blocks, and
-   pairs of blocks that may hold unconnected pairs are cells.
+   computed, and links to pivots are kept as links. What they connect needs no
+   more comparisons with its like, so of a group of near copies, however large,
+   few members stay apart from its largest connected part. Where the pivots
+   divide a region, members are dealt to the Voronoi regions of their nearest
+   pivots and replicated to those whose pivot is within twice the radius beyond
+   the nearest; of the connected part only those stay whose distance to the pivot
+   is within the radius of that of some other member; and regions are joined
+   recursively. Where windows would replicate nearly all (near copies have about
+   the same distance to all pivots), the region stays whole and gets new pivots,
+   half of them from what isn't connected, as long as that shrinks. What remains
+   is cut into blocks, and pairs of blocks that may hold unconnected pairs are
+   cells.
 4. A cell first sees the heads of its members' sets (the shingles of step 1):
    the symmetric difference of two sets is at least that of their heads up to
    where the shorter head ends, and beyond a ninth of the sum of the sizes no
@@ -70,7 +72,9 @@ MOST_FREQUENT = 200_000
 #: Members of a block of a region.
 BLOCK = 256
 #: Document pivots of a large region, about.
-PIVOTS = 16
+PIVOTS = 64
+#: Rows that windows may make of a member, on average, and members apart that a further round must leave fewer than of those before.
+REPLICAS, SHRINK = 2.0, 0.6
 RADIUS = 1 - NUM / DEN
 #: Neighbours from which on a node is hot: its neighbours aren't gathered in one place. At most 1 of HOT edges or rows has one.
 HOT = 256
@@ -559,23 +563,27 @@ def _hash(*columns) -> F.Column:
     return F.xxhash64(*columns)
 
 
-def by_pivots(large: DataFrame, sets: DataFrame, block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOTS) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links and cells of large regions (region, member, parent: its size), by document pivots, recursively.
 
     Cells (pivot, i, j, member) hold all pairs that may link and aren't connected by the links.
     """
     links, cells, turn = [], [], 0
-    state = large.withColumn("label", F.col("member"))
+    # ``apart``: members outside the largest connected part, which ``main`` marks
+    state = large.withColumns({"label": F.col("member"), "main": F.lit(False), "apart": F.col("parent")})
     while not state.isEmpty():
         turn += 1
-        cell = F.pmod(_hash("member"), F.ceil(F.col("parent") / F.lit(block))).cast("int")
-        # a member is a pivot with a chance of PIVOTS of the region's size; the first one is in any case
-        drawn = F.pmod(_hash("region", "member", F.lit(turn)), F.col("parent")) < PIVOTS
-        pivots = state.where(drawn).select("region", "member", "parent").union(
+        n_cells = F.ceil(F.col("parent") / F.lit(block)).cast("int")
+        cell = F.pmod(_hash("member"), n_cells).cast("int")
+        # half of the pivots come from either part, by chance; the first member is one in any case
+        chance = F.when(F.col("apart") == F.col("parent"), F.lit(pivots)).otherwise(F.lit(pivots / 2))
+        of = F.when(F.col("main"), F.col("parent") - F.col("apart")).otherwise(F.col("apart"))
+        drawn = F.pmod(_hash("region", "member", F.lit(turn)), F.lit(1 << 30)) < chance / of * (1 << 30)
+        asked = state.where(drawn).select("region", "member", "parent").union(
             state.groupBy("region").agg(F.min("member").alias("member"), F.first("parent").alias("parent"))
         ).distinct()
-        every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("parent") / F.lit(block)).cast("int") - 1))
-        rows = pivots.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent")
+        every = F.explode(F.sequence(F.lit(0), n_cells - 1))
+        rows = asked.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent")
         rows = rows.join(sets, "member").union(
             state.select("member", "region", cell.alias("cell"), F.lit(1).alias("kind"), "label", "parent").join(sets, "member")
         )
@@ -584,38 +592,48 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int) -> tuple[list[DataF
             .repartition("region", "cell").sortWithinPartitions("region", "cell", "kind").mapInArrow(_distances, NEAR)
         )
         first = F.try_element_at("links", F.lit(1))
-        links.append(found.select(F.col("member").alias("u"), F.explode("links").alias("v")).where("u <> v"))
         joined = found.where(F.size("links") > 1).select("region", first.alias("a"), F.explode(F.slice("links", 2, F.size("links"))).alias("b")).distinct()
+        # a tree: each member to its first pivot, and pivots to each other
+        links.append(found.select(F.col("member").alias("u"), first.alias("v")).where("u <> v").union(joined.select("a", "b")))
         roots = joined.repartition("region").sortWithinPartitions("region").mapInArrow(_roots, "region long, pivot long, root long")
         labelled = _with(found.withColumn("pivot", first), roots, ["region", "pivot"], "left").withColumn("label", F.coalesce("root", "pivot", "label"))
-        dealt = labelled.select("region", "member", "label", "parent", F.explode("near").alias("x")).select(
-            _hash("region", "x.pivot").alias("region"), "member", "label", "parent", "x.d"
-        )
+        replicas = found.groupBy("region").agg((F.sum(F.size("near")) > REPLICAS * F.first("parent")).alias("whole"))
+        labelled = _with(labelled, replicas, ["region"]).withColumn(
+            "x", F.explode(F.when(F.col("whole"), F.array(F.struct(F.lit(None).cast("long").alias("pivot"), F.lit(0.0).alias("d")))).otherwise(F.col("near")))
+        )
+        dealt = cut(labelled.select(
+            F.when(F.col("whole"), F.col("region")).otherwise(_hash("region", "x.pivot")).alias("region"), "member", "label", "parent", "whole", "x.d"
+        ))
         # the largest connected part of each region, and where the others lie
         parts = cut(dealt.groupBy("region", "label").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")))
         most = parts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
         others = _with(parts, most, ["region"]).where("label <> largest").groupBy("region", "largest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        main = F.col("label") == F.col("largest")
         within = F.col("d").between(F.col("lo") - RADIUS - 1e-9, F.col("hi") + RADIUS + 1e-9)
-        left = cut(_with(dealt, others, ["region"]).where((F.col("label") != F.col("largest")) | within).drop("lo", "hi", "d"))
-        sizes = left.groupBy("region").agg(F.count("*").alias("n"))
-        left = cut(_with(left, sizes, ["region"]))
-        narrow = F.col("n") <= block
-        small = left.where(narrow & (F.col("n") > 1))
-        cells.append(small.select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member"))
-        stuck = ~narrow & (2 * F.col("n") > F.col("parent"))
-        cells.append(_blocks(left.where(stuck), block))
-        state = left.where(~narrow & ~stuck).select("region", "member", F.col("n").alias("parent"), "label")
+        left = cut(_with(dealt, others, ["region"]).where(~main | within).select("region", "member", "label", "parent", "whole", "largest", main.alias("main")))
+        sizes = left.groupBy("region").agg(F.count("*").alias("n"), F.count_if(~F.col("main")).alias("apart"))
+        if turn == 1:
+            before = large.groupBy("region").agg(F.count("*").alias("was"))
+        left = _with(left, sizes.join(before, "region", "left"), ["region"])
+        small = F.col("n") <= block
+        cells.append(left.where(small & (F.col("n") > 1)).select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member"))
+        # regions of windows must be half as large, whole ones have fewer members apart, or they are cut into blocks
+        again = F.when(F.col("whole"), (F.col("apart") > block) & (F.col("apart") < SHRINK * F.coalesce("was", "parent"))).otherwise(2 * F.col("n") < F.col("parent"))
+        left = cut(left.withColumn("again", ~small & again))
+        cells.append(_blocks(left.where(~small & ~F.col("again")), block))
+        state = left.where("again").select("region", "member", F.col("n").alias("parent"), "label", "main", "apart")
+        before = state.groupBy("region").agg(F.first("apart").alias("was"))
     return links, cells
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Cells of regions (region, member, label, largest, n): all pairs of blocks but those within the largest connected part."""
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    part = F.col("label") == F.col("largest")
-    own = F.pmod(_hash("member"), blocks)
-    # blocks 0 .. blocks - 1 of the part, blocks .. 2 * blocks - 1 of the others
-    mine = F.when(part, own).otherwise(blocks + own)
-    other = F.explode(F.sequence(F.when(part, blocks).otherwise(F.lit(0)), 2 * blocks - 1))
+    """Cells of regions (region, member, main, n, apart): all pairs of blocks but those within the largest connected part."""
+    count = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    others, part = count(F.col("apart")), count(F.col("n") - F.col("apart"))
+    own = F.pmod(_hash("member"), F.when(F.col("main"), part).otherwise(others))
+    # the others' blocks come first, then those of the part
+    mine = F.when(F.col("main"), others + own).otherwise(own)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("main"), others - 1).otherwise(others + part - 1)))
     return rows.select("region", "member", mine.alias("mine"), other.alias("other")).select(
         F.col("region").alias("pivot"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member"
     )

@@ -18,9 +18,9 @@ beside words that report speech it counts as quotation, beside words of address
 as abuse. A logistic model over the sums of direct, misspelled and quoted hits
 gives the score.
 
-The fit looks at LABELLED_ROWS labelled ids at most (by a hash of the id), and
-at one text of each (of repeated ids, the first in order); scoring covers all
-rows and whole texts, however long. Null and empty texts have no hits and
+The fit looks at LABELLED_ROWS labelled ids at most (by a hash of the id; all
+texts of an id have its label); scoring covers all rows and whole texts, however
+long. Null and empty texts have no hits and
 get the score of such texts. Repeated rows are scored alike; labels that repeat
 count once, toxic if any of them is. Rows with null ids are scored, but can't be
 labelled. Without any toxic label the lexicon is empty and all scores are 0.
@@ -270,6 +270,19 @@ def _group(tokens):
     return F.array_min(triples)
 
 
+def _stems(word):
+    """Column: all stems of a word."""
+    n = F.least(F.lit(STEM[1]), F.length(word) - 1)
+    found = F.transform(F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), n)), lambda i: F.concat(F.substring(word, F.lit(1), i), F.lit("*")))
+    return F.when(n >= STEM[0], found).otherwise(F.array().cast("array<string>"))
+
+
+def _counts(seen: DataFrame) -> DataFrame:
+    """Per word of ``seen`` (toxic, group, word): its toxic and clean groups, and those of the toxic ones that are even."""
+    half = (F.col("toxic") == 1) & (F.pmod("group", F.lit(2)) == 0)
+    return seen.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"), F.count_if(half).alias("even"))
+
+
 def surprise(toxic, clean, share):
     """Column: a bound (Chernoff's) of how unlikely so many toxic ones among a word's texts are, as -log of the chance."""
     n = toxic + clean
@@ -298,37 +311,36 @@ def fit_terms(labelled: DataFrame) -> Model:
     tokens = F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "")
     rows = labelled.select("toxic", tokens.alias("tokens")).select("toxic", "tokens", _group(F.col("tokens")).alias("group"))
     token = F.regexp_replace(F.col("token"), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
-    seen = rows.select("toxic", "group", F.explode(F.array_distinct("tokens")).alias("token")).select("toxic", "group", token.alias("word"))
-    stems = F.transform(
-        F.sequence(F.lit(STEM[0]), F.greatest(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))),
-        lambda i: F.concat(F.substring("word", F.lit(1), i), F.lit("*")),
-    )
-    forms = F.when(F.length("word") > STEM[0], F.concat(F.array("word"), stems)).otherwise(F.array("word"))
-    terms = seen.where("word <> ''").distinct().select("toxic", "group", F.explode(forms).alias("word")).distinct()
-    half = (F.col("toxic") == 1) & (F.pmod("group", F.lit(2)) == 0)
-    counts = cut(
-        terms.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"), F.count_if(half).alias("even"))
-    )
+    seen = rows.select("toxic", "group", F.explode(F.array_distinct("tokens")).alias("token")).select("toxic", "group", token.alias("word")).where("word <> ''")
+    words = cut(_counts(seen.distinct()))
     totals = rows.select("toxic", "group").distinct().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n_toxic, n_clean = (float(x or 0) for x in totals)
     if not n_toxic or not n_clean:
         return Model({}, {})
     share = n_toxic / (n_toxic + n_clean)
-    # a word of few texts can't be certain, so it isn't tried
-    sizes = counts.where("toxic > 0").groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("words")).collect()
-    tried, least = 0, None
+    # what a stem may have at best: all texts of its words, and no clean ones but those of one word
+    stems = cut(
+        words.where("toxic > 0").select("toxic", "clean", F.explode(_stems(F.col("word"))).alias("word"))
+        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.max("clean").alias("clean"), F.sum(F.col("toxic") + F.col("clean")).alias("n"))
+    )
+    # a term of few texts can't be certain, so it isn't tried
+    n_words = words.where("toxic > 0").select((F.col("toxic") + F.col("clean")).alias("n"))
+    sizes = n_words.union(stems.select("n")).groupBy("n").agg(F.count("*").alias("terms")).collect()
+    tried = 0
     for r in sorted(sizes, reverse=True):
-        if (tried + r.words) * share**r.n > ORDINARY:
+        if (tried + r.terms) * share**r.n > ORDINARY:
             break
-        tried, least = tried + r.words, r.n
-    if least is None:
+        tried += r.terms
+    if not tried:
         return Model({}, {})
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     bound = surprise(F.col("toxic"), F.col("clean"), share)
-    # the labelled texts bound how many words are this certain
-    certain = counts.where("even > 0 and even < toxic").withColumn("bound", bound).where(F.col("bound") > math.log(max(1, tried) / ORDINARY))
-    found = lexicon(certain.withColumn("odds", odds).where("odds > 2").select("word", "bound", "odds").collect())
-    words = counts.where("not endswith(word, '*')").select("word", "toxic", "clean")
+    certain = F.col("bound") > math.log(tried / ORDINARY)
+    # the labelled texts bound how many terms are this certain
+    likely = F.broadcast(cut(stems.withColumn("bound", bound).where(certain).select("word")))
+    begun = _counts(seen.select("toxic", "group", F.explode(_stems(F.col("word"))).alias("word")).join(likely, "word").distinct())
+    both = words.union(begun).where("even > 0 and even < toxic").withColumn("bound", bound).where(certain).withColumn("odds", odds)
+    found = lexicon(both.where("odds > 2").select("word", "bound", "odds").collect())
     terms = {r.word: reach(r.word) for r in found}
     weights = {(r.word, 0): r.odds for r in found}
     # what forms at each distance of a term count, as far as the labelled texts have them
@@ -382,18 +394,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return beta
 
 
-def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, toxic, text) of labelled documents, one text for each id."""
-    # chosen has at most LABELLED_ROWS rows of 12 bytes
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """A model from the labelled documents."""
-    labelled = cut(labelled_texts(docs, cut(training_labels(labels, rows))))
+    chosen = cut(training_labels(labels, rows))
+    # chosen has at most LABELLED_ROWS rows of 12 bytes
+    labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     model = fit_terms(labelled.select("text", "toxic"))
-    found = features(labelled, model).join(labelled.select("doc_id", "toxic"), "doc_id").select(*FEATURES, "toxic").toPandas()  # LABELLED_ROWS rows
+    # of repeated ids, the row with most evidence
+    per = features(labelled, model).groupBy("doc_id").agg(F.max(F.struct(*FEATURES)).alias("f")).join(chosen, "doc_id")
+    found = per.select("f.*", "toxic").toPandas()
     y = found.toxic.to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         model.coefficients = logistic(design(found[list(FEATURES)].to_numpy(float)), y).tolist()
