@@ -271,12 +271,17 @@ def _take_back(page: Page) -> None:
 _known: dict[str, int] = {}
 
 
-def _hash(s: str) -> int:
-    if s not in _known:
-        if len(_known) > 100_000:
+def _digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _hash(path: str) -> int:
+    """Hash of an element's path; paths recur, so a bounded number of them is remembered."""
+    if path not in _known:
+        if len(_known) > 20_000:
             _known.clear()
-        _known[s] = int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    return _known[s]
+        _known[path] = _digest(path)
+    return _known[path]
 
 
 ELEMENT, BLOCK, PAGE = 0, 1, 2
@@ -291,7 +296,9 @@ PAGES = (
 def _token(page: Page, owner: int, text: str | None = None) -> int:
     """Hash of an element, or of a block within it; 0 above the root."""
     path = page.elements[owner].path if owner >= 0 else ""
-    return _hash(path) if text is None and owner >= 0 else 0 if text is None else _hash(f"{path}\0{text}")
+    if text is not None:
+        return _digest(f"{path}\0{text}")
+    return _hash(path) if owner >= 0 else 0
 
 
 def _tokens(batches):
@@ -305,7 +312,7 @@ def _tokens(batches):
             known.clear()
         pages, ends, columns = [], [0], [[] for _ in _FIELDS]
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            key = _hash(source)
+            key = _digest(source)
             if (host, key) in known:
                 continue
             known.add((host, key))
