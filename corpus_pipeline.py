@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept.
 All but the last return the columns of documents.
+
+Defined cases: null and empty texts go with the first stage (too few words). Rows
+with null or repeated ids are documents of their own, judged by their texts; of
+equal and near-equal texts one row stays, whatever its id. Sources may be null
+(the last source). Very long texts are read whole and packed in pieces. Ties fall
+to the smaller id. Further columns, of any name, pass through all stages but the
+last. An empty table gives no pieces.
 """
 
 from __future__ import annotations
