@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..functions.sizes import small
 
 #: Limits (fixed values).
 CLIP, CHUNK, OVERLAP = 8192, 1024, 128
@@ -28,7 +29,7 @@ def normalize_embed_input(requests: DataFrame) -> DataFrame:
 
 def route_embedding(requests: DataFrame, models: DataFrame) -> DataFrame:
     """``requests`` (model, modality, ...) with route, or error_code: visual, multimodal_image, multimodal_text, pooled_ir, sentence_transformer, chunked."""
-    m = F.broadcast(models.select(F.col("id").alias("model"), F.col("type").alias("_type"), F.col("embedding_backend").alias("_backend"), F.lit(True).alias("_known")))
+    m = small(models.select(F.col("id").alias("model"), F.col("type").alias("_type"), F.col("embedding_backend").alias("_backend"), F.lit(True).alias("_known")))
     out = requests.join(m, "model", "left")
     image = F.col("modality") == "image"
     visual = (F.col("_type") == "dino_embedding") | F.lower("model").startswith("dino")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 #: Accepted status codes by kind of call (fixed values).
 ACCEPTED = {"single": (200, 201, 202), "step": (200, 201, 202, 204), "poll": (200,), "workflow_poll": (200, 201, 202)}
 BACKOFF_S, MAX_BACKOFF_S, QUOTA_COOLDOWN_S = 30.0, 300.0, 3600.0
@@ -91,7 +93,7 @@ def provider_available_at(requests: DataFrame, health: DataFrame, providers: Dat
 
     ``providers``: name, enabled, executable_present (null counts as present). A provider without events is available.
     """
-    p = F.broadcast(providers.select(F.col("name").alias("provider"), "enabled", F.coalesce("executable_present", F.lit(True)).alias("present")))
+    p = small(providers.select(F.col("name").alias("provider"), "enabled", F.coalesce("executable_present", F.lit(True)).alias("present")))
     state = F.struct("quota_state", "cooldown_until")
     asked = requests.select("request_id", "ts").crossJoin(p)  # as many rows as requests times the few providers
     seen = health.select(

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 #: Needs that a capability of another name also satisfies (fixed values).
 ALIASES = {"figures": "figure", "tables": "table"}
 
@@ -30,7 +32,7 @@ def route_candidates(requests: DataFrame, providers: DataFrame, availability: Da
 
     ``availability`` (request_id, provider, available): missing rows count as unavailable.
     """
-    p = F.broadcast(providers.withColumnRenamed("name", "provider"))
+    p = small(providers.withColumnRenamed("name", "provider"))
     private = F.coalesce(F.col("privacy"), F.lit("private")) == "private"
     allowed = ~(private & (F.col("location") == "remote"))
     fits = F.col("enabled") & allowed & satisfies_capabilities(F.col("needs"), F.col("capabilities"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..operators import embedding, images, ingest, models, rerank, search
 from ..sources import tables
 from .inputs import TURNS, shared_path, table
@@ -119,7 +120,7 @@ def route_embedding(spark, sf):
 
 
 def apply_query_prefix(spark, sf):
-    m = F.broadcast(spark.sql(MODELS).select(F.col("id").alias("model"), "query_prefix"))
+    m = small(spark.sql(MODELS).select(F.col("id").alias("model"), "query_prefix"))
     r = _requests(spark, sf).join(m, "model", "left")
     return r.select("conv_id", "turn", embedding.apply_query_prefix(F.col("text"), F.col("input_type"), F.col("query_prefix")).alias("text"))
 

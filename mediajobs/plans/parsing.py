@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.jsonpath import as_string, path_eval
+from ..functions.sizes import small
 from ..functions.text import clean_caption, coerce_page
 from ..operators import health, normalize, routing
 from ..sources import results, tables
@@ -158,7 +159,7 @@ def route_candidates(spark, sf):
 
 
 def satisfies_capabilities(spark, sf):
-    p = F.broadcast(inputs.providers(spark))
+    p = small(inputs.providers(spark))
     return inputs.requests(spark, sf).crossJoin(p).select("request_id", "name", routing.satisfies_capabilities(F.col("needs"), F.col("capabilities")).alias("fits"))
 
 
