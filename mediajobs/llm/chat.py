@@ -14,8 +14,8 @@ within a block.
 
 Turns are ordered by turn number (null first), then role and text. Equal rows
 are counted and take consecutive places. Null texts are empty, null roles are the
-speaker "unknown"; a null conv_id is one conversation. Texts are kept whole;
-extra columns aren't looked at. An empty table gives an empty table.
+speaker "unknown"; a null conv_id is one conversation, other than that of a text
+"null". Texts of any length are kept whole; extra columns aren't looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def rotate(turns: DataFrame) -> DataFrame:
 
     Lengths and places count code points; mask_start = mask_end where nothing is learned.
     """
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    key = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
     rows = (
         turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))

@@ -10,7 +10,8 @@ A bucket of all BITS bits that is still too large holds rows of one hash: it is
 an overflow chain, whose rows are dealt to pages of LIMIT bytes in turn; equal
 rows are counted, not gathered. A single row over LIMIT is a page of its own.
 
-The hash is of the id (null is one value). Null texts have 0 bytes. Repeated
+The hash is of the id (null hashes as the text "null"); ids with one hash always
+share a shard. Very long texts count by their bytes only. Null texts have 0 bytes. Repeated
 rows are rows of their own. The directory tells for any id its shard. Extra
 columns are not looked at by ``assign``; an empty table gives an empty table.
 """

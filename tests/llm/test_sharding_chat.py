@@ -73,3 +73,12 @@ def test_rotation_equals_brute_force(spark):
     got = sorted((tuple(x) for x in chat.rotate(turns).collect()), key=str)
     assert got == brute_chat(rows)
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_null_conversation_is_no_text_null(spark):
+    long = "é" * 300_000
+    turns = spark.createDataFrame([(None, 1, "a", "x"), ("null", 1, "b", long), (None, 2, "c", None)], "conv_id string, turn long, role string, text string")
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate(turns).where("role = perspective").collect()}
+    assert set(got) == {(None, "a"), (None, "c"), ("null", "b")}
+    r = got["null", "b"]
+    assert r.segment == f"<|assistant|>\n{long}<|end|>\n" and r.mask_end - r.mask_start == len(long) + len("<|end|>\n")
