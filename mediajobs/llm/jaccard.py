@@ -80,8 +80,8 @@ RADIUS = 1 - NUM / DEN
 HOT = 256
 #: Rows of a run that a task holds before it hands them on.
 HELD = 1 << 16
-#: Rows of 50 bytes up to which small tables of a large region are broadcast.
-SMALL = 200_000
+#: Rows of 50 bytes up to which small tables of large regions are broadcast, and of 8 bytes up to which ids are.
+SMALL, WANTED = 200_000, 1_000_000
 
 _PLACE = textbuf.mix(np.arange(1, 2 * N + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -533,7 +533,7 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     edges = cut(edges.where("u <> v").distinct())
     state = None
     while True:
-        edges = cut(star(star(edges, True), False))
+        edges = cut(star(cut(star(edges, True)), False))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
@@ -548,7 +548,9 @@ def _sets(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
     first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
     wanted = named.select("doc_id").where("doc_id is not null").distinct()
-    chosen = docs.join(wanted, "doc_id", "left_semi").select("text")
+    wanted = cut(wanted)
+    # few ids are broadcast, so that texts stay where they are
+    chosen = docs.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "doc_id", "left_semi").select("text")
     chosen = chosen.union(docs.where("doc_id is null").select("text"))
     return chosen.mapInArrow(_arrays, "member long, shingles binary")
 
