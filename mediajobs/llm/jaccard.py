@@ -257,7 +257,10 @@ def _clusters(batches):
         if len(members) < 2:
             return
         keys = sorted(members)
-        label = trees(possible(np.array([members[k][0] for k in keys], np.int64), [members[k][1] for k in keys]))
+        may = possible(np.array([members[k][0] for k in keys], np.int64), [members[k][1] for k in keys])
+        main = np.array([members[k][2] for k in keys])
+        may &= ~(main[:, None] & main[None, :])  # connected already
+        label = trees(may)
         for first in np.flatnonzero(np.bincount(label, minlength=len(keys)) > 1).tolist():
             own = [keys[i] for i in np.flatnonzero(label == first).tolist()]
             name = int.from_bytes(hashlib.blake2b(repr(own).encode(), digest_size=8).digest(), "little", signed=True)
@@ -265,12 +268,12 @@ def _clusters(batches):
             out[1].extend(own)
 
     for b in batches:
-        names = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+        names, main = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), b.column(6).to_pylist()
         for i, (name, key, n) in enumerate(zip(names, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
             if name != cell:
                 solve()
                 cell, members = name, {}
-            members[key] = n, np.frombuffer(b.column(5)[i].as_py(), np.uint32)
+            members[key] = n, np.frombuffer(b.column(5)[i].as_py(), np.uint32), main[i]
         if out[0]:
             yield _table(cluster=pa.array(out[0], pa.int64()), member=pa.array(out[1], pa.int64()))
             out[0].clear()
@@ -568,7 +571,7 @@ def _hash(*columns) -> F.Column:
 def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOTS) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links and cells of large regions (region, member, parent: its size), by document pivots, recursively.
 
-    Cells (pivot, i, j, member) hold all pairs that may link and aren't connected by the links.
+    Cells (pivot, i, j, member, main: whether it is in the largest connected part) hold all pairs that may link and aren't connected by the links.
     """
     links, cells, turn = [], [], 0
     # ``apart``: members outside the largest connected part, which ``main`` marks
@@ -586,11 +589,9 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOT
         ).distinct()
         every = F.explode(F.sequence(F.lit(0), n_cells - 1))
         rows = asked.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent")
-        rows = rows.join(sets, "member").union(
-            state.select("member", "region", cell.alias("cell"), F.lit(1).alias("kind"), "label", "parent").join(sets, "member")
-        )
+        rows = rows.union(state.select("region", cell.alias("cell"), F.lit(1).alias("kind"), "member", "label", "parent"))
         found = cut(
-            rows.select("region", "cell", "kind", "member", "label", "parent", "shingles")
+            _with(sets, rows, ["member"]).select("region", "cell", "kind", "member", "label", "parent", "shingles")
             .repartition("region", "cell").sortWithinPartitions("region", "cell", "kind").mapInArrow(_distances, NEAR)
         )
         first = F.try_element_at("links", F.lit(1))
@@ -618,7 +619,7 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOT
             before = large.groupBy("region").agg(F.count("*").alias("was"))
         left = _with(left, sizes.join(before, "region", "left"), ["region"])
         small = F.col("n") <= block
-        cells.append(left.where(small & (F.col("n") > 1)).select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member"))
+        cells.append(left.where(small & (F.col("n") > 1)).select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member", "main"))
         # regions of windows must be half as large, whole ones have fewer members apart, or they are cut into blocks
         again = F.when(F.col("whole"), (F.col("apart") > block) & (F.col("apart") < SHRINK * F.coalesce("was", "parent"))).otherwise(2 * F.col("n") < F.col("parent"))
         left = cut(left.withColumn("again", ~small & again))
@@ -636,8 +637,8 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
     # the others' blocks come first, then those of the part
     mine = F.when(F.col("main"), others + own).otherwise(own)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("main"), others - 1).otherwise(others + part - 1)))
-    return rows.select("region", "member", mine.alias("mine"), other.alias("other")).select(
-        F.col("region").alias("pivot"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member"
+    return rows.select("region", "member", "main", mine.alias("mine"), other.alias("other")).select(
+        F.col("region").alias("pivot"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member", "main"
     )
 
 
@@ -660,7 +661,7 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     )
     big = cut(regions.groupBy("pivot").agg(F.count("*").alias("parent")).where(F.col("parent") > block))
     zero = F.lit(0).cast("long")
-    cells = regions.join(big, "pivot", "left_anti").select("pivot", zero.alias("i"), zero.alias("j"), "member")
+    cells = regions.join(big, "pivot", "left_anti").select("pivot", zero.alias("i"), zero.alias("j"), "member", F.lit(False).alias("main"))
     near = []
     if not big.isEmpty():
         large = cut(regions.join(big, "pivot").select(F.col("pivot").alias("region"), "member", "parent"))
@@ -673,7 +674,7 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     heads = docs.select("text").mapInArrow(_heads(hot), "member long, n int, head binary")
     clusters = cut(
         cells.join(heads, "member")
-        .select("pivot", "i", "j", "member", "n", "head")
+        .select("pivot", "i", "j", "member", "n", "head", "main")
         .repartition("pivot", "i", "j")
         .sortWithinPartitions("pivot", "i", "j")
         .mapInArrow(_clusters, "cluster long, member long")
