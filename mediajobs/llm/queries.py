@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, licenses, mixing, packing, pages, quality, sharding, toxicity, vectors
+from . import chat, importance, jaccard, licenses, mixing, packing, pages, quality, sharding, toxicity, vectors
 from .common import read
 
 
@@ -48,6 +48,21 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: crc32 in DuckDB: its table, and the sum of a text's UTF-8 bytes.
+CRC_TABLE_SQL = """crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table)"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of the expression ``text``, where ``table`` of the crc relation is in scope; text without bytes isn't allowed."""
+    at = f"list_transform(range(1, CAST(strlen({text}) AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {at}), lambda c, b: xor(crc.table[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -59,6 +74,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -165,5 +181,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 100 * len(list_distinct(ws)) < 15 * n_words OR 2 * n_dup_lines > len(ls)
             OR word_chars > 20 * n_words) AS kept
 FROM b
+""",
+    "op11_importance_resampling": f"""
+WITH {CRC_TABLE_SQL},
+w AS (SELECT src, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws
+      FROM (SELECT 0 AS src, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+f AS (SELECT src, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS feature FROM w),
+b AS (SELECT feature, {crc_sql("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), crc),
+x AS (SELECT src, id, bucket FROM f JOIN b USING (feature)),
+n AS (SELECT bucket, count(*) FILTER (src = 0)::DOUBLE AS s, count(*) FILTER (src = 1)::DOUBLE AS t FROM x GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM n),
+d AS (SELECT id AS doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN g USING (bucket) WHERE src = 0 GROUP BY id),
+e AS (SELECT id AS doc_id, len(ws) >= 20 AS able, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d ON d.doc_id = w.id WHERE src = 0),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () * 25 // 100 AS k FROM y)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN able AND place <= k THEN place END AS BIGINT) AS rank FROM r
 """,
 }
