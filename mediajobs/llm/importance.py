@@ -29,6 +29,7 @@ added; an empty table gives an empty table. Other columns aren't looked at.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import zlib
@@ -145,8 +146,14 @@ def scored(docs: DataFrame, gain: np.ndarray, run: int = RUN, seed: int = SEED)
     return rows.withColumn("weight", weight).select("doc_id", "n_words", "n_features", "weight", (F.col("weight") + draw).alias("score"))
 
 
-def _key(values) -> Column:
-    return F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(ORDER, values, strict=True)])
+def _keys(rows: list[tuple]) -> Column:
+    """Keys as one constant, an array of structs of ORDER."""
+    kind = ", ".join(f"{c}: bigint" for c in ORDER)
+    return F.from_json(F.lit(json.dumps([dict(zip(ORDER, row, strict=True)) for row in rows])), f"array<struct<{kind}>>")
+
+
+def _key(row: tuple) -> Column:
+    return F.get(_keys([row]), F.lit(0))
 
 
 def quickselect(keys: DataFrame, k: int, pivots: int = PIVOTS, seed: int = SEED) -> tuple:
@@ -162,7 +169,7 @@ def quickselect(keys: DataFrame, k: int, pivots: int = PIVOTS, seed: int = SEED)
         chosen = sorted(map(tuple, rows.select(*ORDER).orderBy(F.rand(draws.getrandbits(31))).limit(pivots).collect()))
         # 2 for each pivot before a key, 1 for the pivot that it is
         side = lambda n, p: n + F.when(p < F.col("key"), 2).when(p == F.col("key"), 1).otherwise(0)
-        place = F.aggregate(F.array(*map(_key, chosen)), F.lit(0), side)
+        place = F.aggregate(_keys(chosen), F.lit(0), side)
         counts = dict(rows.select(key.alias("key")).groupBy(place.alias("place")).count().collect())
         for at in range(2 * len(chosen) + 1):
             n = counts.get(at, 0)
