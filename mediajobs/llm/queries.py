@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, importance, jaccard, licenses, mixing, packing, pages, quality, sharding, toxicity, vectors
+from . import chat, importance, jaccard, licenses, manifest, mixing, packing, pages, quality, sharding, toxicity, vectors
 from .common import read
 
 
@@ -52,6 +52,10 @@ def op11_importance_resampling(spark, sf_dir):
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.verified(read(spark, sf_dir, "documents"))
+
+
 #: crc32 in DuckDB: its table, and the sum of a text's UTF-8 bytes.
 CRC_TABLE_SQL = """crc AS MATERIALIZED (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table)"""
@@ -63,6 +67,11 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {at}), lambda c, b: xor(crc.table[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 
+def _leaf_sql(n_chars: str) -> str:
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+    return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -75,6 +84,7 @@ QUERIES = {
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -198,5 +208,32 @@ e AS (SELECT id AS doc_id, len(ws) >= 20 AS able, coalesce(n_features, 0)::BIGIN
 y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM e),
 r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () * 25 // 100 AS k FROM y)
 SELECT doc_id, n_features, weight, score, CAST(CASE WHEN able AND place <= k THEN place END AS BIGINT) AS rank FROM r
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS g, {_leaf_sql("n_chars")} AS leaf,
+             CASE WHEN {crc_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS tampered
+      FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+nodes AS (SELECT g, 0 AS level, i, n, leaf AS hash FROM p
+          UNION ALL
+          SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 2, n),
+subroots AS (SELECT g, hash AS subroot, row_number() OVER (ORDER BY g) - 1 AS rank, count(*) OVER () AS langs FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, rank AS i, langs AS n, subroot AS hash FROM subroots
+         UNION ALL
+         SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+every AS MATERIALIZED (SELECT g, level, i, n, hash FROM nodes UNION ALL SELECT NULL, level, i, n, hash FROM tops),
+climb AS (SELECT p.doc_id, leaf, p.g AS own, p.g, 0 AS level, p.i, p.n, '' AS proof, tampered AS folded FROM p
+          UNION ALL
+          SELECT doc_id, leaf, own, CASE WHEN c.n = 1 THEN NULL ELSE c.g END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+                 CASE WHEN c.n = 1 THEN r.rank ELSE c.i // 2 END, CASE WHEN c.n = 1 THEN r.langs ELSE (c.n + 1) // 2 END,
+                 proof || coalesce(e.hash, ''),
+                 CASE WHEN c.n = 1 THEN folded WHEN c.i % 2 = 1 THEN sha256(e.hash || folded) ELSE sha256(folded || coalesce(e.hash, '')) END
+          FROM climb c JOIN subroots r ON r.g = c.own
+          LEFT JOIN every e ON c.n > 1 AND e.g IS NOT DISTINCT FROM c.g AND e.level = c.level AND e.i = xor(c.i, 1)
+          WHERE c.n > 1 OR c.g IS NOT NULL)
+SELECT doc_id, leaf, subroot, (SELECT hash FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT hash FROM tops WHERE n = 1) AS verified
+FROM climb c JOIN subroots r ON r.g = c.own WHERE c.g IS NULL AND c.n = 1
 """,
 }
