@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, importance, jaccard, licenses, manifest, mixing, packing, pages, quality, sharding, toxicity, vectors
+from . import chat, importance, jaccard, learned, licenses, manifest, mixing, packing, pages, quality, sharding, toxicity, vectors
 from .common import read
 
 
@@ -56,6 +56,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return manifest.verified(read(spark, sf_dir, "documents"))
 
 
+def op13_learned_partitions(spark, sf_dir):
+    return learned.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 #: crc32 in DuckDB: its table, and the sum of a text's UTF-8 bytes.
 CRC_TABLE_SQL = """crc AS MATERIALIZED (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table)"""
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_learned_partitions": op13_learned_partitions,
 }
 
 ORACLE_SQL = {
