@@ -49,12 +49,17 @@ def attach_embeddings(figures: DataFrame, vectors: DataFrame, embedding_model: s
     return out.withColumn("embedding_model", F.lit(embedding_model))
 
 
+def media_id_of() -> Column:
+    """Id of the record of a hashed figure."""
+    key = F.concat_ws("\x1f", "hash", "document_id", "figure_id", F.col("pos").cast("string"))
+    return F.substring(F.sha2(key, 256), 1, 32)
+
+
 def build_media_records(figures: DataFrame, as_of: float) -> DataFrame:
     """Figures with their document to media records; ids are hashes, so retries agree."""
     null = F.lit(None).cast("string")
-    key = F.concat_ws("\x1f", "hash", "document_id", "figure_id", F.col("pos").cast("string"))
     return figures.select(
-        F.substring(F.sha2(key, 256), 1, 32).alias("media_id"),
+        media_id_of().alias("media_id"),
         F.coalesce(non_empty(F.col("figure_type")), F.lit("figure")).alias("source_type"),
         F.coalesce(non_empty(F.col("source_uri")), F.col("document_id")).alias("source_uri"),
         F.col("figure_id").alias("source_native_id"),
@@ -89,8 +94,9 @@ def ingest(figures: DataFrame, media: DataFrame, vectors: DataFrame, embedding_m
 def ingest_summary(documents: DataFrame, hashed: DataFrame, records: DataFrame) -> DataFrame:
     """Per document: ingested_count, skipped_duplicates, media_ids in order of figures; zeros without figures."""
     seen = hashed.groupBy("document_id").agg(F.count("*").alias("n"))
-    made = records.join(hashed.select(F.col("document_id").alias("parent_uri"), F.col("figure_id").alias("source_native_id"), "hash", "pos"), ["parent_uri", "source_native_id", "hash"])
-    made = made.groupBy(F.col("parent_uri").alias("document_id")).agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "media_id"))), lambda x: x["media_id"]).alias("media_ids"))
+    # a figure's record is found by its id, which holds its place; figure ids may repeat
+    made = hashed.select("document_id", "pos", media_id_of().alias("media_id")).join(records.select("media_id"), "media_id", "left_semi")
+    made = made.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "media_id"))), lambda x: x["media_id"]).alias("media_ids"))
     out = documents.select("document_id").join(seen, "document_id", "left").join(made, "document_id", "left")
     ids = F.coalesce("media_ids", F.array().cast("array<string>"))
     return out.select("document_id", F.size(ids).alias("ingested_count"), (F.coalesce("n", F.lit(0)) - F.size(ids)).cast("int").alias("skipped_duplicates"), ids.alias("media_ids"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.archives import opened
+
 LABELS = ["paragraph_title", "text", "Table", "figure_caption", "formula", "header"]
 
 
@@ -19,9 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def write_files(files: DataFrame, folder: str) -> str:
+    """``files`` (name, content binary) as files below ``folder``, by the tasks that hold them; a task run again writes the same."""
+
+    def run(batches):
+        system, inner = opened(folder)
+        system.create_dir(inner, recursive=True)
+        for b in batches:
+            for name, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                system.create_dir(f"{inner}/{name}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{inner}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+#: Documents of a file.
+FILE_DOCS = 16
+
+
+def document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g, texts (of FILE_DOCS documents, null: empty, by id)."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / FILE_DOCS).alias("g"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+GROUPS_SQL = "g AS (SELECT doc_id // 16 AS g, list(coalesce(text, '') ORDER BY doc_id) AS texts FROM documents GROUP BY doc_id // 16)"
 
 
 def seconds(ts):
@@ -89,6 +116,25 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mapInPandas(run, "document_id string, content binary")
 
 
+def group_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, content: an archive for each group of documents: their texts as notes, as items of a content list, and as files."""
+
+    def run(batches):
+        for b in batches:
+            for g, texts in zip(b.g, b.texts, strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("images/", b"")
+                    for i, text in enumerate(texts):
+                        z.writestr("full.md" if i == 2 and g % 2 else f"auto/n{i}.md", text)
+                        z.writestr(f"images/{i}.png", text.encode())
+                    for i in range(g % 3):
+                        z.writestr(f"auto/{i}_content_list.json", json.dumps([{"type": "text", "text": text} for text in texts[i:]]))
+                yield pd.DataFrame([{"name": f"{g}.zip", "content": out.getvalue()}])
+
+    return document_groups(spark, sf_dir).mapInPandas(run, "name string, content binary")
+
+
 def provider_yaml(spark: SparkSession, sf_dir: str) -> str:
     """A provider file with an entry for each nation (a dimension table of 25 rows)."""
     entries = {}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_path
 from ..functions.sizes import small
-from ..operators import embedding, images, ingest, models, rerank, search
+from ..operators import embedding, images, ingest, models, pivots, rerank, search
 from ..sources import tables
-from .inputs import TURNS, shared_path, table
+from .inputs import TURNS, table
 
 MODELS = """
 SELECT * FROM VALUES ('bge', 'embedding', CAST(NULL AS STRING), CAST(NULL AS STRING)), ('ir', 'embedding', 'pooled_ir', 'query: '),
@@ -45,6 +46,26 @@ def knn_builtin(spark, sf):
     return search.knn_builtin(queries, v, "visual", 5).withColumn("distance", F.round("distance", 6))
 
 
+def _pruned(spark, sf, column, **options):
+    """The same searches with the vectors' stored pivot table."""
+    v = search.validate_dimensions(_vectors(spark, sf), column, 64 if column == "embedding" else 32)
+    queries = v.where("media_id % 25 = 0").select(F.col("media_id").alias("query_id"), F.col(column).alias("query_vector"))
+    stored = pivots.pivot_table(v, column, new_path(spark, "pivots"), columns=["label"])
+    return pivots.knn_pruned(queries, stored, 5, **options).withColumn("distance", F.round("distance", 6))
+
+
+def knn_pivots(spark, sf):
+    return _pruned(spark, sf, "embedding")
+
+
+def knn_visual_pivots(spark, sf):
+    return _pruned(spark, sf, "visual")
+
+
+def filtered_search_pivots(spark, sf):
+    return _pruned(spark, sf, "embedding", filter_expr="label < 3")
+
+
 def validate_dimensions(spark, sf):
     v = _vectors(spark, sf).withColumn("embedding", F.when(F.col("media_id") % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
     good, bad = search.validate_dimensions(v, "embedding", 64, "quarantine")
@@ -192,7 +213,7 @@ def _figures(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
         F.concat(F.lit("d"), F.floor(F.col("doc_id") / 4).cast("string")).alias("document_id"), F.floor(F.col("doc_id") / 4).alias("doc_ordinal"), (F.col("doc_id") % 4).cast("int").alias("pos"),
-        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("figure_id"), F.lit(1).alias("page"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("image"),
+        F.concat(F.lit("f"), F.when(F.col("doc_id") % 4 == 3, F.col("doc_id") - 2).otherwise(F.col("doc_id")).cast("string")).alias("figure_id"), F.lit(1).alias("page"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("image"),
         F.col("source").alias("caption"), F.lit(None).cast("string").alias("ocr_text"), F.when(F.col("doc_id") % 3 == 0, "chart").when(F.col("doc_id") % 3 == 1, "").alias("figure_type"),
         F.when(F.col("doc_id") % 2 == 0, "").alias("source_uri"), F.lit("p1").alias("provider_name"), "doc_id",
     )
@@ -245,7 +266,8 @@ def ingest_summary(spark, sf):
     records, hashed = _ingest(spark, sf)
     documents = _figures(spark, sf).select("document_id").distinct()
     s = ingest.ingest_summary(documents, hashed, records)
-    return s.select("document_id", "ingested_count", "skipped_duplicates", F.size("media_ids").alias("n_ids"))
+    ids = F.md5(F.array_join("media_ids", ","))
+    return s.select("document_id", "ingested_count", "skipped_duplicates", F.size(F.array_distinct("media_ids")).alias("n_ids"), ids.alias("ids_md5"))
 
 
 def media_lookup(spark, sf):
@@ -254,7 +276,8 @@ def media_lookup(spark, sf):
 
 
 def _media(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("media_id"), F.col("text").alias("input"), "lang")
+    """Every two documents share a media id."""
+    d = table(spark, sf, "documents").where("text is not null").select((F.col("doc_id") - F.col("doc_id") % 2).alias("media_id"), F.col("text").alias("input"), "lang")
     v = models.embed_table(d)
     return v.select("media_id", "lang", F.col("vector").alias("multimodal_vector"), F.col("vector").alias("dino_vector"))
 
@@ -285,7 +308,7 @@ def search_ingested(spark, sf):
     h = _hashed(spark, sf).groupBy("hash").agg(F.min("image").alias("input"))
     vectors = models.embed_table(h).select("hash", F.lit("clip").alias("model"), "vector")
     records, _ = ingest.ingest(figures, _stored(spark, sf), vectors, "clip", "dinov3", (16, 16), 0.0)
-    root = shared_path(spark, "media")
+    root = new_path(spark, "media")
     tables.write_media(records, root, (16, 16))
     media = tables.read_media(spark, root, (16, 16)).withColumn("odd", F.expr("cast(substring(source_native_id, 2) as long) % 2"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
@@ -296,7 +319,7 @@ def search_ingested(spark, sf):
 def _written(spark, sf):
     """The media table after two appends."""
     records, _ = _ingest(spark, sf)
-    root = shared_path(spark, "media")
+    root = new_path(spark, "media")
     for half in ("hash < '8'", "hash >= '8'"):
         tables.write_media(records.where(half), root, (2, 2))
     return tables.read_media(spark, root, (2, 2))
@@ -381,15 +404,12 @@ def _rerank_queries(spark, sf):
     return q.join(b.select("item_id", F.col("text").alias("query")), "item_id").select("query_id", "query", (F.col("query_id") % 4).cast("int").alias("top_n"))
 
 
-_NAMES = """knn_multimodal knn_visual filtered_search knn_builtin validate_dimensions chunk_tokens build_chunk_instances tokenize
+_NAMES = """knn_multimodal knn_visual filtered_search knn_builtin knn_pivots knn_visual_pivots filtered_search_pivots validate_dimensions chunk_tokens build_chunk_instances tokenize
 length_bucket_batches pad_batch embedding_usage batch_stats normalize_embed_input route_embedding apply_query_prefix mean_pool decode_predictions
 l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing dedup_within_batch
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
 truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta image_to_tensor_same_size write_media media_get search_ingested""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
-#: Names that these queries had beside narrower ones; both are the whole tables' now.
-_ALL = "extract_document_text cap_candidates truncate_candidates rerank_score rerank_topn rerank_meta pad_batch".split()
-QUERIES |= {f"{name}_all": QUERIES[name] for name in _ALL}
 
 _KNN = """
 WITH v AS (SELECT vec_id AS media_id, label, {v} AS x FROM embeddings),
@@ -403,7 +423,7 @@ _CHUNKS = "WITH " + _N + """,
 c AS (SELECT text_id, w, n, unnest(range(0, CAST(greatest(0, ceil((least(n, 8192) - 1024) / 896.0)) AS BIGINT) + 1)) AS k FROM n),
 z AS (SELECT text_id, CAST(k AS INT) AS chunk_index, CAST(k * 896 AS INT) AS start, CAST(greatest(0, least(1024, least(n, 8192) - k * 896)) AS INT) AS m, w FROM c)
 """
-_FIG = """f AS (SELECT doc_id, 'd' || (doc_id // 4) AS document_id, doc_id AS o, CASE WHEN doc_id % 11 <> 0 THEN text END AS image, source AS caption FROM documents),
+_FIG = """f AS (SELECT doc_id, 'f' || CASE WHEN doc_id % 4 = 3 THEN doc_id - 2 ELSE doc_id END AS figure_id, 'd' || (doc_id // 4) AS document_id, doc_id AS o, CASE WHEN doc_id % 11 <> 0 THEN text END AS image, source AS caption FROM documents),
 h AS (SELECT *, sha256(image) AS hash FROM f WHERE length(image) > 0),
 st AS (SELECT hash FROM h WHERE doc_id % 10 = 0),
 first AS (SELECT * FROM h WHERE hash NOT IN (SELECT hash FROM st) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o) = 1)
@@ -421,12 +441,12 @@ n AS (SELECT *, list_transform(range(0, 16), lambda k: len(list_filter(hs, lambd
 e AS (SELECT * EXCLUDE (hs, c), list_transform(c, lambda v: CAST(CASE WHEN list_sum(c) > 0 THEN v / sqrt(list_sum(list_transform(c, lambda u: u * u))) ELSE 0 END AS FLOAT)) AS x FROM n)
 """
 _SEARCH = """
-WITH t AS (SELECT 'q' AS side, item_id AS id, '' AS lang, text FROM benchmark WHERE {asked} UNION ALL SELECT 'm', doc_id, lang, text FROM documents WHERE text IS NOT NULL),""" + _ENCODED + """,
+WITH t AS (SELECT 'q' AS side, item_id AS id, '' AS lang, text FROM benchmark WHERE {asked} UNION ALL SELECT 'm', doc_id - doc_id % 2, lang, text FROM documents WHERE text IS NOT NULL),""" + _ENCODED + """,
 s AS (SELECT q.id AS query_id, m.id AS media_id, m.lang, list_sum(list_transform(range(1, 17), lambda k: (CAST(m.x[k] AS DOUBLE) - q.x[k]) ** 2)) AS d FROM e q JOIN e m ON q.side = 'q' AND m.side = 'm')
 SELECT query_id, CAST(rank AS INT) AS rank, media_id, lang, round(d, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, media_id) AS rank FROM s) WHERE rank <= 5"""
 _RECORDS = """
-r AS (SELECT substr(sha256(hash || chr(31) || document_id || chr(31) || 'f' || doc_id || chr(31) || (doc_id % 4)), 1, 32) AS media_id, doc_id, hash, image FROM first)
+r AS (SELECT substr(sha256(hash || chr(31) || document_id || chr(31) || figure_id || chr(31) || (doc_id % 4)), 1, 32) AS media_id, figure_id, doc_id, hash, image FROM first)
 """
 
 ORACLE_SQL = {
@@ -434,6 +454,9 @@ ORACLE_SQL = {
     "knn_visual": _KNN.format(v="embedding[1:32]", f="true"),
     "knn_builtin": _KNN.format(v="embedding[1:32]", f="true"),
     "filtered_search": _KNN.format(v="embedding", f="i.label < 3"),
+    "knn_pivots": _KNN.format(v="embedding", f="true"),
+    "knn_visual_pivots": _KNN.format(v="embedding[1:32]", f="true"),
+    "filtered_search_pivots": _KNN.format(v="embedding", f="i.label < 3"),
     "validate_dimensions": "SELECT vec_id AS media_id, CASE WHEN vec_id % 7 = 0 THEN 'quarantine' ELSE 'valid' END AS part FROM embeddings",
     "chunk_tokens": _CHUNKS + "SELECT text_id, chunk_index, start, m AS n, CAST(coalesce(length(w[start + 1]), -1) AS INT) AS first FROM z",
     "build_chunk_instances": _CHUNKS + "SELECT text_id, chunk_index, least(m, 1022) + 2 AS weight, 0 AS first, 2 AS last, least(m, 1022) + 2 AS mask_sum FROM z",
@@ -470,11 +493,12 @@ SELECT label AS text_id, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER
     "dedup_within_batch": "WITH " + _FIG + "SELECT doc_id, hash FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o) = 1",
     "attach_embeddings": "WITH " + _FIG + "SELECT doc_id, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN 2 END AS mm, true AS no_visual FROM h",
     "ingest_job": "WITH " + _FIG + """
-SELECT CASE WHEN doc_id % 3 = 0 THEN 'chart' ELSE 'figure' END AS source_type, document_id AS source_uri, 'f' || doc_id AS source_native_id, document_id AS parent_uri, 'image/png' AS mime_type, 1 AS page,
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'chart' ELSE 'figure' END AS source_type, document_id AS source_uri, figure_id AS source_native_id, document_id AS parent_uri, 'image/png' AS mime_type, 1 AS page,
        caption, hash, 'p1' AS parser_provider, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN 2 ELSE 0 END AS mm FROM first""",
-    "ingest_summary": "WITH " + _FIG + """,
-a AS (SELECT document_id, count(*) AS n FROM h GROUP BY 1), b AS (SELECT document_id, count(*) AS n FROM first GROUP BY 1)
-SELECT d.document_id, CAST(coalesce(b.n, 0) AS INT) AS ingested_count, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS INT) AS skipped_duplicates, CAST(coalesce(b.n, 0) AS INT) AS n_ids
+    "ingest_summary": "WITH " + _FIG + "," + _RECORDS + """,
+a AS (SELECT document_id, count(*) AS n FROM h GROUP BY 1), b AS (SELECT 'd' || (doc_id // 4) AS document_id, count(*) AS n, string_agg(media_id, ',' ORDER BY doc_id) AS ids FROM r GROUP BY 1)
+SELECT d.document_id, CAST(coalesce(b.n, 0) AS INT) AS ingested_count, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS INT) AS skipped_duplicates, CAST(coalesce(b.n, 0) AS INT) AS n_ids,
+       md5(coalesce(ids, '')) AS ids_md5
 FROM (SELECT DISTINCT document_id FROM f) d LEFT JOIN a USING (document_id) LEFT JOIN b USING (document_id)""",
     "media_lookup": "WITH " + _FIG + "SELECT doc_id, hash FROM h WHERE hash IN (SELECT hash FROM st)",
     "validate_search": "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'text' ELSE 'image' END AS mode, CASE WHEN item_id % 2 = 1 AND item_id % 3 = 0 THEN 400 END AS error_code FROM benchmark",
@@ -499,7 +523,7 @@ FROM q LEFT JOIN k USING (query_id) GROUP BY query_id""",
 WITH p AS (SELECT vec_id, c, (CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 255) AS INT) / 255.0 - [0.485, 0.456, 0.406][c]) / [0.229, 0.224, 0.225][c] AS t FROM embeddings, range(1, 65) AS r(i), range(1, 4) AS s(c))
 SELECT vec_id, CAST(c AS INT) AS channel, round(min(t), 3) AS least, round(max(t), 3) AS most, round(sum(t), 2) AS total FROM p GROUP BY vec_id, c""",
     "write_media": "WITH " + _FIG + "," + _RECORDS + """
-SELECT media_id, 'f' || doc_id AS source_native_id, hash, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN '64,1' END AS multimodal, 0.0::DOUBLE AS created_at,
+SELECT media_id, figure_id AS source_native_id, hash, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN '64,1' END AS multimodal, 0.0::DOUBLE AS created_at,
        'clip' AS embedding_model, (SELECT count(*) FROM first) AS stored FROM r""",
     "media_get": "WITH " + _FIG + "," + _RECORDS + """
 SELECT media_id, hash, CAST(count(*) OVER () AS BIGINT) AS found FROM r WHERE doc_id % 2 = 0""",
@@ -509,4 +533,3 @@ s AS (SELECT q.id AS query_id, m.id AS media_id, list_sum(list_transform(range(1
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, media_id, round(d, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, media_id) AS rank FROM s) WHERE rank <= 5""",
 }
-ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name] for name in _ALL}

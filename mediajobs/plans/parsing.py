@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.jsonpath import as_string, path_eval
+from ..functions.shared import new_path
 from ..functions.sizes import small
 from ..functions.text import clean_caption, coerce_page
 from ..operators import health, normalize, routing
-from ..sources import results, tables
+from ..sources import archives, results, tables
 from . import inputs
-from .inputs import HEALTH_SQL, LINES_SQL, PROVIDERS_SQL, RANKED_SQL, table
+from .inputs import GROUPS_SQL, HEALTH_SQL, LINES_SQL, PROVIDERS_SQL, RANKED_SQL, table
 
 M = normalize.Mapping(
     blocks="blocks || data.blocks", figures="figures || data.figures", tables="tables || data.tables", markdown="markdown || data.markdown"
@@ -120,6 +121,78 @@ def archive_items(spark, sf):
     return items.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length(F.try_variant_get("item", "$.text", "string"))).alias("chars"), F.max("page_idx").alias("page"))
 
 
+def _name(column="document_id"):
+    """A file's name without its ending."""
+    return F.regexp_extract(column, "([^/]+)\\.[a-z]+$", 1)
+
+
+def _bytes(text):
+    return F.encode(text, "UTF-8").alias("content")
+
+
+def _empty(g, ending):
+    """An empty file beside every fourth."""
+    return g.where("g % 4 = 0").select(F.concat(F.lit("empty-"), F.col("g").cast("string"), F.lit(ending)).alias("name"), F.lit(b"").alias("content"))
+
+
+def read_json_files(spark, sf):
+    """Files of objects, arrays, plain text and nothing, written and read back: how many texts a payload has, and which."""
+    g = inputs.document_groups(spark, sf)
+    k, joined = F.col("g") % 3, F.array_join("texts", "\n")
+    value = F.when(k == 0, F.to_json(F.struct("texts"))).when(k == 1, F.to_json("texts")).otherwise(F.concat(F.lit("- "), joined))
+    folder = inputs.write_files(g.select(F.concat(F.col("g").cast("string"), F.lit(".json")).alias("name"), _bytes(value)).union(_empty(g, ".json")), new_path(spark, "json"))
+    v = F.parse_json("payload")
+    listed = F.coalesce(F.try_variant_get(v, "$.texts", "array<string>"), F.try_variant_get(v, "$.result", "array<string>"), F.array(F.try_variant_get(v, "$.text", "string")))
+    read = results.read_json_results(spark, folder).select(_name().alias("file"), listed.alias("texts"))
+    return read.select("file", F.size("texts").alias("n"), F.md5(F.array_join("texts", "\n")).alias("md5"))
+
+
+def read_jsonl_files(spark, sf):
+    """Files of JSON lines, and empty ones, read back as Markdown."""
+    g = inputs.document_groups(spark, sf)
+    lines = F.array_join(F.transform("texts", lambda x: F.to_json(F.struct(F.struct(x.alias("text")).alias("result")))), "\n\n")
+    folder = inputs.write_files(g.select(F.concat(F.col("g").cast("string"), F.lit(".jsonl")).alias("name"), _bytes(lines)).union(_empty(g, ".jsonl")), new_path(spark, "jsonl"))
+    read = normalize.parsed(results.read_jsonl_results(spark, folder).withColumn("document_id", _name()))
+    found = normalize.normalize_markdown(read, normalize.Mapping(markdown="jsonl[].result.text"))
+    return found.select("document_id", F.length("markdown").alias("n"), F.md5("markdown").alias("md5"))
+
+
+def read_text_files(spark, sf):
+    """Files of command output in the three forms, each read as what it is."""
+    g = inputs.document_groups(spark, sf)
+    forms = {"json": F.to_json(F.struct(F.array_join("texts", "\n").alias("text"))), "lines": F.array_join("texts", "\n"), "text": F.concat(F.lit(" \n"), F.array_join("texts", "\n"))}
+    out = None
+    for i, (form, value) in enumerate(forms.items()):
+        mine = g.where(F.col("g") % 3 == i)
+        folder = inputs.write_files(mine.select(F.concat(F.col("g").cast("string"), F.lit(".out")).alias("name"), _bytes(value)).union(_empty(mine, ".out")), new_path(spark, form))
+        v = F.parse_json("payload")
+        n = F.coalesce(F.size(F.try_variant_get(v, "$.blocks", "array<variant>")), F.lit(0))
+        read = results.read_text_results(spark, folder, form).select(_name().alias("file"), F.lit(form).alias("form"), n.alias("n"), F.md5(F.try_variant_get(v, "$.text", "string")).alias("md5"))
+        out = read if out is None else out.union(read)
+    return out
+
+
+def _archive_folder(spark, sf):
+    return inputs.write_files(inputs.group_archives(spark, sf), new_path(spark, "archives"))
+
+
+def read_zip_documents(spark, sf):
+    """Archives on disk, read by the data source in small parts: their Markdown, and the items of their content lists."""
+    a = archives.documents_of(archives.read_entries(spark, _archive_folder(spark, sf), f"{archives.NOTE},{archives.LIST}", 1 << 20))
+    items = F.try_variant_get(F.try_parse_json("content_list"), "$", "array<variant>")
+    texts = F.transform(items, lambda x: F.try_variant_get(x, "$.text", "string"))
+    return a.select(_name().alias("archive"), F.md5("markdown").alias("markdown"), F.size(items).alias("n"), F.md5(F.array_join(texts, "\n")).alias("items"))
+
+
+def read_zip_files(spark, sf):
+    """The archives' other files, one row each; of second content lists, their texts."""
+    f = results.read_zip_files(spark, _archive_folder(spark, sf))
+    items = F.when(F.col("path").endswith(".json"), F.try_variant_get(F.try_parse_json(F.col("content").cast("string")), "$", "array<variant>"))
+    texts = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$.text", "string")), "\n")
+    n = F.when(items.isNotNull(), F.size(items)).otherwise(F.length("content"))
+    return f.select(_name().alias("archive"), "path", n.alias("n"), F.md5(F.coalesce(texts.cast("binary"), "content")).alias("md5"))
+
+
 def load_provider_dim(spark, sf):
     found = frozenset(["france", "china", "peru"])
     p = tables.provider_dim(spark, inputs.provider_yaml(spark, sf), executables=found)
@@ -206,7 +279,8 @@ QUERIES = {
     "normalize_figures": normalize_figures, "normalize_tables": normalize_tables, "coerce_page": coerce_page_query, "assemble_document": assemble_document,
     "read_jsonl_results": read_jsonl_results, "read_json_results": read_json_results, "read_text_results": read_text_results,
     "content_list_pages": content_list_pages, "content_list_figures": content_list_figures, "content_list_tables": content_list_tables,
-    "read_zip_results": read_zip_results, "archive_items": archive_items, "load_provider_dim": load_provider_dim, "load_model_dim": load_model_dim,
+    "read_zip_results": read_zip_results, "archive_items": archive_items, "read_json_files": read_json_files, "read_jsonl_files": read_jsonl_files,
+    "read_text_files": read_text_files, "read_zip_documents": read_zip_documents, "read_zip_files": read_zip_files, "load_provider_dim": load_provider_dim, "load_model_dim": load_model_dim,
     "clean_caption": clean_caption_query, "resolve_input_source": resolve_input_source, "sanitize_payload": sanitize_payload,
     "route_candidates": route_candidates, "satisfies_capabilities": satisfies_capabilities, "rank_candidates": rank_candidates,
     "resolve_fallback": resolve_fallback, "routing_failures": routing_failures, "classify_attempt": classify_attempt,
@@ -238,6 +312,28 @@ SELECT document_id, CAST(sum(length(x)) + count(*) - 1 AS INT) AS markdown_chars
 SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS markdown, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS n_items, 1 AS n_files,
        CAST(strlen(left(coalesce(text, ''), 10)) AS INT) AS file_bytes FROM documents""",
     "archive_items": "WITH " + LINES_SQL + "SELECT document_id, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS chars, 1 AS page FROM l GROUP BY document_id",
+    "read_json_files": "WITH " + GROUPS_SQL + """
+SELECT CAST(g AS VARCHAR) AS file, CAST(CASE WHEN g % 3 = 2 THEN 1 ELSE len(texts) END AS INT) AS n,
+       md5(CASE WHEN g % 3 = 2 THEN '- ' ELSE '' END || array_to_string(texts, chr(10))) AS md5 FROM g
+UNION ALL SELECT 'empty-' || g, 1, md5('') FROM g WHERE g % 4 = 0""",
+    "read_jsonl_files": "WITH " + GROUPS_SQL + r""",
+m AS (SELECT g, coalesce(array_to_string(list_filter(list_transform(texts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)), '') AS m FROM g)
+SELECT CAST(g AS VARCHAR) AS document_id, CAST(length(m) AS INT) AS n, md5(m) AS md5 FROM m
+UNION ALL SELECT 'empty-' || g, 0, md5('') FROM g WHERE g % 4 = 0""",
+    "read_text_files": "WITH " + GROUPS_SQL + r""",
+t AS (SELECT g, ['json', 'lines', 'text'][g % 3 + 1] AS form, array_to_string(texts, chr(10)) AS t FROM g),
+s AS (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM t)
+SELECT CAST(g AS VARCHAR) AS file, form, CAST(CASE WHEN form = 'lines' THEN len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '\S'))) ELSE 0 END AS INT) AS n,
+       md5(CASE WHEN form = 'json' THEN t ELSE s END) AS md5 FROM s
+UNION ALL SELECT 'empty-' || g, form, 0, md5('') FROM t WHERE g % 4 = 0""",
+    "read_zip_documents": "WITH " + GROUPS_SQL + """
+SELECT CAST(g AS VARCHAR) AS archive, md5(CASE WHEN g % 2 = 1 AND len(texts) > 2 THEN texts[3] ELSE texts[1] END) AS markdown,
+       CASE WHEN g % 3 > 0 THEN CAST(len(texts) AS INT) END AS n, CASE WHEN g % 3 > 0 THEN md5(array_to_string(texts, chr(10))) END AS items FROM g""",
+    "read_zip_files": "WITH " + GROUPS_SQL + """
+SELECT CAST(g AS VARCHAR) AS archive, 'images/' || i || '.png' AS path, CAST(strlen(texts[i + 1]) AS INT) AS n, md5(texts[i + 1]) AS md5
+FROM (SELECT g, texts, unnest(range(len(texts))) AS i FROM g)
+UNION ALL
+SELECT CAST(g AS VARCHAR), 'auto/1_content_list.json', CAST(len(texts) - 1 AS INT), md5(coalesce(array_to_string(texts[2:], chr(10)), '')) FROM g WHERE g % 3 = 2""",
     "load_provider_dim": """
 SELECT n_name AS name, CAST(n_nationkey AS INT) AS ordinal, ['http', 'command', 'cli'][n_nationkey % 3 + 1] AS driver, CASE WHEN n_nationkey % 2 = 1 THEN 'local' ELSE 'remote' END AS location,
        n_nationkey % 5 <> 0 AS enabled, CAST(CASE WHEN n_nationkey % 2 = 1 THEN n_regionkey * 10 ELSE 100 END AS INT) AS priority, CASE WHEN n_nationkey % 2 = 1 THEN 30.0 ELSE 300.0 END::DOUBLE AS timeout,

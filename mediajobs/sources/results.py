@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonpath import is_object
 from ..functions.text import strip
+from .archives import LIST, NOTE, documents_of, files_of, read_entries, read_files
 
 
 def _quoted(text: Column) -> Column:
@@ -44,7 +45,8 @@ def text_payload(text: Column, form: Column) -> Column:
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document_id"), "value")
+    """document_id (path) and value of each file, empty ones too; bytes that aren't UTF-8 are replaced."""
+    return read_files(spark, path).select("document_id", F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
 
 
 def read_json_results(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +91,13 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
 
 
 def read_zip_results(spark: SparkSession, path: str) -> DataFrame:
-    """ARCHIVE rows of ZIP files; a content list that isn't JSON is an error when it is read."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("document_id"), "content")
-    return unpack_archives(files)
+    """document_id, markdown, content_list of ZIP files; a content list that isn't JSON is an error when it is read.
+
+    Entries are read one at a time; those of other kinds aren't read (see ``read_zip_files``).
+    """
+    return documents_of(read_entries(spark, path, f"{NOTE},{LIST}"))
+
+
+def read_zip_files(spark: SparkSession, path: str) -> DataFrame:
+    """document_id, path (in the archive), content of the other files in ZIP files."""
+    return files_of(read_entries(spark, path))

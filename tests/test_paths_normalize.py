@@ -95,7 +95,7 @@ def test_readers(spark, tmp_path):
     a = R.read_zip_results(spark, str(tmp_path / "*.zip"))
     assert [r.markdown for r in a.collect()] == ["main"]
     listed = N.content_list(a)
-    files = a.select("document_id", F.explode("files").alias("path", "content"))
+    files = R.read_zip_files(spark, str(tmp_path / "*.zip"))
     assert [(r.figure_number, r.caption, r.page, r.image_base64) for r in N.content_list_figures(listed, files).collect()] == [("1", "Fig one", 2, "cG5n")]
     assert [(r.page_number, r.text) for r in N.content_list_pages(listed).orderBy("ordinal").collect()] == [(2, "T\n"), (1, "")]
     assert [(r.caption, r.markdown, r.page) for r in N.content_list_tables(listed).collect()] == [("C", "body", 1)]
