@@ -22,7 +22,10 @@ def content_hash(image: Column) -> Column:
 
 
 def anti_join_existing(figures: DataFrame, media: DataFrame) -> DataFrame:
-    """``figures`` (hash) whose hash the media table lacks; only its hash column is read."""
+    """``figures`` (hash) whose hash the media table lacks; only its hash column is read.
+
+    ``known.new_figures`` does the same with a stored filter, and shuffles few of them.
+    """
     return figures.join(media.select("hash").where("hash is not null"), "hash", "left_anti")
 
 

@@ -27,21 +27,64 @@ def satisfies_capabilities(needs: Column, capabilities: Column) -> Column:
     )
 
 
+#: What every provider has, and every request needs; and what providers have that private requests may use. No need or capability holds a NUL.
+ANY, NEAR = "\0any", "\0near"
+
+
+def needs_of(privacy: Column | None, needs: Column) -> Column:
+    """What a request needs, in lower case, each once and in order, with ANY, and NEAR if it is private."""
+    listed = F.transform(F.coalesce(needs, F.array().cast("array<string>")), F.lower)
+    marks = F.array(F.lit(ANY))
+    if privacy is not None:
+        marks = F.when(F.coalesce(privacy, F.lit("private")) == "private", F.array(F.lit(ANY), F.lit(NEAR))).otherwise(marks)
+    return F.array_sort(F.array_distinct(F.concat(listed, marks)))
+
+
+def capabilities_of(location: Column, capabilities: Column) -> Column:
+    """What a provider has, in lower case, with ANY, and NEAR unless it is remote (or nowhere)."""
+    have = F.transform(F.coalesce(capabilities, F.array().cast("array<string>")), F.lower)
+    return F.concat(have, F.array(F.lit(ANY)), F.when(location != "remote", F.array(F.lit(NEAR))).otherwise(F.array().cast("array<string>")))
+
+
+def solved(signatures: DataFrame, providers: DataFrame) -> DataFrame:
+    """signature, provider of those that have everything that a signature (needs_of) holds; an equi-join on single needs."""
+    alias = lambda n: F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[n], n)
+    asked = signatures.select("signature", F.explode("signature").alias("need"))
+    asked = asked.select("signature", "need", F.explode(F.array_distinct(F.array("need", alias(F.col("need"))))).alias("has"))
+    have = providers.select(F.col("name").alias("provider"), F.explode(F.array_distinct(capabilities_of(F.col("location"), F.col("capabilities")))).alias("has"))
+    met = asked.join(have, "has").groupBy("signature", "provider").agg(F.collect_set("need").alias("met"))
+    return met.where(F.size("met") == F.size("signature")).select("signature", "provider")
+
+
 def route_candidates(requests: DataFrame, providers: DataFrame, availability: DataFrame | None = None) -> DataFrame:
     """One row per request and provider that may serve it.
 
+    Requests of one signature (what they need, and whether they are private) have the
+    same providers, so these are found once for each signature.
     ``availability`` (request_id, provider, available): missing rows count as unavailable.
     """
-    p = small(providers.withColumnRenamed("name", "provider"))
-    private = F.coalesce(F.col("privacy"), F.lit("private")) == "private"
-    allowed = ~(private & (F.col("location") == "remote"))
-    fits = F.col("enabled") & allowed & satisfies_capabilities(F.col("needs"), F.col("capabilities"))
-    out = requests.join(p, fits)
+    signed = requests.withColumn("_signature", needs_of(F.col("privacy"), F.col("needs")))
+    open_ = providers.where("enabled")
+    found = solved(signed.select(F.col("_signature").alias("signature")).distinct(), open_)
+    rows = found.join(small(open_.withColumnRenamed("name", "provider")), "provider")
+    out = signed.join(small(rows), F.col("_signature") == F.col("signature")).select(*requests.columns, "provider", *[c for c in providers.columns if c != "name"])
     if availability is not None:
         out = out.join(availability.where("available").select("request_id", "provider"), ["request_id", "provider"], "left_semi")
     return out
 
 
+def capability_table(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """request_id, name, fits of every request and provider: whether the provider has what the request needs, wherever it is."""
+    signed = requests.select("request_id", needs_of(None, F.col("needs")).alias("signature"))
+    signatures = signed.select("signature").distinct()
+    fitting = solved(signatures, providers).groupBy("signature").agg(F.collect_set("provider").alias("fitting"))
+    # the providers' names travel as one array, those that fit as another for each signature
+    names = providers.agg(F.collect_set("name").alias("names"))
+    known = signatures.join(fitting, "signature", "left").crossJoin(F.broadcast(names))  # one row
+    listed = known.select("signature", F.explode("names").alias("name"), "fitting").select("signature", "name", F.coalesce(F.array_contains("fitting", F.col("name")), F.lit(False)).alias("fits"))
+    return signed.join(small(listed), "signature").select("request_id", "name", "fits")
+
+
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """``candidates`` with rank: the preferred provider first, then by priority, ties in registry order."""
     preferred = F.coalesce(F.col("provider") == F.col("preferred_provider"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import new_path
 from ..functions.sizes import small
-from ..operators import embedding, images, ingest, models, pivots, rerank, search
+from ..operators import embedding, images, ingest, known, models, pivots, rerank, search
 from ..sources import tables
 from .inputs import TURNS, table
 
@@ -239,6 +239,14 @@ def anti_join_existing(spark, sf):
     return ingest.anti_join_existing(_hashed(spark, sf), _stored(spark, sf)).select("doc_id", "hash")
 
 
+def anti_join_filtered(spark, sf):
+    """The same with the stored filter of hashes, written in two parts."""
+    path, stored = new_path(spark, "filter"), _stored(spark, sf)
+    known.write_filter(stored.where("hash < '8'"), path)
+    known.add_to_filter(stored.where("hash >= '8'"), path)
+    return known.new_figures(_hashed(spark, sf).drop("image"), stored, known.HashFilter(spark, path)).select("doc_id", "hash")
+
+
 def dedup_within_batch(spark, sf):
     return ingest.dedup_within_batch(_hashed(spark, sf).drop("image")).select("doc_id", "hash")
 
@@ -406,7 +414,7 @@ def _rerank_queries(spark, sf):
 
 _NAMES = """knn_multimodal knn_visual filtered_search knn_builtin knn_pivots knn_visual_pivots filtered_search_pivots validate_dimensions chunk_tokens build_chunk_instances tokenize
 length_bucket_batches pad_batch embedding_usage batch_stats normalize_embed_input route_embedding apply_query_prefix mean_pool decode_predictions
-l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing dedup_within_batch
+l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor figures_with_image content_hash anti_join_existing anti_join_filtered dedup_within_batch
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
 truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta image_to_tensor_same_size write_media media_get search_ingested""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -490,6 +498,7 @@ SELECT label AS text_id, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER
     "figures_with_image": "WITH " + _FIG + "SELECT doc_id FROM h",
     "content_hash": "WITH " + _FIG + "SELECT doc_id, hash FROM h",
     "anti_join_existing": "WITH " + _FIG + "SELECT doc_id, hash FROM h WHERE hash NOT IN (SELECT hash FROM st)",
+    "anti_join_filtered": "WITH " + _FIG + "SELECT doc_id, hash FROM h WHERE hash NOT IN (SELECT hash FROM st)",
     "dedup_within_batch": "WITH " + _FIG + "SELECT doc_id, hash FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY o) = 1",
     "attach_embeddings": "WITH " + _FIG + "SELECT doc_id, CASE WHEN hash IN (SELECT hash FROM h WHERE doc_id % 3 = 0) THEN 2 END AS mm, true AS no_visual FROM h",
     "ingest_job": "WITH " + _FIG + """

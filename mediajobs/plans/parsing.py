@@ -232,8 +232,7 @@ def route_candidates(spark, sf):
 
 
 def satisfies_capabilities(spark, sf):
-    p = small(inputs.providers(spark))
-    return inputs.requests(spark, sf).crossJoin(p).select("request_id", "name", routing.satisfies_capabilities(F.col("needs"), F.col("capabilities")).alias("fits"))
+    return routing.capability_table(inputs.requests(spark, sf), inputs.providers(spark))
 
 
 def rank_candidates(spark, sf):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
 import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,20 +103,62 @@ def media_path(root: str, mm_size: int, dino_size: int) -> str:
     return f"{root}/media_{mm_size}_{dino_size}"
 
 
+#: Buckets of a media table, by hash.
+BUCKETS = 64
+
+
+def _table(spark: SparkSession, path: str) -> str:
+    """The session's name for the media table at ``path``."""
+    return f"media_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def write_media(records: DataFrame, root: str, sizes: tuple[int, int]) -> None:
-    """Append validated records to the table of these vector sizes."""
-    records.write.mode("append").parquet(media_path(root, *sizes))
+    """Append validated records to the table of these vector sizes.
+
+    The table is bucketed and sorted by hash, so a lookup or a join by hash reads one
+    bucket of each, or none anew; Parquet Bloom filters on hash and media_id let
+    lookups skip the row groups that lack a value.
+    """
+    spark, path = records.sparkSession, media_path(root, *sizes)
+    writer = records.repartition(BUCKETS, "hash").write.mode("append").format("parquet").option("path", path)
+    for column in ("hash", "media_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    name = _table(spark, path)
+    if not spark.catalog.tableExists(name):
+        _register(spark, path, name)
+    writer.bucketBy(BUCKETS, "hash").sortBy("hash").saveAsTable(name)
+
+
+def _register(spark: SparkSession, path: str, name: str) -> bool:
+    """Makes the files at ``path``, if there are any, known to this session as a bucketed table."""
+    try:
+        schema = spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if not any(c in str(e) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        return False
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {BUCKETS} BUCKETS LOCATION '{path}'")
+    return True
 
 
 def read_media(spark: SparkSession, root: str, sizes: tuple[int, int]) -> DataFrame:
-    return spark.read.parquet(media_path(root, *sizes))
+    """The table of these vector sizes; an error if nothing was ever written to it."""
+    path = media_path(root, *sizes)
+    name = _table(spark, path)
+    if not spark.catalog.tableExists(name) and not _register(spark, path, name):
+        return spark.read.parquet(path)  # which says what is missing
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def media_get_by_id(media: DataFrame, media_id: str) -> DataFrame:
+    """Reads the row groups whose Bloom filter may hold the id."""
     return media.where(F.col("media_id") == media_id).limit(1)
 
 
 def media_get_by_hash(media: DataFrame, content_hash: str) -> DataFrame:
+    """Reads one bucket."""
     return media.where(F.col("hash") == content_hash).limit(1)
 
 
