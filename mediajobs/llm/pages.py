@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -84,35 +85,53 @@ CLOSES = {
 #: Elements that an opening tag never closes beyond.
 SCOPES = frozenset("html body article main section div table ul ol dl blockquote aside nav header footer form".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
+#: Words of classes and ids that drop inline elements (fixed values); other names of those say nothing of the sort.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag without broken quotes, or markup within them.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_STOPS = re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     parent: int
-    path: str
+    name: str  # tag, classes and ids
+    token: int  # hash of the names from the root to here
     depth: int
     dropped: int  # 1: with all in it; 2: but for its headings
     rank: int  # how much it looks like the article
     named: bool = False  # dropped by a class or id, not by tag or role
     part: bool = False  # ... by a part of a name only
+    inside: bool = False  # in an article or main element, or one itself
+    above: Element | None = None
+    kept: bool = True  # whether a block of it is no boilerplate by tags and names
+    heading: bool = False  # it or what it is in
+    prosaic: bool = False  # the same of PROSE
     prose: int = 0  # chars of kept text in elements of PROSE, without links
     loose: int = 0  # of other sentences
     chars: int = 0  # of kept text in it
 
+    @property
+    def path(self) -> str:
+        names, e = [], self
+        while e:
+            names.append(e.name)
+            e = e.above
+        return "/".join(reversed(names))
+
 
 @dataclass
 class Page:
-    elements: list[Element]
+    elements: list[Element]  # in their order, so a parent is before its children
     blocks: list[tuple[int, str]]  # owner, text
+    tokens: list[int]  # of blocks
     linked: set[int]  # blocks that are links
 
     def within(self, owner: int):
@@ -122,61 +141,133 @@ class Page:
 
     def kept(self, owner: int) -> bool:
         """Whether a block of this element is no boilerplate by tags and names."""
-        heading = False
-        for i in self.within(owner):
-            e = self.elements[i]
-            heading |= e.tag in HEADINGS
-            if e.dropped == 1 or (e.dropped == 2 and not heading):
-                return False
-        return True
+        return owner < 0 or self.elements[owner].kept
 
     def heading(self, owner: int) -> bool:
-        return any(self.elements[i].tag in HEADINGS for i in self.within(owner))
+        return owner >= 0 and self.elements[owner].heading
 
     def prose(self, i: int) -> tuple[int, int]:
         """Chars of a block that are prose by its element, or by its length only; links are neither."""
         owner, text = self.blocks[i]
         if i in self.linked or not self.kept(owner):
             return 0, 0
-        if any(self.elements[k].tag in PROSE for k in self.within(owner)):
+        if owner >= 0 and self.elements[owner].prosaic:
             return len(text), 0
         return 0, len(text) if text.count(" ") >= SENTENCE - 1 else 0
 
+    def marked(self, chosen: set[int]) -> list[bool]:
+        """For each element whether it, or what it is in, is one of ``chosen``."""
+        out: list[bool] = []
+        for i, e in enumerate(self.elements):
+            out.append(i in chosen or (e.parent >= 0 and out[e.parent]))
+        return out
+
+
+class Tags:
+    """Markup of a page, in order: each is (start, end, whether it closes, tag, attributes); comments have no tag.
+
+    Reads forward only: what is known not to follow isn't looked for again. A ``>`` in
+    quotes doesn't end a tag, unless they are broken (never closed, or another tag
+    begins outside of quotes); then the first one does.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+
+    def find(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        s = self.source
+        while (lo := s.find("<", at)) >= 0:
+            if m := _PLAIN.match(s, lo):
+                return lo, m.end(), bool(m[1]), m[2].lower(), m[3]
+            if s.startswith(("<!--", "<![CDATA["), lo):
+                end = s.find("-->" if s.startswith("<!--", lo) else "]]>", lo + 4)
+                return lo, end + 3 if end >= 0 else len(s), False, "", ""
+            if s.startswith(("<!", "<?"), lo):
+                end = s.find(">", lo) + 1
+                return lo, end or len(s), False, "", ""
+            m = _NAME.match(s, lo + 1)
+            if m and m.end() <= self.last[">"]:
+                end = self.end(m.end())
+                return lo, end, bool(m[1]), m[2].lower(), s[m.end() : end - 1]
+            at = lo + 1
+        return None
+
+    def end(self, at: int) -> int:
+        i = at
+        while m := _STOPS.search(self.source, i):
+            c = m[0]
+            if c == ">":
+                return m.end()
+            # beyond the last quote of its kind none closes it
+            if c == "<" or m.end() > self.last[c]:
+                break
+            i = self.source.find(c, m.end()) + 1
+        return self.source.find(">", at) + 1
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text else {}
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+
+
+def _words_of(name: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(name)}
+
 
 def parse(source: str) -> Page:
-    """Elements and text blocks of a page; text of scripts, styles and other raw elements is no block."""
-    elements, blocks, stack, run = [], [], [], []
+    """Elements and text blocks of a page; text of scripts, styles and other raw elements is no block.
+
+    Time and memory grow with the length of the page, however deep or broken it is.
+    """
+    elements, blocks, tokens, stack, run = [], [], [], [], []
+    states = [hashlib.blake2b(digest_size=8)]  # of the paths of the open elements
+    open_, scopes = Counter(), [Counter()]  # open elements by tag; those since each open element of SCOPES
     linked, in_link, link_chars = set(), False, 0
+    skipped, nested_in = "", 0  # the inline element that is left out, and how many of its tag are open in it
 
     def flush():
-        nonlocal link_chars
-        text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
+        nonlocal link_chars, skipped
+        whole = "".join(run)
+        text = _SPACE.sub(" ", entities.unescape(whole)).strip() if whole and not whole.isspace() else ""
         if text:
             if 10 * link_chars >= 9 * sum(len(x.strip()) for x in run):
                 linked.add(len(blocks))
             blocks.append((stack[-1] if stack else -1, text))
+            tokens.append(_extended(states[-1], f"\0{text}")[1])
         run.clear()
-        link_chars = 0
+        link_chars, skipped = 0, ""
+
+    def pop() -> str:
+        tag = elements[stack.pop()].tag
+        states.pop()
+        open_[tag] -= 1
+        if tag in SCOPES:
+            scopes.pop()
+        else:
+            scopes[-1][tag] -= 1
+        return tag
 
     def opened(tag, attributes):
-        names, role, hidden, article = "", "", False, False
+        names, role, hidden, article, each, words = "", "", False, False, (), frozenset()
         if attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            role = found.get("role", "").lower()
-            hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+            found = _attributes(attributes)
+            names, role, hidden = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower(), _hidden(found)
             article = found.get("itemprop", "").lower() == "articlebody"
-        words = {w.lower() for w in _WORDS.findall(names)}
-        each = [{w.lower() for w in _WORDS.findall(x)} for x in names.split()]
+            each = [_words_of(x) for x in names.split()]
+            words = frozenset().union(*each)
         parent = stack[-1] if stack else -1
-        inside = any(elements[i].tag in ("article", "main") for i in stack)
+        inside = parent >= 0 and elements[parent].inside
         dropped = int(tag in DROPPED or hidden or role in BOILERPLATE or role in ("dialog", "form"))
         named = part = False
         if not dropped and words & BOILERPLATE and tag not in HEADINGS:
             # the whole of a name says what an element is; of a section or within the article, a part of one doesn't
             whole = any(x & BOILERPLATE and x <= BOILERPLATE | NEUTRAL for x in each)
             if tag == "section":
-                by_class = [{w.lower() for w in _WORDS.findall(x)} for x in found.get("class", "").split()]
+                by_class = [_words_of(x) for x in found.get("class", "").split()]
                 whole = found.get("id", "").lower() in FURNITURE or any(x & BOILERPLATE and x <= BOILERPLATE | NEUTRAL for x in by_class)
             named, part = whole or not (inside or tag == "section"), not any(len(x) == 1 and x <= BOILERPLATE for x in each)
             dropped = int(named)
@@ -185,80 +276,124 @@ def parse(source: str) -> Page:
         if not dropped and (tag == "header" or "header" in words or role == "header"):
             dropped = 2 if inside else 1
         rank = 4 if article else 3 if tag == "article" else 2 if tag == "main" or role == "main" else 0
-        name = re.sub(r"\d+", "#", ".".join([tag, *sorted(names.split())]))
-        path = (elements[parent].path + "/" if parent >= 0 else "") + name
-        elements.append(Element(tag, parent, path, len(stack), dropped, rank, named, part))
+        name = _DIGITS.sub("#", ".".join([tag, *sorted(names.split())]) if names else tag)
+        state, token = _extended(states[-1], ("/" if parent >= 0 else "") + name)
+        elements.append(Element(tag, parent, name, token, len(stack), dropped, rank, named, part, inside or tag in ("article", "main"), elements[parent] if parent >= 0 else None))
         stack.append(len(elements) - 1)
-
-    at = 0
+        states.append(state)
+        open_[tag] += 1
+        if tag in SCOPES:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
+
+    at, tags = 0, Tags(source)
     while True:
-        m = _MARKUP.search(source, at)
-        run.append(source[at : m.start() if m else None])
-        if in_link:
-            link_chars += len(run[-1].strip())
+        m = tags.find(at)
+        if not skipped:
+            run.append(source[at : m[0] if m else None])
+            if in_link:
+                link_chars += len(run[-1].strip())
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        _, at, closes, tag, attributes = m
         if not tag:
             continue
         if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
+            if not closes and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
             if tag in ("title", "textarea", "iframe", "object", "select"):
                 flush()
             continue
         if tag in INLINE:
-            if tag in ("br", "img"):
+            if tag == skipped:
+                nested_in += -1 if closes else 1
+                skipped = skipped if nested_in else ""
+            elif skipped:
+                continue
+            elif tag in ("br", "img"):
                 run.append(" ")
+            elif not closes and tag not in VOID and attributes and _left_out(attributes):
+                skipped, nested_in = tag, 1
             elif tag == "a":
-                in_link = not m[1]
+                in_link = not closes
             continue
         flush()
-        if m[1]:
-            if any(elements[i].tag == tag for i in stack):
-                while elements[stack.pop()].tag != tag:
+        if closes:
+            if open_[tag]:
+                while pop() != tag:
                     pass
             continue
         if tag in VOID:
             continue
         closing = CLOSES.get(tag, ("p",))
-        for i in range(len(stack) - 1, -1, -1):
-            if elements[stack[i]].tag in SCOPES:
-                break
-            if elements[stack[i]].tag in closing:
-                del stack[i:]
-        if not m[3].endswith("/"):
-            opened(tag, m[3])
+        while any(scopes[-1][t] for t in closing):
+            while pop() not in closing:
+                pass
+        if not attributes.endswith("/"):
+            opened(tag, attributes)
     flush()
-    page = Page(elements, blocks, linked)
+    page = Page(elements, blocks, tokens, linked)
     _take_back(page)
-    for k, (owner, text) in enumerate(blocks):
-        if page.kept(owner):
-            prose, loose = page.prose(k)
-            for i in page.within(owner):
-                elements[i].chars += len(text)
-                elements[i].prose += prose
-                elements[i].loose += loose
+    _settle(page)
     return page
 
 
+def _left_out(attributes: str) -> bool:
+    """Whether an inline element is hidden, or an advert by the whole of a class or id."""
+    found = _attributes(attributes)
+    each = [_words_of(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    return _hidden(found) or any(x & ADVERTS and x <= ADVERTS | NEUTRAL for x in each)
+
+
+def _settle(page: Page) -> None:
+    """What elements have from those above them, then sums over those below."""
+    elements, states = page.elements, []  # in what is dropped; in a dropped header, without a heading between
+    for e in elements:
+        up = elements[e.parent] if e.parent >= 0 else None
+        own = e.tag in HEADINGS
+        dead = e.dropped == 1 or (up is not None and states[e.parent][0])
+        faint = (e.dropped == 2 or (up is not None and states[e.parent][1])) and not own
+        states.append((dead, faint))
+        e.kept = not dead and not faint
+        e.heading = own or (up is not None and up.heading)
+        e.prosaic = e.tag in PROSE or (up is not None and up.prosaic)
+    for k, (owner, text) in enumerate(page.blocks):
+        if owner >= 0 and page.kept(owner):
+            e = elements[owner]
+            prose, loose = page.prose(k)
+            e.chars += len(text)
+            e.prose += prose
+            e.loose += loose
+    for e in reversed(elements):
+        if e.parent >= 0:
+            up = elements[e.parent]
+            up.chars += e.chars
+            up.prose += e.prose
+            up.loose += e.loose
+
+
 def _take_back(page: Page) -> None:
     """Names don't drop what holds the page's only article, or, without one, more than half of its text by a part of a name."""
     elements = page.elements
     if not any(e.named and e.dropped for e in elements):
         return
     chars, total = [0] * len(elements), 0
+    gone, names = [], []  # in what tag or role drops; how many named elements it is in
+    for e in elements:
+        up = e.parent
+        gone.append((e.dropped == 1 and not e.named) or (up >= 0 and gone[up]))
+        names.append(e.named + (names[up] if up >= 0 else 0))
     for owner, text in page.blocks:
-        above = list(page.within(owner))
-        if all(elements[i].named or elements[i].dropped != 1 for i in above):
+        if owner < 0 or not gone[owner]:
             total += len(text)
-            for i in above:
-                chars[i] += len(text)
-    articles = []
-    for i, e in enumerate(elements):
-        if e.rank and chars[i]:
-            articles.append((sum(elements[j].named for j in page.within(i)), -chars[i], i))
+            if owner >= 0:
+                chars[owner] += len(text)
+    for i in range(len(elements) - 1, -1, -1):
+        if elements[i].parent >= 0:
+            chars[elements[i].parent] += chars[i]
+    articles = [(names[i], -chars[i], i) for i, e in enumerate(elements) if e.rank and chars[i]]
     if articles:
         wrong = page.within(min(articles)[2])
     else:
@@ -268,20 +403,22 @@ def _take_back(page: Page) -> None:
             elements[i].dropped, elements[i].named = 0, False
 
 
-_known: dict[str, int] = {}
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
 
 
 def _digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return _number(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
 
+def _extended(state, s: str):
+    """The state of a hash after ``s``, and its number: that of the whole text so far."""
+    state = state.copy()
+    state.update(s.encode("utf-8", "surrogatepass"))
+    return state, _number(state.digest())
 
-def _hash(path: str) -> int:
-    """Hash of an element's path; paths recur, so a bounded number of them is remembered."""
-    if path not in _known:
-        if len(_known) > 20_000:
-            _known.clear()
-        _known[path] = _digest(path)
-    return _known[path]
+
+_hash = _digest
 
 
 ELEMENT, BLOCK, PAGE = 0, 1, 2
@@ -295,10 +432,9 @@ PAGES = (
 
 def _token(page: Page, owner: int, text: str | None = None) -> int:
     """Hash of an element, or of a block within it; 0 above the root."""
-    path = page.elements[owner].path if owner >= 0 else ""
     if text is not None:
-        return _digest(f"{path}\0{text}")
-    return _hash(path) if owner >= 0 else 0
+        return _digest(f"{page.elements[owner].path if owner >= 0 else str()}\0{text}")
+    return page.elements[owner].token if owner >= 0 else 0
 
 
 def _tokens(batches):
@@ -320,12 +456,11 @@ def _tokens(batches):
             pages.append((host, key, *[sum(x) for x in zip((0, 0), *map(page.prose, range(len(page.blocks))))]))
             seen: dict[int, list] = {}
             for e in page.elements:
-                token = _hash(e.path)
+                token = e.token
                 row = seen.setdefault(token, [ELEMENT, token, _token(page, e.parent), 0, 0, 0, 0, 0 if e.dropped else e.rank, min(e.depth, 30_000)])
                 for i, v in enumerate((1, e.chars, e.prose, e.loose), 3):
                     row[i] += v
-            for owner, text in page.blocks:
-                token = _token(page, owner, text)
+            for token, (owner, text) in zip(page.tokens, page.blocks, strict=True):
                 depth = page.elements[owner].depth + 1 if owner >= 0 else 0
                 row = seen.setdefault(token, [BLOCK, token, _token(page, owner), 0, 0, 0, 0, int(page.heading(owner)), min(depth, 30_000)])
                 row[3] += 1
@@ -474,24 +609,35 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
 
 def main_text(source: str, slot: int | None, texts: frozenset[int]) -> str:
     """The article's text of one page, given its host's slot and template texts."""
+    return decided(source, slot, texts)[0]
+
+
+def decided(source: str, slot: int | None, texts: frozenset[int]) -> tuple[str, int]:
+    """The article's text, and how many blocks of the page the template left out.
+
+    The template comes first: what is outside its slot or one of its texts goes. Tags
+    and names decide on what it lets stay, and, where it has no slot on this page, where
+    the article is.
+    """
     page = parse(source)
-    inside = {i for i, e in enumerate(page.elements) if slot is not None and _hash(e.path) == slot}
-    if not inside and page.elements:
+    slots = {i for i, e in enumerate(page.elements) if slot is not None and e.token == slot}
+    inside = slots
+    if not slots:
         fits = [i for i, e in enumerate(page.elements) if e.rank and e.chars and not e.dropped]
-    if not inside and page.elements and fits:
-        inside = {max(fits, key=lambda i: (page.elements[i].rank, page.elements[i].chars, -i))}
-    out = []
-    for owner, text in page.blocks:
-        if not page.kept(owner) or (inside and not any(i in inside for i in page.within(owner))):
-            continue
-        if texts and _token(page, owner, text) in texts:
-            continue
-        out.append(text)
-    return "\n\n".join(out)
+        inside = {max(fits, key=lambda i: (page.elements[i].rank, page.elements[i].chars, -i))} if fits else set()
+    marked = page.marked(inside)
+    out, by_template = [], 0
+    for token, (owner, text) in zip(page.tokens, page.blocks, strict=True):
+        beside = bool(inside) and (owner < 0 or not marked[owner])
+        if token in texts or (beside and slots):
+            by_template += 1
+        elif not beside and page.kept(owner):
+            out.append(text)
+    return "\n\n".join(out), by_template
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, rows_per_copy: int = ROWS, small: int = SMALL) -> DataFrame:
-    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
+    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_template (blocks that the template left out)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     found = cut(templates(rows, min_pages).drop("classes"))
     n_bytes = found.agg(F.sum(F.size("texts") * 8 + F.octet_length("host") + 40)).first()[0] or 0
@@ -509,19 +655,21 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, rows_per_copy: int = R
     def run(batches):
         known: dict[str, frozenset[int]] = {}
         for b in batches:
-            text = []
+            text, out = [], []
             hosts, slots = b.column(2).to_pylist(), b.column(4).to_pylist()
             for i, (host, source) in enumerate(zip(hosts, b.column(3).to_pylist(), strict=True)):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[host] = frozenset(b.column(5)[i].as_py() or ())
-                text.append(main_text(source, slots[i], known[host]))
+                found_text, by_template = decided(source, slots[i], known[host])
+                text.append(found_text)
+                out.append(by_template)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
+                [b.column(0).cast(pa.int64()), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64()), pa.array(out, pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_template"],
             )
 
     return joined.select("page_id", "url", "host", "html", "slot", "texts").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long"
+        run, "page_id long, url string, text string, n_chars long, n_template long"
     )
