@@ -7,11 +7,12 @@ A provider's log may be long: state is combined over slices of time first
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sizes import small
+from ..functions.shared import cut
 
 #: Accepted status codes by kind of call (fixed values).
 ACCEPTED = {"single": (200, 201, 202), "step": (200, 201, 202, 204), "poll": (200,), "workflow_poll": (200, 201, 202)}
@@ -88,34 +89,67 @@ def provider_health(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> Da
     )
 
 
-def provider_available_at(requests: DataFrame, health: DataFrame, providers: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """request_id, provider, available: as of the request's time (an as-of join, also in slices of time).
+#: Rows of states and times of a slice, about.
+SLICE_ROWS = 16384
 
-    ``providers``: name, enabled, executable_present (null counts as present). A provider without events is available.
+
+def provider_available_at(requests: DataFrame, health: DataFrame, providers: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """request_id, provider, available: as of the request's time.
+
+    ``providers``: name, enabled, executable_present (null counts as present), a dimension
+    table. A provider without events is available; a state at a request's time counts.
+
+    Which providers are down changes with states only, and requests of one time find the
+    same. So states and the distinct times of requests are sorted over slices (by
+    sampled splits, so no slice is large), each slice is merged in one pass, and
+    the providers that are down travel as one array for each time. What a slice starts
+    with is the last state of each provider before it.
     """
-    p = small(providers.select(F.col("name").alias("provider"), "enabled", F.coalesce("executable_present", F.lit(True)).alias("present")))
-    state = F.struct("quota_state", "cooldown_until")
-    asked = requests.select("request_id", "ts").crossJoin(p)  # as many rows as requests times the few providers
-    seen = health.select(
-        "provider", F.col("ts").cast("double").alias("t"), F.lit(0).alias("side"), "event_id", state.alias("state"),
-        F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("boolean").alias("on"),
-    )
-    asks = asked.select(
-        "provider", F.col("ts").cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"),
-        F.lit(None).cast(seen.schema["state"].dataType).alias("state"), F.col("request_id").cast("string"), (F.col("enabled") & F.col("present")).alias("on"),
-    )
-    both = seen.union(asks).withColumn("slice", F.floor(F.col("t") / slice_seconds))
-    ends = both.where("side = 0").groupBy("provider", "slice").agg(F.max_by("state", F.struct("t", "event_id")).alias("end"))
-    slices = both.select("provider", "slice").distinct().join(ends, ["provider", "slice"], "left")
-    carried = slices.select(
-        "provider", "slice",
-        F.last("end", True).over(W.partitionBy("provider").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("carried"),
-    )
-    w = W.partitionBy("provider", "slice").orderBy("t", "side", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = both.join(carried, ["provider", "slice"]).withColumn("now", F.coalesce(F.last("state", True).over(w), "carried"))
-    cool = F.col("now.cooldown_until").isNull() | (F.col("t") >= F.col("now.cooldown_until"))
-    available = F.col("on") & F.coalesce(F.col("now.quota_state") != "exhausted", F.lit(True)) & F.coalesce(cool, F.lit(True))
-    return at.where("side = 1").select("request_id", "provider", available.alias("available"))
+    states = health.select("provider", F.col("ts").cast("double").alias("t"), F.lit(0).alias("side"), "event_id", "quota_state", F.col("cooldown_until").cast("double").alias("cooldown_until"))
+    asks = requests.select(F.col("ts").cast("double").alias("t")).distinct()
+    asks = asks.select(F.lit(None).cast("string").alias("provider"), "t", F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("quota_state"), F.lit(None).cast("double").alias("cooldown_until"))
+    both = states.union(asks)
+    n, order = max(1, -(-both.count() // slice_rows)), ["t", "side", "event_id"]
+    both = cut(both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    # the last state of each provider in each slice, and of all slices before the next one
+    ends = both.where("side = 0").groupBy("provider", part.alias("slice")).agg(F.max_by(F.struct("quota_state", "cooldown_until"), "at").alias("s"))
+    until = F.coalesce(F.lead("slice").over(W.partitionBy("provider").orderBy("slice")), F.lit(n))
+    carried = ends.withColumn("until", until).where("until > slice")
+    starts = carried.select(F.explode(F.sequence(F.col("slice") + 1, "until")).alias("slice"), "provider", "s").where(F.col("slice") < n)
+    starts = starts.select("slice", F.lit(-1).cast("long").alias("at"), "provider", F.lit(None).cast("double").alias("t"), F.lit(0).alias("side"), "s.quota_state", "s.cooldown_until")
+    rows = both.select(part.alias("slice"), "at", "provider", "t", "side", "quota_state", "cooldown_until").union(starts)
+    down = rows.repartition("slice").sortWithinPartitions("slice", "at").mapInArrow(_down, "_t double, down array<string>")
+    # all providers in one row: they are a dimension table
+    up = F.col("enabled") & F.coalesce("executable_present", F.lit(True))
+    listed = providers.agg(F.collect_list(F.struct(F.col("name").alias("provider"), up.alias("on"))).alias("p"))
+    asked = requests.withColumn("t", F.col("ts").cast("double")).join(down, F.col("t").eqNullSafe(F.col("_t")), "left").select("request_id", "down")
+    out = asked.crossJoin(F.broadcast(listed)).select("request_id", "down", F.explode("p").alias("p"))
+    free = ~F.coalesce(F.array_contains("down", F.col("p.provider")), F.lit(False))
+    return out.select("request_id", "p.provider", (F.col("p.on") & free).alias("available"))
+
+
+def _down(batches):
+    """Rows sorted by slice and place (slice, at, provider, t, side, quota_state, cooldown_until) to the times asked for and the providers down then."""
+    own, exhausted, cooling = None, set(), {}
+    for b in batches:
+        times, downs = [], []
+        for slice_, _, provider, t, side, quota, until in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if slice_ != own:
+                own, exhausted, cooling = slice_, set(), {}
+            if side == 0:
+                exhausted.discard(provider)
+                cooling.pop(provider, None)
+                if quota == "exhausted":
+                    exhausted.add(provider)
+                elif until is not None:
+                    cooling[provider] = until
+                continue
+            times.append(t)
+            if t is not None:
+                cooling = {p: u for p, u in cooling.items() if t < u}
+            downs.append([*exhausted, *cooling])
+        yield pa.RecordBatch.from_arrays([pa.array(times, pa.float64()), pa.array(downs, pa.list_(pa.string()))], ["_t", "down"])
 
 
 def provider_status_report(health: DataFrame, providers: DataFrame) -> DataFrame:
