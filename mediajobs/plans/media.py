@@ -90,8 +90,8 @@ def build_chunk_instances(spark, sf):
 
 
 def tokenize(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.size(models.tokenize(F.col("text"))).alias("n"), F.size(models.tokenize(F.col("text"), max_length=256)).alias("n_cut"))
+    d = table(spark, sf, "documents").select("doc_id", models.tokenize(F.col("text")).alias("ids"), models.tokenize(F.col("text"), max_length=256).alias("cut"))
+    return d.select("doc_id", F.size("ids").alias("n"), F.size("cut").alias("n_cut"), *[F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(f"{c}_md5") for c in ("ids", "cut")])
 
 
 def _items(spark, sf):
@@ -179,8 +179,7 @@ def merge_chunk_vectors(spark, sf):
 
 def embed_table(spark, sf):
     v = models.embed_table(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("input")))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return v.select("conv_id", "turn", F.size("vector").alias("n"), F.round(norm, 4).alias("norm"))
+    return v.select("conv_id", "turn", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5) + 0.0)
 
 
 def decode_image_input(spark, sf):
@@ -468,7 +467,9 @@ ORACLE_SQL = {
     "validate_dimensions": "SELECT vec_id AS media_id, CASE WHEN vec_id % 7 = 0 THEN 'quarantine' ELSE 'valid' END AS part FROM embeddings",
     "chunk_tokens": _CHUNKS + "SELECT text_id, chunk_index, start, m AS n, CAST(coalesce(length(w[start + 1]), -1) AS INT) AS first FROM z",
     "build_chunk_instances": _CHUNKS + "SELECT text_id, chunk_index, least(m, 1022) + 2 AS weight, 0 AS first, 2 AS last, least(m, 1022) + 2 AS mask_sum FROM z",
-    "tokenize": "WITH " + _N + "SELECT text_id AS doc_id, CAST(n AS INT) AS n, CAST(least(n, 256) AS INT) AS n_cut FROM n",
+    "tokenize": "WITH " + _N + """,
+i AS (SELECT text_id, n, list_transform(w, lambda x: 1000 + CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 30000) AS ids FROM n)
+SELECT text_id AS doc_id, CAST(n AS INT) AS n, CAST(least(n, 256) AS INT) AS n_cut, md5(array_to_string(ids, ',')) AS ids_md5, md5(array_to_string(ids[1:256], ',')) AS cut_md5 FROM i""",
     "length_bucket_batches": "WITH " + _N + "," + _BATCHES + "SELECT text_id, model, bucket, batch FROM b",
     "pad_batch": "WITH " + _N + "SELECT text_id, text_id // 8 AS batch_id, CAST(max(n) OVER (PARTITION BY text_id // 8) AS INT) AS n, CAST(n AS INT) AS mask_sum FROM n",
     "embedding_usage": "WITH " + _N + "SELECT request_id, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN text_id % 4 = 0 THEN 1 ELSE n END) AS BIGINT) AS total_tokens FROM n GROUP BY request_id",
@@ -493,7 +494,7 @@ SELECT conv_id, turn, ['bge', 'ir', 'st', 'clip', 'dinov3', 'none'][conv_id % 6
     "merge_chunk_vectors": """
 WITH m AS (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE) * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i)
 SELECT label AS text_id, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) + 0.0 AS x FROM m""",
-    "embed_table": "SELECT conv_id, turn, 16 AS n, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS norm FROM conversations",
+    "embed_table": "WITH t AS (SELECT conv_id, turn, text FROM conversations)," + _ENCODED + "SELECT conv_id, turn, CAST(i - 1 AS INT) AS i, round(CAST(x[i] AS DOUBLE), 5) + 0.0 AS x FROM e, range(1, 17) AS r(i)",
     "decode_image_input": "SELECT page_id, ['data_uri', 'base64', 'error'][page_id % 3 + 1] AS kind, CASE WHEN page_id % 3 < 2 THEN CAST(strlen(html) AS INT) END AS n_bytes FROM pages",
     "figures_with_image": "WITH " + _FIG + "SELECT doc_id FROM h",
     "content_hash": "WITH " + _FIG + "SELECT doc_id, hash FROM h",

@@ -62,9 +62,18 @@ def coerce_page_query(spark, sf):
     return e.select("event_id", coerce_page(path_eval("k", F.col("v"))).alias("page"), coerce_page(path_eval("none", F.col("v"))).alias("missing"))
 
 
+#: Fields of a document's parts that are compared.
+_VALUES = {"blocks": ("block_id", "type", "content"), "figures": ("figure_id", "caption", "ocr_text"), "tables": ("table_id", "caption", "html", "markdown"), "pages": ("page_number", "text")}
+
+
+def _digested(column, fields):
+    return F.md5(F.array_join(F.transform(F.col(column), lambda x: F.concat_ws(" ", *[x[k] for k in fields])), "\n"))
+
+
 def assemble_document(spark, sf):
     d = normalize.assemble_document(_parsed(spark, sf), M)
-    return d.select("document_id", F.length("markdown").alias("markdown_chars"), *[F.size(c).alias(f"n_{c}") for c in ("pages", "blocks", "figures", "tables")], F.element_at("blocks", -1)["block_id"].alias("last_block"))
+    return d.select("document_id", F.length("markdown").alias("markdown_chars"), *[F.size(c).alias(f"n_{c}") for c in ("pages", "blocks", "figures", "tables")], F.element_at("blocks", -1)["block_id"].alias("last_block"),
+        F.md5("markdown").alias("markdown_md5"), *[_digested(c, f).alias(f"{c}_md5") for c, f in _VALUES.items()])
 
 
 def read_jsonl_results(spark, sf):
@@ -305,7 +314,12 @@ SELECT document_id, (SELECT coalesce(text, '') FROM documents d WHERE CAST(d.doc
     "assemble_document": "WITH " + LINES_SQL + """
 SELECT document_id, CAST(sum(length(x)) + count(*) - 1 AS INT) AS markdown_chars, CAST(count(*) FILTER (i % 6 = 0) AS INT) AS n_pages,
        CAST(count(*) AS INT) AS n_blocks, CAST(count(*) FILTER (i % 6 = 3) AS INT) AS n_figures, CAST(count(*) FILTER (i % 6 = 2) AS INT) AS n_tables,
-       document_id || '-b' || max(i) AS last_block FROM l GROUP BY document_id""",
+       document_id || '-b' || max(i) AS last_block, md5(string_agg(x, chr(10) ORDER BY i)) AS markdown_md5,
+       md5(string_agg(document_id || '-b' || i || ' ' || """ + _TYPE + """ || ' ' || x, chr(10) ORDER BY i)) AS blocks_md5,
+       md5(coalesce(string_agg(CASE WHEN i % 2 = 0 THEN 'f' || i ELSE document_id || '-fig' || (i // 6) END || ' c' || i || ' ' || x, chr(10) ORDER BY i) FILTER (i % 6 = 3), '')) AS figures_md5,
+       md5(coalesce(string_agg(document_id || '-tbl' || (i // 6) || ' t' || i || ' <td>' || x || ' ' || x, chr(10) ORDER BY i) FILTER (i % 6 = 2), '')) AS tables_md5,
+       md5(string_agg(CASE WHEN i % 12 = 0 THEN i + 100 ELSE i // 6 + 1 END || ' ' || x, chr(10) ORDER BY i) FILTER (i % 6 = 0)) AS pages_md5
+FROM l GROUP BY document_id""",
     "read_jsonl_results": r"SELECT conv_id || '-' || (turn // 64) AS document_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS markdown FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id, turn // 64",
     "read_zip_results": """
 SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS markdown, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS n_items, 1 AS n_files,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,6 +42,20 @@ def dedup_stream(figures: DataFrame, column: str = "ts", late: str = "1 hour") -
     return figures.withWatermark(column, late).dropDuplicatesWithinWatermark(["hash"])
 
 
+def durable_state(spark: SparkSession) -> None:
+    """State of streaming queries in RocksDB, whose checkpoints hold changes only; for state that is kept for ever."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def dedup_stream_exact(figures: DataFrame) -> DataFrame:
+    """The first figure of each hash, however late its copies come: known hashes are kept for ever (see ``durable_state``).
+
+    Null hashes are one hash. Of copies in one micro-batch, any one is the first.
+    """
+    return figures.dropDuplicates(["hash"])
+
+
 def health_stream(events: DataFrame) -> DataFrame:
     """State of each provider after each event; ``events``: provider, t (epoch seconds), event_id, kind, latency_ms."""
 

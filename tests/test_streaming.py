@@ -44,6 +44,33 @@ def test_running_statistics_and_dedup(spark, tmp_path):
     assert sorted(r.hash for r in spark.table("dedup").collect()) == ["h0", "h1"]
 
 
+def test_exact_dedup_outlives_watermarks_and_restarts(spark, tmp_path):
+    schema, folder = "n int, hash string, ts timestamp", str(tmp_path / "in")
+
+    def arrive(rows):
+        df = spark.createDataFrame([(n, h, t) for n, h, t in rows], "n int, hash string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", "1 minute")
+        jobs.run_available(jobs.dedup_stream_exact(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    try:
+        jobs.durable_state(spark)
+        arrive([(1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 00:00:01"), (3, None, "2024-01-01 00:00:01")])
+        run()
+        arrive([(4, "c", "2024-03-01 00:00:00")])
+        run()  # another run of the query, with the state of the first
+        arrive([(5, "a", "2024-03-01 00:00:01"), (6, "b", "2024-05-01 00:00:00"), (7, None, "2024-05-01 00:00:00"), (8, "d", "2024-05-01 00:00:00")])
+        run()
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 8]
+    assert list((tmp_path / "cp" / "state").rglob("*.changelog"))
+
+
 @pytest.mark.parametrize("name", ["entry", "queries"])
 def test_entry_points(spark, name):
     import __spark_entry__ as e
