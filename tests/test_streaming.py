@@ -34,6 +34,32 @@ def test_health_stream_equals_replay(spark, tmp_path):
     assert got == {r.event_id: (r.failure_count, r.quota_state, r.cooldown_until, r.last_success, r.last_failure, r.latency_ms) for r in batch.collect()}
 
 
+def test_shuffled_health_events_equal_replay(spark, tmp_path):
+    import random
+
+    events = sorted(log(12, 90), key=lambda e: e[1])
+    # each comes up to some 20 places late
+    r = random.Random(5)
+    shuffled = [e for _, e in sorted((i + r.uniform(0, 20), e) for i, e in enumerate(events))]
+    schema = "provider string, t double, event_id long, kind string, latency_ms double"
+    parts = [shuffled[i : i + 25] for i in range(0, 90, 25)]
+    lateness = max(max(e[1] for e in sum(parts[: i + 1], [])) - min(e[1] for e in p) for i, p in enumerate(parts))
+    path = str(tmp_path / "in")
+    for p in [*parts, [("end", 1e6, -1, "success", 0.0)]]:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        try:
+            jobs.durable_state(spark)
+            out = jobs.health_stream_ordered(stream, f"{int(lateness) + 1} seconds").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            jobs.run_available(out.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")))
+        finally:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+            spark.conf.unset("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {r.event_id: (r.failure_count, r.quota_state, r.cooldown_until, r.last_success, r.last_failure, r.latency_ms) for r in rows}
+    assert len(rows) == len(events) and got == replay(events)
+
+
 def test_running_statistics_and_dedup(spark, tmp_path):
     rows = [(n, "2024-01-01 00:00:00", f"h{n % 2}") for n in (1, 5, 300, 600, 0)]
     stream = source(spark, rows, "n_tokens int, ts string, hash string", str(tmp_path / "in"))
