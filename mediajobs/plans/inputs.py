@@ -172,7 +172,8 @@ p AS (SELECT 'p' || i AS provider, CAST(i AS INT) AS ordinal, i % 2 = 1 AS remot
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'view'")
+    """A request for each view and click; the other events are those of providers' health."""
+    e = table(spark, sf_dir, "events").where("event_type in ('view', 'click')")
     k = F.col("event_id") % 3
     needs = F.when(k == 0, F.array(F.lit("pdf"))).when(k == 1, F.array(F.lit("Tables"), F.lit("pdf"))).otherwise(F.array().cast("array<string>"))
     return e.select(
@@ -187,7 +188,7 @@ RANKED_SQL = (
     + PROVIDERS_SQL
     + """,
 r AS (SELECT event_id AS request_id, ts, event_id % 2 = 0 AS public, event_id % 3 AS k, 'p' || (user_id % 7) AS preferred
-      FROM events WHERE event_type = 'view'),
+      FROM events WHERE event_type IN ('view', 'click')),
 c AS (SELECT r.request_id, p.provider, p.ordinal, p.priority,
              row_number() OVER (PARTITION BY r.request_id ORDER BY (p.provider = r.preferred) DESC, p.priority DESC, p.ordinal) AS rank
       FROM r JOIN p ON p.enabled AND (r.public OR NOT p.remote) AND (r.k = 2 OR p.pdf) AND (r.k <> 1 OR p.tab)),

@@ -18,7 +18,10 @@ AS m(id, type, embedding_backend, query_prefix)
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("media_id"), "embedding", F.slice("embedding", 1, 32).alias("visual"), "label")
+    """Vectors, and half as long ones of the means of every two components."""
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    visual = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: ((at(2 * i - 1) + at(2 * i)) / 2).cast("float"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("media_id"), "embedding", visual.alias("visual"), "label")
 
 
 def _knn(spark, sf, column, **options):
@@ -418,6 +421,7 @@ attach_embeddings ingest_job ingest_summary media_lookup validate_search search_
 truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta image_to_tensor_same_size write_media media_get search_ingested""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
+_VISUAL = "list_transform(range(1, 33), lambda i: CAST((CAST(embedding[2 * i - 1] AS DOUBLE) + embedding[2 * i]) / 2 AS FLOAT))"
 _KNN = """
 WITH v AS (SELECT vec_id AS media_id, label, {v} AS x FROM embeddings),
 s AS (SELECT q.media_id AS query_id, i.media_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda k: (CAST(q.x[k] AS DOUBLE) - i.x[k]) ** 2)) AS d
@@ -458,11 +462,11 @@ r AS (SELECT substr(sha256(hash || chr(31) || document_id || chr(31) || figure_i
 
 ORACLE_SQL = {
     "knn_multimodal": _KNN.format(v="embedding", f="true"),
-    "knn_visual": _KNN.format(v="embedding[1:32]", f="true"),
-    "knn_builtin": _KNN.format(v="embedding[1:32]", f="true"),
+    "knn_visual": _KNN.format(v=_VISUAL, f="true"),
+    "knn_builtin": _KNN.format(v=_VISUAL, f="true"),
     "filtered_search": _KNN.format(v="embedding", f="i.label < 3"),
     "knn_pivots": _KNN.format(v="embedding", f="true"),
-    "knn_visual_pivots": _KNN.format(v="embedding[1:32]", f="true"),
+    "knn_visual_pivots": _KNN.format(v=_VISUAL, f="true"),
     "filtered_search_pivots": _KNN.format(v="embedding", f="i.label < 3"),
     "validate_dimensions": "SELECT vec_id AS media_id, CASE WHEN vec_id % 7 = 0 THEN 'quarantine' ELSE 'valid' END AS part FROM embeddings",
     "chunk_tokens": _CHUNKS + "SELECT text_id, chunk_index, start, m AS n, CAST(coalesce(length(w[start + 1]), -1) AS INT) AS first FROM z",
@@ -490,7 +494,7 @@ SELECT conv_id, turn, ['bge', 'ir', 'st', 'clip', 'dinov3', 'none'][conv_id % 6
     "apply_query_prefix": "SELECT conv_id, turn, CASE WHEN role = 'user' AND conv_id % 6 = 1 THEN 'query: ' WHEN role = 'user' AND conv_id % 6 = 2 THEN 'search: ' ELSE '' END || text AS text FROM conversations",
     "mean_pool": "SELECT vec_id AS media_id, CAST(i - 1 AS INT) AS i, round((CAST(embedding[i] AS DOUBLE) + embedding[65 - i]) / 2, 5) + 0.0 AS x FROM embeddings, range(1, 65) AS r(i)",
     "decode_predictions": "SELECT vec_id AS media_id, CAST(i - 1 AS INT) AS i, round(CAST(embedding[i] AS DOUBLE), 5) + 0.0 AS x FROM embeddings, range(1, 65) AS r(i)",
-    "l2_normalize": "SELECT vec_id AS media_id, CAST(i - 1 AS INT) AS i, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE) ** 2))), 5) + 0.0 AS x FROM embeddings, range(1, 33) AS r(i)",
+    "l2_normalize": "SELECT vec_id AS media_id, CAST(i - 1 AS INT) AS i, round(CAST(v[i] AS DOUBLE) / sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) ** 2))), 5) + 0.0 AS x FROM (SELECT vec_id, " + _VISUAL + " AS v FROM embeddings), range(1, 33) AS r(i)",
     "merge_chunk_vectors": """
 WITH m AS (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE) * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i)
 SELECT label AS text_id, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) + 0.0 AS x FROM m""",
@@ -519,7 +523,7 @@ FROM (SELECT DISTINCT document_id FROM f) d LEFT JOIN a USING (document_id) LEFT
 w AS (SELECT query_id, pos, len(list_filter(list_distinct(regexp_split_to_array(lower(q.text), '\s+')), lambda x: x <> '' AND list_contains(regexp_split_to_array(lower(left(k.text, 1000)), '\s+'), x))) AS s
       FROM k JOIN q USING (query_id))
 SELECT query_id, pos, CAST(s AS DOUBLE) AS score FROM w""",
-    "rerank_logits": "SELECT vec_id AS media_id, round(list_max(embedding[1:32]), 6) AS score FROM embeddings",
+    "rerank_logits": "SELECT vec_id AS media_id, round(list_max(" + _VISUAL + "), 6) AS score FROM embeddings",
     "rerank_topn": "WITH " + _CAND + """
 SELECT query_id, pos, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos % 7 DESC, pos) AS rank FROM c JOIN q USING (query_id))
 WHERE query_id % 4 = 0 OR rank <= query_id % 4""",

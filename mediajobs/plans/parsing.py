@@ -373,7 +373,7 @@ SELECT page_id AS request_id, CASE WHEN page_id % 3 = 0 THEN 'base64' ELSE 'url'
        CASE WHEN page_id % 3 = 0 THEN 'image/jpeg' ELSE 'application/pdf' END AS resolved_mime FROM pages""",
     "sanitize_payload": """SELECT event_id, '{"in":[{"props":' || replace(props, ' ', '') || '}]}' AS payload FROM events""",
     "route_candidates": RANKED_SQL + "SELECT request_id, provider FROM c",
-    "satisfies_capabilities": "WITH " + PROVIDERS_SQL + "SELECT event_id AS request_id, provider AS name, (event_id % 3 = 2 OR pdf) AND (event_id % 3 <> 1 OR tab) AS fits FROM events, p WHERE event_type = 'view'",
+    "satisfies_capabilities": "WITH " + PROVIDERS_SQL + "SELECT event_id AS request_id, provider AS name, (event_id % 3 = 2 OR pdf) AND (event_id % 3 <> 1 OR tab) AS fits FROM events, p WHERE event_type IN ('view', 'click')",
     "rank_candidates": RANKED_SQL + "SELECT request_id, provider, CAST(rank AS INT) AS rank FROM c",
     "resolve_fallback": RANKED_SQL + """,
 w AS (SELECT request_id, min(rank) FILTER (success) AS first FROM a GROUP BY request_id)
@@ -390,7 +390,7 @@ FROM (SELECT event_id, event_id % 7 AS c, user_id % 4 AS u FROM events)""",
     "provider_health": "WITH " + HEALTH_SQL + "SELECT provider, event_id, kind, failure_count, quota_state, cooldown_until, last_success, last_failure, latency_ms FROM s",
     "provider_available_at": "WITH " + PROVIDERS_SQL + "," + HEALTH_SQL + """,
 z AS (SELECT provider, ts, max_by(quota_state, event_id) AS q, CAST(max_by(coalesce(cooldown_until, 0), event_id) AS DOUBLE) AS cd FROM s GROUP BY provider, ts),
-r AS (SELECT event_id AS request_id, ts, provider, enabled AND present AS up FROM events, p WHERE event_type = 'view')
+r AS (SELECT event_id AS request_id, ts, provider, enabled AND present AS up FROM events, p WHERE event_type IN ('view', 'click'))
 SELECT request_id, r.provider, up AND coalesce(q <> 'exhausted', true) AND coalesce(epoch(r.ts) >= cd, true) AS available
 FROM r ASOF LEFT JOIN z ON r.provider = z.provider AND r.ts >= z.ts""",
     "provider_status_report": "WITH " + PROVIDERS_SQL + "," + HEALTH_SQL + """,
