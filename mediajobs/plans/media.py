@@ -420,6 +420,9 @@ l2_normalize merge_chunk_vectors embed_table decode_image_input image_to_tensor
 attach_embeddings ingest_job ingest_summary media_lookup validate_search search_by_text search_by_image extract_document_text cap_candidates
 truncate_candidates rerank_score rerank_logits rerank_topn rerank_meta image_to_tensor_same_size write_media media_get search_ingested""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
+#: Earlier names of these queries, kept for whoever calls them; both are the whole tables'.
+_ALL = "extract_document_text cap_candidates truncate_candidates rerank_score rerank_topn rerank_meta pad_batch".split()
+QUERIES |= {f"{name}_all": QUERIES[name] for name in _ALL}
 
 _VISUAL = "list_transform(range(1, 33), lambda i: CAST((CAST(embedding[2 * i - 1] AS DOUBLE) + embedding[2 * i]) / 2 AS FLOAT))"
 _KNN = """
@@ -547,3 +550,4 @@ s AS (SELECT q.id AS query_id, m.id AS media_id, list_sum(list_transform(range(1
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, media_id, round(d, 6) AS distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, media_id) AS rank FROM s) WHERE rank <= 5""",
 }
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name] for name in _ALL}
