@@ -54,6 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -201,9 +202,20 @@ def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def head(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, by the upper halves of their places. Places that fall together can only hide a difference."""
+    """The first shingles of a set, by the upper 24 bits of their places. Places that fall together can only hide a difference."""
     m = len(s)
-    return np.unique((in_order(s, frequent)[: m - -(-NUM * m // DEN) + 1] >> np.uint64(32)).astype(np.uint32))
+    return np.unique((in_order(s, frequent)[: m - -(-NUM * m // DEN) + 1] >> np.uint64(40)).astype(np.uint32))
+
+
+def packed_head(h: np.ndarray) -> bytes:
+    """Three bytes a place: all low bytes of the steps between places, then the middle and the high ones, which are mostly 0."""
+    steps = np.diff(h, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def head_of(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(3, -1).astype(np.uint32)
+    return np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16, dtype=np.uint32)
 
 
 def _heads(frequent: np.ndarray):
@@ -216,7 +228,7 @@ def _heads(frequent: np.ndarray):
             for _, s in shingle_sets(b.column(0)):
                 if len(s) and (key := _key(s)) not in seen:
                     seen.add(key)
-                    rows.append((key, len(s), head(s, frequent).tobytes()))
+                    rows.append((key, len(s), packed_head(head(s, frequent))))
             if len(seen) > 1_000_000:
                 seen.clear()
             k, n, h = zip(*rows, strict=True) if rows else ((), (), ())
@@ -273,7 +285,7 @@ def _clusters(batches):
             if name != cell:
                 solve()
                 cell, members = name, {}
-            members[key] = n, np.frombuffer(b.column(5)[i].as_py(), np.uint32), main[i]
+            members[key] = n, head_of(b.column(5)[i].as_py()), main[i]
         if out[0]:
             yield _table(cluster=pa.array(out[0], pa.int64()), member=pa.array(out[1], pa.int64()))
             out[0].clear()
@@ -340,23 +352,42 @@ def _runs(batches, held: int = HELD):
             yield out
 
 
-def _arrays(batches):
-    """Set key and the sorted shingle hashes, as bytes; of a task's copies, the first."""
-    seen = set()
+def _bodies(batches):
+    """Set key and compressed text of each set; of a task's copies, the first.
+
+    A text takes about a third of the bytes that its shingle hashes would take, so texts travel, and are hashed where they arrive.
+    """
+    seen, compress = set(), zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        keys, sets, held = [], [], 0
+        keys, bodies, held = [], [], 0
         if len(seen) > 1_000_000:
             seen.clear()
-        for _, s in shingle_sets(b.column(0)):
+        texts = b.column(0).cast(pa.large_binary())
+        for i, s in shingle_sets(texts):
             if len(s) and (key := _key(s)) not in seen:
                 seen.add(key)
                 keys.append(key)
-                sets.append(s.tobytes())
-                held += len(sets[-1])
+                bodies.append(compress(texts[i].as_py()))
+                held += len(bodies[-1])
             if held > 1 << 23:
-                yield _table(member=pa.array(keys, pa.int64()), shingles=pa.array(sets, pa.binary()))
-                keys, sets, held = [], [], 0
-        yield _table(member=pa.array(keys, pa.int64()), shingles=pa.array(sets, pa.binary()))
+                yield _table(member=pa.array(keys, pa.int64()), body=pa.array(bodies, pa.binary()))
+                keys, bodies, held = [], [], 0
+        yield _table(member=pa.array(keys, pa.int64()), body=pa.array(bodies, pa.binary()))
+
+
+def sets_of(bodies: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle sets of compressed texts, in order; a megabyte of text (or one longer text) is held at a time."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    held, texts = 0, []
+    for body in bodies:
+        raw = decompress(body.as_py())
+        texts.append(raw)
+        held += len(raw)
+        if held > textbuf.SLICE_BYTES:
+            yield from (s for _, s in shingle_sets(pa.array(texts, pa.large_binary())))
+            held, texts = 0, []
+    if texts:
+        yield from (s for _, s in shingle_sets(pa.array(texts, pa.large_binary())))
 
 
 class Pivots:
@@ -368,6 +399,13 @@ class Pivots:
         self.sizes = np.array([len(s) for s in sets])
         self.values = np.unique(np.concatenate(sets))
         self.has = np.stack([np.isin(self.values, s, assume_unique=True) for s in sets], 1).astype(np.int32)
+        both = self.has.T @ self.has
+        d = 1 - both / (self.sizes[:, None] + self.sizes[None, :] - both)
+        # those that divide the space: no two within a window of each other
+        self.centres: list[int] = []
+        for j in range(len(sets)):
+            if (d[j, self.centres] > 2 * RADIUS).all():
+                self.centres.append(j)
 
     def near(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pivots that link with a set, and all distances."""
@@ -377,35 +415,34 @@ class Pivots:
         return DEN * both >= NUM * union, 1 - both / union
 
 
-NEAR = "region long, member long, label long, parent long, links array<long>, near array<struct<pivot:long,d:double>>"
+NEAR = "region long, member long, label long, parent long, was long, links array<long>, near array<struct<pivot:long,d:double>>"
 
 
 def _distances(batches):
     """Rows sorted by (region, cell, kind): a cell's pivots (kind 0) and its members, to NEAR rows of members.
 
-    ``links`` are pivots that a member links with, the smallest first; ``near`` those in whose regions it belongs.
+    ``links`` are pivots that a member links with, the smallest first; ``near`` those centres in whose regions it belongs.
     """
     kind = pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())]))
     name, pivots, asked = None, None, {}
     for b in batches:
-        out: list[list] = [[] for _ in range(6)]
-        columns = [b.column(i).to_pylist() for i in range(6)]
-        for i, (region, cell, what, member, label, parent) in enumerate(zip(*columns, strict=True)):
+        out: list[list] = [[] for _ in range(7)]
+        columns = [b.column(i).to_pylist() for i in range(7)]
+        for (region, cell, what, member, label, parent, was), s in zip(zip(*columns, strict=True), sets_of(b.column(7)), strict=True):
             if (region, cell) != name:
                 name, pivots, asked = (region, cell), None, {}
-            s = np.frombuffer(b.column(6)[i].as_buffer(), np.uint64)
             if what == 0:
                 asked[member] = s
                 continue
             if pivots is None:
                 pivots = Pivots(list(asked), list(asked.values()))
             linked, d = pivots.near(s)
-            wanted = np.flatnonzero(d <= d.min() + 2 * RADIUS + 1e-9).tolist()
-            row = (region, member, label, parent, [pivots.keys[j] for j in np.flatnonzero(linked).tolist()], [{"pivot": pivots.keys[j], "d": float(d[j])} for j in wanted])
+            wanted = [j for j in pivots.centres if d[j] <= d[pivots.centres].min() + 2 * RADIUS + 1e-9]
+            row = (region, member, label, parent, was, [pivots.keys[j] for j in np.flatnonzero(linked).tolist()], [{"pivot": pivots.keys[j], "d": float(d[j])} for j in wanted])
             for c, v in zip(out, row, strict=True):
                 c.append(v)
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), kind]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["region", "member", "label", "parent", "links", "near"])
+        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), kind]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["region", "member", "label", "parent", "was", "links", "near"])
 
 
 def _roots(batches):
@@ -473,24 +510,24 @@ def spanning(sets: list[np.ndarray]) -> list[int]:
 
 
 def _forests(batches):
-    """Rows sorted by cluster, each with a member's whole set, to links (member, first member of its forest's tree)."""
+    """Rows sorted by cluster, each with a member's compressed text, to links (member, first member of its forest's tree)."""
     cluster, members, u, v = None, {}, [], []
 
     def solve():
         keys = list(members)
         if len(keys) < 2:
             return
-        for k, j in zip(keys, spanning([np.frombuffer(members[k], np.uint64) for k in keys]), strict=True):
+        for k, j in zip(keys, spanning(list(members.values())), strict=True):
             if keys[j] != k:
                 u.append(k)
                 v.append(keys[j])
 
     for b in batches:
-        for i, (name, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        for name, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets_of(b.column(2)), strict=True):
             if name != cluster:
                 solve()
                 cluster, members = name, {}
-            members[key] = b.column(2)[i].as_py()
+            members[key] = s
         if u:
             yield _table(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
             u.clear()
@@ -547,7 +584,7 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _sets(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
-    """(member, shingles) of ``members``; only their texts are hashed again: one for each set, and those without an id."""
+    """(member, body: its compressed text) of ``members``; only their texts are hashed again: one for each set, and those without an id."""
     first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
     wanted = named.select("doc_id").where("doc_id is not null").distinct()
@@ -555,7 +592,7 @@ def _sets(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
     # few ids are broadcast, so that texts stay where they are
     chosen = docs.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "doc_id", "left_semi").select("text")
     chosen = chosen.union(docs.where("doc_id is null").select("text"))
-    return chosen.mapInArrow(_arrays, "member long, shingles binary")
+    return chosen.mapInArrow(_bodies, "member long, body binary")
 
 
 def _with(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -588,10 +625,10 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOT
             state.groupBy("region").agg(F.min("member").alias("member"), F.first("parent").alias("parent"))
         ).distinct()
         every = F.explode(F.sequence(F.lit(0), n_cells - 1))
-        rows = asked.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent")
-        rows = rows.union(state.select("region", cell.alias("cell"), F.lit(1).alias("kind"), "member", "label", "parent"))
+        rows = asked.select("region", every.alias("cell"), F.lit(0).alias("kind"), "member", F.col("member").alias("label"), "parent", F.lit(0).cast("long").alias("was"))
+        rows = rows.union(state.select("region", cell.alias("cell"), F.lit(1).alias("kind"), "member", "label", "parent", F.col("apart").alias("was")))
         found = cut(
-            _with(sets, rows, ["member"]).select("region", "cell", "kind", "member", "label", "parent", "shingles")
+            _with(sets, rows, ["member"]).select("region", "cell", "kind", "member", "label", "parent", "was", "body")
             .repartition("region", "cell").sortWithinPartitions("region", "cell", "kind").mapInArrow(_distances, NEAR)
         )
         first = F.try_element_at("links", F.lit(1))
@@ -600,12 +637,15 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOT
         links.append(found.select(F.col("member").alias("u"), first.alias("v")).where("u <> v").union(joined.select("a", "b")))
         roots = joined.repartition("region").sortWithinPartitions("region").mapInArrow(_roots, "region long, pivot long, root long")
         labelled = _with(found.withColumn("pivot", first), roots, ["region", "pivot"], "left").withColumn("label", F.coalesce("root", "pivot", "label"))
-        replicas = found.groupBy("region").agg((F.sum(F.size("near")) > REPLICAS * F.first("parent")).alias("whole"))
+        # regions stay whole where windows would replicate much, or hold all members alike
+        own = F.xxhash64(F.transform("near", lambda x: x["pivot"]))
+        many = F.sum(F.size("near")) > REPLICAS * F.first("parent")
+        replicas = found.groupBy("region").agg((many | (F.min(own) == F.max(own))).alias("whole"))
         labelled = _with(labelled, replicas, ["region"]).withColumn(
             "x", F.explode(F.when(F.col("whole"), F.array(F.struct(F.lit(None).cast("long").alias("pivot"), F.lit(0.0).alias("d")))).otherwise(F.col("near")))
         )
         dealt = cut(labelled.select(
-            F.when(F.col("whole"), F.col("region")).otherwise(_hash("region", "x.pivot")).alias("region"), "member", "label", "parent", "whole", "x.d"
+            F.when(F.col("whole"), F.col("region")).otherwise(_hash("region", "x.pivot")).alias("region"), "member", "label", "parent", "was", "whole", "x.d"
         ))
         # the largest connected part of each region, and where the others lie
         parts = cut(dealt.groupBy("region", "label").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")))
@@ -613,19 +653,16 @@ def by_pivots(large: DataFrame, sets: DataFrame, block: int, pivots: int = PIVOT
         others = _with(parts, most, ["region"]).where("label <> largest").groupBy("region", "largest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         main = F.col("label") == F.col("largest")
         within = F.col("d").between(F.col("lo") - RADIUS - 1e-9, F.col("hi") + RADIUS + 1e-9)
-        left = cut(_with(dealt, others, ["region"]).where(~main | within).select("region", "member", "label", "parent", "whole", "largest", main.alias("main")))
+        left = cut(_with(dealt, others, ["region"]).where(~main | within).select("region", "member", "label", "parent", "was", "largest", main.alias("main")))
         sizes = left.groupBy("region").agg(F.count("*").alias("n"), F.count_if(~F.col("main")).alias("apart"))
-        if turn == 1:
-            before = large.groupBy("region").agg(F.count("*").alias("was"))
-        left = _with(left, sizes.join(before, "region", "left"), ["region"])
+        left = _with(left, sizes, ["region"])
         small = F.col("n") <= block
         cells.append(left.where(small & (F.col("n") > 1)).select(F.col("region").alias("pivot"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "member", "main"))
-        # regions of windows must be half as large, whole ones have fewer members apart, or they are cut into blocks
-        again = F.when(F.col("whole"), (F.col("apart") > block) & (F.col("apart") < SHRINK * F.coalesce("was", "parent"))).otherwise(2 * F.col("n") < F.col("parent"))
+        # regions must be half as large, or have fewer members apart, or they are cut into blocks
+        again = (2 * F.col("n") < F.col("parent")) | ((F.col("apart") > block) & (F.col("apart") < SHRINK * F.col("was")))
         left = cut(left.withColumn("again", ~small & again))
         cells.append(_blocks(left.where(~small & ~F.col("again")), block))
         state = left.where("again").select("region", "member", F.col("n").alias("parent"), "label", "main", "apart")
-        before = state.groupBy("region").agg(F.first("apart").alias("was"))
     return links, cells
 
 
@@ -682,7 +719,7 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     )
     edges = (
         clusters.join(_sets(docs, points, clusters), "member")
-        .select("cluster", "member", "shingles")
+        .select("cluster", "member", "body")
         .repartition("cluster")
         .sortWithinPartitions("cluster")
         .mapInArrow(_forests, "u long, v long")

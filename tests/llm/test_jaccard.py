@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from mediajobs.llm import jaccard
 
 
@@ -84,17 +86,76 @@ def test_large_groups_of_near_copies(spark, spread):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def bodies(spark, texts):
+    rows = [(i, zstandard.compress(t.encode())) for i, t in texts]
+    return spark.createDataFrame(rows, "member long, body binary")
+
+
+def test_windows_divide_and_recurse(spark):
+    """One region of eight families: two of a family share much but don't link, two of different families share one passage."""
+    r = random.Random(5)
+    shared = [f"p{i}" for i in range(12)]
+    texts, family = [], {}
+    for f in range(8):
+        base = [f"f{f}w{i}" for i in range(200)]
+        for k in range(30):
+            words = list(base)
+            for at in r.sample(range(0, 200, 5), 3):  # unlinked relatives
+                words[at] = f"f{f}k{k}x{at}"
+            for copy in range(2):  # and one near copy of each
+                if copy:
+                    words[r.randrange(200)] = f"f{f}k{k}c"
+                family[len(texts)] = f
+                texts.append((len(texts), " ".join(shared + words)))
+    n = len(texts)
+    large = spark.createDataFrame([(7, i, n) for i in range(n)], "region long, member long, parent long")
+    links, cells = jaccard.by_pivots(large, bodies(spark, texts), 16, pivots=48)
+    assert len(links) >= 2  # recursion: one list of links for each round
+    pairs, root = set(), {i: i for i in range(n)}
+    for c in cells:
+        members = {}
+        for x in c.collect():
+            members.setdefault((x.pivot, x.i, x.j), []).append(x.member)
+        pairs |= {(a, b) for m in members.values() for a in m for b in m if a < b}
+    # windows keep families apart but for few boundary members
+    assert sum(family[a] != family[b] for a, b in pairs) < 0.25 * sum(family[a] != family[b] for a in range(n) for b in range(a))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in links:
+        for x in e.collect():
+            root[find(x.u)] = find(x.v)
+    sets = [shingles(t) for _, t in texts]
+    linked = [(a, b) for b in range(n) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(linked) >= n // 2
+    assert all((a, b) in pairs or find(a) == find(b) for a, b in linked)
+
+
+def test_packed_heads_and_bodies_are_exact():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 700):
+        h = np.unique(r.integers(0, 1 << 24, n).astype(np.uint32))
+        assert np.array_equal(jaccard.head_of(jaccard.packed_head(h)), h)
+    texts = ["a b c d e f", "Ü b", "w " * 2_000_000, " ".join(map(str, range(300_000))), "x"]
+    got = list(jaccard.sets_of(pa.array([zstandard.compress(t.encode()) for t in texts], pa.binary())))
+    want = [s for _, s in jaccard.shingle_sets(pa.array(texts))]
+    assert len(got) == len(texts) and all(map(np.array_equal, got, want))
+
+
 def test_a_group_of_near_copies_needs_no_cells(spark):
     r = random.Random(1)
-    sets, rows = [], []
-    base = np.sort(np.array([r.randrange(1 << 62) for _ in range(400)], np.uint64))
+    texts, rows = [], []
+    base = [f"w{i}" for i in range(404)]
     for i in range(2000):
-        s = base.copy()
-        s[r.randrange(400)] = r.randrange(1 << 62)
-        sets.append((i, np.sort(s).tobytes()))
+        words = list(base)
+        words[r.randrange(404)] = f"x{i}"
+        texts.append((i, " ".join(words)))
         rows.append((7, i, 2000))
     large = spark.createDataFrame(rows, "region long, member long, parent long")
-    links, cells = jaccard.by_pivots(large, spark.createDataFrame(sets, "member long, shingles binary"), 64)
+    links, cells = jaccard.by_pivots(large, bodies(spark, texts), 64)
     assert sum(c.count() for c in cells) == 0
     assert sum(e.count() for e in links) < 2000 * 4
     found = jaccard.components(links[0], hot=50).collect()
