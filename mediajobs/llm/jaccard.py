@@ -19,7 +19,7 @@ copies are one point of the space from the start. The join narrows in levels:
    more comparisons with its like, so of a group of near copies, however large,
    few members stay apart from its largest connected part. Where the pivots
    divide a region, members are dealt to the Voronoi regions of their nearest
-   pivots and replicated to those whose pivot is within twice the radius beyond
+   centres (pivots more than twice the radius from each other) and replicated to those whose pivot is within twice the radius beyond
    the nearest; of the connected part only those stay whose distance to the pivot
    is within the radius of that of some other member; and regions are joined
    recursively. Where windows would replicate nearly all (near copies have about
