@@ -33,3 +33,17 @@ def test_archives_are_unpacked_into_shared_batches(spark):
     assert got == sorted((str(i), f"t{i}", "[1]", {"1.png": b"\xff"}) for i in range(300))
     # a data frame for each archive before
     assert "MapInArrow" in unpacked._jdf.queryExecution().toString()
+
+
+def test_rows_of_holds_one_row():
+    from mediajobs.functions.batches import rows_of
+
+    b = pa.RecordBatch.from_pydict({"n": [1, None], "c": [b"x", b""]})
+    assert list(rows_of([b, b.slice(0, 0), b.slice(1)])) == [(1, b"x"), (None, b""), (None, b"")]
+
+
+def test_archives_are_made_without_a_data_frame_each(spark):
+    from mediajobs.plans import inputs
+
+    made = inputs.archives(spark, "/root/testdata/sf0.001")
+    assert made.count() == 200 and "MapInArrow" in made._jdf.queryExecution().toString()
