@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import PIECE_BYTES
+
 #: Channel means and deviations of the visual models (fixed values).
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 SIDE = 224
@@ -31,6 +36,7 @@ def decode_image_input(rows: DataFrame, files: DataFrame | None = None) -> DataF
     return out.withColumns({"image_bytes": found, "kind": kind}).drop("_found", "_content")
 
 
+@lru_cache(64)
 def _weights(size: int, side: int) -> np.ndarray:
     """Rows of bicubic weights (a = -0.5) that resize ``size`` samples to ``side``, widened when shrinking."""
     scale = max(size / side, 1.0)
@@ -51,12 +57,21 @@ def tensor(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
 def image_to_tensor(image: Column, side: int = SIDE) -> Column:
     """Tensor (flat array<float>) of a struct (height, width, nChannels, data) as Spark's image source gives it (BGR)."""
 
-    def run(images: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in images.itertuples():
-            p = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-            rgb = np.repeat(p, 3, 2) if r.nChannels == 1 else p[:, :, 2::-1]
-            out.append(tensor(rgb, side).ravel().tolist())
-        return pd.Series(out)
+    def one(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+        p = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        return tensor(np.repeat(p, 3, 2) if channels == 1 else p[:, :, 2::-1], side).ravel()
+
+    n = 3 * side * side
+    few = max(1, PIECE_BYTES // (4 * n))
+
+    # tensors are larger than images, so they leave in pieces of their own bytes
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for at in range(0, len(b), few):
+                fields = b.slice(at, few).flatten()
+                made = [one(*(f[i].as_py() for f in fields)) for i in range(len(fields[0]))]
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, (len(made) + 1) * n, n, np.int32)), pa.array(np.concatenate(made)))
+            if not len(b):
+                yield pa.array([], pa.list_(pa.float32()))
 
-    return F.pandas_udf(run, "array<float>")(F.struct(*[image[c].alias(c) for c in ("height", "width", "nChannels", "data")]))
+    return F.arrow_udf(run, "array<float>")(F.struct(*[image[c].alias(c) for c in ("height", "width", "nChannels", "data")]))

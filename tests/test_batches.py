@@ -47,3 +47,20 @@ def test_archives_are_made_without_a_data_frame_each(spark):
 
     made = inputs.archives(spark, "/root/testdata/sf0.001")
     assert made.count() == 200 and "MapInArrow" in made._jdf.queryExecution().toString()
+
+
+def test_tensors_leave_in_small_pieces(spark, monkeypatch):
+    import numpy as np
+    from mediajobs.operators import images
+    from pyspark.sql import functions as F
+
+    made = {}
+    monkeypatch.setattr(images.F, "arrow_udf", lambda run, kind: made.setdefault("run", run) and (lambda c: c))
+    images.image_to_tensor(F.struct(*[F.lit(0).alias(c) for c in ("height", "width", "nChannels", "data")]))
+    pixels = [bytes([i % 256] * 4) for i in range(20)]
+    batch = pa.StructArray.from_arrays([pa.array([2] * 20), pa.array([2] * 20), pa.array([1] * 20), pa.array(pixels)], ["height", "width", "nChannels", "data"])
+    out = list(made["run"](iter([batch])))
+    # one array of 20 tensors of 600 KB before
+    assert max(len(o) for o in out) <= 6 and sum(map(len, out)) == 20
+    first = images.tensor(np.full((2, 2, 3), 1, np.uint8)).ravel()
+    assert np.array_equal(pa.chunked_array(out)[1].values.to_numpy(), first)
