@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
+
 #: Limits (fixed values).
 MAX_DOCS, MAX_CHARS = 8, 1000
 #: Keys of a document that are read, in this order, and keys whose lists are read after them (fixed values).
@@ -41,19 +43,21 @@ def flatten_text(value) -> str:
     return " ".join(filter(None, parts)).strip()
 
 
-def _texts(documents: pd.Series) -> pd.Series:
-    def one(document):
-        try:
-            return flatten_text(json.loads(document))
-        except (TypeError, ValueError):
-            return (document or "").strip()
+def _text(document: str | None) -> str:
+    try:
+        return flatten_text(json.loads(document))
+    except (TypeError, ValueError):
+        return (document or "").strip()
+
 
-    return documents.map(one)
+def _texts(documents: pa.Array) -> pa.Array:
+    made = [pa.array([_text(d) for d in p.to_pylist()], pa.string()) for p in pieces(documents)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 def extract_document_text(document: Column) -> Column:
     """Text of a candidate: JSON objects and lists flattened, plain text stripped."""
-    return F.pandas_udf(_texts, "string")(document)
+    return F.arrow_udf(_texts, "string")(document)
 
 
 def cap_candidates(candidates: DataFrame, most: int = MAX_DOCS, strict: bool = False) -> DataFrame:

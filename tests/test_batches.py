@@ -64,3 +64,11 @@ def test_tensors_leave_in_small_pieces(spark, monkeypatch):
     assert max(len(o) for o in out) <= 6 and sum(map(len, out)) == 20
     first = images.tensor(np.full((2, 2, 3), 1, np.uint8)).ravel()
     assert np.array_equal(pa.chunked_array(out)[1].values.to_numpy(), first)
+
+
+def test_texts_of_candidates_are_made_in_arrow():
+    from mediajobs.operators import rerank
+
+    given = ['{"title":" T ","steps":["a",{"text":"b"}]}', None, " plain ", "[1]"] * 100
+    out = rerank._texts(pa.array(given))  # a pandas series before
+    assert out.type == pa.string() and out.to_pylist() == ["T a b", "", "plain", "1"] * 100
