@@ -9,13 +9,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 
+
+#: Words repeat; a worker keeps the numbers of the latest ones.
+@lru_cache(1 << 16)
 def _number(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
@@ -29,8 +35,7 @@ def hash_encoder(texts: list[str], size: int = 16) -> np.ndarray:
     """A vector of word-hash counts, normalised."""
     out = np.zeros((len(texts), size))
     for i, t in enumerate(texts):
-        for w in (t or "").split():
-            out[i, _number(w) % size] += 1
+        out[i] = np.bincount(np.fromiter((_number(w) % size for w in (t or "").split()), np.int64), minlength=size)
     norm = np.sqrt((out**2).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
@@ -43,23 +48,30 @@ def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
 def tokenize(text: Column, tokenizer: Callable = hash_tokenizer, max_length: int | None = None) -> Column:
     """Token ids of ``text`` (null: none), cut to ``max_length`` (8 at least) if given."""
 
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([list(x) for x in tokenizer(batch.tolist())])
+    most = None if max_length is None else max(8, max_length)
+
+    def run(texts: pa.Array) -> pa.Array:
+        made = [pa.array([list(x)[:most] for x in tokenizer(p.to_pylist())], pa.list_(pa.int32())) for p in pieces(texts)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
-    ids = F.pandas_udf(run, "array<int>")(text)
-    return ids if max_length is None else F.slice(ids, 1, max(8, max_length))
+    return F.arrow_udf(run, "array<int>")(text)
 
 
 def embed_table(items: DataFrame, encoder: Callable = hash_encoder, column: str = "input", batch: int = 32) -> DataFrame:
     """``items`` with ``vector`` array<float>, encoded in batches."""
     schema = items.withColumn("vector", F.lit(None).cast("array<float>")).schema
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            vectors = [v for i in range(0, len(p), batch) for v in np.asarray(encoder(p[column].iloc[i : i + batch].tolist()), np.float32)]
-            yield p.assign(vector=vectors)
+    def encoded(texts: list) -> pa.Array:
+        vectors = [np.asarray(v, np.float32) for i in range(0, len(texts), batch) for v in encoder(texts[i : i + batch])]
+        ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vectors)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in (piece for part in parts for piece in pieces(part)):
+            columns = dict(zip(p.schema.names, p.columns, strict=True)) | {"vector": encoded(p.column(column).to_pylist())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return items.mapInPandas(run, schema)
+    return items.mapInArrow(run, schema)
 
 
 def rerank_score(pairs: DataFrame, scorer: Callable = overlap_scorer, batch: int = 2) -> DataFrame:
