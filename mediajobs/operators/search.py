@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.shared import cut
 from .models import embed_table, hash_encoder
 
 #: Queries held by a task at a time, and items that a task compares with them at least (where cores lack work) and at most.
@@ -211,7 +212,8 @@ def validate_search(queries: DataFrame) -> DataFrame:
 
 def _search(queries, media, source, vector, k, encoder, pivots, options):
     asked = queries.where(F.col(source).isNotNull() & (F.col(source) != "")).select("query_id", F.col(source).alias("input"))
-    vectors = embed_table(asked, encoder).select("query_id", F.col("vector").alias("query_vector"))
+    # searches count their sides first; a checkpoint, so that queries are encoded once
+    vectors = cut(embed_table(asked, encoder).select("query_id", F.col("vector").alias("query_vector")))
     carry = [c for c in media.columns if c not in ("media_id", "multimodal_vector", "dino_vector")]
     if pivots is None:
         found = knn(vectors, media, vector, k, carry=carry, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import new_path
+from ..functions.shared import cut, new_path
 from ..functions.sizes import small
 from ..operators import embedding, images, ingest, known, models, pivots, rerank, search
 from ..sources import tables
@@ -289,7 +289,8 @@ def _media(spark, sf):
     """Every two documents share a media id."""
     d = table(spark, sf, "documents").where("text is not null").select((F.col("doc_id") - F.col("doc_id") % 2).alias("media_id"), F.col("text").alias("input"), "lang")
     v = models.embed_table(d)
-    return v.select("media_id", "lang", F.col("vector").alias("multimodal_vector"), F.col("vector").alias("dino_vector"))
+    # stored, as a search reads its media more than once
+    return cut(v.select("media_id", "lang", "vector")).select("media_id", "lang", F.col("vector").alias("multimodal_vector"), F.col("vector").alias("dino_vector"))
 
 
 def _queries(spark, sf):

@@ -72,3 +72,40 @@ def test_texts_of_candidates_are_made_in_arrow():
     given = ['{"title":" T ","steps":["a",{"text":"b"}]}', None, " plain ", "[1]"] * 100
     out = rerank._texts(pa.array(given))  # a pandas series before
     assert out.type == pa.string() and out.to_pylist() == ["T a b", "", "plain", "1"] * 100
+
+
+def test_encoded_tables_keep_their_columns_and_order(spark):
+    from mediajobs.operators import models
+
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else f"w{i} w", [0.5]) for i in range(600)], "id int, input string, vector array<float>").coalesce(1)
+    out = models.embed_table(df)
+    assert out.columns == ["id", "input", "vector"] and "MapInArrow" in out._jdf.queryExecution().toString()  # data frames before
+    rows = out.collect()
+    assert [r.id for r in rows] == list(range(600)) and rows[0].vector == [0.0] * 16 and all(len(r.vector) == 16 for r in rows)
+    assert rows[7].vector == models.hash_encoder(["w7 w"])[0].tolist()
+
+
+def test_tokens_are_cut_where_they_are_made(spark):
+    from mediajobs.operators import models
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(" ".join(map(str, range(20))),), (None,), ("",)], "text string")
+    out = df.select(models.tokenize(F.col("text")).alias("ids"), models.tokenize(F.col("text"), max_length=3).alias("cut"))
+    got = out.collect()
+    assert [(len(r.ids), len(r.cut)) for r in got] == [(20, 8), (0, 0), (0, 0)] and got[0].cut == got[0].ids[:8]
+    assert "slice(" not in out._jdf.queryExecution().optimizedPlan().toString()  # all ids left Python before
+
+
+def test_queries_are_encoded_once(spark):
+    from mediajobs.operators import models, search
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return models.hash_encoder(texts)
+
+    media = spark.createDataFrame([(i, [float(i)] * 16) for i in range(5)], "media_id long, multimodal_vector array<float>")
+    asked = spark.createDataFrame([(i, f"w{i}") for i in range(10)], "query_id long, query_text string")
+    assert search.search_by_text(asked, media, 2, encoder).count() == 20
+    assert seen.value == 10  # twice before: once to count them
