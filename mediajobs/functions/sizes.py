@@ -1,4 +1,4 @@
-"""Joins with tables that are expected to be small."""
+"""Sizes counted before a step: of tables that may be broadcast, and of tasks that sort."""
 
 from __future__ import annotations
 
@@ -12,3 +12,17 @@ SMALL_ROWS = 100_000
 def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``table``, marked for a broadcast if it has ``rows`` rows at most; else Spark chooses another join."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+#: Rows that a task sorts, about.
+TASK_ROWS = 100_000
+
+
+def tasks_of(rows: DataFrame, each: int = TASK_ROWS) -> int:
+    """Tasks that ``rows`` fill with ``each`` rows."""
+    return max(1, -(-rows.count() // each))
+
+
+def spread(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` by their keys over as many tasks; a shuffle by keys alone is merged to so many bytes a task, whatever they hold unpacked."""
+    return rows.repartition(tasks, *keys)

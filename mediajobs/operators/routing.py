@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sizes import small
+from ..functions.shared import cut
+from ..functions.sizes import TASK_ROWS, small, spread, tasks_of
 
 #: Needs that a capability of another name also satisfies (fixed values).
 ALIASES = {"figures": "figure", "tables": "table"}
@@ -66,7 +67,8 @@ def route_candidates(requests: DataFrame, providers: DataFrame, availability: Da
     signed = requests.withColumn("_signature", needs_of(F.col("privacy"), F.col("needs")))
     open_ = providers.where("enabled")
     found = solved(signed.select(F.col("_signature").alias("signature")).distinct(), open_)
-    rows = found.join(small(open_.withColumnRenamed("name", "provider")), "provider")
+    # from a checkpoint: it is counted, and each use would look through all requests again
+    rows = cut(found.join(small(open_.withColumnRenamed("name", "provider")), "provider"))
     out = signed.join(small(rows), F.col("_signature") == F.col("signature")).select(*requests.columns, "provider", *[c for c in providers.columns if c != "name"])
     if availability is not None:
         out = out.join(availability.where("available").select("request_id", "provider"), ["request_id", "provider"], "left_semi")
@@ -89,7 +91,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     """``candidates`` with rank: the preferred provider first, then by priority, ties in registry order."""
     preferred = F.coalesce(F.col("provider") == F.col("preferred_provider"), F.lit(False))
     order = W.partitionBy("request_id").orderBy(preferred.desc(), F.desc("priority"), F.asc("ordinal"))
-    return candidates.withColumn("rank", F.row_number().over(order))
+    return spread(candidates, tasks_of(candidates), "request_id").withColumn("rank", F.row_number().over(order))
 
 
 def resolve_fallback(ranked: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -117,12 +119,15 @@ def resolve_fallback(ranked: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def routing_failures(requests: DataFrame, ranked: DataFrame, attempts: DataFrame) -> DataFrame:
     """request_id, code, attempted_providers, last_error: 503 without candidates, 502 if all candidates failed."""
-    none = requests.join(ranked, "request_id", "left_anti").select(
+    n = tasks_of(requests, TASK_ROWS // 4)  # each has some candidates
+    asked, had = spread(requests.select("request_id"), n, "request_id"), spread(ranked.select("request_id"), n, "request_id")
+    none = asked.join(had, "request_id", "left_anti").select(
         "request_id", F.lit(503).alias("code"), F.array().cast("array<string>").alias("attempted_providers"), F.lit(None).cast("string").alias("last_error")
     )
-    tried = ranked.select("request_id", "provider", "rank").join(attempts, ["request_id", "provider"], "left")
+    key = ["request_id", "provider"]
+    tried = spread(ranked.select(*key, "rank"), n, *key).join(spread(attempts.select(*key, "success", "error"), n, *key), key, "left")
     names = F.transform(F.sort_array(F.collect_list(F.struct("rank", "provider"))), lambda x: x["provider"])
-    failed = tried.groupBy("request_id").agg(
+    failed = spread(tried, n, "request_id").groupBy("request_id").agg(
         F.lit(502).alias("code"), names.alias("attempted_providers"), F.max_by("error", "rank").alias("last_error"),
         F.count_if(F.coalesce("success", F.lit(False))).alias("n"),
     ).where("n = 0").drop("n")

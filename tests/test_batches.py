@@ -109,3 +109,11 @@ def test_queries_are_encoded_once(spark):
     asked = spark.createDataFrame([(i, f"w{i}") for i in range(10)], "query_id long, query_text string")
     assert search.search_by_text(asked, media, 2, encoder).count() == 20
     assert seen.value == 10  # twice before: once to count them
+
+
+def test_tasks_grow_with_rows(spark):
+    from mediajobs.functions.sizes import spread, tasks_of
+
+    rows = spark.range(250_001)
+    assert (tasks_of(rows), tasks_of(rows, 25_000), tasks_of(rows.limit(0))) == (3, 11, 1)
+    assert "REPARTITION_BY_NUM" in spread(rows, 3, "id")._jdf.queryExecution().executedPlan().toString()  # merged by bytes before
