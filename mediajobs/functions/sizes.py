@@ -23,6 +23,16 @@ def tasks_of(rows: DataFrame, each: int = TASK_ROWS) -> int:
     return max(1, -(-rows.count() // each))
 
 
+#: Bytes of texts in a task that hands them to Python, about.
+TASK_BYTES = 16 << 20
+
+
+def tasks_of_bytes(rows: DataFrame, column: str, each: int = TASK_BYTES) -> int:
+    """Tasks that ``column`` fills with ``each`` bytes, TASK_ROWS rows a task at most."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    return max(1, -(-n // TASK_ROWS), -(-size // each))
+
+
 def spread(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
     """``rows`` by their keys over as many tasks; a shuffle by keys alone is merged to so many bytes a task, whatever they hold unpacked."""
     return rows.repartition(tasks, *keys)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.batches import pieces
+from ..functions.sizes import spread, tasks_of_bytes
 
 #: Limits (fixed values).
 MAX_DOCS, MAX_CHARS = 8, 1000
@@ -23,6 +24,9 @@ TEXT_KEYS = (
     "reagents", "reactants", "products", "source", "institution", "degree", "year",
 )
 LIST_KEYS = ("steps", "step_list", "items", "routes", "documents")
+#: What ``str.strip`` takes off; how JSON's objects, lists and strings begin, how its other values do, and a pattern that none of these misses.
+SPACE = "".join(filter(str.isspace, map(chr, range(0x3001))))
+OPENING, SCALAR, SCALARS = '{["', "-0123456789tfnNI", "^[ \\t\\n\\r]*(true|false|null|NaN|-?Infinity|-?[0-9][0-9.eE+-]*)[ \\t\\n\\r]*$"
 
 
 def flatten_text(value) -> str:
@@ -50,14 +54,25 @@ def _text(document: str | None) -> str:
         return (document or "").strip()
 
 
-def _texts(documents: pa.Array) -> pa.Array:
-    made = [pa.array([_text(d) for d in p.to_pylist()], pa.string()) for p in pieces(documents)]
+def _texts(documents: pa.Array, most: int | None = None) -> pa.Array:
+    made = [pa.array([_text(d)[:most] for d in p.to_pylist()], pa.string()) for p in pieces(documents)]
     return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
-def extract_document_text(document: Column) -> Column:
-    """Text of a candidate: JSON objects and lists flattened, plain text stripped."""
-    return F.arrow_udf(_texts, "string")(document)
+def extract_document_text(document: Column, most: int | None = None) -> Column:
+    """Text of a candidate: JSON objects and lists flattened, plain text stripped; its first ``most`` characters, if given.
+
+    Only documents that may be JSON are sent to Python, which decides about them.
+    """
+
+    def texts(documents: pa.Array) -> pa.Array:
+        return _texts(documents, most)
+
+    first = F.substring(F.ltrim(document, F.lit(" \t\n\r")), 1, 1)
+    json_like = first.isin(*OPENING) | (first.isin(*SCALAR) & document.rlike(SCALARS))
+    made = F.arrow_udf(texts, "string")(F.when(json_like, document))
+    plain = F.coalesce(F.btrim(document, F.lit(SPACE)), F.lit(""))
+    return F.when(json_like, made).otherwise(plain if most is None else F.substring(plain, 1, most))
 
 
 def cap_candidates(candidates: DataFrame, most: int = MAX_DOCS, strict: bool = False) -> DataFrame:
@@ -76,6 +91,17 @@ def truncate_candidates(candidates: DataFrame, chars: int = MAX_CHARS) -> DataFr
     return candidates.withColumn("text", text).withColumn("truncated", F.coalesce(F.length("text") > chars, F.lit(False))).withColumn("text", F.substring("text", 1, chars))
 
 
+def text_candidates(candidates: DataFrame, most: int = MAX_DOCS, chars: int = MAX_CHARS, strict: bool = False) -> DataFrame:
+    """Capped candidates with their extracted texts, truncated.
+
+    Tasks are as many as the documents' bytes ask for: Python gets what a task holds
+    in batches of up to 10,000 rows, whatever their size.
+    """
+    rows = spread(candidates, tasks_of_bytes(candidates, "document"), "query_id")
+    # one character more than is kept tells that a text was longer
+    return truncate_candidates(cap_candidates(rows, most, strict).withColumn("text", extract_document_text(F.col("document"), chars + 1)), chars)
+
+
 def rerank_topn(scored: DataFrame, queries: DataFrame) -> DataFrame:
     """``scored`` (query_id, pos, score) with rank by score, ties in order of pos; cut to top_n where it is above 0."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "pos")

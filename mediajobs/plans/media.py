@@ -370,12 +370,7 @@ def extract_document_text(spark, sf):
 
 
 def _capped(spark, sf):
-    return _truncated(_candidates(spark, sf))
-
-
-def _truncated(candidates):
-    c = rerank.cap_candidates(candidates)
-    return rerank.truncate_candidates(c.withColumn("text", rerank.extract_document_text(F.col("document"))))
+    return rerank.text_candidates(_candidates(spark, sf))
 
 
 def cap_candidates(spark, sf):

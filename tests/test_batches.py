@@ -117,3 +117,38 @@ def test_tasks_grow_with_rows(spark):
     rows = spark.range(250_001)
     assert (tasks_of(rows), tasks_of(rows, 25_000), tasks_of(rows.limit(0))) == (3, 11, 1)
     assert "REPARTITION_BY_NUM" in spread(rows, 3, "id")._jdf.queryExecution().executedPlan().toString()  # merged by bytes before
+
+
+def test_only_documents_that_may_be_json_go_to_python(spark, monkeypatch):
+    import sys
+
+    from mediajobs.operators import rerank
+    from pyspark.sql import functions as F
+
+    assert set(rerank.SPACE) == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+    plain = [None, "", " \n", rerank.SPACE + "no 1 b" + rerank.SPACE, "\ufeff{}", "true story", "12 men", "None", "\x0b{}", "t" * 50, "\U0001f600 é"]
+    told = ['{"title":" é\U0001f600 ","year":1.50}', " \r\n[1, null]\t", '"s "', "{bad ", "[Note] x", "null", "\ttrue\n", "-Infinity", "NaN", " -1.5e3 ", "007", '{"z":"a"} {}']
+    df = spark.createDataFrame(list(enumerate(plain + told)), "pos int, document string").repartition(3)
+    for most in (None, 3):
+        got = df.select("pos", rerank.extract_document_text(F.col("document"), most).alias("t")).orderBy("pos").collect()
+        assert [r.t for r in got] == [rerank._text(d)[:most] for d in plain + told]
+    given = []
+    monkeypatch.setattr(rerank.F, "arrow_udf", lambda run, kind: lambda c: given.append(c) or c)
+    rerank.extract_document_text(F.col("document"))
+    sent = [r.d for r in df.select(given[0].alias("d")).where("d is not null").collect()]
+    assert sorted(sent) == sorted(told)  # all documents before
+
+
+def test_tasks_that_extract_texts_hold_so_many_bytes(spark, monkeypatch):
+    from mediajobs.functions.sizes import tasks_of_bytes
+    from mediajobs.operators import rerank
+    from mediajobs.plans import media
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.col("id").alias("query_id"), F.lit(0).alias("pos"), F.repeat(F.lit("é"), 50).alias("document"))
+    assert (tasks_of_bytes(rows, "document"), tasks_of_bytes(rows, "document", 10_000), tasks_of_bytes(rows.limit(0), "document")) == (1, 10, 1)
+    assert tasks_of_bytes(spark.range(250_001).selectExpr("cast(null as string) as document"), "document") == 3
+    monkeypatch.setattr(rerank, "tasks_of_bytes", lambda rows, column: 37)
+    meta = media.rerank_meta(spark, "/root/testdata/sf0.001")
+    assert meta._jdf.queryExecution().executedPlan().toString().count("37), REPARTITION_BY_NUM") == 1  # merged by bytes before
+    assert rerank.text_candidates(rows).agg(F.count("*"), F.sum(F.length("text"))).first()[:] == (1000, 50_000)
