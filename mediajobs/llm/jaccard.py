@@ -66,10 +66,14 @@ from .common import cut
 N = 5
 #: Links: NUM * union <= DEN * intersection, a similarity of 0.8 or more.
 NUM, DEN = 4, 5
-#: Shingles that recur this often are put last in the order of shingles...
-FREQUENT = 128
+#: Shingles that are counted this often are put last in the order of shingles...
+FREQUENT = 8
 #: ... and at most so many of them (8 bytes each are sent to the executors).
 MOST_FREQUENT = 200_000
+#: Shingles are counted where they recur within so many ...
+COUNTED = 4_000_000
+#: ... and at most so many of them, the most frequent.
+MOST_COUNTED = 250_000
 #: Members of a block of a region.
 BLOCK = 256
 #: Document pivots of a large region, about.
@@ -119,22 +123,31 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
+def recurring(sets: list[np.ndarray], most: int = MOST_COUNTED) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more of ``sets`` hold, and how many hold them; beyond ``most``, the most frequent."""
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    values, times = values[times >= 2], times[times >= 2]
+    if len(values) > most:
+        top = np.argpartition(times, len(times) - most)[len(times) - most :]
+        values, times = values[top], times[top]
+    return values, times
+
+
 def _points(batches):
-    """Kind 0: a document's id, set size and set key. Kind 1: a shingle (as key) that recurs here, and how often (as n)."""
-    for b in batches:
-        n, keys, many, held, seen = [], [], [], 0, set()
-
-        def recurring():
-            values, times = np.unique(np.concatenate(many), return_counts=True) if many else (np.zeros(0, np.uint64),) * 2
-            values, times = values[times >= 4], times[times >= 4]
-            many.clear()
-            return _table(
-                kind=pa.array(np.ones(len(values), np.int32)),
-                doc_id=pa.nulls(len(values), pa.int64()),
-                n=pa.array(times.astype(np.int64)),
-                key=_signed(values),
-            )
+    """Kind 0: a document's id, set size and set key. Kind 1: a shingle (as key) that recurs here, and how often (as n).
+
+    A shingle that many texts share recurs among few of them already, if pairs count: so the number found here grows with
+    the input, however small the share of the texts that hold it.
+    """
+    many, held, seen = [], 0, set()
+
+    def counted():
+        values, times = recurring(many)
+        many.clear()
+        return _table(kind=pa.array(np.ones(len(values), np.int32)), doc_id=pa.nulls(len(values), pa.int64()), n=pa.array(times.astype(np.int64)), key=_signed(values))
 
+    for b in batches:
+        n, keys = [], []
         for _, s in shingle_sets(b.column(1)):
             n.append(len(s))
             keys.append(_key(s) if len(s) else None)
@@ -142,16 +155,19 @@ def _points(batches):
                 seen.add(keys[-1])
                 many.append(s)
                 held += len(s)
-                if held > 2_000_000:
+                if held > COUNTED:
                     held = 0
-                    yield recurring()
-        yield recurring()
+                    yield counted()
+                    if len(seen) > 1_000_000:
+                        seen.clear()
         yield _table(
             kind=pa.array(np.zeros(len(n), np.int32)),
             doc_id=b.column(0).cast(pa.int64()),
             n=pa.array(n, pa.int64()),
             key=pa.array(keys, pa.int64()),
         )
+    if many:
+        yield counted()
 
 
 def _prefixes(frequent: np.ndarray):
@@ -397,9 +413,12 @@ class Pivots:
         order = sorted(range(len(keys)), key=keys.__getitem__)
         self.keys, sets = [keys[i] for i in order], [sets[i] for i in order]
         self.sizes = np.array([len(s) for s in sets])
-        self.values = np.unique(np.concatenate(sets))
-        self.has = np.stack([np.isin(self.values, s, assume_unique=True) for s in sets], 1).astype(np.int32)
-        both = self.has.T @ self.has
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        values, self.owner = values[order], owner[order]
+        new = np.append(True, values[1:] != values[:-1])
+        self.values, self.at = values[new], np.append(np.flatnonzero(new), len(values))  # owners of a value: a slice
+        both = overlaps(sets)
         d = 1 - both / (self.sizes[:, None] + self.sizes[None, :] - both)
         # those that divide the space: no two within a window of each other
         self.centres: list[int] = []
@@ -410,7 +429,10 @@ class Pivots:
     def near(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pivots that link with a set, and all distances."""
         at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
-        both = self.has[at[self.values[at] == s]].sum(0)
+        at = at[self.values[at] == s]
+        first, many = self.at[at], self.at[at + 1] - self.at[at]
+        slices = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(self.owner[slices], minlength=len(self.keys))
         union = self.sizes + len(s) - both
         return DEN * both >= NUM * union, 1 - both / union
 
@@ -583,16 +605,21 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     ).distinct()
 
 
-def _sets(docs: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
-    """(member, body: its compressed text) of ``members``; only their texts are hashed again: one for each set, and those without an id."""
-    first = points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    named = first.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
-    wanted = named.select("doc_id").where("doc_id is not null").distinct()
-    wanted = cut(wanted)
+def _texts(docs: DataFrame, firsts: DataFrame, members: DataFrame, all_of_many: bool = False) -> DataFrame:
+    """The texts of ``members``, one for each set, and those without an id; ``all_of_many``: all texts, where members are many."""
+    named = firsts.join(members.select(F.col("member").alias("key")).distinct(), "key", "left_semi")
+    wanted = cut(named.select("doc_id").where("doc_id is not null").distinct())
     # few ids are broadcast, so that texts stay where they are
-    chosen = docs.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "doc_id", "left_semi").select("text")
-    chosen = chosen.union(docs.where("doc_id is null").select("text"))
-    return chosen.mapInArrow(_bodies, "member long, body binary")
+    few = wanted.count() <= WANTED
+    if all_of_many and not few:
+        return docs.select("text")
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
+    return chosen.union(docs.where("doc_id is null").select("text"))
+
+
+def _sets(docs: DataFrame, firsts: DataFrame, members: DataFrame) -> DataFrame:
+    """(member, body: its compressed text) of ``members``; only their texts are hashed again."""
+    return _texts(docs, firsts, members).mapInArrow(_bodies, "member long, body binary")
 
 
 def _with(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -684,6 +711,7 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     docs = docs.select("doc_id", "text")
     found = cut(docs.mapInArrow(_points, "kind int, doc_id long, n long, key long"))
     points = found.where("kind = 0").drop("kind")
+    firsts = cut(points.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     often = (
         found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent)
         .orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key")
@@ -702,13 +730,14 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
     near = []
     if not big.isEmpty():
         large = cut(regions.join(big, "pivot").select(F.col("pivot").alias("region"), "member", "parent"))
-        sets = cut(_sets(docs, points, large))
+        sets = cut(_sets(docs, firsts, large))
         if sets.count() > large.select("member").distinct().count():  # rows with one id and one text, or none
             sets = cut(sets.dropDuplicates(["member"]))
         near, more = by_pivots(large, sets, block)
         for m in more:
             cells = cells.union(m)
-    heads = docs.select("text").mapInArrow(_heads(hot), "member long, n int, head binary")
+    cells = cut(cells)
+    heads = _texts(docs, firsts, cells, all_of_many=True).mapInArrow(_heads(hot), "member long, n int, head binary")
     clusters = cut(
         cells.join(heads, "member")
         .select("pivot", "i", "j", "member", "n", "head", "main")
@@ -718,7 +747,7 @@ def links(docs: DataFrame, block: int = BLOCK, frequent: int = FREQUENT) -> tupl
         .distinct()
     )
     edges = (
-        clusters.join(_sets(docs, points, clusters), "member")
+        clusters.join(_sets(docs, firsts, clusters), "member")
         .select("cluster", "member", "body")
         .repartition("cluster")
         .sortWithinPartitions("cluster")
