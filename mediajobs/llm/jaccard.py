@@ -793,19 +793,36 @@ def _keyed(batches):
         yield rows.take(pa.array(take, pa.int64()))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _by_key(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are ``chosen`` (_key, _id, _none), one of each, and all rows without shingles."""
+    rows = docs.mapInArrow(_keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    rows = rows.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+    kept = rows.join(chosen, chosen.columns, "left_semi").dropDuplicates(chosen.columns)
+    empty = docs.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    return kept.select(docs.columns).union(empty)
+
+
+def keep_one(docs: DataFrame, wanted: int = WANTED) -> DataFrame:
     """One row of each component, that with the smallest (doc_id, nulls last; set key), and all rows without shingles.
 
-    The columns are those of ``docs``. Of rows with the same id and set key, any one is kept.
+    The columns are those of ``docs``. Of rows with the same id and set key, any one is kept. Where an id is of one row
+    only, the id tells whether the row goes; if the ids of those that go are few, they are broadcast, so that texts are
+    neither hashed again nor shuffled. Rows with null or repeated ids are known by their set keys, too.
     """
-    _, roots = _groups(docs, BLOCK, FREQUENT)
+    points, roots = _groups(docs, BLOCK, FREQUENT)
     order = F.struct(F.col("first").isNull().alias("none"), "first", "key")
-    chosen = roots.groupBy("root").agg(F.min(order).alias("c")).select(
+    chosen = cut(roots.groupBy("root").agg(F.min(order).alias("c")).select(
         F.col("c.key").alias("_key"), F.coalesce("c.first", F.lit(0)).alias("_id"), F.col("c.none").alias("_none")
-    )
-    rows = docs.mapInArrow(_keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
-    rows = rows.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
-    names = ["_key", "_id", "_none"]
-    kept = rows.join(chosen, names, "left_semi").dropDuplicates(names)
-    empty = docs.where(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    return kept.select(docs.columns).union(empty)
+    ))
+    named = points.where("doc_id is not null")
+    repeated = cut(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rows = named.where("key is not null").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.lit(False).alias("_none"))
+    gone = cut(rows.join(chosen, chosen.columns, "left_anti").select(F.col("_id").alias("doc_id")).distinct())
+    n = repeated.count()
+    if n + gone.count() > wanted:
+        return _by_key(docs, chosen)
+    single = docs.where("doc_id is not null").join(F.broadcast(gone.union(repeated).distinct()), "doc_id", "left_anti")
+    rest = docs.where("doc_id is null")
+    if n:
+        rest = rest.union(docs.join(F.broadcast(repeated), "doc_id", "left_semi").select(docs.columns))
+    return single.select(docs.columns).union(_by_key(rest, chosen))

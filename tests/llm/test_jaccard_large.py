@@ -44,3 +44,24 @@ def test_only_texts_of_members_are_hashed_again(spark):
     firsts = spark.createDataFrame([(10, 1), (20, 2), (30, 3), (40, None)], "key long, doc_id long")
     members = spark.createDataFrame([(20,), (20,), (40,)], "member long")
     assert sorted(r.text for r in jaccard._texts(docs, firsts, members).collect()) == ["c d", "g h"]
+
+
+def test_kept_rows_are_neither_hashed_again_nor_shuffled(spark, tmp_path):
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, "x"), (2, text + " more", "y"), (3, text, "z"), (4, "other", "v"), (5, None, "n"), (6, " ", "n")]
+    spark.createDataFrame(rows, "doc_id long, text string, extra string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = jaccard.keep_one(docs)
+    first = kept._jdf.queryExecution().optimizedPlan().children().head().toString()  # rows with ids of their own
+    assert "LeftAnti" in first and "MapInArrow" not in first and "Aggregate" not in first.partition("LeftAnti")[0]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+
+
+def test_kept_rows_are_the_same_by_ids_and_by_keys(spark):
+    words = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a") + " more"), (3, words("c")), (3, words("c")), (3, words("c") + " x"), (4, words("c")), (5, words("d")), (6, words("d"))]
+    rows += [(None, words("d")), (None, words("e")), (None, words("e") + " x"), (7, None), (7, ""), (7, words("f")), (8, "\n"), (None, " "), (9, words("g"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_id, by_key = ([tuple(r) for r in jaccard.keep_one(docs, wanted).collect()] for wanted in (jaccard.WANTED, -1))
+    assert sorted(by_id, key=str) == sorted(by_key, key=str)
+    assert sorted((i for i, _ in by_id), key=str) == sorted([1, 1, 3, 5, None, 7, 7, 7, 8, None, 9], key=str)
