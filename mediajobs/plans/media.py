@@ -194,10 +194,10 @@ def decode_image_input(spark, sf):
 
 
 def image_to_tensor(spark, sf):
-    """Vectors as 8 x 8 grey images."""
+    """Vectors as 8 x 8 grey images, as whole tensors of the visual models' size."""
     px = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex((F.abs(x) * 255).cast("int")), 2, "0")), ""))
     v = table(spark, sf, "embeddings").select("vec_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), px.alias("data")).alias("image"))
-    t = v.select("vec_id", images.image_to_tensor(F.col("image"), 16).alias("t"))
+    t = v.select("vec_id", images.image_to_tensor(F.col("image")).alias("t"))
     return t.select("vec_id", F.size("t").alias("n"), F.round(F.array_min("t"), 3).alias("least"), F.round(F.array_max("t"), 3).alias("most"))
 
 

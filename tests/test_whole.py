@@ -44,3 +44,17 @@ def test_pad_batch_takes_all_tokens(spark):
         longest[i // 8] = max(longest.get(i // 8, 0), k)
     assert max(n.values()) > 20
     assert sorted(same_as_sql(spark, "pad_batch_all")) == sorted((i, i // 8, longest[i // 8], k) for i, k in n.items())
+
+
+def test_tensors_have_the_whole_size_of_the_models(spark):
+    import numpy as np
+    from mediajobs.operators import images
+
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = media.QUERIES["image_to_tensor"](spark, SF).collect()
+    assert sorted(r.vec_id for r in got) == sorted(rows)
+    assert {r.n for r in got} == {3 * 224 * 224}  # 3 * 16 * 16 before
+    for r in got[:5]:
+        grey = (np.abs(np.array(rows[r.vec_id], np.float32)) * np.float32(255)).astype(np.uint8).reshape(8, 8, 1)
+        want = images.tensor(np.repeat(grey, 3, 2), 224)
+        assert (r.least, r.most) == pytest.approx((want.min(), want.max()), abs=1e-3)
